@@ -47,7 +47,7 @@ good as (
         - case when cast(substr(ds, i, 1) as integer) > 4 then 9 else 0 end
       else cast(substr(ds, i, 1) as integer) end)) % 10 = 0
     when 'phone' then length(ds) between 9 and 15
-    when 'ssn' then regexp_matches(lower(right(substr(t, 1, s), 40)), '\b(ssn|social security|taxpayer)\b')
+    when 'ssn' then regexp_matches(lower(right(substr(t, 1, cast(s as bigint)), 40)), '\b(ssn|social security|taxpayer)\b')
     else length(replace(v, ' ', '')) between 15 and 34 and list_reduce(list_prepend(0, list_transform(
       string_split(substr(replace(v, ' ', ''), 5) || substr(replace(v, ' ', ''), 1, 4), ''), lambda c: ascii(c))),
       lambda a, c: case when c >= 65 then (a * 100 + c - 55) % 97 else (a * 10 + c - 48) % 97 end) = 1
@@ -63,3 +63,56 @@ select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coale
   coalesce(n_phone, 0) as n_phone, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join told using (r)
 """
+
+SQL["op3_quality"] = r"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as t, coalesce(lang, '') as lang,
+    coalesce(source, '') as source from documents),
+w as (select r, unnest(ws) as w, generate_subscripts(ws, 1) as i
+  from (select r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws from d)),
+tri as (select r, i, w || ' ' || lead(w) over o || ' ' || lead(w, 2) over o as g from w window o as (partition by r order by i)),
+hit as (select r, i from (select r, i, count(*) over (partition by r, g) as n from tri where g is not null) where n > 1),
+rep as (select r, count(distinct j) as n from (select r, unnest([i, i + 1, i + 2]) as j from hit) group by r),
+wc as (select r, count(*) as n, sum(length(w)) as chars from w group by r),
+l as (select r, unnest(string_split(t, chr(10))) as l from d),
+ln as (select r, count(*) as n, count(*) - count(distinct l) as dup from l where regexp_matches(l, '[^\x20\x09-\x0D]') group by r),
+m as (
+  select d.r, doc_id, lang, source, coalesce(wc.n, 0) as n_words, cast(coalesce(wc.chars, 0) as bigint) as word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(ln.dup, 0) as n_dup_lines,
+    coalesce(rep.n, 0) as n_repeat_words, coalesce(ln.n, 0) as n_lines
+  from d left join wc using (r) left join rep using (r) left join ln using (r)),
+b as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+    [1000 * n_symbols // greatest(n_words, 1), 1000 * n_dup_lines // greatest(n_lines, 1),
+     1000 * n_repeat_words // greatest(n_words, 1), 100 * word_chars // greatest(n_words, 1)] as rates
+  from m),
+v as (select lang, source, unnest([1, 2, 3, 4]) as rate, unnest(rates) as x from b where not base_failed),
+sk as (
+  select lang, source, rate, x // (1 << greatest(length(bin(x)) - 6, 0)) * (1 << greatest(length(bin(x)) - 6, 0)) as bin,
+    count(*) as n from v group by all),
+lv as (
+  select 'own' as lv, lang, source, rate, bin, sum(n) as n from sk group by all
+  union all select 'lang', lang, '', rate, bin, sum(n) from sk group by all
+  union all select 'all', '', '', rate, bin, sum(n) from sk group by all),
+rk as (
+  select *, sum(n) over (partition by lv, lang, source, rate order by bin) as up_to,
+    sum(n) over (partition by lv, lang, source, rate) as total from lv),
+q as (
+  select lv, lang, source, rate, max(total) as n, min(bin) filter (where 4 * up_to >= total) as q1,
+    min(bin) filter (where 4 * up_to >= 3 * total) as q3 from rk group by all),
+f as (
+  select o.lang, o.source, o.rate,
+    case when o.n >= 50 then o.q1 when l.n >= 50 then l.q1 else a.q1 end as q1,
+    case when o.n >= 50 then o.q3 when l.n >= 50 then l.q3 else a.q3 end as q3
+  from q o join q l on l.lv = 'lang' and l.lang = o.lang and l.rate = o.rate
+  join q a on a.lv = 'all' and a.rate = o.rate where o.lv = 'own'),
+lim as (
+  select lang, source, rate, q3 + 4 * greatest(q3 - q1, [60, 150, 100, 50][rate]) as high,
+    case when rate = 4 then q1 - 4 * greatest(q3 - q1, 50) else 0 end as low from f),
+ok as (
+  select b.r, bool_and(b.rates[lim.rate] between lim.low and lim.high) as inside
+  from b join lim using (lang, source) group by b.r)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and coalesce(inside, false) as kept
+from b left join ok using (r)
+"""
