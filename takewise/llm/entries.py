@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_scan, pii, quality, simhash
+from . import exact_dedup, license_scan, pii, quality, sentencepiece_codec, simhash
 from .common import documents
 from .sql import SQL
 
@@ -15,6 +15,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_copies(documents(spark, sf_dir))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(documents(spark, sf_dir))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
@@ -32,7 +36,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_quality, op5_license_scan, op9_simhash, op10_pii)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_quality, op5_license_scan, op9_simhash, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
