@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, license_scan, pii, quality, sentencepiece_codec, simhash
+from . import exact_dedup, language_id, license_scan, pii, quality, sentencepiece_codec, simhash, toxicity
 from .common import documents
 from .sql import SQL
 
@@ -27,6 +27,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.learn_and_score(documents(spark, sf_dir), labels)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.learn_and_identify(documents(spark, sf_dir))
 
@@ -40,7 +45,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_quality, op5_license_scan, op8_language_id, op9_simhash, op10_pii)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_quality, op5_license_scan, op6_toxicity, op8_language_id, op9_simhash, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
