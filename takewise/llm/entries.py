@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, license_scan, pii, quality, sentencepiece_codec, simhash, toxicity
+from . import exact_dedup, language_id, license_scan, mixing, pii, quality, sentencepiece_codec, simhash, toxicity
 from .common import documents
 from .sql import SQL
 
@@ -23,6 +23,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_rates(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
@@ -45,7 +49,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_quality, op5_license_scan, op6_toxicity, op8_language_id, op9_simhash, op10_pii)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_quality, op4_mixing, op5_license_scan, op6_toxicity, op8_language_id, op9_simhash, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
