@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, license_scan, mixing, pii, quality, sentencepiece_codec, simhash, toxicity
+from . import exact_dedup, language_id, license_scan, mixing, pii, quality, sentencepiece_codec, simhash, suffix_dedup, toxicity
 from .common import documents
 from .sql import SQL
 
@@ -36,6 +36,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.learn_and_score(documents(spark, sf_dir), labels)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.find_repeats(documents(spark, sf_dir)))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.learn_and_identify(documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_quality, op4_mixing, op5_license_scan, op6_toxicity, op8_language_id, op9_simhash, op10_pii)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_quality, op4_mixing, op5_license_scan, op6_toxicity, op7_suffix_dedup, op8_language_id, op9_simhash, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
