@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,18 +16,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes a narrow table to the shared checkpoint folder and returns it without its lineage.
-
-    The folder is the cluster's spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one
-    is made. The files survive a lost executor, and Spark's cleaner removes them with the DataFrame.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary folder is made."""
+    sc = spark.sparkContext
+    if folder := sc.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes a narrow table to the shared folder and returns it without its lineage. The files survive a lost
+    executor, and Spark's cleaner removes them with the DataFrame."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def rewritten(df: DataFrame) -> DataFrame:
+    """Writes a table with texts to the shared folder as Parquet and reads it again."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_of(name: str = "text") -> Column:
     """The text as a string; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
