@@ -15,7 +15,8 @@ Domains are `toxic` (labelled toxic), `low` (labelled quality 0) and `clean`. Un
 budget is such that the domain of the largest target weight keeps its tokens; totals that the bounds on rates put out
 of reach are met as nearly as they can be.
 
-Defined results: a null text has no tokens and the priors as its posterior; without labels the posteriors are the
+Defined results: a null text has no tokens and the priors as its posterior; a domain that no labelled text of the
+table has gets no posterior; without labels the posteriors are the
 target weights; a null id has the hash of the empty text; of several labels of an id the highest toxic and the lowest
 quality count; an empty table gives an empty one; other columns pass through mix().
 """
@@ -74,7 +75,7 @@ class Classifier:
         words = raw.translate(LOWER_AZ).split()
         known = self.vocabulary
         at = [known[w] for w in {*words, *rates(raw, raw.split())} if w in known] if words else []
-        total = np.log(self.priors) + self.weights[at].sum(axis=0)
+        total = np.where(self.priors > 0, np.log(np.maximum(self.priors, 1e-300)) + self.weights[at].sum(axis=0), -np.inf)
         p = np.exp(total - total.max())
         return len(words), p / p.sum()
 
@@ -85,7 +86,6 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     marks = labels.where("id is not null").groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when((F.col("toxic") == 0) & (F.col("quality") == 1), "clean")
     marks = marks.select("id", domain.alias("domain")).where(F.col("domain").isin(domains))
-    shares = {r["domain"]: r["n"] for r in marks.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     chosen = marks.orderBy(F.xxhash64("id"), "id").limit(sample)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,11 +106,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     texts = counts.pop(b"", np.zeros(len(domains)))
     if not texts.sum():
         return Classifier(domains, np.array([targets[d] for d in domains]), {}, np.zeros((0, len(domains))))
-    priors = np.array([shares.get(d, 0) + 1.0 for d in domains])
     shares_of = {w: c.sum() / texts.sum() for w, c in counts.items()}
     weights = {w: np.log((c + SMOOTHING * shares_of[w]) / (texts + SMOOTHING) / shares_of[w]) for w, c in counts.items()}
     weights = {w: v for w, v in weights.items() if np.abs(v).max() >= TELLING}
-    return Classifier(domains, priors / priors.sum(), {w: i for i, w in enumerate(weights)}, np.array(list(weights.values())).reshape(-1, len(domains)))
+    return Classifier(domains, texts / texts.sum(), {w: i for i, w in enumerate(weights)}, np.array(list(weights.values())).reshape(-1, len(domains)))
 
 
 def posteriors(df: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
