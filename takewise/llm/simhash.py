@@ -34,6 +34,8 @@ SEED = 42
 DISTANCE = 3
 #: Members up to which one task searches a bucket.
 BUCKET = 20_000
+#: Bits left open below which a bucket is searched whatever its size: it has a few thousand members at most.
+FEW_BITS = 12
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 _LOW32 = 0xFFFFFFFF
@@ -94,7 +96,7 @@ def _search(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa.Recor
         links = set(zip(prints[two[near]].tolist(), prints[two[near] + 1].tolist()))
         for i in np.flatnonzero(sizes > 2):
             lo, hi = at[i], at[i + 1]
-            if sizes[i] > bucket:
+            if sizes[i] > bucket and np.bitwise_count(masks[lo]) > FEW_BITS:
                 yield out(keys[lo:hi], prints[lo:hi], masks[lo:hi])
             else:
                 links.update(spanning_links(prints[lo:hi]))
@@ -119,7 +121,7 @@ def _search(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa.Recor
             if n:
                 yield from searched(*(x[:n] for x in held))
                 held = [x[n:] for x in held]
-            if len(held[0]) > bucket:
+            if len(held[0]) > bucket and np.bitwise_count(held[2][0]) > FEW_BITS:
                 passing = held[0][-1]
                 yield out(*held)
                 held = [x[:0] for x in held]
