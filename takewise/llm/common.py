@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,15 @@ def rewritten(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that Python objects are made of a few texts at a time; at the end of
+    the task Arrow gives back what it holds."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def text_of(name: str = "text") -> Column:
     """The text as a string; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

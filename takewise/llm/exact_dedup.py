@@ -26,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, cut, text_of, width
+from .common import LOWER_AZ, cut, slices, text_of, width
 
 #: Bytes of a text in the range key.
 HEAD = 64
 
 
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = [x.translate(LOWER_AZ) for x in batch.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), pa.array([x[:HEAD] for x in texts], pa.binary()), pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary()), pa.array(texts, pa.binary())],

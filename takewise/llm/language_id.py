@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_class
+from .common import crc_class, slices
 from .pieces import SPACE, PairTable, default_model, vocabulary
 from .sentencepiece_codec import codec
 
@@ -40,7 +40,7 @@ UNKNOWN = 1e-8
 #: Words that a worker remembers; beyond it, it starts anew. This bounds memory and changes no result.
 REMEMBERED = 300_000
 #: Characters of text that are taken at once, and of a word for the side-by-side pass.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 SHORT = 40
 LETTER = re.compile(r"[^\W\d_]")
 #: Factor for each character that keeps products of probabilities within floats.
@@ -200,7 +200,7 @@ def identify(df: DataFrame, fitted: tuple, path: str, id_col: str = "doc_id", te
             _models.clear()
             _models[id(model.value)] = Model(path, *model.value)
         m = _models[id(model.value)]
-        for batch in batches:
+        for batch in slices(batches):
             texts, at, size = batch.column("text").to_pylist(), 0, 0
             for i, t in enumerate(texts):
                 size += len(t or "")

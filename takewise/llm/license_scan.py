@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, text_of
+from .common import LOWER_AZ, slices, text_of
 
 # Template name, its words, the mandatory phrase in it, and its label.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -100,7 +100,7 @@ def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many of the partition's documents each template word stands; the empty word counts all documents."""
     known = {w for _, words, _, _ in TEMPLATES for w in words.encode().split()}
     times: Counter[bytes] = Counter()
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             times.update(known.intersection(words_of(text)))
             times[b""] += 1
@@ -122,7 +122,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(weights)
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
-        for batch in batches:
+        for batch in slices(batches):
             found = [index.scan(x) for x in batch.column("text").to_pylist()]
             columns = list(zip(*found)) if found else [[]] * 7
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])

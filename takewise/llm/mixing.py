@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_AZ, cut
+from .common import LOWER_AZ, cut, slices
 
 #: Target weights of the domains.
 TARGETS = {"clean": 0.92, "low": 0.06, "toxic": 0.02}
@@ -43,9 +43,10 @@ WORDS = 20_000
 #: Weight of the whole sample's share in a domain's, in texts, and the least evidence of a word that is used.
 SMOOTHING = 10.0
 TELLING = 0.7
-#: Steps at most; they end when the totals are met, or no longer get closer, by this share.
-STEPS = 40
+#: Steps at most; they end when the totals are met within TOLERANCE, or get closer by less than PROGRESS.
+STEPS = 15
 TOLERANCE = 1e-3
+PROGRESS = 0.02
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -90,7 +91,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times: Counter[tuple[str, bytes]] = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for domain, text in zip(batch.column("domain").to_pylist(), batch.column("text").to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 words = raw.translate(LOWER_AZ).split()
@@ -118,7 +119,7 @@ def posteriors(df: DataFrame, model: Classifier, text_col: str = "text") -> Data
     schema = T.StructType([*df.schema.fields, T.StructField("__n", T.LongType()), T.StructField("__p", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [held.value.posterior(x) for x in batch.column("__text").to_pylist()]
             names = [n for n in batch.schema.names if n != "__text"]
             added = [pa.array([n for n, _ in found], pa.int64()), pa.array([p.tolist() for _, p in found], pa.list_(pa.float64()))]
@@ -147,7 +148,7 @@ def fit_rates(narrow: DataFrame, targets: dict[str, float] = TARGETS, budget: fl
     if budget is None:
         main = int(weights.argmax())
         budget = float(have[main] / weights[main])
-    goal = weights * budget
+    goal = np.where(have > 0, weights * budget, 0.0)  # a domain that no row has cannot be mixed in
     metric = np.linalg.pinv(gram + np.eye(len(have)) * 1e-9 * max(np.trace(gram), 1e-9))
     steps: list[list[float]] = []
     fitted = have * min(1.0, max_rate)
@@ -155,7 +156,7 @@ def fit_rates(narrow: DataFrame, targets: dict[str, float] = TARGETS, budget: fl
     for _ in range(STEPS):
         gap = goal - fitted
         last, misfit = misfit, float(gap @ metric @ gap)
-        if np.abs(gap).sum() <= TOLERANCE * goal.sum() or misfit > (1 - TOLERANCE) * last:
+        if np.abs(gap).sum() <= TOLERANCE * goal.sum() or misfit > (1 - PROGRESS) * last:
             break
         steps.append((metric @ gap).tolist())
         got = narrow.select((F.col("__n") * rate(steps, max_rate)).alias("w"), "__p").agg(*(F.sum(F.col("w") * p(i)).alias(f"t{i}") for i in k)).first()

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, slices
 
 # Base rules, rates in thousandths (word length in hundredths), and each rate's least spread.
 MIN_WORDS = 50
@@ -67,7 +67,7 @@ def count_text(text: str | None) -> tuple[int, ...]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [count_text(x) for x in batch.column("__text").to_pylist()]
         columns = zip(*found) if found else [[]] * len(COUNTS)
         at = batch.schema.get_field_index("__text")

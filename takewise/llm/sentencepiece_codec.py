@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import slices, text_of
 from .pieces import SPACE, Vocabulary, default_model, vocabulary
 
 PARTS = re.compile(" +[^ \n]*|\n|[^ \n]+")
@@ -39,7 +39,7 @@ SHORT = 64
 #: Parts that a worker remembers; beyond it, it starts anew. This bounds memory and changes no result.
 REMEMBERED = 300_000
 #: Characters of text that are parted at once.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 
 def agenda(symbols: list[int], vocab: Vocabulary) -> list[int]:
@@ -175,7 +175,7 @@ def codec(path: str) -> Codec:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
     """(ids, texts) of rows with about BLOCK characters."""
-    for batch in batches:
+    for batch in slices(batches):
         texts, at, size = batch.column("text").to_pylist(), 0, 0
         for i, t in enumerate(texts):
             size += len(t)
@@ -202,6 +202,7 @@ def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
         for ids, texts in _blocks(batches):
             found = [c.ids(p) for p in c.encode(texts)]
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())], ["id", "n_tokens", "token_ids"])
+        c.parts.clear()
 
     rows, kind = _rows(df, id_col, text_col)
     return rows.mapInArrow(run, f"id {kind}, n_tokens long, token_ids binary").withColumnRenamed("id", id_col)
@@ -235,6 +236,7 @@ def round_trip(df: DataFrame, path: str | None = None, id_col: str = "doc_id", t
                 [ids, pa.array([len(x) // 4 for x, _ in found], pa.int64()), pa.array([digest(x) for x, _ in found]), pa.array([digest(x) for _, x in found])],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        c.parts.clear()
 
     rows, kind = _rows(df, id_col, text_col)
     return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

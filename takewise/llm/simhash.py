@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, cut, keep_by_id
+from .common import LOWER_AZ, cut, keep_by_id, slices
 
 SHINGLE = 3
 SEED = 42
@@ -59,7 +59,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         prints = np.array([fingerprint(x) for x in batch.column("text").to_pylist()], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints.view(np.int64))], ["id", "print"])
 

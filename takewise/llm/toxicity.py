@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_class
+from .common import crc_class, slices
 
 #: Training texts of each class, and sentences from them, at most.
 SAMPLE = 3000
@@ -189,7 +189,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(zip(*seen)) if seen else [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.string())], ["feature", "toxic", "near"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
             words = WORD.findall(_lower(text or ""))
             for w, before, after in zip(words, ["", *words], [*words[1:], ""]):
@@ -265,7 +265,7 @@ def score(df: DataFrame, model: tuple[Field, np.ndarray | None, float], id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field, weights, share = held.value
-        for batch in batches:
+        for batch in slices(batches):
             scores, spans = [], []
             for text in batch.column("text").to_pylist():
                 words, tokens = field.toxic_words(text or "")
