@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import notes
+from . import notes, signal
 
 
-MODULES = (notes,)
+MODULES = (notes, signal)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,7 +271,7 @@ def linear_rescale(spark, d):
 
 
 @query(sql("notes", _PAIRED + """
-select pair_id, note_no - 1 as idx, round(ref_hz, 6) as ref_value, round(prac_hz, 6) as prac_value, case when ref_hz > 0 then 0.0 end as ref_cents,
+select pair_id, note_no - 1 as idx, round(ref_hz, 6) as ref_value, round(prac_hz, 6) as prac_value, case when ref_hz > 0 then cast(0 as double) end as ref_cents,
   round(case when ref_hz > 0 and prac_hz > 0 then 1200 * log2(prac_hz / ref_hz) end, 6) + 0.0 as prac_cents from both_sides"""))
 def comparison_line(spark, d):
     s = A.notes(spark, d).select("pair_id", "side", (F.col("note_no") - 1).alias("idx"), F.col("f0_hz").alias("value"))
