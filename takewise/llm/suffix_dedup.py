@@ -268,13 +268,13 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield chosen(carry)
 
 
-_STRETCH = ["route", "key", "at", "stretch"]
-_FIRST = pa.schema([("route", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("stretch", pa.binary())])
+_STRETCH = ["route", "key", "at", "stretch", "last"]
 
 
 def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(route, key, at, stretch) of stretches that the task has first, route being a hash of the anchor and its place
-    in the stretch's windows left out; and, without stretch, (key, start, end) in (key, at, route) of what goes."""
+    in the stretch's windows left out; and, without stretch, (key, start, end) in (key, at, last) of what goes, dealt
+    out by text and place."""
     seen: dict[tuple[int, bytes], tuple[int, int]] = {}
     gone: list[tuple[int, int, int]] = []
 
@@ -291,10 +291,11 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for (place, stretch), _ in seen.items():
                 routes.append(xxhash.xxh3_64_intdigest(stretch[place : place + GRAM]))
                 texts.append(stretch)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(routes, dtype=np.uint64).view(np.int64)), pa.array([k for k, _ in rows], pa.int64()), pa.array([a for _, a in rows], pa.int64()), pa.array(texts, pa.binary())], _STRETCH)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(routes, dtype=np.uint64).view(np.int64)), pa.array([k for k, _ in rows], pa.int64()), pa.array([a for _, a in rows], pa.int64()), pa.array(texts, pa.binary()), pa.nulls(len(rows), pa.int64())], _STRETCH)
         if gone:
             key, first, end = (np.array(x, dtype=np.int64) for x in zip(*gone))
-            yield pa.RecordBatch.from_arrays([pa.array(end), pa.array(key), pa.array(first), pa.nulls(len(key), pa.binary())], _STRETCH)
+            spread = (key * 0x2545F4914F6CDD1D) ^ (first * 0x4F6CDD1D)
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(key), pa.array(first), pa.nulls(len(key), pa.binary()), pa.array(end)], _STRETCH)
         seen.clear()
         gone.clear()
 
@@ -373,20 +374,20 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = batch.column("stretch").is_null()
         if ready.true_count:
             rows = batch.filter(ready)
-            yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("at"), rows.column("route")], names)
+            yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("at"), rows.column("last")], names)
             batch = batch.filter(pa.compute.invert(ready))
         if batch.num_rows:
             held.append(batch)
             size += batch.column("stretch").nbytes
         if size > SORTED:
-            whole = pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in held]) for i in range(4)], _STRETCH)
+            whole = pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in held]) for i in range(5)], _STRETCH)
             route = whole.column("route").to_numpy()
             n = int(np.searchsorted(route, route[-1], "left"))
             if n:
                 yield from out(whole.slice(0, n))
                 held, size = [whole.slice(n)], 0
     if held:
-        yield from out(pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in held]) for i in range(4)], _STRETCH))
+        yield from out(pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in held]) for i in range(5)], _STRETCH))
 
 
 def merged(first: list[int], last: list[int]) -> list[tuple[int, int]]:
@@ -435,7 +436,7 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = found.repartition("route").sortWithinPartitions("route").mapInArrow(_repeated, "key long, at long")
     places = found.groupBy(F.col("key").alias("__key")).agg(F.collect_list("at").alias("places"))
     # merge joins, and the same columns of the texts in both, let the second one read the first one's exchange
-    stretches = docs.join(places.hint("merge"), F.col("key") == F.col("__key")).select("id", "key", "text", "places").mapInArrow(_stretch_rows, "route long, key long, at long, stretch binary")
+    stretches = docs.join(places.hint("merge"), F.col("key") == F.col("__key")).select("id", "key", "text", "places").mapInArrow(_stretch_rows, "route long, key long, at long, stretch binary, last long")
     settled = stretches.repartition("route").sortWithinPartitions("route", "key", "at").mapInArrow(_settled, "key long, first long, last long")
     gone = settled.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("first", "last")).alias("gone"))
     joined = docs.join(gone.hint("merge"), F.col("key") == F.col("__key"), "left").select("id", "key", "text", "gone")
