@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import notes, signal
+from . import notes, scores, signal
 
 
-MODULES = (notes, signal)
+MODULES = (notes, signal, scores)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
