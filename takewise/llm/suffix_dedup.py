@@ -4,7 +4,7 @@ A byte goes if a LENGTH-byte string over it also starts earlier (in a smaller id
 Comparing all suffixes of a corpus would shuffle every position, so they are first brought together by anchors:
 
 1. Every LENGTH-byte window has one anchor, the GRAM-byte string in it whose hash is smallest (the leftmost of
-   equals). Equal windows have equal anchors at equal places, so a window whose anchor stands nowhere else is unique.
+   equals), frequent ones last. Equal windows have equal anchors at equal places, so a window whose anchor stands nowhere else is unique.
    Anchors, one for about 39 bytes, are shuffled by their hash, and those that stand alone are dropped. A task sends
    one row for an anchor that it has several times.
 2. Texts are joined with their anchors that are left, and each anchor gives a stretch: the bytes of all windows that
@@ -15,6 +15,9 @@ Comparing all suffixes of a corpus would shuffle every position, so they are fir
    windows are sorted in the same way, as suffixes cut at LENGTH bytes.
 4. Intervals that go are joined with the texts, merged, and cut out.
 
+A string that a hash sample of the texts has often (a common line, say) is an anchor only where a window has no other:
+else the many windows that hold it beside text of their own would all meet there, to no end.
+
 Texts are shuffled once (both joins read the same exchange). A passage that a third of all texts share sends one row
 a task at each step, so no group outgrows the number of tasks. Hashes here decide order, never equality; over 100
 bytes, polynomials modulo 2^64 with a full-width base have no known systematic collisions.
@@ -46,6 +49,12 @@ HELD_ANCHORS = 4_000_000
 HELD_STRETCHES = 300_000
 SORTED = 4 << 20
 
+#: Texts, in expectation, in which frequent strings are looked for, texts that make a string frequent, and bits of the
+#: table that notes them.
+SAMPLE = 1000
+FREQUENT = 4
+TABLE_BITS = 20
+
 _BASE = 0x9E3779B97F4A7C15
 _UNIT = (1 << 64) - 1
 #: A number for each byte, from splitmix64's finaliser.
@@ -149,16 +158,25 @@ class Suffixes:
         return order, np.concatenate(([False], same)) if len(order) else same
 
 
-def anchors(data: np.ndarray, window_ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, first window, last window) of each anchor; window_ok: starts of windows to look at."""
+def grams(data: np.ndarray) -> np.ndarray:
+    """The hash of each GRAM-byte string."""
     n = len(data) - GRAM + 1
     h = prefix_hashes(data)
     gram = (h[GRAM:] - h[:n]) * powers(n)[1]
     gram ^= gram >> np.uint64(29)
     gram *= np.uint64(0xBF58476D1CE4E5B9)
     gram ^= gram >> np.uint64(32)
+    return gram
+
+
+def anchors(data: np.ndarray, window_ok: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place, first window, last window) of each anchor; window_ok: starts of windows to look at; frequent: for
+    the hashes' low bits, whether such a string comes last in the choice."""
+    n = len(data) - GRAM + 1
+    gram = grams(data)
     bits = np.uint64(max(1, int(n).bit_length()))
-    least = (gram >> bits << bits) | np.arange(n, dtype=np.uint64)  # by hash, then place
+    last = frequent[gram & np.uint64(len(frequent) - 1)].astype(np.uint64) << np.uint64(63)
+    least = ((gram >> np.uint64(1) | last) >> bits << bits) | np.arange(n, dtype=np.uint64)  # by hash, then place
     span, reach = LENGTH - GRAM + 1, 1
     while 2 * reach <= span:
         least = np.minimum(least[: len(least) - reach], least[reach:])
@@ -201,7 +219,27 @@ def _blocks(keys: list[int], texts: list[bytes]) -> Iterator[tuple[np.ndarray, n
         yield block()
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of each text's GRAM-byte strings, each once a text."""
+    for batch in batches:
+        for text in batch.column("text").cast(pa.binary()).to_pylist():
+            if len(text) >= GRAM:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(grams(np.frombuffer(text, dtype=np.uint8))).view(np.int64))], ["gram"])
+
+
+def frequent_grams(docs: DataFrame) -> np.ndarray:
+    """For the low bits of a hash, whether a string with such a hash is in FREQUENT of SAMPLE texts or more. It decides
+    which anchors are preferred, and so how evenly work is dealt out, but no result."""
+    table = np.zeros(1 << TABLE_BITS, dtype=bool)
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    sampled = docs.where(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < share * 1_000_003).select("text")
+    counts = sampled.mapInArrow(_distinct_grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    low = F.col("gram").bitwiseAND(F.lit(len(table) - 1)).alias("low")
+    table[[r["low"] for r in counts.select(low).distinct().collect()]] = True  # at most the table's size
+    return table
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(route, key, at): at packs a stretch's first window, its anchor's distance from it and its last window's. Kinds:
     an anchor that the task has once (route: its hash); one row without key for each that it has several times; and
     their rows, ready to pass (route: none)."""
@@ -222,7 +260,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for data, ok, begins, keys, offsets in _blocks(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-            h, place, first, last = anchors(data, ok)
+            h, place, first, last = anchors(data, ok, frequent)
             text = np.searchsorted(begins, first, "right") - 1
             at = (first - begins[text] + offsets[text]) << 14 | (place - first) << 7 | (last - first)
             held.append((h, keys[text], at))
@@ -432,7 +470,9 @@ def _keyed(rows: DataFrame) -> DataFrame:
 def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept_sha256) for each row; spans are the byte intervals [first, last) that go."""
     docs = _keyed(df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")))
-    found = docs.select("key", "text").mapInArrow(_anchor_rows, "route long, key long, at long, passed boolean")
+    frequent = df.sparkSession.sparkContext.broadcast(frequent_grams(docs))  # 2^TABLE_BITS bytes
+    anchored = lambda batches: _anchor_rows(batches, frequent.value)
+    found = docs.select("key", "text").mapInArrow(anchored, "route long, key long, at long, passed boolean")
     found = found.repartition("route").sortWithinPartitions("route").mapInArrow(_repeated, "key long, at long")
     places = found.groupBy(F.col("key").alias("__key")).agg(F.collect_list("at").alias("places"))
     # merge joins, and the same columns of the texts in both, let the second one read the first one's exchange
