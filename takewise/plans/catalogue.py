@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import notes, scores, signal
+from . import notes, results, scores, signal
 
 
-MODULES = (notes, signal, scores)
+MODULES = (notes, signal, scores, results)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
