@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import notes, results, scores, signal
+from . import files, notes, results, scores, signal
 
 
-MODULES = (notes, signal, scores, results)
+MODULES = (notes, signal, scores, results, files)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,9 +102,12 @@ _REQ = """, req as (
 """
 
 
-def _requirements(spark):
-    rows = [("pitch", "pitch.reference", True), ("pitch", "pitch.practice", True), ("timing", "notes.reference", True), ("timing", "notes.practice", True), ("dynamics", "rms.reference", True), ("dynamics", "rms.practice", False), ("timbre", "mfcc.reference", True)]
-    return spark.createDataFrame(rows, "algorithm_id string, port_id string, required boolean")
+_NEEDS = [("pitch", "pitch.reference", True), ("pitch", "pitch.practice", True), ("timing", "notes.reference", True), ("timing", "notes.practice", True), ("dynamics", "rms.reference", True), ("dynamics", "rms.practice", False), ("timbre", "mfcc.reference", True)]
+
+
+def _requirements():
+    """The declared requirements, to be exploded beside each row."""
+    return F.explode(F.array(*(F.struct(F.lit(a).alias("algorithm_id"), F.lit(p).alias("port_id"), F.lit(r).alias("required")) for a, p, r in _NEEDS))).alias("need")
 
 
 @query(sql("notes", _PORTS + _REQ + """, pr as (select distinct pair_id from ports)
@@ -114,8 +117,7 @@ from pr, req r left join ports p on p.pair_id = pr.pair_id and p.port_id = r.por
 def input_resolution(spark, d):
     ports = _ports(spark, d)
     have = ports.groupBy("pair_id").agg(F.collect_set("port_id").alias("have"))
-    needs = _requirements(spark).groupBy("algorithm_id").agg(F.array_sort(F.collect_list("port_id")).alias("needs"), F.collect_list(F.when(F.col("required"), F.col("port_id"))).alias("must"))
-    rows = have.join(F.broadcast(needs))  # a handful of declared requirements for each pair
+    rows = have.select("pair_id", "have", _requirements()).groupBy("pair_id", "need.algorithm_id").agg(F.first("have").alias("have"), F.array_sort(F.collect_list("need.port_id")).alias("needs"), F.collect_list(F.when(F.col("need.required"), F.col("need.port_id"))).alias("must"))
     missing = F.array_except("needs", "have")
     status = F.when(F.size(F.array_except("must", "have")) > 0, "INCOMPATIBLE").when(F.size(missing) > 0, "DEGRADED").otherwise("OK")
     return rows.select("pair_id", "algorithm_id", status.alias("status"), (F.size("needs") - F.size(missing)).cast("bigint").alias("n_available"), F.array_join(missing, ",").alias("missing"))
@@ -126,7 +128,7 @@ u as (select c.pair_id, r.algorithm_id, r.port_id from c, req r where (c.pair_id
 select u.pair_id, u.algorithm_id, u.port_id from u join c using (pair_id) where not list_contains(c.have, u.port_id)"""))
 def consumed_subset_check(spark, d):
     have = _ports(spark, d).select("pair_id", "port_id").distinct()
-    consumed = have.select("pair_id").distinct().join(F.broadcast(_requirements(spark))).where((F.col("pair_id") + F.length("port_id")) % 5 != 0)
+    consumed = have.select("pair_id").distinct().select("pair_id", _requirements()).select("pair_id", "need.*").where((F.col("pair_id") + F.length("port_id")) % 5 != 0)
     return consumed.select("pair_id", "algorithm_id", "port_id").join(have, ["pair_id", "port_id"], "left_anti").select("pair_id", "algorithm_id", "port_id")
 
 
@@ -288,7 +290,9 @@ def port_set_equality(spark, d):
 
 @query(sql("notes", _PORTS + _REQ + "select port_id from req intersect select port_id from ports"))
 def port_intersection(spark, d):
-    return _requirements(spark).select("port_id").intersect(_ports(spark, d).select("port_id"))
+    ports = _ports(spark, d)
+    declared = ports.select(_requirements()).select("need.port_id")
+    return declared.intersect(ports.select("port_id"))
 
 
 @query("""
