@@ -21,7 +21,8 @@ def _little_endian(content: Column, at: int, size: int) -> Column:
 
 def wav_header_scan(spark: SparkSession, path: str) -> DataFrame:
     """(relative_path, duration_sec, sample_rate_hz, channels, bit_depth, format, bytes, error_code) of canonical WAV
-    files below a path; anything else has error_code INPUT_UNREADABLE and nulls."""
+    files below a path; anything else has error_code INPUT_UNREADABLE and nulls. Spark's reader
+    leaves out files without bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     f = files.select("path", F.col("length").alias("bytes"), F.substring("content", 1, HEADER).alias("h"))
     text = lambda at, n: F.substring(F.col("h"), at + 1, n)
