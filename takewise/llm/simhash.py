@@ -195,7 +195,8 @@ def group_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = cut(docs.groupBy("print").agg(F.min("id").alias("least")))
     roots = components(links(prints.select("print"), bucket))
     placed = prints.join(roots, prints["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "component_id")
+    smallest = cut(placed.groupBy("root").agg(F.min("least").alias("component_id")))  # cut, so that the join can split a hot root
+    named = placed.join(smallest, "root").select("print", "component_id")
     return docs.join(named, "print").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
