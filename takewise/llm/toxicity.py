@@ -80,8 +80,9 @@ class Field:
         self.moves = np.zeros((2, 2))
         self.first = np.zeros(2)
 
-    def known(self, word: str) -> bool:
-        return word in self.whole or any(word[:k] in self.starts[k] for k in (4, 5, 6))
+    def any_known(self, words: set[str]) -> bool:
+        """Whether a word has a feature; a shorter word's start is no feature's but by chance, which does no harm."""
+        return not self.whole.isdisjoint(words) or any(not s.isdisjoint({w[:k] for w in words}) for k, s in self.starts.items() if s)
 
     def numbers(self, word: str) -> list[int]:
         return [self.number[f] for f in features(word) if f in self.number]
@@ -148,7 +149,7 @@ class Field:
         """(number of words, (start, end, marginal) of each token in a sentence with a feature)."""
         low = _lower(text)
         words = WORD.findall(low)
-        if not any(map(self.known, set(words))):
+        if not self.any_known(set(words)):
             return len(words), []
         found, places = [], []
         for _, spans in sentences(low):
