@@ -52,7 +52,7 @@ KINDS = {
 }
 BASE = ("email", "ip", "card", "phone")
 THRESHOLD = 0.5
-#: Code points before a span in which context words are looked for.
+#: Code points before a span in which context words are looked for, back to the last match of the same kind.
 CONTEXT = 40
 
 

@@ -24,16 +24,17 @@ lists as (
   select r, doc_id, t, kind, rank, lead, tail, regexp_extract_all(t, rx) as ms, string_split_regex(t, rx) as gs from d, k
   where regexp_matches(t, rx)),
 rows as (
-  select r, doc_id, t, kind, rank, lead, tail, unnest(ms) as m, unnest(list_transform(gs[1:len(ms)], lambda g: length(g))) as g, generate_subscripts(ms, 1) as i from lists),
+  select r, doc_id, t, kind, rank, lead, tail, unnest(ms) as m, unnest(gs[1:len(ms)]) as g, generate_subscripts(ms, 1) as i from lists),
 placed as (
-  select *, sum(length(m) + g) over (partition by r, kind order by i) as e from rows),
+  select *, sum(length(m) + length(g)) over (partition by r, kind order by i) as e from rows),
 cut as (
   select r, doc_id, t, kind, rank,
     case when lead = 1 and not regexp_matches(m, '^[A-Z0-9]') then substr(m, 2) else m end as m1,
-    case when lead = 1 and not regexp_matches(m, '^[A-Z0-9]') then e - length(m) + 1 else e - length(m) end as s, tail
+    case when lead = 1 and not regexp_matches(m, '^[A-Z0-9]') then e - length(m) + 1 else e - length(m) end as s,
+    case when lead = 1 and not regexp_matches(m, '^[A-Z0-9]') then g || substr(m, 1, 1) else g end as gap, tail
   from placed),
 spans as (
-  select r, doc_id, t, kind, rank, s,
+  select r, doc_id, t, kind, rank, s, gap,
     case when tail = 1 and regexp_matches(m1, '[^A-Z0-9]$') then substr(m1, 1, length(m1) - 1) else m1 end as v from cut),
 checked as (
   select *, s + length(v) as e, regexp_replace(v, '[^0-9]', '', 'g') as ds from spans),
@@ -47,7 +48,7 @@ good as (
         - case when cast(substr(ds, i, 1) as integer) > 4 then 9 else 0 end
       else cast(substr(ds, i, 1) as integer) end)) % 10 = 0
     when 'phone' then length(ds) between 9 and 15
-    when 'ssn' then regexp_matches(lower(right(substr(t, 1, cast(s as bigint)), 40)), '\b(ssn|social security|taxpayer)\b')
+    when 'ssn' then regexp_matches(lower(right(gap, 40)), '\b(ssn|social security|taxpayer)\b')
     else length(replace(v, ' ', '')) between 15 and 34 and list_reduce(list_prepend(0, list_transform(
       string_split(substr(replace(v, ' ', ''), 5) || substr(replace(v, ' ', ''), 1, 4), ''), lambda c: ascii(c))),
       lambda a, c: case when c >= 65 then (a * 100 + c - 55) % 97 else (a * 10 + c - 48) % 97 end) = 1

@@ -109,12 +109,12 @@ def test_simhash_query(spark, sf):
         assert r.fingerprint == f"{prints[r.doc_id]:016x}" and r.component_id == best[prints[r.doc_id]]
 
 
-@pytest.mark.parametrize("bucket", [3, 8, 20_000])
+@pytest.mark.parametrize("bucket", [12, 20_000])
 def test_simhash_links_and_large_buckets(spark, bucket):
     rng = np.random.default_rng(bucket)
     prints = set()
-    for center in rng.integers(0, 2**64, 5, dtype=np.uint64):
-        for _ in range(40):
+    for center in rng.integers(0, 2**64, 3, dtype=np.uint64):
+        for _ in range(24):
             p = int(center)
             for bit in rng.choice(64, rng.integers(0, 6), replace=False):
                 p ^= 1 << int(bit)
