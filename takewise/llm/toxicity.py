@@ -34,9 +34,11 @@ from .common import crc_class, slices
 #: Training texts of each class, and sentences from them, at most.
 SAMPLE = 3000
 SENTENCES = 8000
-#: Different neighbours a feature needs in toxic texts, how many times more often it must stand there, and how many
+#: Different neighbours a feature needs in toxic texts, the neighbours it is given in others beyond those it has (else a
+#: rare word qualifies by chance), how many times more often it must stand in toxic ones, and how many
 #: features the model takes at most, the most frequent first.
 NEIGHBOURS = 6
+PRIOR = 1.5
 TIMES_MORE = 8.0
 FEATURES = 4000
 WORD = re.compile(r"[^\W\d_]+")
@@ -218,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Field
     size = {r["toxic"]: r["n"] for r in sizes.collect()}
     if not size.get(0) or not size.get(1):
         return Field([]), None, share
-    chance = (F.col("bad") / F.lit(float(size[1]))) / ((F.col("good") + 0.5) / F.lit(float(size[0])))
+    chance = (F.col("bad") / F.lit(float(size[1]))) / ((F.col("good") + PRIOR) / F.lit(float(size[0])))
     taken = counts.where((F.col("bad") >= NEIGHBOURS) & (chance >= TIMES_MORE)).orderBy(F.desc("bad"), "feature").limit(FEATURES)
     field = Field([r["feature"] for r in taken.collect()])
 
