@@ -14,7 +14,17 @@ from pyspark.sql import functions as F
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker, at most; Spark's own bound is 64 MB.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches small, in the executors' memory outside the heap as well as in the workers'."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
