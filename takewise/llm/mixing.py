@@ -4,10 +4,12 @@ A classifier trained on the labelled table gives every document a posterior over
 distinct words of a text that tell the domains apart, and a few of its rates; shares are smoothed towards the whole
 sample's, so rare words say little. With n tokens and posterior p for a document, its expected domain tokens are n * p. Rates x
 between 0 and max_rate are fitted so that the expected totals, the sum of x * n * p over all documents, match
-target weights times a budget of tokens: least squares on the totals by projected gradient steps from x = 1, with the
-domains' Gram matrix as the metric (in it, a whole step never raises the misfit). A step moves a document's rate by p times a vector that all documents share, so a
-rate is a function of the document's posterior and the vectors so far; each step is one distributed aggregation of
-as many sums as there are domains, and nothing but those goes through the driver.
+target weights times a budget of tokens: least squares on the totals, with the domains' Gram matrix as the metric; of
+the rates that fit best, those nearest to 1. They are clip(1 + p * v) with one vector v for all documents, which has as
+many entries as there are domains and solves a concave problem. It is found by Newton steps over the documents whose
+rate is between the bounds, while the weight of the distance to 1 falls to NEAR; each trial is one distributed
+aggregation of a few sums, and nothing but those goes through the driver. The fit ends where its equation holds within
+TOLERANCE; should rounding keep it from that, it warns.
 
 A document is then kept floor(x + u) times, where u is a hash of its id in [0, 1): its expected number of copies is x.
 
@@ -23,7 +25,9 @@ quality count; an empty table gives an empty one; other columns pass through mix
 
 from __future__ import annotations
 
+import logging
 import math
+import warnings
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -35,6 +39,8 @@ from pyspark.sql import types as T
 
 from .common import LOWER_AZ, cut, slices
 
+log = logging.getLogger(__name__)
+
 #: Target weights of the domains.
 TARGETS = {"clean": 0.92, "low": 0.06, "toxic": 0.02}
 #: Labelled texts on which the classifier is fitted, at most, and words that it takes, the most frequent first.
@@ -43,10 +49,11 @@ WORDS = 20_000
 #: Weight of the whole sample's share in a domain's, in texts, and the least evidence of a word that is used.
 SMOOTHING = 10.0
 TELLING = 0.7
-#: Steps at most; they end when the totals are met within TOLERANCE, or get closer by less than PROGRESS.
-STEPS = 15
-TOLERANCE = 1e-3
-PROGRESS = 0.02
+#: Residual of the fit's equation at its end, as a share of the goals' sum, and the last weight of the distance to 1.
+TOLERANCE = 1e-6
+NEAR = 1e-6
+#: Trials after which the fit warns that it did not converge; tens are usual.
+TRIALS = 500
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -128,17 +135,31 @@ def posteriors(df: DataFrame, model: Classifier, text_col: str = "text") -> Data
     return df.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def rate(steps: list[list[float]], max_rate: float) -> Column:
-    """The rate of a row with posterior __p after these steps: each moves it along __p and back between the bounds."""
-    if not steps:
-        return F.lit(min(1.0, max_rate))
-    moves = F.array(*(F.array(*(F.lit(float(v)) for v in s)) for s in steps))
-    inner = lambda s: F.aggregate(F.zip_with("__p", s, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(moves, F.lit(min(1.0, max_rate)), lambda x, s: F.least(F.greatest(x + inner(s), F.lit(0.0)), F.lit(float(max_rate))))
+def _tilt(vector: Sequence[float]) -> Column:
+    return sum((F.element_at("__p", i + 1) * F.lit(float(v)) for i, v in enumerate(vector)), F.lit(0.0))
+
+
+def rate(vector: Sequence[float], max_rate: float) -> Column:
+    """The rate of a row with posterior __p: clip(1 + __p * vector) between 0 and max_rate."""
+    return F.least(F.greatest(F.lit(min(1.0, max_rate)) + _tilt(vector), F.lit(0.0)), F.lit(float(max_rate)))
+
+
+def _totals(narrow: DataFrame, vector: np.ndarray, max_rate: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """(integral of the rates along the tilt, domains' totals, Gram matrix of the rows between the bounds) at a vector."""
+    k = range(len(vector))
+    base = min(1.0, max_rate)
+    rows = narrow.select(F.col("__n").alias("n"), *(F.element_at("__p", i + 1).alias(f"p{i}") for i in k), _tilt(vector).alias("z"), rate(vector, max_rate).alias("x"))
+    rows = rows.withColumn("c", F.least(F.greatest(F.col("z"), F.lit(-base)), F.lit(max_rate - base)))
+    area = F.expr("n * (c * c / 2 + x * (z - c))") + F.col("n") * F.col("c") * base
+    inside = F.when((F.col("z") > -base) & (F.col("z") < max_rate - base), F.col("n")).otherwise(0)
+    upper = [(i, j) for i in k for j in k if i <= j]
+    got = rows.agg(F.sum(area).alias("area"), *(F.sum(F.expr(f"n * x * p{i}")).alias(f"t{i}") for i in k), *(F.sum(inside * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i, j in upper)).first()
+    gram = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in k] for i in k])
+    return got["area"] or 0.0, np.array([got[f"t{i}"] or 0.0 for i in k]), gram
 
 
-def fit_rates(narrow: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, max_rate: float = 1.0) -> tuple[list[list[float]], dict]:
-    """(steps for rate(), report with each domain's goal and fitted total). narrow has __n and __p."""
+def fit_rates(narrow: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, max_rate: float = 1.0) -> tuple[list[float], dict]:
+    """(vector for rate(), report with each domain's goal and fitted total). narrow has __n and __p."""
     k = range(len(targets))
     p = lambda i: F.element_at("__p", i + 1)
     sums = narrow.agg(*(F.sum(F.col("__n") * p(i)).alias(f"t{i}") for i in k), *(F.sum(F.col("__n") * p(i) * p(j)).alias(f"g{i}_{j}") for i in k for j in k)).first()
@@ -149,19 +170,33 @@ def fit_rates(narrow: DataFrame, targets: dict[str, float] = TARGETS, budget: fl
         main = int(weights.argmax())
         budget = float(have[main] / weights[main])
     goal = np.where(have > 0, weights * budget, 0.0)  # a domain that no row has cannot be mixed in
-    metric = np.linalg.pinv(gram + np.eye(len(have)) * 1e-9 * max(np.trace(gram), 1e-9))
-    steps: list[list[float]] = []
-    fitted = have * min(1.0, max_rate)
-    misfit = math.inf
-    for _ in range(STEPS):
-        gap = goal - fitted
-        last, misfit = misfit, float(gap @ metric @ gap)
-        if np.abs(gap).sum() <= TOLERANCE * goal.sum() or misfit > (1 - PROGRESS) * last:
+    gram += np.eye(len(have)) * 1e-9 * max(np.trace(gram), 1e-9)
+    vector, near = np.zeros(len(have)), 0.1
+    area, fitted, open_ = _totals(narrow, vector, max_rate)
+    trials = 1
+    while True:
+        slope = fitted - goal + near * gram @ vector
+        if np.abs(slope).sum() <= (TOLERANCE if near <= NEAR else 1e-3) * goal.sum():
+            if near <= NEAR:
+                break
+            near = max(near / 10, NEAR)
+            continue
+        step = -np.linalg.solve(open_ + near * gram, slope)
+        value = lambda v, a: a - goal @ v + near / 2 * v @ gram @ v  # noqa: E731, B023
+        now, part = value(vector, area), 1.0
+        while True:  # halved until it lowers the convex value
+            tried = vector + part * step
+            area, fitted, open_ = _totals(narrow, tried, max_rate)
+            trials += 1
+            if part < 1e-9 or value(tried, area) <= now + 1e-4 * part * (slope @ step) + 1e-13 * abs(now):
+                break
+            part /= 2
+        vector = tried
+        if part < 1e-9 or trials > TRIALS:
+            warnings.warn(f"mixing rates did not converge: residual {slope.tolist()} of {goal.tolist()} tokens", stacklevel=2)
             break
-        steps.append((metric @ gap).tolist())
-        got = narrow.select((F.col("__n") * rate(steps, max_rate)).alias("w"), "__p").agg(*(F.sum(F.col("w") * p(i)).alias(f"t{i}") for i in k)).first()
-        fitted = np.array([got[f"t{i}"] or 0.0 for i in k])
-    return steps, {d: {"goal": float(goal[i]), "before": float(have[i]), "fitted": float(fitted[i])} for i, d in enumerate(targets)}
+    log.info("mixing: %d trials, goals %s, fitted %s", trials, goal.tolist(), fitted.tolist())
+    return vector.tolist(), {d: {"goal": float(goal[i]), "before": float(have[i]), "fitted": float(fitted[i])} for i, d in enumerate(targets)}
 
 
 def _copies(id_col: str) -> Column:
@@ -177,8 +212,8 @@ def document_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float] =
     """(id, n_tokens, p_<domain>..., rate, copies) for each row of df."""
     model = fit_classifier(df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")), _labels(labels, id_col), targets)
     narrow = cut(posteriors(df.select(F.col(id_col), F.col(text_col).alias("__body")), model, "__body").drop("__body"))
-    steps, _ = fit_rates(narrow, targets, max_rate=max_rate)
-    rated = narrow.withColumn("__rate", rate(steps, max_rate))
+    vector, _ = fit_rates(narrow, targets, max_rate=max_rate)
+    rated = narrow.withColumn("__rate", rate(vector, max_rate))
     return rated.select(id_col, F.col("__n").alias("n_tokens"), *(F.element_at("__p", i + 1).alias(f"p_{d}") for i, d in enumerate(targets)), F.col("__rate").alias("rate"), _copies(id_col).alias("copies"))
 
 
@@ -186,8 +221,8 @@ def mix(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, i
     """df's rows, each as often as its copies say. Posteriors are found again for this, which spares shuffling texts."""
     columns = df.columns
     model = fit_classifier(df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")), _labels(labels, id_col), targets)
-    steps, _ = fit_rates(cut(posteriors(df.select(F.col(text_col).alias("__body")), model, "__body").drop("__body")), targets, max_rate=max_rate)
-    rated = posteriors(df, model, text_col).withColumn("__rate", rate(steps, max_rate)).withColumn("__copies", _copies(id_col)).where("__copies > 0")
+    vector, _ = fit_rates(cut(posteriors(df.select(F.col(text_col).alias("__body")), model, "__body").drop("__body")), targets, max_rate=max_rate)
+    rated = posteriors(df, model, text_col).withColumn("__rate", rate(vector, max_rate)).withColumn("__copies", _copies(id_col)).where("__copies > 0")
     if max_rate > 1:
         rated = rated.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return rated.select(*(F.col(f"`{c}`") for c in columns))

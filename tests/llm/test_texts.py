@@ -218,3 +218,28 @@ def test_mixing_rows(spark, sf):
         assert mixing.document_rates(odd(spark), lab).count() == len(ODD)
         assert mixing.document_rates(empty(spark), lab).count() == 0
         assert mixing.mix(clashing(spark), lab).columns == clashing(spark).columns
+
+
+def test_rates_reach_their_goals(spark):
+    """Soft posteriors with goals that max_rate 2 can reach: all totals are met, however slowly plain steps get there."""
+    rng = np.random.default_rng(3)
+    shares = np.array([0.8, 0.15, 0.05])
+    domain = rng.choice(3, 4000, p=shares)
+    score = rng.normal(size=(4000, 3))
+    score[np.arange(4000), domain] += 1
+    p = np.exp(score) * shares
+    p /= p.sum(axis=1, keepdims=True)
+    data = [(int(n), x) for n, x in zip(rng.integers(20, 800, 4000), p.tolist())]
+    narrow = spark.createDataFrame(data, "__n long, __p array<double>").cache()
+    vector, report = mixing.fit_rates(narrow, max_rate=2.0)
+    assert all(abs(r["fitted"] / r["goal"] - 1) < 0.01 for r in report.values()), report
+    got = narrow.select(mixing.rate(vector, 2.0).alias("x")).agg(F.min("x"), F.max("x")).first()
+    assert 0 <= got[0] < got[1] <= 2
+    # goals out of reach: no feasible direction of the totals lowers the misfit (rates at a vertex or balanced)
+    vector, report = mixing.fit_rates(narrow, max_rate=0.5)
+    n = np.array([d[0] for d in data], dtype=float)
+    x = np.clip(0.5 + p @ np.array(vector), 0, 0.5)
+    gap = np.array([r["goal"] - r["fitted"] for r in report.values()])
+    pull = p @ np.linalg.solve((p * n[:, None]).T @ p, gap)
+    best = np.where(pull > 0, 0.5, 0.0)
+    assert (n * pull * (best - x)).sum() < 1e-3 * (n * np.abs(pull)).sum()
