@@ -64,10 +64,10 @@ def rates(raw: bytes, words: list[bytes]) -> list[bytes]:
     """A text's rates as words that no text holds."""
     n = max(1, len(words))
     symbols = sum(map(raw.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")))
-    upper = sum(1 for w in words[:: max(1, n // 200)] if w.isupper())
+    upper = sum(map(bytes.isupper, words))
     lines = [x for x in raw.split(b"\n") if x.strip()]
     grade = lambda k, v: b" %s%d" % (k, min(9, int(10 * v)))
-    return [grade(b"s", symbols / n), grade(b"u", upper / min(n, 200)), grade(b"d", 1 - len(set(lines)) / max(1, len(lines))), grade(b"t", 1 - len(set(words)) / n), b" n%d" % int(math.log2(n + 1))]
+    return [grade(b"s", symbols / n), grade(b"u", upper / n), grade(b"d", 1 - len(set(lines)) / max(1, len(lines))), grade(b"t", 1 - len(set(words)) / n), b" n%d" % int(math.log2(n + 1))]
 
 
 class Classifier:

@@ -243,3 +243,12 @@ def test_rates_reach_their_goals(spark):
     pull = p @ np.linalg.solve((p * n[:, None]).T @ p, gap)
     best = np.where(pull > 0, 0.5, 0.0)
     assert (n * pull * (best - x)).sum() < 1e-3 * (n * np.abs(pull)).sum()
+
+
+def test_upper_rate_counts_every_word():
+    """Half the words in upper case: the same grade whatever the length, and wherever they stand."""
+    for n in (100, 200, 399, 400, 20_000):
+        for words in ([b"UP", b"low"] * (n // 2), [b"low", b"UP"] * (n // 2), [b"UP"] * (n // 2) + [b"low"] * (n // 2)):
+            assert b" u%d" % int(10 * (n // 2) / len(words)) in mixing.rates(b" ".join(words), words)
+    passage = [b"low"] * 10_001 + [b"UP"] * 2_500 + [b"low"] * 7_499
+    assert b" u1" in mixing.rates(b" ".join(passage), passage)
