@@ -1,15 +1,16 @@
 """License scans by a positional index of rare words.
 
-The words of the license templates are the index: for each word, its postings (template, place). One pass over the
-corpus counts in how many documents each of these words stands, which gives their inverse document frequencies. A
-second pass takes each file's template words, from the highest IDF down, and looks up their postings; a posting at
-place p for a word at position i is a vote that the template starts at i - p, and votes with the same start are
-intersected. A start counts if the template's rarest word voted for it and its mandatory key phrase stands there in
-full, so the base phrases are found at every place where their words stand consecutively.
+One pass over the corpus counts in how many documents each word of the templates stands, which gives their inverse
+document frequencies. The index has, for a word, the postings (template, place) at which it is the rarest word of the
+template's mandatory phrase. A second pass takes each file's indexed words from the highest IDF down: the posting at
+place p of a word at position i says that the template starts at i - p, and these starts are intersected with the
+phrase's other words, the rarest first, each at its relative place. A template without a start left is done with, so
+common words are looked up only where the rare ones stand; what is left of the starts has the whole phrase, and so the
+base phrases are found at every place where their words stand consecutively.
 
-The score is the largest share, by IDF, of a template's words that stand at their relative places.
+The score is the largest share, by IDF, of a template's words that stand at their relative places from such a start.
 
-The template words are a few dozen, whatever the corpus; their counts are all that goes through the driver.
+The template words are a few hundred, whatever the corpus; their counts are all that goes through the driver.
 
 Defined results: a null text has no words, no labels and score 0; each row is scanned by itself, so repeated rows get
 the same answer; an empty table gives an empty one; other columns are not read.
@@ -26,24 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, slices, text_of
+from .license_texts import TEMPLATES
 
-# Template name, its words, the mandatory phrase in it, and its label.
+# The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-TEMPLATES = (
-    ("mit", "released under the mit license", "mit license", "mit"),
-    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge", "mit"),
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license", "apache"),
-    ("gpl", "this work is licensed under the gnu general public license version 3", "general public license", "gpl"),
-    ("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license", "lgpl"),
-    ("agpl", "under the terms of the gnu affero general public license", "gnu affero general public license", "agpl"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc", "cc-by-nc"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa", "cc-by-sa"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms", "bsd"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license", "mpl"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "copy modify and or distribute this software", "isc"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software", "unlicense"),
-    ("all-rights", "all rights reserved", "all rights reserved", "proprietary"),
-)
 
 #: Every byte that parts words as a blank, A-Z in lower case; bytes from 0x80 on are in words.
 WORDS = bytes(c if c >= 0x80 or chr(c).isdigit() or 97 <= c <= 122 else 32 for c in LOWER_AZ)
@@ -53,52 +40,62 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(WORDS).split()
 
 
+#: Name, words, words of the phrase, and label of each template.
+PARTED = [(name, words_of(text), words_of(phrase), label) for name, text, phrase, label in TEMPLATES]
+
+
 class Index:
     """Postings of the templates' words, with the words' IDF."""
 
     def __init__(self, idf: dict[bytes, float]):
         self.idf = idf
         self.templates = []
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for n, (name, words, phrase, label) in enumerate(TEMPLATES):
-            words, phrase = words.encode().split(), phrase.encode().split()
+        #: For a word, the templates whose phrase has it as its rarest word.
+        self.leads: dict[bytes, list[int]] = defaultdict(list)
+        for n, (name, words, phrase, label) in enumerate(PARTED):
             at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
-            anchor = max(range(len(phrase)), key=lambda j: idf.get(phrase[j], 0.0)) + at
+            rare_first = sorted(range(at, at + len(phrase)), key=lambda p: (-idf.get(words[p], 0.0), p))
             whole = sum(idf.get(w, 0.0) for w in words) or 1.0
-            self.templates.append((words, phrase, at, anchor, label, whole, " ".join(w.decode() for w in phrase) in BASE))
-            for p, w in enumerate(words):
-                self.postings[w].append((n, p))
+            self.templates.append((words, at, len(phrase), rare_first, label, whole, " ".join(w.decode() for w in phrase)))
+            self.leads[words[rare_first[0]]].append(n)
+        self.rare = frozenset(self.leads)
 
     def scan(self, text: str | None) -> tuple:
         """(n_words, n_base, first_word, last_word, base_labels, labels, score)"""
         words = words_of(text)
-        postings = self.postings
-        hits = [(i, w) for i, w in enumerate(words) if w in postings]
-        votes: dict[tuple[int, int], float] = defaultdict(float)
-        anchored: set[tuple[int, int]] = set()
-        for i, w in sorted(hits, key=lambda x: -self.idf.get(x[1], 0.0)):
-            for n, p in postings[w]:
-                votes[n, i - p] += self.idf.get(w, 0.0)
-                if p == self.templates[n][3]:
-                    anchored.add((n, i - p))
-        places, labels, base, score = [], set(), set(), 0.0
-        for n, start in anchored:
-            _, phrase, at, _, label, whole, is_base = self.templates[n]
-            lo = start + at
-            if lo < 0 or words[lo : lo + len(phrase)] != phrase:
-                continue
-            labels.add(label)
-            score = max(score, min(1.0, votes[n, start] / whole))
-            if is_base:
-                base.add(label)
-                places.append(lo)
-        ends = (min(places), max(places)) if places else (None, None)
-        return (len(words), len(places), *ends, ",".join(sorted(base)), ",".join(sorted(labels)), round(score, 9))
+        present = self.rare.intersection(words)
+        if not present:
+            return (len(words), 0, None, None, "", "", 0.0)
+        at_word: dict[bytes, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            if w in present:
+                at_word[w].append(i)
+        idf, size = self.idf, len(words)
+        places, labels, base, score = set(), set(), set(), 0.0
+        for lead in sorted(present, key=lambda w: (-idf.get(w, 0.0), w)):
+            for n in self.leads[lead]:
+                template, at, length, rare_first, label, whole, phrase = self.templates[n]
+                starts = [i - rare_first[0] for i in at_word[lead]]
+                starts = [s for s in starts if s + at >= 0 and s + at + length <= size]
+                for p in rare_first[1:]:
+                    if not starts:
+                        break
+                    starts = [s for s in starts if words[s + p] == template[p]]
+                for s in starts:
+                    labels.add(label)
+                    if score < 1.0:
+                        here = sum(idf.get(w, 0.0) for p, w in enumerate(template) if 0 <= s + p < size and words[s + p] == w)
+                        score = max(score, min(1.0, here / whole))
+                    if phrase in BASE:
+                        base.add(BASE[phrase])
+                        places.add((s + at, phrase))
+        ends = (min(places)[0], max(places)[0]) if places else (None, None)
+        return (size, len(places), *ends, ",".join(sorted(base)), ",".join(sorted(labels)), round(score, 9))
 
 
 def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many of the partition's documents each template word stands; the empty word counts all documents."""
-    known = {w for _, words, _, _ in TEMPLATES for w in words.encode().split()}
+    known = {w for _, words, _, _ in PARTED for w in words}
     times: Counter[bytes] = Counter()
     for batch in slices(batches):
         for text in batch.column(0).to_pylist():
@@ -112,7 +109,7 @@ def word_weights(df: DataFrame, text_col: str = "text") -> dict[bytes, float]:
     counts = df.select(text_of(text_col).alias("text")).mapInArrow(_present, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     n = {r["word"].encode(): r["n"] for r in counts.collect()}  # the template words at most
     total = n.pop(b"", 0)
-    return {w.encode(): math.log(1 + (total + 1) / (n.get(w.encode(), 0) + 1)) for _, words, _, _ in TEMPLATES for w in words.split()}
+    return {w: math.log(1 + (total + 1) / (n.get(w, 0) + 1)) for _, words, _, _ in PARTED for w in words}
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
