@@ -15,8 +15,6 @@ null ids get the same spans as any; the input's other columns are kept out of th
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +47,21 @@ KINDS = {
         r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
         r"\b(?:ssn|social security|taxpayer)\b", 0.3, 0.9,
     ),
+    "token": (
+        r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})",
+        r"\b(?:key|token|secret|credentials?)\b", 0.8, 1.0,
+    ),
+    "secret": (
+        r"(?<![A-Za-z0-9])(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\x20{0,2}[:=]\x20{0,2}[\"']?[A-Za-z0-9+/_.-]{8,}",
+        r"\b(?:login|config|env|export|credentials?)\b", 0.7, 0.9,
+    ),
 }
 BASE = ("email", "ip", "card", "phone")
 THRESHOLD = 0.5
-#: Code points before a span in which context words are looked for, back to the last match of the same kind.
+#: Code points before a span in which context words are looked for, other matches among them.
 CONTEXT = 40
+#: The fewest code points of a match; with a gap of one or none they bound how many matches stand in a context.
+SHORTEST = {"email": 5, "ip": 7, "card": 2, "phone": 4, "iban": 12, "ssn": 11, "token": 15, "secret": 14}
 
 
 def _digits(value: Column) -> Column:
@@ -110,50 +118,65 @@ def _prefix_sums(steps: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(F.size(steps).cast("long")))), steps, double)
 
 
-def _spans(kind: str, rank: int, text: Column) -> Column:
-    pattern, words, plain, raised = KINDS[kind]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _pairs(kind: str, text: Column) -> Column:
+    """Each match m with the gap g before it; null where there is none."""
+    pattern = KINDS[kind][0]
     gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    return F.when(text.rlike(pattern), pairs)
+
+
+def _spans(kind: str, rank: int, pairs: Column) -> Column:
+    """pairs is a column of _pairs, not an expression, as every span looks into it."""
+    _, words, plain, raised = KINDS[kind]
     ends = _prefix_sums(F.transform(pairs, lambda p: F.length(p["m"]) + F.length(p["g"])))
+    most = CONTEXT // SHORTEST[kind] + 1
+
+    def placed(p: Column, i: Column) -> Column:
+        earlier = F.slice(pairs, F.greatest(i + 1 - most, F.lit(1)), F.least(i, F.lit(most)))
+        before = F.concat(F.array_join(F.transform(earlier, lambda q: F.concat(q["g"], q["m"])), ""), p["g"])
+        near = F.when(F.length(p["g"]) >= CONTEXT, p["g"]).otherwise(before)
+        return F.struct(p["m"].alias("m"), F.lower(F.right(near, F.lit(CONTEXT))).rlike(words).alias("near"))
 
     def span(p: Column, end: Column) -> Column:
-        near = F.lower(F.right(p["g"], F.lit(CONTEXT))).rlike(words)
         return F.struct(
             (end - F.length(p["m"])).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"),
-            p["m"].alias("value"), F.when(near, raised).otherwise(plain).alias("score"),
+            p["m"].alias("value"), F.when(p["near"], raised).otherwise(plain).alias("score"),
         )
 
-    spans = F.zip_with(pairs, ends, span)
+    spans = F.zip_with(F.transform(pairs, placed), ends, span)
     keep = lambda s: _valid(kind, s["value"]) & (F.lit(kind in BASE) | (s["score"] >= THRESHOLD))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string,score:double>>")
-    return F.when(text.rlike(pattern), F.filter(spans, keep)).otherwise(none)
+    return F.when(pairs.isNotNull(), F.filter(spans, keep)).otherwise(none)
+
+
+def _found(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, spans)"""
+    docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    docs = docs.select("id", "text", *(_pairs(k, F.col("text")).alias(k) for k in KINDS))
+    docs = docs.select("id", "text", *(_spans(k, i, F.col(k)).alias(k) for i, k in enumerate(KINDS)))
+    return docs.select("id", "text", F.array_sort(F.concat(*(F.col(k) for k in KINDS))).alias("spans"))
 
 
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans): spans has the start, end (code points, end exclusive), kind, value and score of each, by start
     and then kind in the order of KINDS; spans of different kinds may overlap."""
-    kinds = list(KINDS)
-    docs = df.select(F.col(id_col), text_of(text_col).alias("__text"))
-    docs = docs.select(id_col, *(_spans(k, i, F.col("__text")).alias(f"__{k}") for i, k in enumerate(kinds)))
-    return docs.select(id_col, F.array_sort(F.concat(*(F.col(f"__{k}") for k in kinds))).alias("spans"))
+    return _found(df, id_col, text_col).select(F.col("id").alias(id_col), "spans")
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) with each span replaced by its kind in brackets; of overlapping spans the first one counts."""
-    docs = df.select(F.col(id_col), text_of(text_col).alias("__text"))
-    kinds = [F.struct(_spans(k, i, F.col("__text")).alias("s")) for i, k in enumerate(KINDS)]
-    docs = docs.select(id_col, "__text", F.array_sort(reduce(F.concat, [k["s"] for k in kinds])).alias("__spans"))
+    docs = _found(df, id_col, text_col)
     state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
         return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(
-            F.concat(acc["out"], F.substr(F.col("__text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"),
+            F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"),
             s["end"].alias("at"),
         ))
 
-    done = F.aggregate("__spans", state, step, lambda acc: F.concat(acc["out"], F.substr(F.col("__text"), acc["at"] + 1)))
-    return docs.select(id_col, done.alias(text_col))
+    done = F.aggregate("spans", state, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)))
+    return docs.select(F.col("id").alias(id_col), done.alias(text_col))
 
 
 def digest(df: DataFrame) -> DataFrame:
@@ -164,6 +187,7 @@ def digest(df: DataFrame) -> DataFrame:
     return df.select(
         "doc_id",
         *(count(k).cast("long").alias(f"n_{k}") for k in BASE),
+        F.size("spans").cast("long").alias("n_spans"),
         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )

@@ -19,7 +19,9 @@ k(kind, rank, rx, lead, tail) as (values
   ('card', 2, '[0-9]([\x20-]?[0-9])+', 0, 0),
   ('phone', 3, '\+[0-9][\x20().0-9-]+[0-9]', 0, 0),
   ('iban', 4, '(^|[^A-Za-z0-9])[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]{4}){2,7}(\x20?[A-Z0-9]{1,3})?($|[^A-Za-z0-9])', 1, 1),
-  ('ssn', 5, '(^|[^0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}($|[^0-9-])', 1, 1)),
+  ('ssn', 5, '(^|[^0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}($|[^0-9-])', 1, 1),
+  ('token', 6, '(^|[^A-Za-z0-9])((AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})', 1, 0),
+  ('secret', 7, '(^|[^A-Za-z0-9])(password|passwd|secret|token|api[_-]?key|access[_-]?key)\x20{0,2}[:=]\x20{0,2}["'']?[A-Za-z0-9+/_.-]{8,}', 1, 0)),
 lists as (
   select r, doc_id, t, kind, rank, lead, tail, regexp_extract_all(t, rx) as ms, string_split_regex(t, rx) as gs from d, k
   where regexp_matches(t, rx)),
@@ -29,12 +31,11 @@ placed as (
   select *, sum(length(m) + length(g)) over (partition by r, kind order by i) as e from rows),
 cut as (
   select r, doc_id, t, kind, rank,
-    case when lead = 1 and not regexp_matches(m, '^[A-Z0-9]') then substr(m, 2) else m end as m1,
-    case when lead = 1 and not regexp_matches(m, '^[A-Z0-9]') then e - length(m) + 1 else e - length(m) end as s,
-    case when lead = 1 and not regexp_matches(m, '^[A-Z0-9]') then g || substr(m, 1, 1) else g end as gap, tail
+    case when lead = 1 and not regexp_matches(m, '^[A-Za-z0-9]') then substr(m, 2) else m end as m1,
+    case when lead = 1 and not regexp_matches(m, '^[A-Za-z0-9]') then e - length(m) + 1 else e - length(m) end as s, tail
   from placed),
 spans as (
-  select r, doc_id, t, kind, rank, s, gap,
+  select r, doc_id, t, kind, rank, s,
     case when tail = 1 and regexp_matches(m1, '[^A-Z0-9]$') then substr(m1, 1, length(m1) - 1) else m1 end as v from cut),
 checked as (
   select *, s + length(v) as e, regexp_replace(v, '[^0-9]', '', 'g') as ds from spans),
@@ -48,7 +49,8 @@ good as (
         - case when cast(substr(ds, i, 1) as integer) > 4 then 9 else 0 end
       else cast(substr(ds, i, 1) as integer) end)) % 10 = 0
     when 'phone' then length(ds) between 9 and 15
-    when 'ssn' then regexp_matches(lower(right(gap, 40)), '\b(ssn|social security|taxpayer)\b')
+    when 'ssn' then regexp_matches(lower(right(substr(t, 1, cast(s as integer)), 40)), '\b(ssn|social security|taxpayer)\b')
+    when 'token' then true when 'secret' then true
     else length(replace(v, ' ', '')) between 15 and 34 and list_reduce(list_prepend(0, list_transform(
       string_split(substr(replace(v, ' ', ''), 5) || substr(replace(v, ' ', ''), 1, 4), ''), lambda c: ascii(c))),
       lambda a, c: case when c >= 65 then (a * 100 + c - 55) % 97 else (a * 10 + c - 48) % 97 end) = 1
@@ -58,10 +60,10 @@ told as (
     count(*) filter (where kind = 'email') as n_email, count(*) filter (where kind = 'ip') as n_ip,
     count(*) filter (where kind = 'card') as n_card, count(*) filter (where kind = 'phone') as n_phone,
     string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (where rank < 4) as base,
-    string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) as spans
+    count(*) as n_spans, string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) as spans
   from good group by r)
 select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card,
-  coalesce(n_phone, 0) as n_phone, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+  coalesce(n_phone, 0) as n_phone, coalesce(n_spans, 0) as n_spans, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join told using (r)
 """
 

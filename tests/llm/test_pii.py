@@ -40,6 +40,7 @@ TEXTS = [
     "+1 (766) 555-2373, +49 30 123456 +1 2 ++12345678901234567890 é😀 +33 1 23 45 67 89",
     "0" * 5000, "1 " * 3000, "a" * 30_000 + "@b.c", "a.b@c " * 200, "@" * 3000, "1." * 3000, "+1" + "(" * 3000, "1.2.3.4" * 500,
     "x@y.z1.2.3.4 4111111111111111", "€ iban DE89 3704 0044 0532 0130 00, GB82WEST12345698765432; DE88370400440532013000", "ssn 078-05-1120 but not 078-05-1120",
+    "key " + "AKIA" + "Q7" * 8 + ' token = "' + "3f" * 20 + '" api_key: abcd-1234 password: short nothing',
 ]
 
 
@@ -56,7 +57,8 @@ def test_added_kinds_and_context(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}
     assert [s.value for s in got[12] if s.kind == "iban"] == ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
-    assert [s.start for s in got[13] if s.kind == "ssn"] == [4]  # context reaches back to the last match
+    assert [s.start for s in got[13] if s.kind == "ssn"] == [4, 24]  # context reaches over other matches
+    assert [(s.kind, s.value) for s in got[14]] == [("token", "AKIA" + "Q7" * 8), ("secret", 'token = "' + "3f" * 20), ("secret", "api_key: abcd-1234")]
     far = spark.createDataFrame([(1, "ssn " + "word " * 20 + "078-05-1120")], "doc_id long, text string")
     assert pii.find_personal_data(far).first().spans == []
 
