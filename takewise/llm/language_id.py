@@ -18,6 +18,7 @@ go to the language first in the alphabet; each row is predicted by itself; a nul
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -188,18 +189,21 @@ def fit(df: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang"
     return langs, out, np.array([priors[k] for k in langs], dtype=float)
 
 
-_models: dict[int, Model] = {}
+#: The last model that this worker made, by the digest of what it was fitted on.
+_models: dict[str, Model] = {}
 
 
 def identify(df: DataFrame, fitted: tuple, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for each row."""
+    langs, counts, priors = fitted
+    name = hashlib.sha256(repr((path, langs)).encode() + counts.tobytes() + priors.tobytes()).hexdigest()
     model = df.sparkSession.sparkContext.broadcast(fitted)  # languages by pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if id(model.value) not in _models:
+        if name not in _models:
             _models.clear()
-            _models[id(model.value)] = Model(path, *model.value)
-        m = _models[id(model.value)]
+            _models[name] = Model(path, *model.value)
+        m = _models[name]
         for batch in slices(batches):
             texts, at, size = batch.column("text").to_pylist(), 0, 0
             for i, t in enumerate(texts):

@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import warnings
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -136,8 +135,7 @@ class Codec:
         for part, mark, theirs in zip(parts, marked, said):
             ids, theirs = found[mark], theirs[2:]
             if ids != theirs and (ids := self._ids(ids)) != theirs:
-                warnings.warn(f"the agenda and the library differ on a part of {len(part)} characters", stacklevel=1)
-                ids = theirs
+                raise ValueError(f"the agenda and the library differ on a part of {len(part)} characters")
             self.parts[part] = (array("I", ids).tobytes(), self.plain(ids))
 
     def plain(self, ids: list[int]) -> bytes:
