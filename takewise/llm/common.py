@@ -19,7 +19,8 @@ BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small, in the executors' memory outside the heap as well as in the workers'."""
+    """Keeps Arrow batches small, in the executors' memory outside the heap as well as in the workers'. This setting of
+    the session stays, as queries read it when they run, after the call that makes them."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
@@ -29,11 +30,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary folder is made."""
+    """The cluster's spark.checkpoint.dir, or the folder that the session has set; a local master without either gets
+    a temporary folder, a cluster an error, as a folder of the driver's machine is no use to executors."""
     sc = spark.sparkContext
     if folder := sc.getConf().get("spark.checkpoint.dir"):
         return folder
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -45,11 +49,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def rewritten(df: DataFrame) -> DataFrame:
-    """Writes a table with texts to the shared folder as Parquet and reads it again."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def rewritten(df: DataFrame, folder: str) -> DataFrame:
+    """Writes a table to a folder as Parquet and reads it again."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession, folder: str) -> None:
+    """Removes a folder that stage_folder named, by the file system that it is on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def whole_rows(df: DataFrame) -> Column:
+    """df's columns as one struct, so that helper columns beside it clash with none of them; `row.*` has them again."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -78,5 +97,6 @@ def crc_class(id_col: str, parts: int) -> Column:
 
 def keep_by_id(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs whose id is in kept, by a shuffle join that copes with a null id."""
-    ids = kept.select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["__id"]), "left_semi")
+    ids = kept.select(F.col(id_col).alias("kept_id")).distinct()
+    rows = docs.select(F.col(id_col).alias("own_id"), whole_rows(docs))
+    return rows.join(ids, F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_AZ, cut, slices
+from .common import LOWER_AZ, cut, slices, whole_rows
 
 log = logging.getLogger(__name__)
 
@@ -120,10 +120,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     return Classifier(domains, texts / texts.sum(), {w: i for i, w in enumerate(weights)}, np.array(list(weights.values())).reshape(-1, len(domains)))
 
 
-def posteriors(df: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
-    """df's columns, then __n (tokens) and __p (posterior, an array in the order of the domains)."""
+def posteriors(df: DataFrame, model: Classifier, kept: list[Column], text_col: str = "text") -> DataFrame:
+    """The kept columns, then __n (tokens) and __p (posterior, an array in the order of the domains)."""
     held = df.sparkSession.sparkContext.broadcast(model)  # WORDS rows at most
-    schema = T.StructType([*df.schema.fields, T.StructField("__n", T.LongType()), T.StructField("__p", T.ArrayType(T.DoubleType()))])
+    rows = df.select(*kept, F.col(text_col).cast("string").alias("__text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("__n", T.LongType()), T.StructField("__p", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -132,7 +133,7 @@ def posteriors(df: DataFrame, model: Classifier, text_col: str = "text") -> Data
             added = [pa.array([n for n, _ in found], pa.int64()), pa.array([p.tolist() for _, p in found], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *added], [*names, "__n", "__p"])
 
-    return df.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _tilt(vector: Sequence[float]) -> Column:
@@ -211,7 +212,7 @@ def _labels(labels: DataFrame, id_col: str) -> DataFrame:
 def document_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", max_rate: float = 2.0) -> DataFrame:
     """(id, n_tokens, p_<domain>..., rate, copies) for each row of df."""
     model = fit_classifier(df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")), _labels(labels, id_col), targets)
-    narrow = cut(posteriors(df.select(F.col(id_col), F.col(text_col).alias("__body")), model, "__body").drop("__body"))
+    narrow = cut(posteriors(df, model, [F.col(id_col)], text_col))
     vector, _ = fit_rates(narrow, targets, max_rate=max_rate)
     rated = narrow.withColumn("__rate", rate(vector, max_rate))
     return rated.select(id_col, F.col("__n").alias("n_tokens"), *(F.element_at("__p", i + 1).alias(f"p_{d}") for i, d in enumerate(targets)), F.col("__rate").alias("rate"), _copies(id_col).alias("copies"))
@@ -219,10 +220,10 @@ def document_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float] =
 
 def mix(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", max_rate: float = 1.0) -> DataFrame:
     """df's rows, each as often as its copies say. Posteriors are found again for this, which spares shuffling texts."""
-    columns = df.columns
     model = fit_classifier(df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")), _labels(labels, id_col), targets)
-    vector, _ = fit_rates(cut(posteriors(df.select(F.col(text_col).alias("__body")), model, "__body").drop("__body")), targets, max_rate=max_rate)
-    rated = posteriors(df, model, text_col).withColumn("__rate", rate(vector, max_rate)).withColumn("__copies", _copies(id_col)).where("__copies > 0")
+    vector, _ = fit_rates(cut(posteriors(df, model, [], text_col)), targets, max_rate=max_rate)
+    rated = posteriors(df, model, [whole_rows(df)], text_col).withColumn("__rate", rate(vector, max_rate))
+    rated = rated.withColumn("__id", F.col("row").getField(id_col)).withColumn("__copies", _copies("__id")).where("__copies > 0")
     if max_rate > 1:
         rated = rated.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return rated.select(*(F.col(f"`{c}`") for c in columns))
+    return rated.select("row.*")

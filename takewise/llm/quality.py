@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, slices
+from .common import cut, slices, whole_rows
 
 # Base rules, rates in thousandths (word length in hundredths), and each rate's least spread.
 MIN_WORDS = 50
@@ -68,22 +67,18 @@ def count_text(text: str | None) -> tuple[int, ...]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        found = [count_text(x) for x in batch.column("__text").to_pylist()]
+        found = [count_text(x) for x in batch.column("text").to_pylist()]
         columns = zip(*found) if found else [[]] * len(COUNTS)
-        at = batch.schema.get_field_index("__text")
-        kept = [c for i, c in enumerate(batch.columns) if i != at]
-        names = [n for n in batch.schema.names if n != "__text"]
-        yield pa.RecordBatch.from_arrays(list(chain(kept, (pa.array(list(c), pa.int64()) for c in columns))), names + [f"__{c}" for c in COUNTS])
+        names = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(list(c), pa.int64()) for c in columns)], names + [f"__{c}" for c in COUNTS])
 
 
-def _with_counts(df: DataFrame, text_col: str) -> DataFrame:
-    """df's columns, then COUNTS, each with two underscores before its name."""
-    schema = T.StructType([*df.schema.fields, *(T.StructField(f"__{c}", T.LongType()) for c in COUNTS)])
-    return df.withColumn("__text", F.col(text_col)).mapInArrow(_count, schema)
-
-
-def _group(lang_col: str, source_col: str) -> list[Column]:
-    return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "__lang"), (source_col, "__source"))]
+def _counted(df: DataFrame, kept: list[Column], text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """The kept columns, __lang and __source, then COUNTS, each with two underscores before its name."""
+    group = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "__lang"), (source_col, "__source"))]
+    rows = df.select(*kept, *group, F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(f"__{c}", T.LongType()) for c in COUNTS)])
+    return rows.mapInArrow(_count, schema)
 
 
 _BASE_FAILED = "__n_words < {} or 100 * __n_repeat_words > {} * __n_words".format(MIN_WORDS, MAX_REPEATED)
@@ -112,8 +107,10 @@ def fences(counted: DataFrame) -> DataFrame:
     sketch = passed.select("__lang", "__source", rates.alias("x")).groupBy("__lang", "__source", F.col("x.rate").alias("rate"), _bin(F.col("x.value")).alias("bin")).agg(F.count("*").alias("n"))
     sketch = cut(sketch)
     own = _quartiles(sketch, ["__lang", "__source"], "own").join(_quartiles(sketch, ["__lang"], "lang"), "__lang")
-    whole = _quartiles(sketch.withColumn("__one", F.lit(1)), ["__one"], "all")
-    joined = own.withColumn("__one", F.lit(1)).join(F.broadcast(whole), "__one")
+    # the quartiles of all texts together are one row of eight numbers
+    whole = _quartiles(sketch.withColumn("every", F.lit(1)), ["every"], "all").first()
+    names = [f"all_{r}_{q}" for r in RATES for q in (1, 3)]
+    joined = own.withColumns({n: F.lit(whole[n] if whole else None).cast("long") for n in names})
     pick = lambda rate, q: F.when(F.col("own_n") >= MIN_GROUP, F.col(f"own_{rate}_{q}")).when(F.col("lang_n") >= MIN_GROUP, F.col(f"lang_{rate}_{q}")).otherwise(F.col(f"all_{rate}_{q}"))
     columns = []
     for rate, (_, floor) in RATES.items():
@@ -140,15 +137,13 @@ def _judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for each row."""
-    rows = df.select(F.col(id_col).alias("__id"), *_group(lang_col, source_col), F.col(text_col).alias("__body"))
-    counted = cut(_with_counts(rows, "__body").drop("__body"))
+    counted = cut(_counted(df, [F.col(id_col).alias("__id")], text_col, lang_col, source_col))
     done = _judged(counted, fences(counted))
     return done.select(F.col("__id").alias(id_col), *(F.col(f"__{c}").alias(c) for c in COUNTS[:5]), F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
 def filter_quality(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """df's rows that are kept, with df's columns. Texts are counted again for this, which spares shuffling them."""
-    narrow = df.select(*_group(lang_col, source_col), F.col(text_col).alias("__body"))
-    limits = fences(cut(_with_counts(narrow, "__body").drop("__body")))
-    counted = _with_counts(df.select("*", *_group(lang_col, source_col)), text_col)
-    return _judged(counted, limits).where("__kept").select(*(F.col(f"`{c}`") for c in df.columns))
+    limits = fences(cut(_counted(df, [], text_col, lang_col, source_col)))
+    counted = _counted(df, [whole_rows(df)], text_col, lang_col, source_col)
+    return _judged(counted, limits).where("__kept").select("row.*")

@@ -33,12 +33,14 @@ def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)
 
 
-def clashing(spark: SparkSession) -> DataFrame:
-    """Columns with the names that operators use for their own."""
+def clashing(spark: SparkSession, df: DataFrame | None = None) -> DataFrame:
+    """Columns with the names that operators use for their own, before and after the others."""
     from pyspark.sql import functions as F
 
-    df = odd(spark)
-    for name in ("id", "key", "part", "kept", "n_words", "score", "spans", "digest", "print", "rate", "copies", "labels"):
+    df = odd(spark) if df is None else df
+    first = ("row", "edge", "norm", "head", "__text", "__lang", "__source", "__n", "__p", "__key", "__id", "__copies", "__rate", "__kept", "__l", "symbol_rate_low", "first_part")
+    df = df.select(*(F.lit(n).alias(n) for n in first), "*")
+    for name in ("id", "key", "part", "kept", "n_words", "score", "spans", "digest", "print", "rate", "copies", "labels", "own_id", "kept_id", "email", "domain"):
         df = df.withColumn(name, F.lit(name))
     return df
 

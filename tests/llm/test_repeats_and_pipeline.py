@@ -1,14 +1,16 @@
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import sentencepiece
 
 import corpus_pipeline
 from takewise.llm import entries, suffix_dedup
+from takewise.llm.common import shared_folder
 from takewise.llm.pieces import default_model
 
-from .common import ODD, clashing, empty, odd, rows
+from .common import ODD, clashing, empty, odd, prose, rows
 from .test_exact_and_near import brute_components, brute_exact, brute_print
 
 
@@ -51,6 +53,56 @@ def test_repeats(spark):
     assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == dict(zip([i for i, _ in data], brute([t for _, t in data])))
 
 
+def test_large_groups_part(spark, monkeypatch):
+    """A string beside text of their own in many texts, and a passage that some of these share: groups of it are sent
+    on, level by level, and what goes is the same."""
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    line = min((noise(24) for _ in range(2000)), key=lambda x: suffix_dedup.grams(np.frombuffer(x.encode(), np.uint8))[0] >> np.uint64(1))
+    passage = noise(150)
+    data = [(i, noise(120) + line + (passage if i % 3 else noise(130)) + noise(80)) for i in range(120)] + [(i, line * 8) for i in range(120, 124)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    want = dict(zip([i for i, _ in data], brute([t for _, t in data])))
+    monkeypatch.setattr(suffix_dedup, "frequent_grams", lambda docs: np.zeros(1 << suffix_dedup.TABLE_BITS, dtype=bool))
+    levels, one = [], suffix_dedup._sorted_out
+    monkeypatch.setattr(suffix_dedup, "_sorted_out", lambda *a: levels.append(a) or one(*a))
+    for large in (1 << 13, suffix_dedup.LARGE):
+        levels.clear()
+        assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digest(suffix_dedup.find_repeats(df, large=large)).collect()} == want
+        assert (len(levels) > 1) == (large < suffix_dedup.LARGE)
+
+
+def test_finer_parts_cover_and_agree():
+    """Each window is in one part; equal windows have equal routes and stand at the same distance from their string."""
+    rng = random.Random(3)
+    shared = bytes(rng.choices(b"abc", k=130))
+    for k in (2, 4, 77):
+        seen = {}
+        for n in range(6):
+            stretch = (bytes(rng.choices(b"abc", k=40)) + shared)[:170] if n else b"a" * 176
+            windows = []
+            for route, at, part in suffix_dedup.finer(5, 1000 << 14 | 3 << 7 | len(stretch) - 100, stretch, k):
+                first, place, span = (at >> 14) - 1000, at >> 7 & 127, at & 127
+                assert part == stretch[first : first + span + 100] and 0 <= place <= 76
+                for w in range(first, first + span + 1):
+                    windows.append(w)
+                    assert seen.setdefault(stretch[w : w + 100], (route, place - (w - first))) == (route, place - (w - first))
+            assert windows == list(range(len(stretch) - 99))
+
+
+def test_anchors_do_not_depend_on_the_block():
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 123, 400).astype(np.uint8)
+    none = np.zeros(4, dtype=bool)
+    for before in (0, 5, 3000, 70_000):
+        data = np.concatenate((rng.integers(97, 123, before).astype(np.uint8), text))
+        ok = np.zeros(len(data), dtype=bool)
+        ok[before : before + 301] = True
+        h, place, first, last = suffix_dedup.anchors(data, ok, none)
+        got = (h.tolist(), (place - before).tolist(), (first - before).tolist(), (last - before).tolist())
+        assert got == (want := got if before == 0 else want)
+
+
 def test_blocks_cover_every_window(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 256)
     texts = [bytes(random.Random(i).choices(b"ab", k=n)) for i, n in enumerate((1000, 99, 100, 355, 356, 3000))]
@@ -90,7 +142,7 @@ def test_entries_have_all_operators():
 
 def test_pipeline_against_brute_force(spark, sf):
     """Each stage against plain Python on what the stage before kept; rates and verdicts are tested by themselves."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 150")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
         before = [r.asDict() for r in docs.collect()]
@@ -108,3 +160,32 @@ def test_pipeline_against_brute_force(spark, sf):
             return
         assert out.columns == columns and {r.doc_id for r in out.collect()} <= {r["doc_id"] for r in before}
         docs = spark.createDataFrame(out.collect(), docs.schema)
+
+
+def test_pipeline_run_is_its_stages(spark, sf):
+    """run() over the whole tables gives what the stages give one by one, and leaves one folder."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
+    folder = Path(shared_folder(spark))
+    before = set(folder.iterdir())
+    got = corpus_pipeline.run(spark, sf)
+    assert len([p for p in set(folder.iterdir()) - before if len(p.name) == 32]) == 1
+    assert rows(got) == rows(corpus_pipeline.STAGES[-1][1](spark, docs, sf))
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf):
+    """Nulls, repeated rows, long texts and clashing columns pass through all stages; so does an empty table."""
+    more = spark.createDataFrame([(100 + i, prose(i, 120), "en", "s", 9) for i in range(60)], odd(spark).schema)
+    docs = clashing(spark, odd(spark).unionByName(more).unionByName(more.where("doc_id < 110")))
+    for docs in (docs, docs.limit(0)):
+        columns, n = docs.columns, docs.count()
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, sf)
+            assert docs.columns == columns
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+            assert docs.count() <= n and (n == 0 or docs.count() > 0)
+            n = docs.count()
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+        assert out.count() == n and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert n == 0

@@ -83,7 +83,7 @@ def test_quality_rows(spark):
     for r in got.collect():
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept)
     assert got.count() == len(ODD)
-    assert rows(quality.judge(clashing(spark).drop("n_words"))) == rows(got)
+    assert rows(quality.judge(clashing(spark))) == rows(got)
     assert quality.judge(empty(spark)).count() == 0
     kept = quality.filter_quality(clashing(spark))
     assert kept.columns == clashing(spark).columns and kept.count() == got.where("kept").count()
@@ -252,3 +252,96 @@ def test_upper_rate_counts_every_word():
             assert b" u%d" % int(10 * (n // 2) / len(words)) in mixing.rates(b" ".join(words), words)
     passage = [b"low"] * 10_001 + [b"UP"] * 2_500 + [b"low"] * 7_499
     assert b" u1" in mixing.rates(b" ".join(passage), passage)
+
+
+def test_posteriors_and_rates_against_brute_force(spark):
+    """Naive Bayes and the least-squares rates in plain Python on a small table with ties, null and long texts."""
+    rng = random.Random(2)
+    kinds = {"clean": "", "low": " ### *** $$$ &&& %%%", "toxic": " scum idiot trash"}
+    docs, labels = [], []
+    for i in range(240):
+        kind = rng.choice(["clean", "clean", "low", "toxic"])
+        docs.append((i, prose(i % 100, 40 + i % 50) + kinds[kind]))  # i and i + 100 share words
+        labels.append((i, int(kind != "low"), int(kind == "toxic")))
+    docs += [(1000, None), (1001, ""), (1002, prose(7, 20_000) + " scum"), (1003, docs[0][1]), (None, docs[0][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    targets, most = {"clean": 0.6, "low": 0.15, "toxic": 0.25}, 2.0
+    got = {r.doc_id: r for r in mixing.document_rates(df, lab, targets, max_rate=most).collect()}
+
+    def bag(text):
+        raw = (text or "").encode()
+        return {*mixing.tokens(text), *mixing.rates(raw, raw.split())}
+
+    domain = {i: "toxic" if t else "clean" if q else "low" for i, q, t in labels}
+    texts = Counter(domain.values())
+    n = {d: Counter(w for i, t in docs if domain.get(i) == d for w in bag(t)) for d in targets}
+    weight = {}
+    for w in set().union(*n.values()):
+        share = sum(n[d][w] for d in targets) / 240
+        v = [np.log((n[d][w] + mixing.SMOOTHING * share) / (texts[d] + mixing.SMOOTHING) / share) for d in targets]
+        if max(map(abs, v)) >= mixing.TELLING:
+            weight[w] = np.array(v)
+    sizes, p = [], []
+    for i, t in docs:
+        total = np.log([texts[d] / 240 for d in targets]) + (sum((weight[w] for w in bag(t) if w in weight), np.zeros(3)) if t else 0)
+        e = np.exp(total - total.max())
+        sizes.append(len(mixing.tokens(t)))
+        p.append(e / e.sum())
+        assert np.allclose([got[i][f"p_{d}"] for d in targets], p[-1], atol=1e-9) and got[i].n_tokens == sizes[-1]
+    sizes, p = np.array(sizes, float), np.array(p)
+    have = sizes @ p
+    goal = np.array(list(targets.values())) * have[0] / targets["clean"]
+    x = np.ones(len(p))
+    gram = (p * sizes[:, None]).T @ p
+    inverse = np.linalg.inv(gram + np.eye(3) * 1e-9 * np.trace(gram))
+    for _ in range(20_000):  # projected gradient, document by document
+        x = np.clip(x + p @ inverse @ (goal - (sizes * x) @ p), 0, most)
+    fitted = np.array([got[i].rate for i, _ in docs])
+    misfit = lambda x: (goal - (sizes * x) @ p) @ inverse @ (goal - (sizes * x) @ p)
+    assert misfit(fitted) <= misfit(x) + 1e-6 * (goal @ inverse @ goal)
+    assert fitted.min() >= 0 and fitted.max() <= most
+
+
+def test_toxicity_against_brute_force(spark):
+    """Scores and spans of a tiny model by enumeration of all taggings, with empty, repeated and long texts and ties."""
+    field = toxicity.Field(["w=bad", "4=evil"])
+    field.weights[:] = [6.0, 4.0, 0.0]
+    field.moves[:] = [[0.4, -0.3], [-0.2, 0.5]]
+    weights = np.array([-2.0, 2.5, 1.0])
+    texts = ["A bad evil day.", "Nothing here.", "", None, "bad", "bad", "evilness reigns\nbad Bad!", "... 123", "Fine words. " * 400 + "So bad!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for r in toxicity.score(df, (field, weights, 0.25)).collect():
+        text = texts[r.doc_id] or ""
+        words, total, spans = len(re.findall(r"[A-Za-z]+", text)), 0.0, []
+        for m in re.finditer(r"[^.\n!?]+", text):
+            found = [(m.start() + w.start(), w.group().lower()) for w in re.finditer("[A-Za-z]+", m.group())]
+            numbers = [[0] if w == "bad" else [1] if w.startswith("evil") else [] for _, w in found]
+            if not any(numbers):
+                continue
+            all_, ones = 0.0, np.zeros(len(found))
+            for y in range(2 ** len(found)):
+                tags = [y >> t & 1 for t in range(len(found))]
+                s = np.exp(field.first[tags[0]] + sum(field.moves[a, b] for a, b in zip(tags, tags[1:])) + sum(t * (field.bias[0] + sum(field.weights[i] for i in f)) for t, f in zip(tags, numbers)))
+                all_, ones = all_ + s, ones + s * np.array(tags)
+            total += (ones / all_).sum()
+            spans += [(at, at + len(w)) for (at, w), p in zip(found, ones / all_) if p >= 0.5]
+        plain = 1 / (1 + np.exp(-weights @ [1.0, np.log1p(total), min(1.0, 20 * total / words)])) if words else 0.25
+        assert r.score == pytest.approx(plain, abs=1e-9), text[:40]
+        assert [(s.start, s.end) for s in r.spans] == spans
+
+
+def test_language_posteriors_against_brute_force(spark):
+    """Scores of the query from one text's words, each summed over its segmentations; of equal scores the first language."""
+    texts = [(1, "hello world one two", "en"), (2, "bonjour le monde", "fr"), (3, "hello monde", "en"), (4, "le le la", "fr"), (5, None, "en"), (6, "42 ...", "fr"), (7, "bonjour hello", None), (7, "bonjour hello", None), (8, "la " * 3000, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    fitted = language_id.fit(df, PATH)
+    model = language_id.Model(PATH, *fitted)
+    for r in language_id.identify(df, fitted, PATH).collect():
+        text = next(t for i, t, _ in texts if i == r.doc_id)
+        if text is None or not re.search("[a-z]", text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total = model.priors + sum(brute_forward(model, "▁" + w) for w in text.split())
+        p = np.exp(total - total.max())
+        assert r.lang_pred == model.langs[int(total.argmax())] and r.score == pytest.approx(p.max() / p.sum(), rel=1e-6)
