@@ -66,10 +66,13 @@ def test_large_groups_part(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "frequent_grams", lambda docs: np.zeros(1 << suffix_dedup.TABLE_BITS, dtype=bool))
     levels, one = [], suffix_dedup._sorted_out
     monkeypatch.setattr(suffix_dedup, "_sorted_out", lambda *a: levels.append(a) or one(*a))
+    per_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     for large in (1 << 13, suffix_dedup.LARGE):
         levels.clear()
+        spark.conf.set(per_batch, "20" if large < suffix_dedup.LARGE else "10000")
         assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digest(suffix_dedup.find_repeats(df, large=large)).collect()} == want
         assert (len(levels) > 1) == (large < suffix_dedup.LARGE)
+    spark.conf.unset(per_batch)
 
 
 def test_finer_parts_cover_and_agree():
