@@ -13,14 +13,12 @@ Comparing all suffixes of a corpus would shuffle every position, so they are fir
    by binary search over polynomial prefix hashes, so in a logarithmic number of steps. Equal neighbours are compared
    byte by byte before they count. Of equal stretches the first stays; where a group has different stretches, their
    windows are sorted in the same way, as suffixes cut at LENGTH bytes.
-4. A group of more than LARGE bytes is not sorted in one task. Its rows go on to the next level, where each window is
-   told by its 2 smallest strings instead of one, then by 4, 8 and so on up to all; stretches are cut where these
-   change, and those whose windows share them meet again. Windows that differ part sooner or later, and of equal
-   stretches a task sends one, so groups end up as small as the number of tasks.
-5. Intervals that go are joined with the texts, merged, and cut out.
+4. Intervals that go are joined with the texts, merged, and cut out.
 
 A string that a hash sample of the texts has often (a common line, say) is an anchor only where a window has no other:
-else the many windows that hold it beside text of their own would all meet there, and need more levels.
+else the many windows that hold it beside text of their own would all meet there, to no end. The sample grows with the
+corpus, so a string that is not noted as frequent stands, in expectation, in fewer than FREQUENT / SHARE texts (40,000),
+whatever their number; that, some MB of stretches, is the largest group of different ones that a task has to sort.
 
 Texts are shuffled once (both joins read the same exchange). A passage that a third of all texts share sends one row
 a task at each step, so no group outgrows the number of tasks. Hashes here decide order, never equality; over 100
@@ -34,7 +32,7 @@ one; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_of, width
+from .common import cut, text_of, width
 
 LENGTH = 100
 GRAM = 24
@@ -52,16 +50,14 @@ BLOCK = 1 << 20
 HELD_ANCHORS = 4_000_000
 HELD_STRETCHES = 300_000
 SORTED = 4 << 20
-#: Bytes of stretches from which a group goes on to the next level.
-LARGE = 16 << 20
 
 #: Texts, in expectation, in which frequent strings are looked for, or SHARE of all if that is more; sampled texts that
-#: make a string frequent, how many such strings are noted, the most frequent first, and bits of their table.
+#: make a string frequent; how many such strings are noted, the most frequent first, and bits of their table.
 SAMPLE = 1000
 SHARE = 1e-4
 FREQUENT = 4
-NOTED = 1 << 17
-TABLE_BITS = 20
+NOTED = 1 << 18
+TABLE_BITS = 22
 #: Bits of a place in a block, which has under twice BLOCK and LENGTH bytes; a string's hash has the other bits.
 PLACE_BITS = 22
 
@@ -238,7 +234,7 @@ def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def frequent_grams(docs: DataFrame) -> np.ndarray:
-    """For the low bits of a hash, whether a string with such a hash is in FREQUENT of SAMPLE texts or more. It decides
+    """For the low bits of a hash, whether a string with such a hash is in FREQUENT sampled texts or more. It decides
     which anchors are preferred, and so how evenly work is dealt out, but no result."""
     table = np.zeros(1 << TABLE_BITS, dtype=bool)
     texts = max(1, docs.count())
@@ -320,11 +316,11 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _STRETCH = ["route", "key", "at", "stretch", "last"]
 
 
-def _first_of_equals(groups: Iterator[Iterator[tuple[tuple, int, int]]], route_of: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
-    """Stretches (name, key, at) in, a name having a stretch's bytes last and all that makes two equal; out (route,
-    key, at, stretch) of those that the task has first and, without stretch, (key, start, end) in (key, at, last) of
-    what goes, dealt out by text and place. Names are held back up to HELD_STRETCHES, a group more at most."""
-    seen: dict[tuple, tuple[int, int]] = {}
+def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(route, key, at, stretch) of stretches that the task has first, route being a hash of the anchor and its place
+    in the stretch's windows left out; and, without stretch, (key, start, end) in (key, at, last) of what goes, dealt
+    out by text and place."""
+    seen: dict[tuple[int, bytes], tuple[int, int]] = {}
     gone: list[tuple[int, int, int]] = []
 
     def drop(key: int, at: int) -> None:
@@ -336,7 +332,10 @@ def _first_of_equals(groups: Iterator[Iterator[tuple[tuple, int, int]]], route_o
 
     def out() -> Iterator[pa.RecordBatch]:
         if seen:
-            routes, rows, texts = [route_of(n) for n in seen], list(seen.values()), [n[-1] for n in seen]
+            routes, rows, texts = [], list(seen.values()), []
+            for (place, stretch), _ in seen.items():
+                routes.append(xxhash.xxh3_64_intdigest(stretch[place : place + GRAM]))
+                texts.append(stretch)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(routes, dtype=np.uint64).view(np.int64)), pa.array([k for k, _ in rows], pa.int64()), pa.array([a for _, a in rows], pa.int64()), pa.array(texts, pa.binary()), pa.nulls(len(rows), pa.int64())], _STRETCH)
         if gone:
             key, first, end = (np.array(x, dtype=np.int64) for x in zip(*gone))
@@ -345,61 +344,24 @@ def _first_of_equals(groups: Iterator[Iterator[tuple[tuple, int, int]]], route_o
         seen.clear()
         gone.clear()
 
-    for group in groups:
-        for name, key, at in group:
-            old = seen.get(name)
-            if old is None:
-                seen[name] = (key, at)
-            elif old <= (key, at):
-                drop(key, at)
-            else:
-                seen[name] = (key, at)
-                drop(*old)
-        if len(seen) > HELD_STRETCHES:
-            yield from out()
-    yield from out()
-
-
-def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their anchors in; stretches out, route being a hash of the anchor; the anchor's place counts in what
-    makes two equal."""
-
-    def named(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
+    for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         for i, (key, places) in enumerate(zip(batch.column("key").to_pylist(), batch.column("places").to_pylist())):
             text = texts[i].as_py()
             for at in sorted(places):
                 first = at >> 14
-                yield (at >> 7 & 127, text[first : first + (at & 127) + LENGTH]), key, at
-
-    return _first_of_equals(map(named, batches), lambda n: xxhash.xxh3_64_intdigest(n[1][n[0] : n[0] + GRAM]))
-
-
-_MIX = np.array([pow(0xBF58476D1CE4E5B9, k + 1, 1 << 64) for k in range(LENGTH - GRAM + 1)], dtype=np.uint64)
-
-
-def finer(route: int, at: int, stretch: bytes, k: int) -> Iterator[tuple[int, int, bytes]]:
-    """(route, at, stretch) of the parts of a stretch whose windows have the same k smallest strings and the last of
-    them at the same place; the new route is a hash of the old one and of these strings."""
-    gram = grams(np.frombuffer(stretch, dtype=np.uint8))
-    windows = np.lib.stride_tricks.sliding_window_view(gram, LENGTH - GRAM + 1)
-    least = np.sort(windows, axis=1)[:, :k]
-    place = (windows == least[:, -1:]).argmax(axis=1)
-    name = (least * _MIX[:k]).sum(axis=1, dtype=np.uint64) + np.uint64(route & _UNIT)
-    name = (name ^ name >> np.uint64(31)) * np.uint64(_BASE)
-    stands = place + np.arange(len(place))
-    new = np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | (stands[1:] != stands[:-1]))))
-    for a, b in zip(new.tolist(), np.append(new[1:], len(name)).tolist()):
-        yield int(name[a]), (at >> 14) + a << 14 | int(place[a]) << 7 | b - 1 - a, stretch[a : b - 1 + LENGTH]
-
-
-def _finer_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    def named(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
-        for route, key, at, stretch in zip(*(batch.column(n).to_pylist() for n in ("route", "key", "at", "stretch"))):
-            for name, place, part in finer(route, at, stretch, k):
-                yield (name, place >> 7 & 127, part), key, place
-
-    return _first_of_equals((named(x) for batch in batches for x in slices([batch])), lambda n: n[0])
+                name = (at >> 7 & 127, text[first : first + (at & 127) + LENGTH])
+                old = seen.get(name)
+                if old is None:
+                    seen[name] = (key, at)
+                elif old <= (key, at):
+                    drop(key, at)
+                else:
+                    seen[name] = (key, at)
+                    drop(*old)
+        if len(seen) > HELD_STRETCHES:
+            yield from out()
+    yield from out()
 
 
 def settle(route: np.ndarray, key: np.ndarray, at: np.ndarray, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -438,23 +400,11 @@ def settle(route: np.ndarray, key: np.ndarray, at: np.ndarray, stretches: list[b
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-_SETTLED = "key long, first long, last long, route long, stretch binary"
-
-
-def _settled(batches: Iterator[pa.RecordBatch], large: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows of stretches sorted by route, key and place in; (key, first, last) of what goes out and, with route and
-    stretch, the rows of groups of more than large bytes as they came, the place in first."""
-    names = ["key", "first", "last", "route", "stretch"]
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _stretch_rows sorted by route, key and place in; (key, first, last) of what goes out."""
+    names = ["key", "first", "last"]
     held: list[pa.RecordBatch] = []
     size = 0
-    passing: int | None = None  # the route of a large group whose first part is out already
-    most = SORTED if large is None else min(SORTED, large)
-
-    def gone(key: pa.Array, first: pa.Array, last: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([key, first, last, pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.binary())], names)
-
-    def passed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("at"), pa.nulls(batch.num_rows, pa.int64()), batch.column("route"), batch.column("stretch")], names)
 
     def out(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         route, key, at = (batch.column(i).to_numpy() for i in range(3))
@@ -463,35 +413,24 @@ def _settled(batches: Iterator[pa.RecordBatch], large: int | None) -> Iterator[p
         many = np.flatnonzero(np.repeat(sizes > 1, sizes))
         if len(many):
             found = settle(route[many], key[many], at[many], batch.column("stretch").take(pa.array(many)).to_pylist())
-            yield gone(*(pa.array(x.astype(np.int64)) for x in found))
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names)
 
     for batch in batches:
         ready = batch.column("stretch").is_null()
         if ready.true_count:
             rows = batch.filter(ready)
-            yield gone(rows.column("key"), rows.column("at"), rows.column("last"))
+            yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("at"), rows.column("last")], names)
             batch = batch.filter(pa.compute.invert(ready))
-        if passing is not None and batch.num_rows:
-            n = int(np.searchsorted(batch.column("route").to_numpy(), passing, "right"))
-            if n:
-                yield passed(batch.slice(0, n))
-            if n < batch.num_rows:
-                passing = None
-            batch = batch.slice(n)
         if batch.num_rows:
             held.append(batch)
             size += batch.column("stretch").nbytes
-        if size > most:
+        if size > SORTED:
             whole = pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in held]) for i in range(5)], _STRETCH)
             route = whole.column("route").to_numpy()
             n = int(np.searchsorted(route, route[-1], "left"))
             if n:
                 yield from out(whole.slice(0, n))
-                held = [whole.slice(n)]
-                size = held[0].column("stretch").nbytes
-            elif large is not None and size > large:
-                yield passed(whole)
-                held, size, passing = [], 0, int(route[-1])
+                held, size = [whole.slice(n)], 0
     if held:
         yield from out(pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in held]) for i in range(5)], _STRETCH))
 
@@ -535,12 +474,7 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return cut(placed.withColumn("key", F.monotonically_increasing_id())).select("id", "key", "text")
 
 
-def _sorted_out(stretches: DataFrame, large: int | None) -> DataFrame:
-    settled = lambda batches: _settled(batches, large)
-    return cut(stretches.repartition("route").sortWithinPartitions("route", "key", "at").mapInArrow(settled, _SETTLED))
-
-
-def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
+def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept_sha256) for each row; spans are the byte intervals [first, last) that go."""
     docs = _keyed(df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")))
     frequent = df.sparkSession.sparkContext.broadcast(frequent_grams(docs))  # 2^TABLE_BITS bytes
@@ -549,18 +483,9 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = found.repartition("route").sortWithinPartitions("route").mapInArrow(_repeated, "key long, at long")
     places = found.groupBy(F.col("key").alias("__key")).agg(F.collect_list("at").alias("places"))
     # merge joins, and the same columns of the texts in both, let the second one read the first one's exchange
-    stretch = "route long, key long, at long, stretch binary, last long"
-    stretches = docs.join(places.hint("merge"), F.col("key") == F.col("__key")).select("id", "key", "text", "places").mapInArrow(_stretch_rows, stretch)
-    settled = _sorted_out(stretches, large)
-    intervals = settled.where("stretch is null").select("key", "first", "last")
-    strings, all_ = 1, LENGTH - GRAM + 1
-    while strings < all_ and not (rest := settled.where("stretch is not null")).isEmpty():
-        strings = min(all_, 2 * strings)
-        rows = rest.select("route", "key", F.col("first").alias("at"), "stretch").repartition(width(df))
-        cut_finer = lambda batches, k=strings: _finer_rows(batches, k)
-        settled = _sorted_out(rows.mapInArrow(cut_finer, stretch), large if strings < all_ else None)
-        intervals = intervals.unionByName(settled.where("stretch is null").select("key", "first", "last"))
-    gone = intervals.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("first", "last")).alias("gone"))
+    stretches = docs.join(places.hint("merge"), F.col("key") == F.col("__key")).select("id", "key", "text", "places").mapInArrow(_stretch_rows, "route long, key long, at long, stretch binary, last long")
+    settled = stretches.repartition("route").sortWithinPartitions("route", "key", "at").mapInArrow(_settled, "key long, first long, last long")
+    gone = settled.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("first", "last")).alias("gone"))
     joined = docs.join(gone.hint("merge"), F.col("key") == F.col("__key"), "left").select("id", "key", "text", "gone")
     done = joined.mapInArrow(_cut_out, "id long, n_bytes long, n_removed long, spans array<struct<first:long,last:long>>, kept_sha256 string")
     return done.withColumnRenamed("id", id_col)

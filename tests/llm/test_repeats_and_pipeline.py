@@ -53,44 +53,23 @@ def test_repeats(spark):
     assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == dict(zip([i for i, _ in data], brute([t for _, t in data])))
 
 
-def test_large_groups_part(spark, monkeypatch):
-    """A string beside text of their own in many texts, and a passage that some of these share: groups of it are sent
-    on, level by level, and what goes is the same."""
+def test_frequent_string_beside_own_text(spark):
+    """A string of 24 bytes in a tenth of the texts, each time beside text of its own: the windows over it do not meet."""
     rng = random.Random(8)
     noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
     line = min((noise(24) for _ in range(2000)), key=lambda x: suffix_dedup.grams(np.frombuffer(x.encode(), np.uint8))[0] >> np.uint64(1))
     passage = noise(150)
-    data = [(i, noise(120) + line + (passage if i % 3 else noise(130)) + noise(80)) for i in range(120)] + [(i, line * 8) for i in range(120, 124)]
-    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
-    want = dict(zip([i for i, _ in data], brute([t for _, t in data])))
-    monkeypatch.setattr(suffix_dedup, "frequent_grams", lambda docs: np.zeros(1 << suffix_dedup.TABLE_BITS, dtype=bool))
-    levels, one = [], suffix_dedup._sorted_out
-    monkeypatch.setattr(suffix_dedup, "_sorted_out", lambda *a: levels.append(a) or one(*a))
-    per_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    for large in (1 << 13, suffix_dedup.LARGE):
-        levels.clear()
-        spark.conf.set(per_batch, "20" if large < suffix_dedup.LARGE else "10000")
-        assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digest(suffix_dedup.find_repeats(df, large=large)).collect()} == want
-        assert (len(levels) > 1) == (large < suffix_dedup.LARGE)
-    spark.conf.unset(per_batch)
-
-
-def test_finer_parts_cover_and_agree():
-    """Each window is in one part; equal windows have equal routes and stand at the same distance from their string."""
-    rng = random.Random(3)
-    shared = bytes(rng.choices(b"abc", k=130))
-    for k in (2, 4, 77):
-        seen = {}
-        for n in range(6):
-            stretch = (bytes(rng.choices(b"abc", k=40)) + shared)[:170] if n else b"a" * 176
-            windows = []
-            for route, at, part in suffix_dedup.finer(5, 1000 << 14 | 3 << 7 | len(stretch) - 100, stretch, k):
-                first, place, span = (at >> 14) - 1000, at >> 7 & 127, at & 127
-                assert part == stretch[first : first + span + 100] and 0 <= place <= 76
-                for w in range(first, first + span + 1):
-                    windows.append(w)
-                    assert seen.setdefault(stretch[w : w + 100], (route, place - (w - first))) == (route, place - (w - first))
-            assert windows == list(range(len(stretch) - 99))
+    data = [(i, noise(120) + (line if i % 10 == 0 else passage if i % 10 == 1 else noise(24)) + noise(120)) for i in range(400)]
+    docs = spark.createDataFrame(data, "key long, text string").repartition(4)
+    largest = {}
+    for name, table in (("noted", suffix_dedup.frequent_grams(docs)), ("not", np.zeros(1 << suffix_dedup.TABLE_BITS, dtype=bool))):
+        blocks = suffix_dedup._blocks([i for i, _ in data], [t.encode() for _, t in data])
+        hashes = np.concatenate([suffix_dedup.anchors(d, ok, table)[0] for d, ok, *_ in blocks])
+        gram = suffix_dedup.grams(np.frombuffer(line.encode(), np.uint8)).view(np.int64)[0]
+        largest[name] = int((hashes == gram).sum())
+    assert largest["noted"] == 0 and largest["not"] >= 30
+    got = suffix_dedup.digest(suffix_dedup.find_repeats(docs.withColumnRenamed("key", "doc_id")))
+    assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == dict(zip([i for i, _ in data], brute([t for _, t in data])))
 
 
 def test_anchors_do_not_depend_on_the_block():
