@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_class, slices
+from .common import crc_class, cut, slices
 
 #: Training texts of each class, and sentences from them, at most.
 SAMPLE = 3000
@@ -213,7 +213,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Field, np.ndarray | None, float]:
     """(field, weights of evidence or None, share of toxic labels)"""
     share = labels.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    rows = training_rows(docs, labels, sample).repartition("id")
+    rows = cut(training_rows(docs, labels, sample).repartition("id"))  # twice sample texts at most, read four times
     pairs = rows.select("toxic", "text").mapInArrow(_neighbours, "feature string, toxic int, near string")
     counts = pairs.distinct().groupBy("feature").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     sizes = rows.groupBy("toxic").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n"))
@@ -283,8 +283,13 @@ def score(df: DataFrame, model: tuple[Field, np.ndarray | None, float], id_col:
 
 
 def learn_and_score(df: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0) -> DataFrame:
-    """(doc_id, held_out, score, predicted): fitted on labels of ids whose crc class is not the held-out one."""
+    """(doc_id, held_out, score, predicted, n_toxic_words, spans): fitted on labels of ids whose crc class is not the
+    held-out one; spans are the offending words' start:end, in code points, comma-joined."""
     used = labels.where(crc_class("doc_id", parts) != held_out).select(F.col("doc_id").cast("string").alias("id"), "toxic")
     model = fit(df.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")), used)
     scored = score(df, model)
-    return scored.select("doc_id", (crc_class("doc_id", parts) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return scored.select(
+        "doc_id", (crc_class("doc_id", parts) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("spans").cast("long").alias("n_toxic_words"), listed.alias("spans"),
+    )
