@@ -23,10 +23,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER_AZ, cut, slices, text_of, width
+from .common import LOWER_AZ, cut, slices, text_of, whole_rows, width
 
 #: Bytes of a text in the range key.
 HEAD = 64
@@ -109,14 +110,53 @@ def group_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows that are kept. Decisions are joined back by id and digest, and of rows that are the same in both
-    (repeated rows) one is taken."""
-    kept = group_copies(df, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest"))
-    keyed = df.withColumn("__key", F.sha2(_lower_az(text_of(text_col)).cast("binary"), 256))
-    joined = keyed.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__digest")), "left_semi")
-    return joined.dropDuplicates([id_col, "__key"]).drop("__key")
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each run of equal texts, `edge` where the run is the partition's first or last."""
+    part = TaskContext.get().partitionId()
+    last: bytes | None = None
+    waiting: pa.RecordBatch | None = None  # the last run's first row
+    runs = 0
+
+    def out(rows: pa.RecordBatch, edge: bool) -> pa.RecordBatch:
+        n = rows.num_rows
+        return pa.RecordBatch.from_arrays([rows.column("row"), rows.column("digest"), pa.array(np.full(n, edge)), pa.array(np.full(n, part, dtype=np.int32))], ["row", "digest", "edge", "part"])
+
+    for batch in batches:
+        new = []
+        for i, text in enumerate(batch.column("norm").to_pylist()):
+            if text != last:
+                new.append(i)
+                last = text
+        if not new:
+            continue
+        first = batch.take(pa.array(new, pa.int32()))
+        if waiting is not None:
+            yield out(waiting, runs == 1)
+        runs += len(new)
+        if len(new) > 1:
+            if waiting is None:
+                yield out(first.slice(0, 1), True)
+            yield out(first.slice(int(waiting is None), len(new) - 1 - int(waiting is None)), False)
+        waiting = first.slice(len(new) - 1)
+    if waiting is not None:
+        yield out(waiting, True)
+
+
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
+    """df's rows that are kept, one of each group; of rows with equal text and id any one. Whole rows are sorted by
+    their texts, in one shuffle; runs that a partition's border cuts are known by their SHA-256, two rows a partition."""
+    norm = lambda text: _lower_az(F.coalesce(text.cast("string"), F.lit(""))).cast("binary")
+    rows = df.select(whole_rows(df), F.col(id_col).cast("long").alias("id"), norm(F.col(text_col)).alias("norm"))
+    rows = rows.select("row", "id", F.substring("norm", 1, HEAD).alias("head"), F.unhex(F.sha2("norm", 256)).alias("digest"))
+    largest_first = F.col("id").desc_nulls_last()
+    rows = rows.repartitionByRange(partitions or width(df), "head", "digest", largest_first)
+    rows = rows.withColumn("norm", norm(F.col("row").getField(text_col))).sortWithinPartitions("head", "digest", "norm", largest_first)  # made again, not shuffled
+    schema = T.StructType([rows.schema["row"], T.StructField("digest", T.BinaryType()), T.StructField("edge", T.BooleanType()), T.StructField("part", T.IntegerType())])
+    firsts = rows.select("row", "digest", "norm").mapInArrow(_firsts, schema)
+    edges = firsts.where("edge").groupBy(F.col("digest").alias("edge_digest")).agg(F.min("part").alias("first_part"))
+    joined = firsts.join(F.broadcast(edges), F.when(F.col("edge"), F.col("digest")) == F.col("edge_digest"), "left")
+    return joined.where(F.coalesce(F.col("part") == F.col("first_part"), F.lit(True))).select("row.*")
 
 
-def _lower_az(text):
+def _lower_az(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
