@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from takewise.llm import exact_dedup, mixing, quality, sentencepiece_codec, simhash
-from takewise.llm.common import documents, rewritten, small_batches
+from takewise.llm.common import documents, forget, rewritten, small_batches, stage_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """A stage's table is removed when the next one's is written; the last one stays, as the result is read from it."""
+    docs, before = documents(spark, sf_dir), None
     for _, stage in STAGES[:-1]:
-        docs = rewritten(stage(spark, docs, sf_dir))
+        folder = stage_folder(spark)
+        docs = rewritten(stage(spark, docs, sf_dir), folder)
+        if before:
+            forget(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
