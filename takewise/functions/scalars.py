@@ -42,8 +42,3 @@ def pitch_class(hz: Column) -> Column:
 
 def port_prefix(port: Column) -> Column:
     return F.substring_index(port, ".", 1)
-
-
-def span_index(seconds: Column, rate: int, hop: int) -> Column:
-    """Frame of a time, truncated."""
-    return F.floor(seconds * F.lit(float(rate)) / F.lit(float(hop))).cast("bigint")

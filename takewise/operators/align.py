@@ -12,59 +12,69 @@ from ..config import ALIGN_BAND, MIN_COVERAGE
 
 
 def band_distance(ref: DataFrame, prac: DataFrame, sizes: DataFrame, band: float = ALIGN_BAND) -> DataFrame:
-    """(pair_id, i, j, distance) of frames whose relative places differ by band at most. Places are cut into buckets
-    of the band's width; a frame meets its own and the two next to it by an equality join. ref and prac have pair_id,
-    frame and value; sizes has pair_id, n_ref and n_prac."""
+    """(pair_id, i, j, distance): Euclidean distance of frames whose relative places differ by band at most. Places are
+    cut into buckets of the band's width; a frame meets its own and the two next to it by an equality join. ref and prac
+    have pair_id, frame and features ARRAY<DOUBLE>; sizes has pair_id, n_ref and n_prac."""
     place = lambda n: F.floor(F.col("frame") / F.col(n) / band).cast("int")
-    r = ref.join(sizes, "pair_id").select("pair_id", F.col("frame").alias("i"), F.col("value").alias("x"), "n_ref", "n_prac", place("n_ref").alias("bucket"))
-    p = prac.join(sizes, "pair_id").select("pair_id", F.col("frame").alias("j"), F.col("value").alias("y"), F.explode(F.sequence(place("n_prac") - 1, place("n_prac") + 1)).alias("bucket"))
+    r = ref.join(sizes, "pair_id").select("pair_id", F.col("frame").alias("i"), F.col("features").alias("x"), "n_ref", "n_prac", place("n_ref").alias("bucket"))
+    p = prac.join(sizes, "pair_id").select("pair_id", F.col("frame").alias("j"), F.col("features").alias("y"), F.explode(F.sequence(place("n_prac") - 1, place("n_prac") + 1)).alias("bucket"))
     near = F.abs(F.col("i") / F.col("n_ref") - F.col("j") / F.col("n_prac")) <= band
-    return r.join(p, ["pair_id", "bucket"]).where(near).select("pair_id", "i", "j", F.abs(F.col("x") - F.col("y")).alias("distance"))
+    squares = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
+    return r.join(p, ["pair_id", "bucket"]).where(near).select("pair_id", "i", "j", F.sqrt(squares).alias("distance"))
 
 
 def banded_path(x: np.ndarray, y: np.ndarray, band: float, tie_break: str) -> list[tuple[int, int]]:
-    """Least-cost monotone path through frames (rows) within the band; costs are kept for the band alone. Of equal
-    costs `diagonal` takes the diagonal, then up, then left; `as_written` takes up, then left, then the diagonal."""
+    """Least-cost monotone path through frames (rows) within the band, by anti-diagonals: all cells of one depend on the
+    two before it alone, so of the costs three diagonals are kept and of the way back a byte a cell of the band. Of
+    equal costs `diagonal` takes the diagonal, then up, then left; `as_written` up, then left, then the diagonal."""
     n, m = len(x), len(y)
-    low = [max(0, int(np.ceil((i / n - band) * m - 1e-9))) for i in range(n)]
-    high = [min(m, int(np.floor((i / n + band) * m + 1e-9)) + 1) for i in range(n)]
-    order = ((-1, -1), (-1, 0), (0, -1)) if tie_break == "diagonal" else ((-1, 0), (0, -1), (-1, -1))
-    cost: list[np.ndarray] = []
-    come: list[np.ndarray] = []
-    for i in range(n):
-        a, b = low[i], high[i]
-        d = np.sqrt(((x[i] - y[a:b]) ** 2).sum(axis=1))
-        row, back = np.full(b - a, np.inf), np.zeros(b - a, dtype=np.int8)
-        above = lambda j: cost[i - 1][j - low[i - 1]] if i and low[i - 1] <= j < high[i - 1] else np.inf  # noqa: E731, B023
-        for j in range(a, b):
-            if i == j == 0:
-                row[0] = d[0]
-                continue
-            found = [(above(j + dj) if di else (row[j - 1 - a] if j > a else np.inf)) for di, dj in order]
-            best = int(np.argmin(found))
-            row[j - a], back[j - a] = found[best] + d[j - a], best
-        cost.append(row)
-        come.append(back)
-    i, j, path = n - 1, m - 1, []
-    if not np.isfinite(cost[i][j - low[i]]):
+    steps = ((-1, -1), (-1, 0), (0, -1)) if tie_break == "diagonal" else ((-1, 0), (0, -1), (-1, -1))
+    room = band * n * m * (1 + 1e-12) + 1e-9
+    one, two = np.full(n + 1, np.inf), np.full(n + 1, np.inf)  # costs of the last diagonals, frame i at i + 1
+    come: list[tuple[int, np.ndarray]] = []
+    for s in range(n + m - 1):
+        lo = max(0, s - m + 1, int(np.ceil((s * n - room) / (n + m))))
+        hi = min(n - 1, s, int(np.floor((s * n + room) / (n + m))))
+        now = np.full(n + 1, np.inf)
+        if lo <= hi:
+            d = np.sqrt(((x[lo : hi + 1] - y[s - hi : s - lo + 1][::-1]) ** 2).sum(axis=1))
+            from_ = np.stack([two[lo : hi + 1] if di and dj else one[lo : hi + 1] if di else one[lo + 1 : hi + 2] for di, dj in steps])
+            best = from_.argmin(axis=0)
+            now[lo + 1 : hi + 2] = d + (from_[best, np.arange(hi - lo + 1)] if s else 0.0)
+            come.append((lo, best.astype(np.int8)))
+        else:
+            come.append((0, np.zeros(0, dtype=np.int8)))
+        one, two = now, one
+    if not np.isfinite(one[n]):
         return []
-    while True:
-        path.append((i, j))
-        if i == j == 0:
-            return path[::-1]
-        di, dj = order[come[i][j - low[i]]]
+    i, j, path = n - 1, m - 1, [(n - 1, m - 1)]
+    while i or j:
+        lo, best = come[i + j]
+        di, dj = steps[best[i - lo]]
         i, j = i + di, j + dj
+        path.append((i, j))
+    return path[::-1]
+
+
+def path_cost(path: DataFrame, ref: DataFrame, prac: DataFrame) -> DataFrame:
+    """(pair_id, n_steps, cost): the sum of the distances along each path."""
+    x = ref.select("pair_id", F.col("frame").alias("reference_frame"), F.col("features").alias("x"))
+    y = prac.select("pair_id", F.col("frame").alias("practice_frame"), F.col("features").alias("y"))
+    squares = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
+    joined = path.join(x, ["pair_id", "reference_frame"]).join(y, ["pair_id", "practice_frame"])
+    return joined.groupBy("pair_id").agg(F.count("*").alias("n_steps"), F.sum(F.sqrt(squares)).alias("cost"))
 
 
 def warp_path(ref: DataFrame, prac: DataFrame, band: float = ALIGN_BAND, tie_break: str = "diagonal") -> DataFrame:
     """(pair_id, step, reference_frame, practice_frame). ref and prac have pair_id, frame and features ARRAY<DOUBLE>;
-    a group is one pair, in memory O(frames * band)."""
+    a group is one pair, in memory O(frames * band). A pair whose band holds no path has no rows."""
 
     def align(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["pair_id", "step", "reference_frame", "practice_frame"]
         if not left.num_rows or not right.num_rows:
             return pa.table({n: pa.array([], pa.int64()) for n in names})
-        x, y = (np.array(t.sort_by("frame").column("features").to_pylist(), dtype=float) for t in (left, right))
+        x, y = (t.sort_by("frame").column("features").combine_chunks() for t in (left, right))
+        x, y = (v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1) for v in (x, y))
         path = np.array(banded_path(x, y, band, tie_break), dtype=np.int64).reshape(-1, 2)
         return pa.table([pa.array(np.full(len(path), left.column("pair_id")[0].as_py())), pa.array(np.arange(len(path))), pa.array(path[:, 0]), pa.array(path[:, 1])], names)
 
@@ -110,3 +120,12 @@ def warp_reindex(path: DataFrame, frames: DataFrame, values: list[str]) -> DataF
     last = frames.groupBy("pair_id").agg(F.max("frame").alias("last"))
     at = first.join(last, "pair_id").select("pair_id", "frame", F.greatest(F.lit(0), F.least("p", "last")).alias("p"))
     return at.join(frames.select("pair_id", F.col("frame").alias("p"), *values), ["pair_id", "p"]).select("pair_id", "frame", *values)
+
+
+def linear_rescale(notes: DataFrame) -> DataFrame:
+    """(pair_id, note_no, scaled_sec): practice onsets stretched to the reference's first and last; null where all
+    practice onsets are one. Such times hide how a pair differs in timing."""
+    of = lambda f, s: f(F.when(F.col("side") == s, F.col("onset_sec")))
+    ends = notes.groupBy("pair_id").agg(of(F.min, "reference").alias("r0"), of(F.max, "reference").alias("r1"), of(F.min, "practice").alias("p0"), of(F.max, "practice").alias("p1"))
+    scaled = F.col("r0") + (F.col("onset_sec") - F.col("p0")) * (F.col("r1") - F.col("r0")) / F.nullif(F.col("p1") - F.col("p0"), F.lit(0.0))
+    return notes.where("side = 'practice'").join(ends, "pair_id").select("pair_id", "note_no", scaled.alias("scaled_sec"))

@@ -1,31 +1,41 @@
-"""Framing, spectra, pitch candidates and note segments, as native array expressions and windows.
+"""Framing, spectra, pitch candidates and note segments.
 
-Samples are rows (take_id, pcm ARRAY<DOUBLE>) or, for long takes, chunks (take_id, chunk_no, pcm).
+Samples are rows (take_id, pcm ARRAY<DOUBLE>) or, for long takes, chunks (take_id, chunk_no, pcm). What needs a
+spectrum or an autocorrelation is computed frame by frame in Arrow batches, many frames at once, and its result stays
+an array in the frame's row, so that no bin or lag is shuffled; the rest is built-in expressions and windows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..config import MIN_NOTE_SEC, VOICED_FLOOR
+from ..config import ALIGN_HOP, FMAX_HZ, FMIN_HZ, FRAME, MIN_NOTE_SEC, PITCH_HOP, RMS_HOP, SAMPLE_RATE, VOICED_FLOOR
+from .pairing import frames_in_spans
 
 
-def frames(samples: DataFrame, length: int, hop: int) -> DataFrame:
-    """(take_id, frame, x): 1 + (n - length) div hop frames; a short take gives one frame filled up with zeros."""
+def frames(samples: DataFrame, length: int, hop: int, most: Column | None = None) -> DataFrame:
+    """(take_id, frame, x): 1 + (n - length) div hop frames, most of them at most; a short take gives one frame filled
+    up with zeros."""
     n = F.size("pcm")
     padded = F.when(n < length, F.concat("pcm", F.array_repeat(F.lit(0.0), F.lit(length) - n))).otherwise(F.col("pcm"))
-    count = F.when(n < length, F.lit(0)).otherwise(F.floor((n - length) / hop).cast("int"))
-    rows = samples.select("take_id", padded.alias("pcm"), F.explode(F.sequence(F.lit(0), count)).alias("frame"))
+    count = F.when(n < length, F.lit(1)).otherwise(F.floor((n - length) / hop).cast("int") + 1)
+    count = count if most is None else F.least(count, most)
+    rows = samples.select("take_id", padded.alias("pcm"), count.alias("count")).where("count > 0")
+    rows = rows.select("take_id", "pcm", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("frame"))
     return rows.select("take_id", F.col("frame").cast("bigint").alias("frame"), F.slice("pcm", F.col("frame") * hop + 1, F.lit(length)).alias("x"))
 
 
-def centered_frames(samples: DataFrame, length: int, hop: int) -> DataFrame:
+def centered_frames(samples: DataFrame, length: int, hop: int, most: Column | None = None) -> DataFrame:
+    """frames() of takes with length / 2 zeros on both ends."""
     half = F.array_repeat(F.lit(0.0), length // 2)
-    return frames(samples.select("take_id", F.concat(half, "pcm", half).alias("pcm")), length, hop)
+    return frames(samples.withColumn("pcm", F.concat(half, "pcm", half)), length, hop, most)
 
 
 def frames_of_chunks(chunks: DataFrame, chunk: int, length: int, hop: int) -> DataFrame:
@@ -52,64 +62,132 @@ def frame_rms(framed: DataFrame, length: int) -> DataFrame:
     return framed.select("take_id", "frame", F.least(F.sqrt(square_sum(F.col("x")) / length), F.lit(1.0)).alias("rms"))
 
 
-def spectrum(framed: DataFrame, length: int) -> DataFrame:
-    """(take_id, frame, k, mag): Hann-windowed magnitudes for k from 0 to length / 2."""
-    rows = framed.select("take_id", "frame", "x", F.explode(F.sequence(F.lit(0), F.lit(length // 2))).alias("k"))
-    index = F.sequence(F.lit(0), F.lit(length - 1))
-    turn = lambda n: F.lit(2 * math.pi / length) * F.pmod(F.col("k") * n, F.lit(length))
-    hann = lambda n: F.lit(0.5) - F.lit(0.5) * F.cos(F.lit(2 * math.pi / length) * n)
-    part = lambda f: F.aggregate(F.zip_with("x", index, lambda x, n: x * hann(n) * f(turn(n))), F.lit(0.0), lambda a, v: a + v)
-    re, im = part(F.cos), part(F.sin)
-    return rows.select("take_id", "frame", F.col("k").cast("bigint").alias("k"), F.sqrt(re * re + im * im).alias("mag"))
+def per_frame(framed: DataFrame, measure: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
+    """(take_id, frame, name): measure maps a matrix of frames to a matrix of results, one row each; frames have the
+    same length throughout."""
+    kind = framed.schema["take_id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            out = np.ascontiguousarray(measure(x), dtype=np.float64)
+            ends = np.arange(0, out.size + 1, out.shape[1], dtype=np.int32) if out.shape[1] else np.zeros(len(out) + 1, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("take_id"), batch.column("frame"), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))], ["take_id", "frame", name])
 
-def align_chroma(spec: DataFrame, rate: float, length: int, fmin: float, fmax: float, base: float = 27.5) -> DataFrame:
-    """(take_id, frame, bin, value): magnitudes folded into twelve classes (bin 0 is A), each frame's length 1."""
-    hz = F.col("k") * (rate / length)
-    bins = F.pmod(F.rint(F.lit(12.0) * F.log2(hz / base)), F.lit(12.0)).cast("bigint")
-    folded = spec.where((F.col("k") > 0) & hz.between(fmin, fmax)).groupBy("take_id", "frame", bins.alias("bin")).agg(F.sum("mag").alias("v"))
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy("take_id", "frame")))
-    return folded.select("take_id", "frame", "bin", F.when(norm > 0, F.col("v") / norm).otherwise(0.0).alias("value"))
+    return framed.select("take_id", "frame", F.col("x").cast("array<double>").alias("x")).mapInArrow(run, f"take_id {kind}, frame long, {name} array<double>")
 
 
-def chroma(spec: DataFrame, rate: float, length: int, base: float = 16.351597831287414) -> DataFrame:
-    """(take_id, frame, bin, value): power through twelve Gaussian filters (bin 0 is C), each frame's maximum 1."""
-    rows = spec.where("k > 0").select("take_id", "frame", "k", "mag", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("bin"))
-    away = F.pmod(F.lit(12.0) * F.log2(F.col("k") * (rate / length) / base) - F.col("bin") + 6, F.lit(12.0)) - 6
-    power = rows.groupBy("take_id", "frame", F.col("bin").cast("bigint").alias("bin")).agg(F.sum(F.col("mag") * F.col("mag") * F.exp(F.lit(-2.0) * away * away)).alias("v"))
-    top = F.max("v").over(W.partitionBy("take_id", "frame"))
-    return power.select("take_id", "frame", "bin", F.when(top > 0, F.col("v") / top).otherwise(0.0).alias("value"))
+def _hann(length: int, periodic: bool = True) -> np.ndarray:
+    return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(length) / max(1, length if periodic else length - 1))
 
 
-def yin_difference(framed: DataFrame, length: int) -> DataFrame:
-    """(take_id, frame, tau, d): cumulative-mean-normalised difference for lags 1 to length / 2."""
-    half = length // 2
-    rows = framed.select("take_id", "frame", "x", F.explode(F.sequence(F.lit(1), F.lit(half))).alias("tau"))
-    pairs = F.zip_with(F.slice("x", 1, half), F.slice("x", F.col("tau") + 1, F.lit(half)), lambda a, b: (a - b) * (a - b))
-    raw = rows.select("take_id", "frame", F.col("tau").cast("bigint").alias("tau"), F.aggregate(pairs, F.lit(0.0), lambda a, v: a + v).alias("raw"))
-    total = F.sum("raw").over(W.partitionBy("take_id", "frame").orderBy("tau").rowsBetween(W.unboundedPreceding, 0))
-    return raw.select("take_id", "frame", "tau", F.when(total > 0, F.col("raw") * F.col("tau") / total).otherwise(1.0).alias("d"))
+def magnitudes(x: np.ndarray, periodic: bool = True) -> np.ndarray:
+    """Hann-windowed magnitudes of each row, bins 0 to length / 2."""
+    return np.abs(np.fft.rfft(x * _hann(x.shape[1], periodic), axis=1))
 
 
-def yin_candidates(diff: DataFrame, rate: float) -> DataFrame:
-    """(take_id, frame, tau, d, f0_hz) of local minima, the lag refined by a parabola."""
-    w = W.partitionBy("take_id", "frame").orderBy("tau")
-    rows = diff.withColumn("before", F.lag("d").over(w)).withColumn("after", F.lead("d").over(w)).where("d < before and d <= after")
-    a, b = F.col("after") + F.col("before") - 2 * F.col("d"), (F.col("after") - F.col("before")) / 2
-    shift = F.when(F.abs(b) >= F.abs(a), F.lit(0.0)).otherwise(-b / a)
-    return rows.select("take_id", "frame", "tau", "d", (F.lit(float(rate)) / (F.col("tau") + shift)).alias("f0_hz"))
+def spectra(framed: DataFrame) -> DataFrame:
+    """(take_id, frame, mag ARRAY<DOUBLE>)"""
+    return per_frame(framed, magnitudes, "mag")
 
 
-def yin_f0(candidates: DataFrame, framed: DataFrame, threshold: float = 0.3, voiced: float = VOICED_FLOOR) -> DataFrame:
+def spectrum(framed: DataFrame) -> DataFrame:
+    """(take_id, frame, k, mag), a row for each bin."""
+    return spectra(framed).select("take_id", "frame", F.posexplode("mag").alias("k", "mag")).withColumn("k", F.col("k").cast("bigint"))
+
+
+def align_chroma(samples: DataFrame, rate: float = SAMPLE_RATE, length: int = 2 * ALIGN_HOP, hop: int = ALIGN_HOP, fmin: float = 27.5, fmax: float = 4200.0, base: float = 27.5) -> DataFrame:
+    """(take_id, frame, bins): magnitudes of centered frames that start within the take, (n - 1) div hop of them, folded
+    into twelve classes (bin 0 is A), each frame's length 1, silent ones all 0."""
+
+    def fold(x: np.ndarray) -> np.ndarray:
+        hz = np.arange(length // 2 + 1) * (rate / length)
+        inside = np.flatnonzero((hz >= fmin) & (hz <= fmax) & (hz > 0))
+        classes = np.mod(np.round(12 * np.log2(hz[inside] / base)).astype(np.int64), 12)
+        folded = magnitudes(x)[:, inside] @ np.eye(12)[classes]
+        norm = np.sqrt((folded * folded).sum(axis=1, keepdims=True))
+        return folded / np.where(norm > 0, norm, 1.0)
+
+    most = F.floor((F.col("n") - 1) / hop).cast("int")
+    return per_frame(centered_frames(samples.withColumn("n", F.size("pcm")), length, hop, most), fold, "bins")
+
+
+def chroma_filters(rate: float, length: int) -> np.ndarray:
+    """Twelve filters (rows, the first is C) over bins 0 to length / 2: Gaussian bumps a bin wide or a semitone, whichever
+    is more, each bin's weights of length 1, then weighted by how far the bin is from the fifth octave."""
+    place = 12 * np.log2(np.arange(1, length) * rate / length / 27.5)  # semitones above the lowest A
+    place = np.concatenate(([place[0] - 18], place))  # the bin at 0 Hz: an octave and a half below the next
+    spread = np.append(np.maximum(np.diff(place), 1.0), 1.0)
+    away = np.mod(place - np.arange(12)[:, None] + 6, 12) - 6
+    bump = np.exp(-2.0 * (away / spread) ** 2)
+    bump = bump / np.sqrt((bump * bump).sum(axis=0)) * np.exp(-0.5 * ((place / 12 - 5) / 2) ** 2)
+    return bump[(np.arange(12) + 3) % 12, : length // 2 + 1]
+
+
+def chroma(samples: DataFrame, rate: float = SAMPLE_RATE, length: int = FRAME, hop: int = ALIGN_HOP) -> DataFrame:
+    """(take_id, frame, bins): power of centered frames through chroma_filters, each frame's maximum 1, silent ones 0."""
+
+    def filtered(x: np.ndarray) -> np.ndarray:
+        power = magnitudes(x) ** 2 @ chroma_filters(rate, length).T
+        top = power.max(axis=1, keepdims=True)
+        return np.clip(power / np.where(top > 0, top, 1.0), 0.0, 1.0)
+
+    return per_frame(centered_frames(samples, length, hop), filtered, "bins")
+
+
+def lags(rate: float, length: int, fmin: float, fmax: float) -> tuple[int, int]:
+    """Least and largest lag of a frame's pitch."""
+    return int(math.floor(rate / fmax)), min(int(math.ceil(rate / fmin)), length - 1)
+
+
+def yin_difference(framed: DataFrame, length: int = FRAME, rate: float = SAMPLE_RATE, fmin: float = FMIN_HZ, fmax: float = FMAX_HZ) -> DataFrame:
+    """(take_id, frame, d): cumulative-mean-normalised difference at lags floor(rate / fmax) to ceil(rate / fmin). The
+    difference at lag k is 2 (acf(0) - acf(k)) less the energy of the first k samples, none at lag 1."""
+    low, high = lags(rate, length, fmin, fmax)
+
+    def measure(x: np.ndarray) -> np.ndarray:
+        size = 1 << (2 * length - 1).bit_length()
+        acf = np.fft.irfft(np.abs(np.fft.rfft(x, size, axis=1)) ** 2, size, axis=1)[:, : high + 1]
+        energy = np.cumsum(x * x, axis=1)[:, :high]
+        energy[:, 0] = 0.0
+        raw = 2 * (acf[:, :1] - acf[:, 1:]) - energy
+        mean = np.cumsum(raw, axis=1) / np.arange(1, high + 1)
+        return raw[:, low - 1 :] / (mean[:, low - 1 :] + np.finfo(np.float64).tiny)
+
+    return per_frame(framed, measure, "d")
+
+
+def _minima(low: int, rate: float) -> Column:
+    """Structs (tau, d, f0_hz) of the local minima of column d, the lag refined by a parabola but for the last."""
+    d = lambda i: F.get("d", i)
+
+    def candidate(i: Column) -> Column:
+        a, b = d(i + 1) + d(i - 1) - 2 * d(i), (d(i + 1) - d(i - 1)) / 2
+        shift = F.when(F.abs(b) >= F.abs(a), F.lit(0.0)).otherwise(-b / a)
+        tau = i + low
+        return F.struct(tau.cast("bigint").alias("tau"), d(i).alias("d"), (F.lit(float(rate)) / (tau + F.coalesce(shift, F.lit(0.0)))).alias("f0_hz"))
+
+    inner = F.when(F.size("d") > 1, F.sequence(F.lit(1), F.size("d") - 1)).otherwise(F.array().cast("array<int>"))
+    lowest = F.filter(inner, lambda i: (d(i) < d(i - 1)) & F.coalesce(d(i) <= d(i + 1), F.lit(True)))
+    return F.transform(lowest, candidate)
+
+
+def yin_candidates(diff: DataFrame, low: int, rate: float = SAMPLE_RATE) -> DataFrame:
+    """(take_id, frame, tau, d, f0_hz) of local minima; low is the least lag of diff."""
+    return diff.select("take_id", "frame", F.explode(_minima(low, rate)).alias("c")).select("take_id", "frame", "c.tau", "c.d", "c.f0_hz")
+
+
+def yin_f0(diff: DataFrame, low: int, rate: float = SAMPLE_RATE, threshold: float = 0.3, voiced: float = VOICED_FLOOR) -> DataFrame:
     """(take_id, frame, f0_hz, confidence): the first candidate below the threshold, else the lowest; f0 is 0 where
     the confidence is under the voiced floor."""
-    first = F.min_by("tau", "tau")
-    best = candidates.groupBy("take_id", "frame").agg(
-        F.min(F.when(F.col("d") < threshold, F.struct("tau", "d", "f0_hz"))).alias("early"), F.min(F.struct("d", "tau", "f0_hz")).alias("low"), first.alias("_"))
-    picked = best.select("take_id", "frame", F.coalesce("early.f0_hz", "low.f0_hz").alias("hz"), F.coalesce("early.d", "low.d").alias("d"))
-    joined = framed.select("take_id", "frame").join(picked, ["take_id", "frame"], "left")
+    rows = diff.select("take_id", "frame", _minima(low, rate).alias("c"))
+    early = F.get(F.filter("c", lambda x: x["d"] < threshold), F.lit(0))
+    lowest = F.array_min(F.transform("c", lambda x: F.struct(x["d"].alias("d"), x["tau"].alias("tau"), x["f0_hz"].alias("f0_hz"))))
+    rows = rows.select("take_id", "frame", F.coalesce(early["f0_hz"], lowest["f0_hz"]).alias("hz"), F.coalesce(early["d"], lowest["d"]).alias("d"))
     sure = F.coalesce(F.least(F.greatest(1 - F.col("d"), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
-    return joined.select("take_id", "frame", F.when(sure >= voiced, F.col("hz")).otherwise(0.0).alias("f0_hz"), sure.alias("confidence"))
+    return rows.select("take_id", "frame", F.when(sure >= voiced, F.col("hz")).otherwise(0.0).alias("f0_hz"), sure.alias("confidence"))
 
 
 def voicing(pitch: DataFrame, floor: float = VOICED_FLOOR) -> DataFrame:
@@ -119,13 +197,24 @@ def voicing(pitch: DataFrame, floor: float = VOICED_FLOOR) -> DataFrame:
     return pitch.withColumn("confidence", sure).withColumn("voiced", on.cast("int")).withColumn("f0_hz", F.when(on, F.coalesce(F.nanvl("f0_hz", F.lit(0.0)), F.lit(0.0))).otherwise(0.0))
 
 
-def hps_f0(spec: DataFrame, rate: float, length: int, harmonics: int, kmin: int, kmax: int) -> DataFrame:
-    """(take_id, frame, k, f0_hz): the bin whose product over its multiples is largest, the lowest of equals."""
-    own = spec.where(F.col("k").between(kmin, kmax)).select("take_id", "frame", "k", F.explode(F.sequence(F.lit(1), F.lit(harmonics))).alias("h"))
-    got = own.join(spec.select("take_id", "frame", F.col("k").alias("kh"), "mag"), (F.col("kh") == F.col("k") * F.col("h")) & (own["take_id"] == spec["take_id"]) & (own["frame"] == spec["frame"]))
-    product = got.groupBy(own["take_id"], own["frame"], "k").agg(F.round(F.sum(F.log(F.greatest("mag", F.lit(1e-12)))), 6).alias("p"))
-    best = product.groupBy("take_id", "frame").agg(F.min_by("k", F.struct(-F.col("p"), F.col("k"))).alias("k"))
-    return best.withColumn("f0_hz", F.col("k") * (rate / length))
+def hps_f0(framed: DataFrame, length: int, rate: float = SAMPLE_RATE, harmonics: int = 5, fmin: float = 40.0, fmax: float = 4000.0, least: int = 512) -> DataFrame:
+    """(take_id, frame, k, f0_hz): of the bins from fmin to below fmax, the one whose magnitude, times those at its
+    multiples up to harmonics that the spectrum has, is largest (logarithms to six digits; the lowest of equals). Frames
+    of under least samples, and bands of under eight bins in such a case, have f0 0 and no k."""
+    low, high = (int(np.searchsorted(np.arange(length // 2 + 1) * (rate / length), f)) for f in (fmin, fmax))
+
+    def best(x: np.ndarray) -> np.ndarray:
+        log = np.log(np.maximum(magnitudes(x, periodic=False), 1e-12))
+        total = log.copy()
+        for h in range(2, harmonics + 1):
+            part = log[:, ::h]
+            total[:, : part.shape[1]] += part
+        return low + np.round(total[:, low:high], 6).argmax(axis=1)[:, None].astype(float)
+
+    if length < least or high <= low:
+        return framed.select("take_id", "frame", F.lit(None).cast("bigint").alias("k"), F.lit(0.0).alias("f0_hz"))
+    found = per_frame(framed, best, "k").withColumn("k", F.get("k", F.lit(0)).cast("bigint"))
+    return found.withColumn("f0_hz", F.col("k") * (rate / length))
 
 
 def voiced_runs(pitch: DataFrame, min_frames: int) -> DataFrame:
@@ -135,18 +224,18 @@ def voiced_runs(pitch: DataFrame, min_frames: int) -> DataFrame:
     return runs.withColumn("note_no", F.row_number().over(W.partitionBy("take_id").orderBy("start_frame")).cast("bigint")).drop("run")
 
 
-def note_segments(pitch: DataFrame, rms: DataFrame, pitch_hop_sec: float, rms_hop_sec: float, min_sec: float = MIN_NOTE_SEC) -> DataFrame:
+def note_segments(pitch: DataFrame, rms: DataFrame, pitch_hop: int = PITCH_HOP, rms_hop: int = RMS_HOP, rate: float = SAMPLE_RATE, min_sec: float = MIN_NOTE_SEC) -> DataFrame:
     """(take_id, note_no, start_frame, end_frame, onset_sec, f0_hz, rms): voiced runs of min_sec with their median
-    pitch and the median energy of the energy frames that start in them (of the nearest one if none does)."""
-    runs = voiced_runs(pitch, max(1, math.ceil(min_sec / pitch_hop_sec)))
-    spans = runs.withColumn("onset_sec", F.col("start_frame") * pitch_hop_sec).withColumn("end_sec", F.col("end_frame") * pitch_hop_sec)
-    frame = rms.select("take_id", F.col("frame").alias("rms_frame"), (F.col("frame") * rms_hop_sec).alias("t"), "rms")
-    inside = spans.join(frame, "take_id").where("t >= onset_sec and t < end_sec").groupBy("take_id", "note_no").agg(F.median("rms").alias("inside"))
-    # the nearest energy frame by rounding the onset to its grid, within the take
-    size = rms.groupBy("take_id").agg(F.max("frame").alias("last"))
-    near = spans.join(size, "take_id").withColumn("rms_frame", F.least(F.rint(F.col("onset_sec") / rms_hop_sec).cast("bigint"), F.col("last"))).join(frame, ["take_id", "rms_frame"]).select("take_id", "note_no", F.col("rms").alias("near"))
-    joined = spans.join(inside, ["take_id", "note_no"], "left").join(near, ["take_id", "note_no"], "left")
-    return joined.select("take_id", "note_no", "start_frame", "end_frame", "onset_sec", "f0_hz", F.coalesce("inside", "near").alias("rms"))
+    pitch and the median energy of the energy frames that start in them, or of the nearest one if none does."""
+    runs = voiced_runs(pitch, max(1, math.ceil(round(min_sec * rate / pitch_hop, 9))))
+    up = lambda c: F.ceil(F.col(c) * pitch_hop / rms_hop).cast("bigint")
+    spans = runs.select("take_id", "note_no", up("start_frame").alias("start_frame"), up("end_frame").alias("span_end"))
+    inside = frames_in_spans(rms.select("take_id", "frame", "rms"), spans).groupBy("take_id", "note_no").agg(F.median("rms").alias("inside"))
+    last = rms.groupBy("take_id").agg(F.max("frame").alias("last"))
+    at = runs.join(last, "take_id", "left").withColumn("at", F.least(F.rint(F.col("start_frame") * pitch_hop / rms_hop).cast("bigint"), F.col("last")))
+    near = at.join(rms.select("take_id", F.col("frame").alias("at"), F.col("rms").alias("near")), ["take_id", "at"], "left")
+    joined = near.join(inside, ["take_id", "note_no"], "left")
+    return joined.select("take_id", "note_no", "start_frame", "end_frame", (F.col("start_frame") * pitch_hop / rate).alias("onset_sec"), "f0_hz", F.coalesce("inside", "near").alias("rms"))
 
 
 def threshold_onsets(rms: DataFrame, level: float = 0.15) -> DataFrame:
@@ -158,22 +247,47 @@ def threshold_onsets(rms: DataFrame, level: float = 0.15) -> DataFrame:
 
 
 def novelty_onsets(db: DataFrame, reach: int, gap: int) -> DataFrame:
-    """(take_id, frame): peaks of the rise in dB above 1.5 times the median within reach frames, at least gap apart,
-    the earlier of two staying."""
+    """(take_id, frame): peaks of the rise in dB above 1.5 times the median within reach frames, the first and the last
+    frame left out, at least gap apart, the earlier of two staying."""
     w = W.partitionBy("take_id").orderBy("frame")
     rise = db.withColumn("n", F.coalesce(F.greatest(F.col("db") - F.lag("db").over(w), F.lit(0.0)), F.lit(0.0)))
     around = F.array_sort(F.collect_list("n").over(w.rowsBetween(-reach, reach)))
     size = F.size(around)
     middle = (F.get(around, F.floor((size - 1) / 2).cast("int")) + F.get(around, F.floor(size / 2).cast("int"))) / 2
-    rows = rise.withColumn("m", middle).withColumn("p", F.lag("n", 1, 0.0).over(w)).withColumn("q", F.lead("n", 1, 0.0).over(w))
-    peaks = rows.where("n > 1.5 * m + 1e-3 and n > p and n >= q").groupBy("take_id").agg(F.array_sort(F.collect_list("frame")).alias("f"))
+    rows = rise.withColumn("m", middle).withColumn("p", F.lag("n").over(w)).withColumn("q", F.lead("n").over(w))
+    peaks = rows.where("n > 1.5D * m + 1e-3D and n >= p and n >= q").groupBy("take_id").agg(F.array_sort(F.collect_list("frame")).alias("f"))
     none = F.array().cast("array<bigint>")
     kept = F.aggregate("f", none, lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= gap), F.array_append(acc, x)).otherwise(acc))
     return peaks.select("take_id", F.explode(kept).alias("frame"))
 
 
-def time_slice(table: DataFrame, t0: float, t1: float, rate: float, hop: int, column: str = "frame") -> DataFrame:
-    """Rows of [t0, t1) seconds; the bounds are literals, so the filter reaches the scan. Other windows give none."""
-    if not (0 <= t0 < t1):
-        return table.limit(0)
+def window_error(t0: Column, t1: Column, upper: Column | None = None) -> Column:
+    """Why [t0, t1) seconds cannot be read, or null."""
+    odd = lambda t: t.isNull() | F.isnan(t)
+    code = F.when(odd(t0) | odd(t1), "NOT_A_NUMBER").when(t0 >= t1, "EMPTY_WINDOW").when(t0 < 0, "NEGATIVE_START")
+    return code if upper is None else code.when(t1 > upper, "BEYOND_END")
+
+
+def time_slice(table: DataFrame, t0: float, t1: float, rate: float = SAMPLE_RATE, hop: int = 1, column: str = "frame", in_seconds: bool = False) -> DataFrame:
+    """Rows of [t0, t1) seconds: samples (hop 1) and frames from floor(t0 * rate / hop) to before floor(t1 * rate / hop),
+    path points by the time of their reference frame and notes by their onset (in_seconds, the column holding seconds or,
+    with hop, frames). The bounds are literals, so the filter reaches the scan; invalid windows raise."""
+    if not 0 <= t0 < t1:
+        raise ValueError(f"not a window: [{t0}, {t1})")
+    if in_seconds:
+        at = F.col(column) * (hop / rate) if hop > 1 else F.col(column)
+        return table.where((at >= t0) & (at < t1))
     return table.where((F.col(column) >= math.floor(t0 * rate / hop)) & (F.col(column) < math.floor(t1 * rate / hop)))
+
+
+def time_slices(table: DataFrame, windows: DataFrame, rate: float = SAMPLE_RATE, hop: int = 1, column: str = "frame", in_seconds: bool = False) -> DataFrame:
+    """(window_id, error_code, table's columns) of each window's rows; windows has window_id, take_id, t0, t1 and the
+    take's upper bound in seconds. A window that cannot be read has one row with its error, an empty one none."""
+    checked = windows.withColumn("error_code", window_error(F.col("t0"), F.col("t1"), F.col("upper")))
+    bad = checked.where("error_code is not null").select("window_id", "error_code", "take_id")
+    good = checked.where("error_code is null").select("window_id", "take_id", "t0", "t1", F.floor(F.col("t0") * rate / hop).alias("lo"), F.floor(F.col("t1") * rate / hop).alias("hi"))
+    joined = table.join(good, "take_id")
+    at = F.col(column) * (hop / rate) if hop > 1 else F.col(column)
+    inside = (at >= F.col("t0")) & (at < F.col("t1")) if in_seconds else (F.col(column) >= F.col("lo")) & (F.col(column) < F.col("hi"))
+    rows = joined.where(inside).select("window_id", F.lit(None).cast("string").alias("error_code"), *table.columns)
+    return rows.unionByName(bad, allowMissingColumns=True)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DB_FLOOR, DEAD_BAND_SEC, OFF_PITCH_CENTS
+from ..config import DB_FLOOR, DEAD_BAND_SEC, MIN_NOTE_SEC, OFF_PITCH_CENTS, PITCH_HOP, SAMPLE_RATE
 from ..functions.scalars import hz_to_cents, to_db
-from .pairing import pair_by_ordinal
+from .pairing import frames_in_spans, pair_by_ordinal
 
 
 def mad(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -22,39 +22,55 @@ def median_cents(frames: DataFrame, notes: DataFrame) -> DataFrame:
     return voiced.groupBy("take_id", "note_no").agg(F.median(hz_to_cents(F.col("f0_hz"), F.col("base_hz"))).alias("median_cents"), F.median("f0_hz").alias("median_hz"))
 
 
-def pitch_deviation(notes: DataFrame) -> DataFrame:
-    """(pair_id, note_no, cents) of notes paired by ordinal; null where a side is missing or has no pitch."""
-    both = pair_by_ordinal(notes, ["f0_hz"])
-    return both.select("pair_id", "note_no", hz_to_cents(F.col("prac_f0_hz"), F.col("ref_f0_hz")).alias("cents"))
-
-
-def pitch_summary(deviation: DataFrame, off: float = OFF_PITCH_CENTS) -> DataFrame:
+def note_deviation(notes: DataFrame, frames: DataFrame, least_frames: float = MIN_NOTE_SEC * SAMPLE_RATE / PITCH_HOP) -> DataFrame:
+    """(pair_id, note_no, cents, ref_hz, prac_hz) of notes paired by ordinal: the median cents of the practice note's
+    voiced frames less that of the reference note's, both against the reference note's f0_hz, and each side's median
+    pitch. All three are null, and the note counts as unpaired, where a side is missing, has less than least_frames or no
+    voiced frame. notes has pair_id, side, take_id, note_no, f0_hz, start_frame and span_end (exclusive); frames
+    take_id, frame, voiced and f0_hz."""
+    base = notes.where("side = 'reference'").select("pair_id", "note_no", F.col("f0_hz").alias("base_hz"))
+    long_ = notes.where(F.greatest(F.lit(1), F.col("span_end") - F.col("start_frame")) >= least_frames)
+    inside = frames_in_spans(frames.select("take_id", "frame", "voiced", "f0_hz"), long_)
+    medians = median_cents(inside, long_.join(base, ["pair_id", "note_no"]))
+    named = notes.select("take_id", "note_no", "pair_id", "side").join(medians, ["take_id", "note_no"], "left")
+    both = pair_by_ordinal(named, ["median_cents", "median_hz"])
+    cents = F.col("prac_median_cents") - F.col("ref_median_cents")
+    hz = lambda c: F.when(cents.isNotNull(), F.col(c))
+    return both.select("pair_id", "note_no", cents.alias("cents"), hz("ref_median_hz").alias("ref_hz"), hz("prac_median_hz").alias("prac_hz"))
+
+
+def pitch_summary(deviation: DataFrame, off: float = OFF_PITCH_CENTS, rate: int = SAMPLE_RATE) -> DataFrame:
+    """(pair_id, median_abs_cents, off_pitch_ratio, n_notes_used, n_unpaired, sample_rate) of note_deviation's rows."""
     used = F.count("cents")
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     return deviation.groupBy("pair_id").agg(
         zero(F.median(F.abs("cents"))).alias("median_abs_cents"),
         zero(F.avg(F.when(F.col("cents").isNotNull(), (F.abs("cents") > off).cast("double")))).alias("off_pitch_ratio"),
-        used.alias("n_notes_used"), (F.count("*") - used).alias("n_unpaired"),
+        used.alias("n_notes_used"), (F.count("*") - used).alias("n_unpaired"), F.lit(rate).alias("sample_rate"),
     )
 
 
-def timing_summary(matches: DataFrame, notes: DataFrame, dead: float = DEAD_BAND_SEC) -> DataFrame:
-    """Median, spread and shares of early, late and on-time notes of each pair of takes that has notes."""
-    d = matches.select("pair_id", (F.col("prac_sec") - F.col("ref_sec")).alias("dev"))
+def timing_summary(found: DataFrame, dead: float = DEAD_BAND_SEC) -> DataFrame:
+    """(pair_id, median_sec, spread_sec, early_ratio, late_ratio, on_time_ratio, n_notes_used, n_unpaired) of pair_onsets'
+    rows; zeros where no note is matched, no row for a pair with an error."""
+    found = found.where("error_code is null").select("pair_id", (F.col("prac_sec") - F.col("ref_sec")).alias("dev"))
+    d = found.where("dev is not null")
     middle = mad(d, ["pair_id"], "dev")
-    share = lambda cond: F.avg(cond.cast("double"))
-    counted = d.groupBy("pair_id").agg(share(F.col("dev") < -dead).alias("early"), share(F.col("dev") > dead).alias("late"), share(F.abs("dev") <= dead).alias("on_time"), F.count("*").alias("n"))
-    sizes = notes.groupBy("pair_id").agg(F.count("*").alias("n_all"))
-    joined = sizes.join(middle, "pair_id", "left").join(counted, "pair_id", "left")
+    share = lambda cond: F.coalesce(F.avg(F.when(F.col("dev").isNotNull(), cond.cast("double"))), F.lit(0.0))
+    counted = found.groupBy("pair_id").agg(
+        share(F.col("dev") < -dead).alias("early_ratio"), share(F.col("dev") > dead).alias("late_ratio"), share(F.abs("dev") <= dead).alias("on_time_ratio"),
+        F.count("dev").alias("n_notes_used"), F.count_if(F.col("dev").isNull()).alias("n_unpaired"),
+    )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    used = F.coalesce("n", F.lit(0))
-    return joined.select("pair_id", zero("median").alias("median_sec"), zero("mad").alias("spread_sec"), zero("early").alias("early_ratio"), zero("late").alias("late_ratio"), zero("on_time").alias("on_time_ratio"), used.alias("n_notes_used"), (F.col("n_all") - 2 * used).alias("n_unpaired"))
+    joined = counted.join(middle, "pair_id", "left")
+    return joined.select("pair_id", zero("median").alias("median_sec"), zero("mad").alias("spread_sec"), "early_ratio", "late_ratio", "on_time_ratio", "n_notes_used", "n_unpaired")
 
 
-def note_energy(frames: DataFrame, floor: float = DB_FLOOR) -> DataFrame:
-    """(take_id, note_no, median_db, mean_db) of each note's frames; spans that stay at the floor are dropped."""
+def note_energy(frames: DataFrame, by: tuple[str, ...] = (), floor: float = DB_FLOOR) -> DataFrame:
+    """(take_id, note_no, by, median_db, mean_db) of each note's frames, by naming columns that a take has one value of;
+    spans that stay at the floor are dropped."""
     db = frames.withColumn("db", to_db(F.col("rms")))
-    return db.groupBy("take_id", "note_no").agg(F.median("db").alias("median_db"), F.avg("db").alias("mean_db"), F.max("db").alias("top")).where(F.col("top") > floor).drop("top")
+    return db.groupBy("take_id", "note_no", *by).agg(F.median("db").alias("median_db"), F.avg("db").alias("mean_db"), F.max("db").alias("top")).where(F.col("top") > floor).drop("top")
 
 
 def dynamics_summary(pairs: DataFrame) -> DataFrame:
@@ -70,7 +86,3 @@ def dynamics_summary(pairs: DataFrame) -> DataFrame:
 def energy_ratio(frames: DataFrame) -> DataFrame:
     one = lambda s: F.avg(F.when(F.col("side") == s, F.col("rms")))
     return frames.groupBy("pair_id").agg((one("practice") / F.nullif(one("reference"), F.lit(0.0))).alias("energy_ratio"))
-
-
-def median_abs(value: str) -> Column:
-    return F.median(F.abs(value))

@@ -31,25 +31,48 @@ def frames_in_spans(frames: DataFrame, spans: DataFrame, key: str = "take_id") -
     return seen.where("__kind = 1 and note_no is not null and frame < __stop").select(key, "note_no", "frame", *own)
 
 
-def match_onsets(notes: DataFrame, tolerance: float = MATCH_TOLERANCE_SEC) -> DataFrame:
-    """(pair_id, ref_no, prac_no, ref_sec, prac_sec): order-preserving matches within the tolerance, each pair's onsets
-    being walked in step; the earlier of two that do not match is passed over."""
+def pair_onsets(notes: DataFrame, tolerance: float = MATCH_TOLERANCE_SEC) -> DataFrame:
+    """(pair_id, ref_no, prac_no, ref_sec, prac_sec, error_code): order-preserving matches within the tolerance, the
+    earlier of two that do not match being passed over; unmatched onsets stay, with nulls for the other side. A pair
+    with an onset that is no number, a side whose onsets fall, or, if there is a timeline_basis, one that is not
+    REFERENCE, has one row with ALGORITHM_FAILED and nothing else.
+
+    Onsets of either side that follow one another at more than the tolerance part a pair into islands that no match
+    crosses; each island is walked in step by itself, so what a task holds is bounded by the longest island."""
+    basis = F.col("timeline_basis") != "REFERENCE" if "timeline_basis" in notes.columns else F.lit(False)
+    rows = notes.select("pair_id", "side", "note_no", "onset_sec", F.coalesce(basis, F.lit(True)).alias("basis"))
+    at = F.col("onset_sec")
+    odd = at.isNull() | F.isnan(at) | (F.abs(at) == float("inf")) | F.col("basis")
+    falls = F.coalesce(at < F.lag("onset_sec").over(W.partitionBy("pair_id", "side").orderBy("note_no")), F.lit(False))
+    rows = rows.withColumn("bad", odd | falls).withColumn("bad", F.bool_or("bad").over(W.partitionBy("pair_id")))
+    errors = rows.where("bad").groupBy("pair_id").agg(F.lit("ALGORITHM_FAILED").alias("error_code"))
+    order = W.partitionBy("pair_id").orderBy("onset_sec", "side", "note_no")
+    starts = F.coalesce(at - F.lag("onset_sec").over(order) > tolerance + 1e-9, F.lit(True))
+    good = rows.where("not bad").withColumn("starts", starts.cast("bigint")).withColumn("island", F.sum("starts").over(order.rowsBetween(W.unboundedPreceding, 0)))
     one = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("onset_sec", "note_no"))))
-    pairs = notes.groupBy("pair_id").agg(one("reference").alias("r"), one("practice").alias("p"))
+    islands = good.groupBy("pair_id", "island").agg(one("reference").alias("r"), one("practice").alias("p"))
     start = F.expr("named_struct('i', 0, 'j', 0, 'out', cast(array() as array<struct<a:int,b:int>>))")
 
     def step(acc: Column, _: Column) -> Column:
-        ended = (acc["i"] >= F.size("r")) | (acc["j"] >= F.size("p"))
+        """Puts out a match, or what is passed over: a place of one side, the other's null."""
+        left, right = acc["i"] < F.size("r"), acc["j"] < F.size("p")
         gap = F.get(F.col("p"), acc["j"])["onset_sec"] - F.get(F.col("r"), acc["i"])["onset_sec"]
-        both = lambda i, j, out: F.struct(i.alias("i"), j.alias("j"), out.alias("out"))
-        hit = both(acc["i"] + 1, acc["j"] + 1, F.array_append(acc["out"], F.struct(acc["i"].alias("a"), acc["j"].alias("b"))))
-        move = F.when(gap > 0, both(acc["i"] + 1, acc["j"], acc["out"])).otherwise(both(acc["i"], acc["j"] + 1, acc["out"]))
-        return F.when(ended, acc).when(F.abs(gap) <= tolerance, hit).otherwise(move)
-
-    steps = F.when(F.size("r") + F.size("p") > 0, F.sequence(F.lit(1), F.size("r") + F.size("p"))).otherwise(F.array().cast("array<int>"))
-    found = pairs.select("pair_id", "r", "p", F.explode(F.aggregate(steps, start, step, lambda acc: acc["out"])).alias("m"))
+        hit = left & right & F.coalesce(F.abs(gap) <= tolerance, F.lit(False))
+        skips_ref = left & (~right | F.coalesce(gap > 0, F.lit(False))) & ~hit
+        put = F.struct(F.when(hit | skips_ref, acc["i"]).alias("a"), F.when(hit | ~skips_ref, acc["j"]).alias("b"))
+        moved = F.struct((acc["i"] + (hit | skips_ref).cast("int")).alias("i"), (acc["j"] + (hit | ~skips_ref).cast("int")).alias("j"), F.array_append(acc["out"], put).alias("out"))
+        return F.when(left | right, moved).otherwise(acc)
+
+    steps = F.sequence(F.lit(1), F.size("r") + F.size("p"))
+    found = islands.select("pair_id", "r", "p", F.explode(F.aggregate(steps, start, step, lambda acc: acc["out"])).alias("m"))
     r, p = F.get("r", F.col("m.a")), F.get("p", F.col("m.b"))
-    return found.select("pair_id", r["note_no"].alias("ref_no"), p["note_no"].alias("prac_no"), r["onset_sec"].alias("ref_sec"), p["onset_sec"].alias("prac_sec"))
+    matched = found.select("pair_id", r["note_no"].alias("ref_no"), p["note_no"].alias("prac_no"), r["onset_sec"].alias("ref_sec"), p["onset_sec"].alias("prac_sec"), F.lit(None).cast("string").alias("error_code"))
+    return matched.unionByName(errors, allowMissingColumns=True)
+
+
+def match_onsets(notes: DataFrame, tolerance: float = MATCH_TOLERANCE_SEC) -> DataFrame:
+    """(pair_id, ref_no, prac_no, ref_sec, prac_sec): the matches of pair_onsets alone."""
+    return pair_onsets(notes, tolerance).where("ref_no is not null and prac_no is not null").drop("error_code")
 
 
 def comparison_line(series: DataFrame, key: list[str]) -> DataFrame:
@@ -60,11 +83,29 @@ def comparison_line(series: DataFrame, key: list[str]) -> DataFrame:
     return both.withColumn("ref_cents", F.when(F.col("ref_value") > 0, F.lit(0.0))).withColumn("prac_cents", cents)
 
 
-def set_similarity(tokens: DataFrame, id_col: str = "id", token_col: str = "token") -> DataFrame:
-    """(a, b, similarity): Jaccard similarity above 0 of token sets, a < b, by an inverted index."""
-    t = tokens.select(F.col(id_col).alias("id"), F.col(token_col).alias("token")).distinct()
-    sizes = t.groupBy("id").agg(F.count("*").alias("n"))
-    both = t.select(F.col("id").alias("a"), "token").join(t.select(F.col("id").alias("b"), "token"), "token").where("a < b")
-    shared = both.groupBy("a", "b").agg(F.count("*").alias("shared"))
-    joined = shared.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
-    return joined.select("a", "b", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("similarity"))
+def set_similarity(tokens: DataFrame, threshold: float, id_col: str = "id", token_col: str = "token") -> tuple[DataFrame, DataFrame]:
+    """((a, b, similarity), (id, representative)): all pairs of different token sets, a < b, whose Jaccard similarity is
+    the threshold or more; equal sets are one, told by its smallest id.
+
+    Tokens are ordered by the number of sets that have them, the rarest first. Two sets of n tokens and similarity t
+    share one among the first n - ceil(t n) + 1 of each, so only these are joined, where sizes allow t at all, and a
+    pair of sets is verified in full. Nothing is lost by this, and common tokens are joined only where a set has no
+    others."""
+    kind = tokens.schema[token_col].dataType
+    sets = tokens.select(F.col(id_col).alias("id"), F.col(token_col).alias("token")).where("token is not null").groupBy("id").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    classes = sets.groupBy("tokens").agg(F.min("id").alias("representative"), F.collect_list("id").alias("ids"))
+    members = classes.select(F.explode("ids").alias("id"), "representative")
+    own = classes.select(F.col("representative").alias("id"), "tokens", F.size("tokens").alias("n"))
+    often = own.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("sets"))
+    ranked = own.select("id", "n", F.explode("tokens").alias("token")).join(often, "token")
+    rare_first = ranked.groupBy("id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("sets", "token"))), lambda x: x["token"]).alias("ordered"))
+    prefix = F.slice("ordered", F.lit(1), (F.col("n") - F.ceil(F.round(F.col("n") * threshold, 9)) + 1).cast("int"))
+    keys = rare_first.select("id", "n", F.explode(prefix.cast(f"array<{kind.simpleString()}>")).alias("token"))
+    a, b = (keys.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), "token") for x in "ab")
+    near = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.round(F.greatest("n_a", "n_b") * threshold, 9))
+    pairs = a.join(b, "token").where(near).select("a", "b").distinct()
+    side = lambda x: own.select(F.col("id").alias(x), F.col("tokens").alias(f"t_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("t_a", "t_b"))
+    similarity = shared / (F.size("t_a") + F.size("t_b") - shared)
+    return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold), members

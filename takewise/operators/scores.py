@@ -1,6 +1,7 @@
 """Score tables: notes from events, tempo maps, melody extraction, repeats, planted defects and checks.
 
-Ticks and midi numbers are BIGINT; a score has song_id, note_no, st_tick, en_tick, midi and velocity.
+Ticks and midi numbers are BIGINT; a score has song_id, note_no, st_tick, en_tick, midi and velocity. Times are sums of
+ticks times microseconds a beat, kept as whole numbers until they become seconds.
 """
 
 from __future__ import annotations
@@ -9,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-BEAT_TICKS = 480
+from ..config import ALLOWED_MIDI, BEAT_TICKS, LEAD_SEC, MIN_NOTE_SEC, MOST_REPEATS, OFF_PITCH_CENTS, PREFERRED_MIDI, PREFERRED_SEC, QC_PASS, SONG_SEC, TAIL_SEC
+from ..functions.scalars import hz_to_midi, midi_to_hz, note_name
+from .pairing import frames_in_spans
 
 
 def notes_of_events(events: DataFrame) -> DataFrame:
@@ -28,41 +31,60 @@ def notes_of_events(events: DataFrame) -> DataFrame:
     return on.join(off, [*key, "rank"]).where("en_tick > st_tick").select(*key, "st_tick", "en_tick", "velocity")
 
 
-def tempo_segments(tempo: DataFrame, beat: int = BEAT_TICKS) -> DataFrame:
-    """tempo with next_tick and sec (seconds up to the segment's start)."""
+def tempo_segments(tempo: DataFrame) -> DataFrame:
+    """tempo with next_tick and passed: ticks times microseconds a beat up to the segment's start."""
     w = W.partitionBy("song_id").orderBy("tick")
-    t = tempo.withColumn("next_tick", F.lead("tick").over(w)).withColumn("sec_per_tick", F.col("us_per_beat") / F.lit(1e6) / beat)
-    took = (F.col("tick") - F.lag("tick").over(w)) * F.lag("sec_per_tick").over(w)
-    return t.withColumn("took", F.coalesce(took, F.lit(0.0))).withColumn("sec", F.sum("took").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("took")
+    took = F.coalesce((F.col("tick") - F.lag("tick").over(w)) * F.lag("us_per_beat").over(w), F.lit(0).cast("bigint"))
+    t = tempo.withColumn("next_tick", F.lead("tick").over(w)).withColumn("took", took)
+    return t.withColumn("passed", F.sum("took").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("took")
+
+
+def _segments(tempo: DataFrame, order: str) -> DataFrame:
+    """A song's segments as one array in order, so that rows are never multiplied."""
+    first = F.col(order).alias("__at")
+    return tempo_segments(tempo).groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct(first, F.col("tick").alias("t"), F.col("passed").alias("p"), F.col("us_per_beat").alias("u")))).alias("__seg"))
+
+
+def _last(at: Column) -> Column:
+    """The last segment that starts at or before a place; what is before the first takes the first."""
+    return F.element_at(F.filter("__seg", lambda s: s["__at"] <= F.greatest(at, F.get("__seg", F.lit(0))["__at"])), -1)
+
+
+def seconds(tick_us: Column, beat: int = BEAT_TICKS) -> Column:
+    return tick_us / F.lit(1e6 * beat)
 
 
 def tick_to_sec(rows: DataFrame, tempo: DataFrame, tick: str, out: str, beat: int = BEAT_TICKS) -> DataFrame:
-    """rows with the seconds of a tick column, by the last tempo segment that starts at or before it. A song's segments
-    travel as one sorted array, so rows are never multiplied; ticks before the first segment take its tempo."""
-    seg = tempo_segments(tempo, beat).groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct(F.col("tick").alias("__tick"), "sec", "sec_per_tick"))).alias("__seg"))
-    last = F.element_at(F.filter("__seg", lambda s: s["__tick"] <= F.greatest(F.col(tick), F.get("__seg", F.lit(0))["__tick"])), -1)
-    joined = rows.join(seg, "song_id").withColumn("__last", last)
-    return joined.withColumn(out, F.col("__last.sec") + (F.col(tick) - F.col("__last.__tick")) * F.col("__last.sec_per_tick")).drop("__seg", "__last")
+    """rows with the seconds of a tick column, by the last tempo segment that starts at or before it; ticks before the
+    first segment take its tempo."""
+    joined = rows.join(_segments(tempo, "tick"), "song_id").withColumn("__last", _last(F.col(tick)))
+    passed = F.col("__last.p") + (F.col(tick) - F.col("__last.t")) * F.col("__last.u")
+    return joined.withColumn(out, seconds(passed, beat)).drop("__seg", "__last")
 
 
 def sec_to_tick(rows: DataFrame, tempo: DataFrame, sec: str, out: str, beat: int = BEAT_TICKS) -> DataFrame:
     """rows with the smallest tick that reaches a time."""
-    seg = tempo_segments(tempo, beat).groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct(F.col("sec").alias("__sec"), F.col("tick").alias("__tick"), "sec_per_tick"))).alias("__seg"))
-    last = F.element_at(F.filter("__seg", lambda s: s["__sec"] <= F.greatest(F.col(sec), F.get("__seg", F.lit(0))["__sec"])), -1)
-    joined = rows.join(seg, "song_id").withColumn("__last", last)
-    ticks = F.ceil(F.round((F.col(sec) - F.col("__last.__sec")) / F.col("__last.sec_per_tick"), 6))
-    return joined.withColumn(out, F.col("__last.__tick") + ticks).drop("__seg", "__last")
+    want = F.col(sec) * F.lit(1e6 * beat)
+    joined = rows.join(_segments(tempo, "passed"), "song_id").withColumn("__last", _last(want))
+    ticks = F.ceil(F.round((want - F.col("__last.p")) / F.col("__last.u"), 6))
+    return joined.withColumn(out, F.col("__last.t") + ticks).drop("__seg", "__last")
+
+
+def rounded_half_up(x: Column, digits: int) -> Column:
+    """Rounded by way of one multiplication and floor, which other engines repeat to the bit."""
+    scale = F.lit(float(10**digits))
+    return F.floor(x * scale + F.lit(0.5)) / scale
 
 
 def polyphony(score: DataFrame) -> DataFrame:
-    """(song_id, max_voices, poly_ratio): a sweep over starts and ends; ends come first at a tick. The ratio is of the
-    time that sounds at all."""
+    """(song_id, max_voices, poly_ratio): a sweep over starts and ends; ends come first at a tick. The ratio is that of
+    the time with more than one note to all time from the first start to the last end, rests included."""
     ends = F.explode(F.array(F.struct(F.col("st_tick").alias("tick"), F.lit(1).alias("step")), F.struct(F.col("en_tick").alias("tick"), F.lit(-1).alias("step"))))
     steps = score.where("en_tick > st_tick").select("song_id", ends.alias("e")).groupBy("song_id", F.col("e.tick").alias("tick")).agg(F.sum("e.step").alias("step"))
     w = W.partitionBy("song_id").orderBy("tick")
-    run = steps.withColumn("voices", F.sum("step").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("long", F.lead("tick").over(w) - F.col("tick"))
-    time = lambda least: F.sum(F.when(F.col("voices") >= least, F.col("long")).otherwise(0))
-    return run.groupBy("song_id").agg(F.max("voices").alias("max_voices"), (time(2) / F.nullif(time(1), F.lit(0))).alias("poly_ratio"))
+    run = steps.withColumn("voices", F.sum("step").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("long", F.coalesce(F.lead("tick").over(w) - F.col("tick"), F.lit(0)))
+    several = F.sum(F.when(F.col("voices") > 1, F.col("long")).otherwise(0))
+    return run.groupBy("song_id").agg(F.max("voices").alias("max_voices"), (several / F.sum("long")).alias("poly_ratio"))
 
 
 def track_profile(score: DataFrame) -> DataFrame:
@@ -70,17 +92,30 @@ def track_profile(score: DataFrame) -> DataFrame:
     return p.join(polyphony(score), "song_id", "left")
 
 
-def transpose_shift(score: DataFrame, preferred: tuple[int, int] = (60, 96), allowed: tuple[int, int] = (48, 108), most: int = 24) -> DataFrame:
-    """(song_id, shift): the smallest shift (of equals the upward one) that brings all notes into the preferred range,
-    else the allowed one, else null."""
-    r = score.groupBy("song_id").agg(F.min("midi").alias("lo"), F.max("midi").alias("hi"))
-    shifts = F.sequence(F.lit(-most), F.lit(most))
+def transpose_shift(score: DataFrame, preferred: tuple[int, int] = PREFERRED_MIDI, allowed: tuple[int, int] = ALLOWED_MIDI) -> DataFrame:
+    """(song_id, shift, low, high): the smallest shift that brings all notes into the preferred range, else into the
+    allowed one, with that range; 0 and the allowed range for notes that fit into neither."""
+    r = score.groupBy("song_id").agg(F.min("midi").alias("a"), F.max("midi").alias("b"))
+    tried = []
+    for low, high in (preferred, allowed):
+        least, most = F.lit(low) - F.col("a"), F.lit(high) - F.col("b")
+        shift = F.when(least > 0, least).when(most < 0, most).otherwise(0)
+        tried.append(F.when(least <= most, F.struct(shift.cast("bigint").alias("shift"), F.lit(low).alias("low"), F.lit(high).alias("high"))))
+    none = F.struct(F.lit(0).cast("bigint").alias("shift"), F.lit(allowed[0]).alias("low"), F.lit(allowed[1]).alias("high"))
+    return r.select("song_id", F.coalesce(*tried, none).alias("x")).select("song_id", "x.shift", "x.low", "x.high")
+
+
+def bar_bounds(score: DataFrame, bar_ticks: int) -> DataFrame:
+    """(song_id, t0, t1): the whole bars that hold all of a song's notes."""
+    t0 = F.floor(F.min("st_tick") / bar_ticks) * bar_ticks
+    return score.groupBy("song_id").agg(t0.cast("bigint").alias("t0"), (F.ceil(F.max("en_tick") / bar_ticks) * bar_ticks).cast("bigint").alias("t1"))
 
-    def best(low: int, high: int) -> Column:
-        fits = F.filter(shifts, lambda s: (F.col("lo") + s >= low) & (F.col("hi") + s <= high))
-        return F.get(F.array_sort(F.transform(fits, lambda s: F.struct(F.abs(s).alias("a"), (-s).alias("b")))), F.lit(0))["b"]
 
-    return r.select("song_id", (-F.coalesce(best(*preferred), best(*allowed))).cast("bigint").alias("shift"))
+def merge_tracks(tracks: DataFrame, shifts: DataFrame, bounds: DataFrame) -> DataFrame:
+    """tracks (song_id, track, ...) of all tracks of a song together, shifted in pitch by shifts (song_id, shift), those
+    notes that lie within bounds (song_id, t0, t1), from tick 0 on; a track without such notes gives none."""
+    rows = tracks.join(shifts.select("song_id", "shift"), "song_id").join(bounds, "song_id").where("st_tick >= t0 and en_tick <= t1")
+    return rows.withColumns({"midi": F.col("midi") + F.col("shift"), "st_tick": F.col("st_tick") - F.col("t0"), "en_tick": F.col("en_tick") - F.col("t0")}).drop("shift", "t0", "t1")
 
 
 def bar_crop(score: DataFrame, first_bar: int, bars: int, bar_ticks: int) -> DataFrame:
@@ -90,12 +125,13 @@ def bar_crop(score: DataFrame, first_bar: int, bars: int, bar_ticks: int) -> Dat
     return rows.withColumn("st_tick", F.col("st_tick") - a).withColumn("en_tick", F.least("en_tick", F.lit(b)) - a)
 
 
-def decide_repeats(lengths: DataFrame, low: float = 45.0, high: float = 120.0, best: tuple[float, float] = (60.0, 90.0), most: int = 16) -> DataFrame:
-    """lengths (song_id, sec) with repeats: the fewest that come into the best range, else the ones in [low, high]
-    nearest to it, else null."""
-    away = lambda total: F.greatest(F.lit(best[0]) - total, total - F.lit(best[1]), F.lit(0.0))
-    fits = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda k: (k * F.col("sec")).between(low, high))
-    ranked = F.array_sort(F.transform(fits, lambda k: F.struct(F.round(away(k * F.col("sec")), 6).alias("a"), k.alias("k"))))
+def decide_repeats(lengths: DataFrame, allowed: tuple[float, float] = SONG_SEC, best: tuple[float, float] = PREFERRED_SEC, most: int = MOST_REPEATS, around: float = LEAD_SEC + TAIL_SEC) -> DataFrame:
+    """lengths (song_id, sec) with repeats: with lead and tail, the fewest that come into the best range, else the ones
+    within the allowed range nearest to an end of the best one, else null."""
+    total = lambda k: k * F.col("sec") + F.lit(around)
+    away = lambda t: F.when(t.between(*best), 0.0).otherwise(F.least(F.abs(t - best[0]), F.abs(t - best[1])))
+    fits = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda k: total(k).between(*allowed))
+    ranked = F.array_sort(F.transform(fits, lambda k: F.struct(F.round(away(total(k)), 6).alias("a"), k.alias("k"))))
     return lengths.withColumn("repeats", F.get(ranked, F.lit(0))["k"].cast("bigint"))
 
 
@@ -128,38 +164,57 @@ def enforce_mono(score: DataFrame) -> DataFrame:
 
 
 def uniform(seed: int, tag: str, *keys: str) -> Column:
-    """A number in [0, 1) that depends on the seed, the tag and the row's keys alone, however rows are partitioned."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), *(F.col(k) for k in keys)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    """A number in [0, 1) that depends on the seed, the tag and the row's keys alone, however rows are partitioned: the
+    first 52 bits of an MD5."""
+    name = F.concat_ws(":", F.lit(str(seed)), F.lit(tag), *(F.col(k).cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
-def perturb_pitch(score: DataFrame, seed: int, spread: float = 60.0) -> DataFrame:
-    """score with planted_cents in [-spread, spread]."""
-    return score.withColumn("planted_cents", F.round((uniform(seed, "pitch", "song_id", "note_no") * 2 - 1) * spread, 3))
+def _drawn(seed: int, tag: str) -> Column:
+    return uniform(seed, tag, "song_id", "note_no")
 
 
-def perturb_dynamics(score: DataFrame, seed: int, low: float = 0.4, high: float = 1.6) -> DataFrame:
-    factor = F.lit(low) + uniform(seed, "dynamics", "song_id", "note_no") * (high - low)
-    rows = score.withColumn("factor", F.round(factor, 3))
-    return rows.withColumn("velocity", F.least(F.greatest(F.rint(F.col("velocity") * F.col("factor")), F.lit(3.0)), F.lit(127.0)).cast("bigint"))
+def _between(u: Column, low: float, high: float) -> Column:
+    return F.lit(low) + u * F.lit(high - low)
 
 
-def perturb_wrong_notes(score: DataFrame, seed: int, share: float = 0.15, least_ticks: int = 1) -> DataFrame:
-    """score with planted_semitones: of each song's notes that last long enough, the share with the smallest hash moves
-    by one to three semitones either way."""
-    fit = F.col("en_tick") - F.col("st_tick") >= least_ticks
-    rows = score.withColumn("__fit", fit).withColumn("__u", uniform(seed, "wrong", "song_id", "note_no"))
+def perturb_pitch(score: DataFrame, seed: int, share: float = 0.85, sharp: float = 0.68, far: tuple[float, float] = (45.0, 115.0), near: float = 25.0) -> DataFrame:
+    """score with planted_cents: most notes far off, more of them sharp than flat, the others a little."""
+    size = _between(_drawn(seed, "size"), *far) * F.when(_drawn(seed, "sign") < sharp, 1).otherwise(-1)
+    return score.withColumn("planted_cents", rounded_half_up(F.when(_drawn(seed, "far") < share, size).otherwise(_between(_drawn(seed, "near"), -near, near)), 1))
+
+
+def perturb_dynamics(score: DataFrame, seed: int, usual: tuple[float, float] = (0.30, 1.35), faint: tuple[float, float] = (0.12, 0.25), share: float = 0.10) -> DataFrame:
+    """score with velocity times a factor, within 3 to 127: uneven throughout, and a share of the notes nearly silent."""
+    factor = F.when(_drawn(seed, "faint") < share, _between(_drawn(seed, "faint size"), *faint)).otherwise(_between(_drawn(seed, "size"), *usual))
+    rows = score.withColumn("__f", factor).withColumn("factor", rounded_half_up(F.col("__f"), 3))
+    return rows.withColumn("velocity", F.least(F.greatest(F.rint(F.col("velocity") * F.col("__f")), F.lit(3.0)), F.lit(127.0)).cast("bigint")).drop("__f")
+
+
+def first_tempo(rows: DataFrame, tempo: DataFrame) -> DataFrame:
+    """rows with __us, the microseconds a beat at the song's start."""
+    return rows.join(tempo.groupBy("song_id").agg(F.min_by("us_per_beat", "tick").alias("__us")), "song_id")
+
+
+def perturb_wrong_notes(score: DataFrame, tempo: DataFrame, seed: int, share: float = 0.15, least_sec: float = MIN_NOTE_SEC, beat: int = BEAT_TICKS) -> DataFrame:
+    """score with planted_semitones: of each song's notes of least_sec, by the tempo at its start, the share with the
+    smallest hash, one at least, moves by one to three semitones either way, within 21 to 108."""
+    fit = seconds((F.col("en_tick") - F.col("st_tick")) * F.col("__us"), beat) >= least_sec
+    rows = first_tempo(score, tempo).withColumn("__fit", fit).withColumn("__u", _drawn(seed, "wrong"))
     rank = F.row_number().over(W.partitionBy("song_id", "__fit").orderBy("__u", "note_no"))
     size = F.count("*").over(W.partitionBy("song_id", "__fit"))
-    step = F.floor(uniform(seed, "step", "song_id", "note_no") * 3) + 1
-    signed = F.when(uniform(seed, "sign", "song_id", "note_no") < 0.5, -step).otherwise(step)
-    rows = rows.withColumn("planted_semitones", F.when(F.col("__fit") & (rank <= F.floor(size * share + 0.5)), signed).otherwise(0))
-    return rows.withColumn("midi", F.col("midi") + F.col("planted_semitones")).drop("__fit", "__u")
+    step = F.floor(_drawn(seed, "step") * 6) - 3
+    step = F.when(step >= 0, step + 1).otherwise(step)
+    rows = rows.withColumn("planted_semitones", F.when(F.col("__fit") & (rank <= F.greatest(F.lit(1.0), F.rint(size * share))), step).otherwise(0))
+    moved = F.least(F.greatest(F.col("midi") + F.col("planted_semitones"), F.lit(21)), F.lit(108))
+    return rows.withColumn("midi", F.when(F.col("planted_semitones") != 0, moved).otherwise(F.col("midi")).cast("bigint")).drop("__fit", "__u", "__us")
 
 
 def perturb_dropouts(score: DataFrame, seed: int, share: float = 0.12) -> DataFrame:
-    """score with dropped: runs of one to three notes from about share of the notes; a run that would start within
-    another does not."""
-    rows = score.withColumn("__run", F.when(uniform(seed, "drop", "song_id", "note_no") < share, F.floor(uniform(seed, "long", "song_id", "note_no") * 3) + 1).otherwise(0))
+    """score with dropped: from about share of the notes on, a run of one note (twice as likely), two or three; a run
+    that would start within another does not. note_no counts each song's notes from 1 or 0 without gaps."""
+    run = F.greatest(F.lit(1), F.floor(_drawn(seed, "long") * 4)).cast("bigint")
+    rows = score.withColumn("__run", F.when(_drawn(seed, "drop") < share, run).otherwise(0))
     runs = rows.where("__run > 0").groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("note_no", "__run"))).alias("r"))
     none = F.array().cast("array<struct<note_no:bigint,__run:bigint>>")
     free = lambda acc, x: (F.size(acc) == 0) | (x["note_no"] >= F.element_at(acc, -1)["note_no"] + F.element_at(acc, -1)["__run"])
@@ -168,27 +223,99 @@ def perturb_dropouts(score: DataFrame, seed: int, share: float = 0.12) -> DataFr
     return rows.drop("__run").join(gone, ["song_id", "note_no"], "left").withColumn("dropped", F.coalesce("dropped", F.lit(False)))
 
 
-def perturb_timing(mono: DataFrame, seed: int, most: float = 0.4) -> DataFrame:
-    """mono with new_start and new_end (ticks): the boundary between two notes moves by up to most of the shorter one;
-    notes keep their number and order, at least a quarter of their length, and the song its first and last tick. Each
+def perturb_timing(mono: DataFrame, tempo: DataFrame, seed: int, drift: float = 0.055, most_sec: float = 0.090, most_share: float = 0.30, least_sec: float = 0.020, beat: int = BEAT_TICKS) -> DataFrame:
+    """mono with new_start and new_end (ticks). Notes follow one another, so what moves is the boundary between two: by
+    up to most_sec, and most_share of the shorter note, either way, and earlier the nearer the song's end, by drift
+    seconds there; ticks are those of the tempo at the song's start. Both notes of a boundary keep a quarter of their
+    length, and least_sec, else it stays; the song keeps its notes, their order, and its first and last tick. Each
     boundary heeds the one before it, so a song's are folded in order."""
+    w = W.partitionBy("song_id").orderBy("st_tick", "note_no")
     size = F.col("en_tick") - F.col("st_tick")
-    w = W.partitionBy("song_id").orderBy("note_no")
-    rows = mono.withColumn("__long", size).withColumn("__next", F.lead(size).over(w))
-    push = F.when(F.col("__next").isNotNull(), F.rint((uniform(seed, "timing", "song_id", "note_no") * 2 - 1) * most * F.least("__long", "__next"))).otherwise(0).cast("bigint")
-    one = rows.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("note_no", "st_tick", "en_tick", push.alias("push")))).alias("n"))
-    start = F.array().cast("array<struct<note_no:bigint,new_start:bigint,new_end:bigint,moved:bigint>>")
+    rows = first_tempo(mono, tempo).withColumn("__long", size)
+    first, last = F.min("st_tick").over(W.partitionBy("song_id")), F.max("en_tick").over(W.partitionBy("song_id"))
+    shorter = F.least(F.lag("__long").over(w), F.col("__long"))
+    cap = F.least(F.lit(most_sec), F.lit(most_share) * seconds(shorter * F.col("__us"), beat))
+    wish = (_drawn(seed, "timing") * 2 - 1) * cap - F.lit(drift) * (F.col("st_tick") - first) / F.greatest(F.lit(1), last - first)
+    ticks = F.ceil(F.round(F.abs(wish) * F.lit(1e6 * beat) / F.col("__us"), 6)) * F.signum(wish)
+    floor = F.rint(F.lit(least_sec) * F.lit(1e6 * beat) / F.col("__us"))
+    least = F.greatest(F.floor(F.lit(0.25) * F.col("__long")), floor)
+    rows = rows.select("song_id", "note_no", "st_tick", "en_tick", ticks.cast("bigint").alias("push"), least.cast("bigint").alias("least"))
+    one = rows.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("st_tick", "note_no", "en_tick", "push", "least"))).alias("n"))
+    start = F.array().cast("array<struct<note_no:bigint,new_start:bigint,least:bigint>>")
 
     def step(acc: Column, n: Column) -> Column:
-        moved = F.when(F.size(acc) > 0, F.element_at(acc, -1)["moved"]).otherwise(F.lit(0).cast("bigint"))
-        begin, long = n["st_tick"] + moved, n["en_tick"] - n["st_tick"]
-        end = F.greatest(n["en_tick"] + n["push"], begin + F.greatest(F.lit(1).cast("bigint"), F.ceil(long / 4)))
-        return F.array_append(acc, F.struct(n["note_no"].alias("note_no"), begin.alias("new_start"), end.alias("new_end"), (end - n["en_tick"]).alias("moved")))
-
-    return one.select("song_id", F.explode(F.aggregate("n", start, step)).alias("k")).select("song_id", "k.note_no", "k.new_start", "k.new_end")
-
-
-def label_recovery(labels: DataFrame, measured: DataFrame) -> DataFrame:
-    """(song_id, n, median_abs_error, max_abs_error) of measured against planted cents."""
-    both = labels.join(measured, ["song_id", "note_no"]).withColumn("e", F.abs(F.col("measured_cents") - F.col("planted_cents")))
-    return both.groupBy("song_id").agg(F.count("*").alias("n"), F.median("e").alias("median_abs_error"), F.max("e").alias("max_abs_error"))
+        before = F.element_at(acc, -1)
+        low, high = before["new_start"] + before["least"], n["en_tick"] - n["least"]
+        moved = F.when(high < low, n["st_tick"]).otherwise(F.least(F.greatest(n["st_tick"] + n["push"], low), high))
+        begin = F.when(F.size(acc) == 0, n["st_tick"]).otherwise(moved)
+        return F.array_append(acc, F.struct(n["note_no"].alias("note_no"), begin.alias("new_start"), n["least"].alias("least")))
+
+    folded = one.select("song_id", F.element_at("n", -1)["en_tick"].alias("end"), F.posexplode(F.aggregate("n", start, step)).alias("i", "k"))
+    moved = folded.select("song_id", "k.note_no", "k.new_start", F.coalesce(F.lead("k.new_start").over(W.partitionBy("song_id").orderBy("i")), F.col("end")).alias("new_end"))
+    return moved
+
+
+def defect_labels(perturbed: DataFrame, tempo: DataFrame, variant: str, labels: list[str], where: str = "true", beat: int = BEAT_TICKS) -> DataFrame:
+    """(song_id, variant, note_no, onset_sec, midi, label, value): a row for each label column of each perturbed note that
+    the condition keeps; onset_sec is that of the standard."""
+    rows = tick_to_sec(perturbed.where(where), tempo, "st_tick", "__sec", beat)
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("value")) for c in labels)))
+    rows = rows.select("song_id", F.lit(variant).alias("variant"), "note_no", rounded_half_up(F.col("__sec"), 4).alias("onset_sec"), "midi", each.alias("x"))
+    return rows.select("song_id", "variant", "note_no", "onset_sec", "midi", "x.label", "x.value")
+
+
+def expected_notes(score: DataFrame, tempo: DataFrame, beat: int = BEAT_TICKS) -> DataFrame:
+    """(song_id, ordinal, onset_sec, end_sec, duration_sec, midi, name, hz, velocity): notes by start, counted from 0."""
+    rows = tick_to_sec(tick_to_sec(score, tempo, "st_tick", "__on", beat), tempo, "en_tick", "__off", beat)
+    ordinal = F.row_number().over(W.partitionBy("song_id").orderBy("st_tick", "note_no")) - 1
+    return rows.select(
+        "song_id", ordinal.cast("bigint").alias("ordinal"), rounded_half_up(F.col("__on"), 4).alias("onset_sec"), rounded_half_up(F.col("__off"), 4).alias("end_sec"),
+        rounded_half_up(F.col("__off") - F.col("__on"), 4).alias("duration_sec"), "midi", note_name(F.col("midi")).alias("name"), F.round(midi_to_hz(F.col("midi")), 6).alias("hz"), "velocity",
+    )
+
+
+def note_pitch(notes: DataFrame, frames: DataFrame, frame_sec: float, part: tuple[float, float]) -> DataFrame:
+    """notes (take_id, note_no, onset_sec, duration_sec, midi) with estimate: the midi number of the median pitch of the
+    voiced frames (take_id, frame, voiced, f0_hz) in that part of the note, ends included; null without such a frame."""
+    at = lambda share: F.round((F.col("onset_sec") + F.col("duration_sec") * share) / frame_sec, 6)
+    spans = notes.select("take_id", "note_no", F.ceil(at(part[0])).alias("start_frame"), (F.floor(at(part[1])) + 1).alias("span_end"))
+    inside = frames_in_spans(frames.select("take_id", "frame", "voiced", "f0_hz"), spans).where("voiced = 1 and f0_hz > 0")
+    found = inside.groupBy("take_id", "note_no").agg(hz_to_midi(F.median("f0_hz")).alias("estimate"))
+    return notes.join(found, ["take_id", "note_no"], "left")
+
+
+def pitch_qc(notes: DataFrame, frames: DataFrame, frame_sec: float, least_sec: float = MIN_NOTE_SEC, within: float = OFF_PITCH_CENTS, least_share: float = QC_PASS) -> DataFrame:
+    """(take_id, n_stable, n_detected, n_within, pass_rate, median_abs_cents, n_octave, passed) over the notes of
+    least_sec, measured in their 20 to 80 % part; bounds in cents are strict."""
+    stable = note_pitch(notes.where(F.col("duration_sec") >= least_sec), frames, frame_sec, (0.2, 0.8))
+    off = F.abs((F.col("estimate") - F.col("midi")) * 100)
+    rows = stable.withColumn("off", off)
+    rate = F.count_if(F.col("off") < within) / F.count("*")
+    return rows.groupBy("take_id").agg(
+        F.count("*").alias("n_stable"), F.count("off").alias("n_detected"), F.count_if(F.col("off") < within).alias("n_within"), rate.alias("pass_rate"), F.median("off").alias("median_abs_cents"),
+        F.count_if(F.abs(F.col("off") - 1200) < within).alias("n_octave"), (rate >= least_share).alias("passed"),
+    )
+
+
+def label_recovery(labels: DataFrame, notes: DataFrame, frames: DataFrame, frame_sec: float, least_sec: float = MIN_NOTE_SEC) -> DataFrame:
+    """(take_id, n, median_abs_error, max_abs_error): cents measured in the 30 to 80 % part of notes of least_sec, less
+    those planted (labels: take_id, note_no, planted_cents); notes without a voiced frame are left out."""
+    measured = note_pitch(notes.where(F.col("duration_sec") >= least_sec), frames, frame_sec, (0.3, 0.8)).where("estimate is not null")
+    gap = F.abs((F.col("estimate") - F.col("midi")) * 100 - F.col("planted_cents"))
+    both = labels.join(measured, ["take_id", "note_no"]).withColumn("gap", gap)
+    return both.groupBy("take_id").agg(F.count("*").alias("n"), F.median("gap").alias("median_abs_error"), F.max("gap").alias("max_abs_error"))
+
+
+def wrong_note_hits(labels: DataFrame, notes: DataFrame, frames: DataFrame, frame_sec: float, within: float = OFF_PITCH_CENTS) -> DataFrame:
+    """(take_id, n_labels, n_hits): planted wrong notes (labels: take_id, note_no, played_midi) whose measured pitch is
+    the played one's."""
+    both = labels.join(note_pitch(notes, frames, frame_sec, (0.3, 0.8)), ["take_id", "note_no"], "left")
+    return both.groupBy("take_id").agg(F.count("*").alias("n_labels"), F.count_if(F.abs((F.col("estimate") - F.col("played_midi")) * 100) < within).alias("n_hits"))
+
+
+def nearest_row(queries: DataFrame, table: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """queries with nearest: the name of the row of table (by, value, name) with the same by whose value is nearest, the
+    first name of equals. A group's table is one small array."""
+    packed = table.groupBy(by).agg(F.collect_list(F.struct(F.col(value).alias("v"), F.col(name).alias("n"))).alias("__t"))
+    near = F.array_min(F.transform("__t", lambda x: F.struct(F.round(F.abs(x["v"] - F.col(value)), 6).alias("a"), x["n"].alias("n"))))
+    return queries.join(packed, by, "left").withColumn("nearest", near["n"]).drop("__t")

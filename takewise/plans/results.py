@@ -1,16 +1,20 @@
-"""Queries over results: envelopes, checks, series, reports, set operations and files."""
+"""Queries over results: ports, envelopes, checks, runs, series, reports and set operations."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..config import NOTE_NAMES
 from ..functions.scalars import rounded as R
+from ..operators import checks as K
 from ..operators import metrics as G
 from ..operators import pairing as J
 from ..operators import results as O
+from ..operators.checks import Requirement
 from ..sources import adapters as A
 from ..sources.adapters import sql
+from . import notes as N
 
 QUERIES, SQL = {}, {}
 
@@ -25,229 +29,376 @@ def query(text):
     return add
 
 
-#: Result rows of each take, three metrics a take, some of them bad: (pair_id, algorithm_id, ord, key, value, unit,
-#: basis, status).
-_RES = """, res as (
-  select pair_id, alg as algorithm_id, k as ord, alg || case k when 1 then '_median' when 2 then '_reference' else '_practice' end as key, round(avg(value) * k, 6) as value,
-    case when pair_id % 9 = k then 'ms' when k = 1 then 'cents' else 'seconds' end as unit, case when pair_id % 7 = 2 and k = 3 then 'WARPED' else 'REFERENCE' end as basis,
-    case when pair_id % 11 = 4 and alg = 'timing' then 'FAILED' else 'OK' end as status
-  from notes, (select unnest(['pitch', 'timing', 'dynamics']) as alg) a, (select unnest([1, 2, 3]) as k) b group by pair_id, alg, k)
+# ports
+
+#: The ports of a pair: name, element type, dimensions, fields, units, timeline, hop and sample rate.
+_CHROMA = ",".join(NOTE_NAMES)
+PORTS = [("warp_path", "int32", "warp_point,axis", "reference_frame,practice_frame", "index", "REFERENCE", 0, 0), ("pcm.warped.practice", "float32", "sample", "", "amplitude", "WARPED", 0, 44100)]
+for _side in ("reference", "practice"):
+    PORTS += [
+        (f"pcm.mapped.{_side}", "float32", "sample", "", "amplitude", "REFERENCE", 0, 44100), (f"pitch.{_side}", "float32", "frame,field", "f0_hz,voiced,confidence", "hz", "REFERENCE", 2048, 44100),
+        (f"rms.{_side}", "float32", "frame", "", "rms", "REFERENCE", 256, 44100), (f"chroma.lowres.{_side}", "float32", "frame,bin", _CHROMA, "chroma", "REFERENCE", 2048, 0),
+        (f"notes.{_side}", "float32", "note,field", "onset_sec,f0_hz,rms", "index", "REFERENCE", 0, 0),
+    ]
+_PORT_COLUMNS = "port_id, element_type, dims, fields, units, timeline_basis, hop_length, sample_rate"
+
+#: What is wrong with some pairs' ports, in words that both engines read.
+_ABSENT = "(pair_id % 11 = 1 and port_id = 'rms.practice') or (pair_id % 11 = 2 and port_id = 'pcm.mapped.practice')"
+_TWICE = "pair_id % 11 = 3 and port_id = 'warp_path'"
+_PLANTED = {
+    "schema_version": "case when pair_id % 7 = 4 and port_id = 'notes.reference' then 'v2' else 'v1' end",
+    "element_type": "case when pair_id % 7 = 1 and port_id = 'pitch.reference' then 'float64' else element_type end",
+    "dims": "dims",
+    "fields": "case when pair_id % 11 = 4 and port_id = 'pitch.reference' then 'voiced,f0_hz,confidence' when pair_id % 7 = 2 and port_id = 'notes.practice' then 'onset_sec,rms' when pair_id % 11 = 9 and port_id = 'rms.practice' then 'x' else fields end",
+    "units": "case when pair_id % 11 = 7 and port_id = 'pitch.practice' then 'Hz' else units end",
+    "timeline_basis": "case when pair_id % 7 = 3 and port_id = 'pitch.practice' then 'WARPED' else timeline_basis end",
+    "hop_length": "case when pair_id % 11 = 5 and port_id = 'notes.practice' then 256 when pair_id % 11 = 6 and port_id = 'rms.reference' then 0 else hop_length end",
+    "sample_rate": "case when pair_id % 7 = 5 and port_id = 'rms.reference' then 22050 else sample_rate end",
+    "rationale": "case when pair_id % 11 = 8 and port_id = 'chroma.lowres.reference' then '  ' else 'needed' end",
+}
+_literal = lambda v: "'" + v + "'" if isinstance(v, str) else str(v)
+_PORTS = f""", pairs as (select distinct pair_id from notes), base({_PORT_COLUMNS}) as (values {", ".join("(" + ", ".join(map(_literal, p)) + ")" for p in PORTS)}),
+each as (select pair_id, base.* from pairs, base where not ({_ABSENT})),
+all_ports as (select * from each union all select * from each where {_TWICE}),
+ports as (select pair_id, port_id, {", ".join(f"{x} as {c}" for c, x in _PLANTED.items())} from all_ports)
 """
 
 
-def _results(spark, d):
-    avg = A.notes(spark, d).groupBy("pair_id").agg(F.avg("value").alias("v"))
-    rows = avg.select("*", F.explode(F.array(*map(F.lit, ("pitch", "timing", "dynamics")))).alias("algorithm_id")).select("*", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("ord"))
-    k, p = F.col("ord"), F.col("pair_id")
-    return rows.select(
-        "pair_id", "algorithm_id", "ord", F.concat("algorithm_id", F.when(k == 1, "_median").when(k == 2, "_reference").otherwise("_practice")).alias("key"),
-        F.round(F.col("v") * k, 6).alias("value"), F.when(F.pmod(p, F.lit(9)) == k, "ms").when(k == 1, "cents").otherwise("seconds").alias("unit"),
-        F.when((F.pmod(p, F.lit(7)) == 2) & (k == 3), "WARPED").otherwise("REFERENCE").alias("basis"),
-        F.when((F.pmod(p, F.lit(11)) == 4) & (F.col("algorithm_id") == "timing"), "FAILED").otherwise("OK").alias("status"),
-    )
+def _pairs(spark, d):
+    return A.notes(spark, d).select("pair_id").distinct()
 
 
-@query(sql("notes", _RES + "select pair_id, key, unit from res where unit not in ('hz','cents','seconds','db','ratio','count','frames','samples','normalized','none')"))
-def unit_vocabulary_check(spark, d):
-    return O.unit_violations(_results(spark, d)).select("pair_id", "key", "unit")
+def _ports(spark, d):
+    names = _PORT_COLUMNS.split(", ")
+    base = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, p))) for p in PORTS))
+    each = _pairs(spark, d).select("pair_id", F.explode(base).alias("p")).select("pair_id", "p.*").where(f"not ({_ABSENT})")
+    rows = each.unionByName(each.where(_TWICE)).selectExpr("pair_id", "port_id", *(f"{x} as {c}" for c, x in _PLANTED.items()))
+    listed = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
+    return rows.withColumn("dimensions", listed("dims")).withColumn("field_names", listed("fields"))
+
+
+@query(sql("notes", _PORTS + f"""
+select pair_id, port_id, 'duplicate' as rule from ports group by pair_id, port_id having count(*) > 1
+union all select pair_id, m, 'missing' from pairs, (select unnest(['pcm.mapped.reference', 'pcm.mapped.practice']) as m) where (pair_id, m) not in (select (pair_id, port_id) from ports)
+union all select pair_id, port_id, 'rationale' from ports where trim(rationale) = ''
+union all select pair_id, port_id, 'fields' from ports where fields <> case when not contains(dims, ',') then '' when port_id = 'warp_path' then 'reference_frame,practice_frame' when port_id like 'pitch.%' then 'f0_hz,voiced,confidence'
+  when port_id like 'notes.%' then 'onset_sec,f0_hz,rms' when port_id like 'chroma.%' then '{_CHROMA}' end
+union all select pair_id, port_id, 'hop' from ports where case when dims like '%frame%' then hop_length <= 0 else hop_length <> 0 end
+union all select pair_id, port_id, 'unit' from ports where units not in ('amplitude', 'chroma', 'hz', 'index', 'rms', 'cents', 'seconds', 'db', 'ratio', 'count')
+union all select distinct pair_id, port_id, 'symmetry' from ports where regexp_matches(port_id, '[.](reference|practice)$') and port_id not like 'pcm.warped.%' and (pair_id,
+  case when port_id like '%.reference' then replace(port_id, '.reference', '.practice') else replace(port_id, '.practice', '.reference') end) not in (select (pair_id, port_id) from ports)"""))
+def port_integrity(spark, d):
+    return K.port_integrity(_ports(spark, d))
+
+
+NEEDS = (
+    Requirement("pitch", "pitch.reference", element_type="float32", required_fields=("f0_hz", "voiced"), sample_rate=44100),
+    Requirement("pitch", "pitch.practice", timeline_basis="REFERENCE", element_type="float32", required_fields=("f0_hz", "voiced"), sample_rate=44100),
+    Requirement("pitch", "notes.reference", required_fields=("onset_sec", "f0_hz")),
+    Requirement("pitch", "notes.practice", required_fields=("onset_sec", "f0_hz")),
+    Requirement("timing", "notes.reference", schema_version="v1", timeline_basis="REFERENCE"),
+    Requirement("timing", "notes.practice", timeline_basis="REFERENCE"),
+    Requirement("dynamics", "rms.reference", sample_rate=44100),
+    Requirement("dynamics", "rms.practice"),
+    Requirement("dynamics", "pcm.mapped.practice", required=False),
+    Requirement("timbre", "mfcc.reference"),
+)
+_or_null = lambda v: "null" if v is None else _literal(v)
+_NEEDS = ", needs(algorithm_id, place, port_id, required, version, basis, kind, wanted, rate) as (values " + ", ".join(
+    f"('{r.algorithm_id}', {i}, '{r.port_id}', {str(r.required).lower()}, '{r.schema_version}', {_or_null(r.timeline_basis)}, {_or_null(r.element_type)}, '{','.join(r.required_fields)}', {_or_null(r.sample_rate)})" for i, r in enumerate(NEEDS)
+) + """),
+met as (
+  select pairs.pair_id, n.algorithm_id, n.place, n.port_id, n.required, bool_or(p.port_id is not null) as ok from pairs cross join needs n left join ports p on p.pair_id = pairs.pair_id and p.port_id = n.port_id
+    and (n.version = '*' or n.version = p.schema_version) and (n.basis is null or n.basis = p.timeline_basis) and (n.kind is null or n.kind = p.element_type) and (n.rate is null or n.rate = p.sample_rate)
+    and (n.wanted = '' or list_has_all(string_split(p.fields, ','), string_split(n.wanted, ','))) group by all),
+resolved as (
+  select pair_id, algorithm_id, case when bool_or(required and not ok) then 'INCOMPATIBLE' else 'OK' end as status, coalesce(string_agg(port_id, ',' order by place) filter (where ok), '') as available,
+    coalesce(string_agg(port_id, ',' order by place) filter (where not ok and not required), '') as missing_optional, coalesce(string_agg(port_id, ',' order by place) filter (where not ok and required), '') as incompatible_required
+  from met group by pair_id, algorithm_id)
+"""
 
 
-_PORTS = """, ports as (
-  select pair_id, port || '.' || side as port_id, port, side, count(*) as n, case when pair_id % 8 = 3 and port = 'rms' then null else hop end as hop,
-    case when pair_id % 6 = 1 and side = 'practice' and port = 'notes' then 'ms' else unit end as unit, width
-  from notes, (select unnest(['pitch', 'rms', 'notes']) as port, unnest([2048, 256, null]) as hop, unnest(['hz', 'normalized', 'seconds']) as unit, unnest([12, 4, 12]) as width) p
-  where not (pair_id % 10 = 5 and side = 'practice' and port = 'rms') group by all)
-"""
+def _resolved(spark, d):
+    return K.input_resolution(_pairs(spark, d), _ports(spark, d), NEEDS)
 
 
-def _ports(spark, d):
-    n = A.notes(spark, d).groupBy("pair_id", "side").agg(F.count("*").alias("n"))
-    kinds = F.array(*(F.struct(F.lit(a).alias("port"), F.lit(b).cast("int").alias("hop"), F.lit(c).alias("unit"), F.lit(w).alias("width")) for a, b, c, w in (("pitch", 2048, "hz", 12), ("rms", 256, "normalized", 4), ("notes", None, "seconds", 12))))
-    r = n.select("*", F.explode(kinds).alias("k")).select("pair_id", "side", "n", "k.*")
-    p = F.col("pair_id")
-    r = r.where(~((F.pmod(p, F.lit(10)) == 5) & (F.col("side") == "practice") & (F.col("port") == "rms")))
-    return r.select(
-        "pair_id", F.concat_ws(".", "port", "side").alias("port_id"), "port", "side", "n", F.when(~((F.pmod(p, F.lit(8)) == 3) & (F.col("port") == "rms")), F.col("hop")).alias("hop"),
-        F.when((F.pmod(p, F.lit(6)) == 1) & (F.col("side") == "practice") & (F.col("port") == "notes"), "ms").otherwise(F.col("unit")).alias("unit"), "width",
-    )
-
-
-@query(sql("notes", _PORTS + """
-select pair_id, port_id, 'hop' as rule from ports where (hop is null) <> (port = 'notes')
-union all select pair_id, port_id, 'unit' from ports where unit = 'ms'
-union all select a.pair_id, a.port_id, 'symmetry' from ports a where not exists (select 1 from ports b where b.pair_id = a.pair_id and b.port = a.port and b.side <> a.side)"""))
-def port_integrity(spark, d):
-    p = _ports(spark, d)
-    other = p.select("pair_id", "port", F.when(F.col("side") == "reference", "practice").otherwise("reference").alias("side"))
-    found = lambda rows, rule: rows.select("pair_id", "port_id", F.lit(rule).alias("rule"))
-    return found(p.where(F.col("hop").isNull() != (F.col("port") == "notes")), "hop").unionByName(found(O.unit_violations(p), "unit")).unionByName(found(p.join(other, ["pair_id", "port", "side"], "left_anti"), "symmetry"))
+@query(sql("notes", _PORTS + _NEEDS + "select * from resolved"))
+def input_resolution(spark, d):
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return _resolved(spark, d).select("pair_id", "algorithm_id", "status", joined("available"), joined("missing_optional"), joined("incompatible_required"))
 
 
-@query(sql("notes", _RES + """
-select pair_id, algorithm_id, 'unit' as rule from res where unit = 'ms'
-union all select pair_id, algorithm_id, 'basis' from res where status = 'OK' group by pair_id, algorithm_id having count(distinct basis) > 1
-union all select pair_id, algorithm_id, 'failed_with_values' from res where status = 'FAILED' and value is not null group by pair_id, algorithm_id"""))
-def envelope_check(spark, d):
-    r = _results(spark, d)
-    tag = lambda rows, rule: rows.select("pair_id", "algorithm_id", F.lit(rule).alias("rule"))
-    mixed = r.where("status = 'OK'").groupBy("pair_id", "algorithm_id").agg(F.countDistinct("basis").alias("n")).where("n > 1")
-    failed = r.where("status = 'FAILED' and value is not null").groupBy("pair_id", "algorithm_id").count()
-    return tag(O.unit_violations(r), "unit").unionByName(tag(mixed, "basis")).unionByName(tag(failed, "failed_with_values"))
+@query("""
+with asked as (select event_id, case event_id % 6 when 0 then null when 1 then [] when 2 then ['dynamics', 'pitch'] when 3 then ['timbre', 'timing'] when 4 then ['pitch', 'pitch'] else ['x', 'y'] end as names from events),
+reg(name, rank) as (values ('pitch', 0), ('timing', 1), ('dynamics', 2))
+select event_id as request_id, name as algorithm_id, rank, cast(null as varchar) as error_code from asked, reg where names is null or list_contains(names, name)
+union all select event_id, n, null, 'UNKNOWN_ALGORITHM' from (select distinct event_id, unnest(names) as n from asked) where n not in (select name from reg)
+union all select event_id, null, null, 'EMPTY_SELECTION' from asked where len(names) = 0""")
+def algorithm_selection(spark, d):
+    k = F.col("event_id") % 6
+    of = lambda *n: F.array(*map(F.lit, n)).cast("array<string>")
+    names = F.when(k == 1, of()).when(k == 2, of("dynamics", "pitch")).when(k == 3, of("timbre", "timing")).when(k == 4, of("pitch", "pitch")).when(k == 5, of("x", "y"))
+    return K.algorithm_selection(A.table(spark, d, "events").select(F.col("event_id").alias("request_id"), names.alias("names")), ("pitch", "timing", "dynamics"))
+
+
+_DECLARED = ("pitch.reference", "pitch.practice", "rms.reference", "rms.practice", "notes.reference", "mfcc.reference")
+
+
+@query(sql("notes", _PORTS + f""", want as (select pair_id, q.port_id from pairs, (select unnest({list(_DECLARED)}) as port_id) q)
+(select pair_id, port_id, 'missing' as side from want except select pair_id, port_id, 'missing' from ports) union all
+(select pair_id, port_id, 'extra' from ports except select pair_id, port_id, 'extra' from want)"""))
+def port_set_equality(spark, d):
+    return K.port_set_equality(_pairs(spark, d), _ports(spark, d), _DECLARED)
 
 
-_REQ = """, req as (
-  select unnest(['pitch', 'pitch', 'timing', 'timing', 'dynamics', 'dynamics', 'timbre']) as algorithm_id,
-    unnest(['pitch.reference', 'pitch.practice', 'notes.reference', 'notes.practice', 'rms.reference', 'rms.practice', 'mfcc.reference']) as port_id,
-    unnest([true, true, true, true, true, false, true]) as required)
+@query(sql("notes", _PORTS + _NEEDS + 'select distinct port_id, port_id in (select port_id from ports) as "exists" from needs'))
+def port_intersection(spark, d):
+    return K.port_intersection(_ports(spark, d), NEEDS)
+
+
+# envelopes
+
+_ALGORITHMS = ("pitch", "timing", "dynamics")
+_REQUIRED = {a: ",".join(r.port_id for r in NEEDS if r.algorithm_id == a and r.required) for a in _ALGORITHMS}
+_req = "case rank " + " ".join(f"when {i} then '{_REQUIRED[a]}'" for i, a in enumerate(_ALGORITHMS)) + " end"
+_alg = "case rank " + " ".join(f"when {i} then '{a}'" for i, a in enumerate(_ALGORITHMS)) + " end"
+_k = "(pair_id * 3 + rank) % 14"
+#: Envelopes of each pair, and what breaks a rule in some of them.
+_ENVELOPE = {
+    "algorithm_id": f"case when {_k} = 13 then 'timbre?' else {_alg} end",
+    "algorithm_version": f"case when {_k} = 12 then '2' else '1' end",
+    "status": f"case {_k} when 1 then 'DONE' when 2 then 'DEGRADED' when 3 then 'DEGRADED' when 4 then 'FAILED' when 5 then 'FAILED' when 6 then 'INCOMPATIBLE' else 'OK' end",
+    "required": f"case when {_k} = 11 then 'notes.practice' else {_req} end",
+    "consumed": f"case when {_k} = 10 then 'mfcc.reference,notes.practice' else {_req} end",
+    "coverage": f"case {_k} when 3 then cast(0.5 as double) when 8 then cast(1.5 as double) when 9 then cast('nan' as double) end",
+    "warning": f"case when {_k} = 0 then 'short' else '' end",
+    "error_code": f"case {_k} when 5 then 'PLUGIN_INCOMPATIBLE' when 6 then 'PLUGIN_INCOMPATIBLE' when 7 then 'ALGORITHM_FAILED' end",
+    "error_detail": f"case {_k} when 6 then 'no port' end",
+}
+_i = "(pair_id + rank * 5) % 9"
+#: Their items: a scalar, two series and a scalar, and what breaks a rule in some of them.
+_ITEM = {
+    "key": f"case when ord = 1 or (ord = 4 and {_i} = 4) then 'median' when ord = 2 then 'note_reference' when ord = 3 then 'note_practice' when {_i} = 5 then '' else 'n_notes' end",
+    "kind": f"case when ord in (2, 3) then 'series' when ord = 4 and {_i} = 7 then 'table' else 'scalar' end",
+    "unit": f"case when ord = 1 and {_i} = 1 then 'ms' when ord = 4 then 'count' else 'cents' end",
+    "timeline_basis": f"case when ord not in (2, 3) or (ord = 2 and {_i} = 3) then null when ord = 3 and {_i} = 6 then 'WARPED' else 'REFERENCE' end",
+    "n_t": "case when ord in (2, 3) then 3 end",
+    "n_values": f"case when ord = 2 and {_i} = 2 then 2 when ord in (2, 3) then 3 end",
+}
+_ENV = f""", ranked as (select distinct pair_id, rank from notes, (select unnest([0, 1, 2]) as rank)),
+envelopes as (select pair_id, rank, {", ".join(f"{x} as {c}" for c, x in _ENVELOPE.items())} from ranked),
+means as (select pair_id, avg(value) as v from notes group by pair_id),
+items as (
+  select pair_id, rank, ord, {_ENVELOPE["algorithm_id"]} as algorithm_id, {", ".join(f"{x} as {c}" for c, x in _ITEM.items())}, round(v * ord, 6) as value
+  from ranked join means using (pair_id), (select unnest([1, 2, 3, 4]) as ord))
 """
 
 
-_NEEDS = [("pitch", "pitch.reference", True), ("pitch", "pitch.practice", True), ("timing", "notes.reference", True), ("timing", "notes.practice", True), ("dynamics", "rms.reference", True), ("dynamics", "rms.practice", False), ("timbre", "mfcc.reference", True)]
+def _ranked(spark, d):
+    return _pairs(spark, d).select("pair_id", F.explode(F.array(*map(F.lit, range(3)))).alias("rank"))
 
 
-def _requirements():
-    """The declared requirements, to be exploded beside each row."""
-    return F.explode(F.array(*(F.struct(F.lit(a).alias("algorithm_id"), F.lit(p).alias("port_id"), F.lit(r).alias("required")) for a, p, r in _NEEDS))).alias("need")
+def _envelopes(spark, d):
+    e = _ranked(spark, d).selectExpr("pair_id", "rank", *(f"{x} as {c}" for c, x in _ENVELOPE.items()))
+    listed = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
+    return e.withColumns({"required_ports": listed("required"), "consumed_ports": listed("consumed"), "warnings": listed("warning")})
 
 
-@query(sql("notes", _PORTS + _REQ + """, pr as (select distinct pair_id from ports)
-select pr.pair_id, algorithm_id, case when bool_or(required and p.port_id is null) then 'INCOMPATIBLE' when bool_or(p.port_id is null) then 'DEGRADED' else 'OK' end as status,
-  count(p.port_id) as n_available, coalesce(string_agg(case when p.port_id is null then r.port_id end, ',' order by r.port_id), '') as missing
-from pr, req r left join ports p on p.pair_id = pr.pair_id and p.port_id = r.port_id group by pr.pair_id, algorithm_id"""))
-def input_resolution(spark, d):
-    ports = _ports(spark, d)
-    have = ports.groupBy("pair_id").agg(F.collect_set("port_id").alias("have"))
-    rows = have.select("pair_id", "have", _requirements()).groupBy("pair_id", "need.algorithm_id").agg(F.first("have").alias("have"), F.array_sort(F.collect_list("need.port_id")).alias("needs"), F.collect_list(F.when(F.col("need.required"), F.col("need.port_id"))).alias("must"))
-    missing = F.array_except("needs", "have")
-    status = F.when(F.size(F.array_except("must", "have")) > 0, "INCOMPATIBLE").when(F.size(missing) > 0, "DEGRADED").otherwise("OK")
-    return rows.select("pair_id", "algorithm_id", status.alias("status"), (F.size("needs") - F.size(missing)).cast("bigint").alias("n_available"), F.array_join(missing, ",").alias("missing"))
+def _items(spark, d):
+    means = A.notes(spark, d).groupBy("pair_id").agg(F.avg("value").alias("v"))
+    rows = _ranked(spark, d).join(means, "pair_id").select("*", F.explode(F.array(*map(F.lit, range(1, 5)))).alias("ord"))
+    return rows.selectExpr("pair_id", "rank", "ord", f"{_ENVELOPE['algorithm_id']} as algorithm_id", *(f"{x} as {c}" for c, x in _ITEM.items()), "round(v * ord, 6) as value")
 
 
-@query(sql("notes", _PORTS + _REQ + """, c as (select pair_id, list(distinct port_id) as have from ports group by pair_id),
-u as (select c.pair_id, r.algorithm_id, r.port_id from c, req r where (c.pair_id + length(r.port_id)) % 5 <> 0)
-select u.pair_id, u.algorithm_id, u.port_id from u join c using (pair_id) where not list_contains(c.have, u.port_id)"""))
+@query(sql("notes", _ENV + "select pair_id, algorithm_id, key, unit from items where unit not in ('amplitude', 'chroma', 'hz', 'index', 'rms', 'cents', 'seconds', 'db', 'ratio', 'count')"))
+def unit_vocabulary_check(spark, d):
+    return K.unit_violations(_items(spark, d)).select("pair_id", "algorithm_id", "key", "unit")
+
+
+@query(sql("notes", _ENV + """
+select pair_id, algorithm_id, 'status' as rule, status as detail from envelopes where status not in ('OK', 'DEGRADED', 'INCOMPATIBLE', 'FAILED')
+union all select pair_id, algorithm_id, 'unit', key || ' ' || unit from items where unit = 'ms' or kind = 'table'
+union all select pair_id, algorithm_id, 'length', key from items where n_t <> n_values
+union all select pair_id, algorithm_id, 'basis', key from items where kind = 'series' and timeline_basis is null
+union all select pair_id, algorithm_id, 'coverage', case when isnan(coverage) then 'NaN' else cast(coverage as varchar) end from envelopes where isnan(coverage) or coverage < 0 or coverage > 1
+union all select pair_id, algorithm_id, 'evidence', 'no coverage or warning' from envelopes where status = 'DEGRADED' and coverage is null and warning = ''
+union all select pair_id, algorithm_id, 'error', coalesce(error_code, 'none') from envelopes
+  where (status = 'FAILED' and coalesce(error_code, '') not in ('ALGORITHM_FAILED', 'ALGORITHM_TIMEOUT', 'ALGORITHM_RESULT_INVALID')) or (status = 'INCOMPATIBLE' and coalesce(error_code, '') <> 'PLUGIN_INCOMPATIBLE')
+union all select pair_id, algorithm_id, 'no_error', error_code from envelopes where status in ('OK', 'DEGRADED', 'DONE') and error_code is not null"""))
+def envelope_check(spark, d):
+    return K.envelope_check(_envelopes(spark, d), _items(spark, d))
+
+
+_VERSIONS = {a: "1" for a in _ALGORITHMS}
+
+
+@query(sql("notes", _PORTS + _NEEDS + _ENV + f""", e as (
+  select e.*, r.available, case e.algorithm_id {" ".join(f"when '{a}' then '{_REQUIRED[a]}'" for a in _ALGORITHMS)} end as wanted from envelopes e left join resolved r using (pair_id, algorithm_id)),
+lacks as (
+  select pair_id, algorithm_id, wanted, array_to_string(list_filter(string_split(consumed, ','), lambda x: not list_contains(string_split(coalesce(available, ''), ','), x)), ',') as a,
+    array_to_string(list_filter(string_split(consumed, ','), lambda x: not list_contains(string_split(wanted, ','), x)), ',') as b from e)
+select pair_id, algorithm_id, 'algorithm' as rule, algorithm_id as detail from e where wanted is null
+union all select pair_id, algorithm_id, 'version', algorithm_version from e where wanted is not null and algorithm_version <> '1'
+union all select pair_id, algorithm_id, 'required', required from e where wanted is not null and required <> wanted
+union all select pair_id, algorithm_id, 'available', a from lacks where wanted is not null and a <> ''
+union all select pair_id, algorithm_id, 'declared', b from lacks where wanted is not null and b <> ''
+union all select distinct pair_id, algorithm_id, 'key', '' from items where key = ''
+union all select pair_id, algorithm_id, 'key', key from items where key <> '' group by pair_id, algorithm_id, key having count(*) > 1"""))
 def consumed_subset_check(spark, d):
-    have = _ports(spark, d).select("pair_id", "port_id").distinct()
-    consumed = have.select("pair_id").distinct().select("pair_id", _requirements()).select("pair_id", "need.*").where((F.col("pair_id") + F.length("port_id")) % 5 != 0)
-    return consumed.select("pair_id", "algorithm_id", "port_id").join(have, ["pair_id", "port_id"], "left_anti").select("pair_id", "algorithm_id", "port_id")
+    return K.consumed_check(_envelopes(spark, d), _items(spark, d), _resolved(spark, d), _VERSIONS, NEEDS)
+
+
+# projection and runs
+
+_PROJECTED = _ENV + """, shown as (
+  select i.*, i.algorithm_id || '.' || i.key as full_key from items i join envelopes e using (pair_id, algorithm_id) where status in ('OK', 'DEGRADED')),
+again as (select *, row_number() over (partition by pair_id, full_key order by rank, ord) > 1 as again from shown),
+based as (select *, first_value(case when kind = 'series' and not again then timeline_basis end ignore nulls) over (partition by pair_id order by rank, ord rows between unbounded preceding and current row) as first_basis from again),
+projected as (
+  select pair_id, algorithm_id, full_key as key, kind, value, unit, timeline_basis, case when again then 'key repeated' when kind = 'series' and timeline_basis is null then 'timeline basis unknown'
+    when kind = 'series' and timeline_basis <> first_basis then 'timeline basis mixed' end as problem from based
+  union all select pair_id, algorithm_id, null, null, null, null, null, concat_ws(', ', 'status=' || status, 'error_code=' || error_code, error_detail) from envelopes where status not in ('OK', 'DEGRADED')),
+builds as (
+  select pair_id, case when pair_id % 13 = 0 then 'FAILED' else 'DATA_READY' end as state, case when pair_id % 13 = 0 then 'INPUT_TOO_SHORT' end as error_code, case when pair_id % 13 = 0 then '12 s' end as error_detail from (select distinct pair_id from notes)),
+told as (
+  select pair_id, count(*) filter (where problem is null and kind = 'scalar') as n_scalars, count(*) filter (where problem is null and kind = 'series') as n_series,
+    string_agg(coalesce(key, algorithm_id) || ': ' || problem, '; ' order by coalesce(key, algorithm_id) || ': ' || problem) as problems from projected group by pair_id),
+views as (
+  select pair_id, state, coalesce(error_code, case when problems is not null then 'ALGORITHM_RESULT_INVALID' end) as error_code, nullif(concat_ws('; ', error_detail, problems), '') as error_detail,
+    coalesce(n_scalars, 0) as n_scalars, coalesce(n_series, 0) as n_series from builds left join told using (pair_id))
+"""
 
 
-@query("""
-with asked as (select event_id, case event_id % 4 when 0 then 'pitch' when 1 then 'dynamics' when 2 then 'timbre' else 'timing' end as name from events),
-reg(name, rank) as (values ('pitch', 0), ('timing', 1), ('dynamics', 2))
-select event_id, asked.name, rank, case when rank is null then 'UNKNOWN_ALGORITHM' end as error_code from asked left join reg using (name)""")
-def algorithm_selection(spark, d):
-    names = F.array(*map(F.lit, ("pitch", "dynamics", "timbre", "timing")))
-    asked = A.table(spark, d, "events").select("event_id", F.get(names, (F.col("event_id") % 4).cast("int")).alias("name"))
-    registry = spark.createDataFrame([("pitch", 0), ("timing", 1), ("dynamics", 2)], "name string, rank int")
-    return asked.join(F.broadcast(registry), "name", "left").select("event_id", "name", "rank", F.when(F.col("rank").isNull(), "UNKNOWN_ALGORITHM").alias("error_code"))
+def _projected(spark, d):
+    return O.project(_envelopes(spark, d), _items(spark, d))
+
 
+def _builds(spark, d):
+    failed = F.col("pair_id") % 13 == 0
+    return _pairs(spark, d).select("pair_id", F.when(failed, "FAILED").otherwise("DATA_READY").alias("state"), F.when(failed, "INPUT_TOO_SHORT").alias("error_code"), F.when(failed, "12 s").alias("error_detail"))
 
-@query(sql("notes", _RES + """, bad as (select distinct pair_id, algorithm_id from res where status <> 'OK')
-select pair_id, algorithm_id || '.' || key as key, value, unit from res where status = 'OK'"""))
+
+@query(sql("notes", _PROJECTED + "select * from projected"))
 def project_results(spark, d):
-    return _results(spark, d).where("status = 'OK'").select("pair_id", F.concat_ws(".", "algorithm_id", "key").alias("key"), "value", "unit")
+    return _projected(spark, d)
 
 
-@query(sql("notes", _RES + """
-select pair_id, algorithm_id as prefix, min(ord) as first_ord, string_agg(key, ',' order by ord) as keys from res group by pair_id, algorithm_id"""))
-def group_scalars(spark, d):
-    keys = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "key"))), lambda x: x["key"]), ",")
-    return _results(spark, d).groupBy("pair_id", F.col("algorithm_id").alias("prefix")).agg(F.min("ord").alias("first_ord"), keys.alias("keys"))
+@query(sql("notes", _PROJECTED + "select *, error_code is null and n_scalars + n_series > 0 as success from views"))
+def run_success(spark, d):
+    return O.run_view(_builds(spark, d), _projected(spark, d))
 
 
-@query(sql("notes", _RES + """
-, r as (select pair_id, count(*) filter (where status = 'OK') as n_ok, bool_or(status = 'FAILED') as failed from res group by pair_id)
-select pair_id, case when pair_id % 13 = 0 then 'A_UNBUILT' when failed then 'D_BLOCKED' when n_ok = 0 then 'B_NO_SOURCE' else 'C_HAS_DATA' end as state from r"""))
+@query(sql("notes", _PROJECTED + """
+select pair_id, case when pair_id % 13 = 0 then 'A_UNBUILT' when problems is not null then 'D_BLOCKED' when coalesce(n_scalars, 0) + coalesce(n_series, 0) = 0 then 'B_NO_SOURCE' else 'C_HAS_DATA' end as state
+from builds left join told using (pair_id)"""))
 def classify_run(spark, d):
-    r = _results(spark, d).groupBy("pair_id").agg(F.count_if(F.col("status") == "OK").alias("n_ok"), F.bool_or(F.col("status") == "FAILED").alias("failed"))
-    return r.select("pair_id", O.run_state(F.pmod("pair_id", F.lit(13)) != 0, F.col("failed"), F.col("n_ok") > 0).alias("state"))
+    v = O.run_view(_builds(spark, d), _projected(spark, d))
+    return v.select("pair_id", O.run_state(F.col("state") == "DATA_READY", F.col("error_code").isNotNull(), F.col("n_scalars") + F.col("n_series") > 0).alias("state"))
 
 
-@query(sql("notes", _RES + """
-select pair_id, count(*) filter (where status = 'OK') as n_scalars, not bool_or(status = 'FAILED') and count(*) filter (where status = 'OK') > 0 as success from res group by pair_id"""))
-def run_success(spark, d):
-    n = F.count_if(F.col("status") == "OK")
-    return _results(spark, d).groupBy("pair_id").agg(n.alias("n_scalars"), (~F.bool_or(F.col("status") == "FAILED") & (n > 0)).alias("success"))
+_PLACED = """, placed as (select pair_id, rank * 10 + ord as place, case when ord = 4 and rank = 1 then key else algorithm_id || '.' || key end as key from items where kind = 'scalar')
+"""
 
 
-@query(sql("notes", _RES + """
-select pair_id, sum(case when algorithm_id = 'pitch' then value end) as pitch, sum(case when algorithm_id = 'timing' then value end) as timing,
-  sum(case when algorithm_id = 'dynamics' then value end) as dynamics from res where ord = 1 group by pair_id"""))
-def metric_table(spark, d):
-    return _results(spark, d).where("ord = 1").groupBy("pair_id").pivot("algorithm_id", ["pitch", "timing", "dynamics"]).agg(F.sum("value"))
+@query(sql("notes", _ENV + _PLACED + """, g as (
+  select pair_id, case when contains(key, '.') then string_split(key, '.')[1] else '(none)' end as prefix, min(place) as first, count(*) as n, string_agg(key, ',' order by place, key) as keys from placed group by all)
+select pair_id, prefix, row_number() over (partition by pair_id order by first, prefix) as group_no, n, keys from g"""))
+def group_scalars(spark, d):
+    key = F.when((F.col("ord") == 4) & (F.col("rank") == 1), F.col("key")).otherwise(F.concat_ws(".", "algorithm_id", "key"))
+    s = _items(spark, d).where("kind = 'scalar'").select("pair_id", (F.col("rank") * 10 + F.col("ord")).alias("place"), key.alias("key"))
+    return O.group_scalars(s).select("pair_id", "prefix", F.col("group_no").cast("bigint").alias("group_no"), "n", F.array_join("keys", ",").alias("keys"))
 
 
-@query(sql("notes", """
-select event_type as defect, round(avg(value) filter (where side = 'reference'), 6) as reference, round(avg(value) filter (where side = 'practice'), 6) as practice from notes group by event_type"""))
-def defect_matrix(spark, d):
-    return A.notes(spark, d).groupBy(F.col("event_type").alias("defect")).pivot("side", ["reference", "practice"]).agg(F.round(F.avg("value"), 6))
+# documents and reports
 
+_DOC = _ENV + """, vw as (
+  select pair_id, 'ref/' || pair_id || '.wav' as reference_uri, 'prac/' || pair_id || '.wav' as practice_uri, case when pair_id % 13 = 0 then 'FAILED' else 'DATA_READY' end as state,
+    case when pair_id % 13 = 0 then 'INPUT_TOO_SHORT' end as error_code, case when pair_id % 13 = 0 then '12 s' end as error_detail from (select distinct pair_id from notes)),
+sc as (select pair_id, rank, ord, algorithm_id || '.' || key as key, 'the ' || key as label, value, unit, case when ord = 1 then 50.0::double end as threshold from items where ord in (1, 4) and pair_id % 13 <> 0),
+se as (
+  select pair_id, rank, ord, algorithm_id || '.' || key as key, 'each ' || key as label, unit, coalesce(timeline_basis, 'WARPED') as timeline_basis, 'notes.reference' as source_port, idx, idx * 0.5::double as t, round(value + idx, 6) as value
+  from items, (select unnest([0, 1, 2]) as idx) where ord in (2, 3) and pair_id % 13 <> 0)
+"""
 
-@query(sql("notes", _PORTS + "select pair_id, port_id, n as frames, n * width // 4 as element_count, 'float32' as dtype from ports"))
-def port_summary(spark, d):
-    return _ports(spark, d).select("pair_id", "port_id", F.col("n").alias("frames"), F.floor(F.col("n") * F.col("width") / 4).alias("element_count"), F.lit("float32").alias("dtype"))
 
+def _document_tables(spark, d):
+    p = F.col("pair_id").cast("string")
+    views = _builds(spark, d).select("pair_id", F.concat(F.lit("ref/"), p, F.lit(".wav")).alias("reference_uri"), F.concat(F.lit("prac/"), p, F.lit(".wav")).alias("practice_uri"), "state", "error_code", "error_detail")
+    items = _items(spark, d).where("pair_id % 13 <> 0").withColumn("full", F.concat_ws(".", "algorithm_id", "key"))
+    scalars = items.where("ord in (1, 4)").select("pair_id", "rank", "ord", F.col("full").alias("key"), F.concat(F.lit("the "), "key").alias("label"), "value", "unit", F.when(F.col("ord") == 1, 50.0).alias("threshold"))
+    series = items.where("ord in (2, 3)").select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("idx"))
+    series = series.select("pair_id", "rank", "ord", F.col("full").alias("key"), F.concat(F.lit("each "), "key").alias("label"), "unit", F.coalesce("timeline_basis", F.lit("WARPED")).alias("timeline_basis"), F.lit("notes.reference").alias("source_port"), "idx", (F.col("idx") * F.lit(0.5)).alias("t"), F.round(F.col("value") + F.col("idx"), 6).alias("value"))
+    return views, scalars, series
 
-@query(sql("notes", _PORTS + "select pair_id, cast(sum(n * width) as bigint) as bytes, case when sum(n * width) > 4000 then 'BUDGET_EXCEEDED' end as error_code from ports group by pair_id"))
-def budget_check(spark, d):
-    return O.budget_check(_ports(spark, d).withColumn("element_count", F.col("n")), 4000)
 
+_DOCUMENT = """schema_version string, inputs struct<reference string, practice string>, state string, error_code string, error_detail string,
+scalars array<struct<key string, label string, value double, unit string>>, series array<struct<key string, label string, unit string, timeline_basis string, source_port string, n_points int, t array<double>, values array<double>>>"""
 
-@query(sql("notes", """, h as (select take_id, side, sha256(string_agg(event_id || ':' || value, ',' order by note_no)) as h,
-  sha256(string_agg(event_id || ':' || case when take_id % 5 = 2 then value + 1 else value end, ',' order by note_no)) as g from notes group by take_id, side)
-select take_id, h = g as same from h"""))
-def determinism_check(spark, d):
-    def hashed(value):
-        items = F.array_sort(F.collect_list(F.struct("note_no", F.concat_ws(":", F.col("event_id").cast("string"), value.cast("string")).alias("s"))))
-        return n.groupBy("take_id").agg(F.sha2(F.array_join(F.transform(items, lambda x: x["s"]), ",").cast("binary"), 256).alias("h"))
 
-    n = A.notes(spark, d)
-    second = F.when(F.col("take_id") % 5 == 2, F.col("value") + 1).otherwise(F.col("value"))
-    return hashed(F.col("value")).join(hashed(second).toDF("take_id", "g"), "take_id").select("take_id", (F.col("h") == F.col("g")).alias("same"))
+@query(sql("notes", _DOC + """
+select pair_id, '2' as schema_version, reference_uri, practice_uri, state, error_code, error_detail, cast(null as bigint) as place, cast(null as varchar) as key, cast(null as varchar) as label, cast(null as varchar) as unit,
+  cast(null as varchar) as timeline_basis, cast(null as bigint) as idx, cast(null as double) as t, cast(null as double) as value from vw
+union all select pair_id, null, null, null, null, null, null, row_number() over (partition by pair_id order by rank, ord), key, label, unit, null, null, null, value from sc
+union all select pair_id, null, null, null, null, null, null, dense_rank() over (partition by pair_id order by rank, ord), key, label, unit, timeline_basis, idx, t, value from se"""))
+def metrics_sink(spark, d):
+    """The documents, read again: a row for each with its head, and one for each scalar and each point."""
+    doc = O.nested_document(*_document_tables(spark, d)).select("pair_id", F.from_json("document", _DOCUMENT).alias("x"))
+    head = doc.select("pair_id", "x.schema_version", F.col("x.inputs.reference").alias("reference_uri"), F.col("x.inputs.practice").alias("practice_uri"), "x.state", "x.error_code", "x.error_detail")
+    place = (F.col("i") + 1).cast("bigint").alias("place")
+    scalars = doc.select("pair_id", F.posexplode("x.scalars").alias("i", "s")).select("pair_id", place, "s.key", "s.label", "s.unit", "s.value")
+    series = doc.select("pair_id", F.posexplode("x.series").alias("i", "s")).select("pair_id", place, "s.key", "s.label", "s.unit", "s.timeline_basis", F.posexplode(F.arrays_zip("s.t", "s.values")).alias("idx", "p"))
+    series = series.select("pair_id", "place", "key", "label", "unit", "timeline_basis", F.col("idx").cast("bigint").alias("idx"), F.col("p.t").alias("t"), F.col("p.values").alias("value"))
+    return head.unionByName(scalars, allowMissingColumns=True).unionByName(series, allowMissingColumns=True)
+
+
+@query(sql("notes", _DOC + """, ls as (
+  select pair_id, 0 as part, 0 as rank, 0 as ord, 'reference ' || reference_uri || ', practice ' || practice_uri as line from vw
+  union all select pair_id, 1, 0, 0, 'state ' || state from vw
+  union all select pair_id, 2, 0, 0, 'error ' || error_code || ' - ' || error_detail from vw where error_code is not null
+  union all select pair_id, 3, rank, ord, label || ' = ' || printf('%.6f', value) || ' ' || unit || case when threshold is not null then ' (threshold ' || printf('%.6f', threshold) || ')' else '' end from sc
+  union all select pair_id, 4, rank, ord, any_value(label) || ': ' || count(*) || ' points, t in seconds, ' || any_value(timeline_basis) || ' (' || case any_value(timeline_basis) when 'REFERENCE' then 'source time kept' else 'time normalised' end
+    || '), values in ' || any_value(unit) from se group by pair_id, rank, ord)
+select pair_id, row_number() over (partition by pair_id order by part, rank, ord, line) as line_no, line from ls"""))
+def report_lines(spark, d):
+    return O.report_lines(*_document_tables(spark, d))
 
 
-@query(sql("notes", _RES + """
-select pair_id, '{"schema_version":"1","pair_id":' || pair_id || ',"scalars":[' || string_agg('{"key":"' || key || '","ord":' || ord || ',"unit":"' || unit || '"}', ',' order by key) || ']}' as document
-from res where ord = 1 group by pair_id"""))
-def metrics_sink(spark, d):
-    s = _results(spark, d).where("ord = 1")
-    items = F.array_sort(F.collect_list(F.struct("key", "ord", "unit")))
-    return s.groupBy("pair_id").agg(items.alias("scalars")).select("pair_id", F.to_json(F.struct(F.lit("1").alias("schema_version"), "pair_id", "scalars")).alias("document"))
+# series
 
+_SERIES = """, se as (select pair_id, rank * 10 + ord as ord, algorithm_id || '.' || key as key from items where kind = 'series' and not (pair_id % 4 = 1 and ord = 3)),
+b as (select pair_id, ord, key, regexp_replace(key, '_(reference|practice|ref|prac)$', '') as base, regexp_matches(key, '_(reference|ref)$') as is_ref from se)
+"""
 
-@query(sql("notes", _RES + """
-select pair_id, row_number() over (partition by pair_id order by algorithm_id, ord) as line_no, algorithm_id || '.' || key || ' [' || unit || '] ' || basis as line from res"""))
-def report_lines(spark, d):
-    line = F.concat(F.concat_ws(".", "algorithm_id", "key"), F.lit(" ["), "unit", F.lit("] "), "basis")
-    return _results(spark, d).select("pair_id", F.row_number().over(W.partitionBy("pair_id").orderBy("algorithm_id", "ord")).cast("bigint").alias("line_no"), line.alias("line"))
+
+def _series(spark, d):
+    s = _items(spark, d).where("kind = 'series' and not (pair_id % 4 = 1 and ord = 3)")
+    return s.select("pair_id", (F.col("rank") * 10 + F.col("ord")).alias("ord"), F.concat_ws(".", "algorithm_id", "key").alias("key"))
 
 
-@query(sql("notes", _RES + """, b as (
-  select pair_id, regexp_replace(key, '_(reference|practice|ref|prac)$', '') as base, key, regexp_matches(key, '_(reference|ref)$') as is_ref from res where regexp_matches(key, '_(reference|practice|ref|prac)$') and not (pair_id % 4 = 1 and ord = 3))
-select r.pair_id, r.base, r.key as ref_key, p.key as prac_key from b r join b p on r.pair_id = p.pair_id and r.base = p.base where r.is_ref and not p.is_ref"""))
+@query(sql("notes", _ENV + _SERIES + "select r.pair_id, r.base, r.key as ref_key, p.key as prac_key from b r join b p on r.pair_id = p.pair_id and r.base = p.base where r.is_ref and not p.is_ref"))
 def series_pairs(spark, d):
-    return O.series_pairs(_results(spark, d).where("not (pair_id % 4 = 1 and ord = 3)"))
+    return O.series_pairs(_series(spark, d))
 
 
-@query(sql("notes", _RES + """, b as (select pair_id, key, regexp_replace(key, '_(reference|practice|ref|prac)$', '') as base from res where not (pair_id % 4 = 1 and ord = 3))
-select pair_id, key from b where (pair_id, base) in (select (pair_id, base) from b group by pair_id, base having count(*) < 2)"""))
+@query(sql("notes", _ENV + _SERIES + "select pair_id, key from b where (pair_id, base) in (select (pair_id, base) from b group by pair_id, base having count(*) < 2)"))
 def unpaired_series(spark, d):
-    s = _results(spark, d).where("not (pair_id % 4 = 1 and ord = 3)")
-    p = O.series_pairs(s)
-    keys = p.select("pair_id", F.explode(F.array("ref_key", "prac_key")).alias("key"))
-    return s.select("pair_id", "key").join(keys, ["pair_id", "key"], "left_anti")
+    return O.unpaired_series(_series(spark, d))
 
 
 @query("""
-with t as (select distinct page_id as id, w as token from (select page_id, unnest(string_split(regexp_replace(url, '[?#].*$', ''), '/')) as w from pages) where length(w) > 0 and w <> 'http:'),
-n as (select id, count(*) as n from t group by id),
-s as (select a.id as a, b.id as b, count(*) as k from t a join t b on a.token = b.token and a.id < b.id group by all)
-select a, b, round(k / (x.n + y.n - k), 6) as similarity from s join n x on x.id = a join n y on y.id = b""")
+with t as (select distinct page_id as id, w as token from (select page_id, unnest(string_split(url, '/')) as w from pages) where length(w) > 0),
+g as (select id, list(token order by token) as tokens, count(*) as n from t group by id),
+c as (select min(id) as id, tokens, any_value(n) as n from g group by tokens),
+u as (select id, n, unnest(tokens) as token from c),
+s as (select a.id as a, b.id as b, a.n as na, b.n as nb, count(*) as k from u a join u b on a.token = b.token and a.id < b.id group by all)
+select a, b, round(k / (na + nb - k), 6) as similarity, cast(null as bigint) as id, cast(null as bigint) as representative from s where k / (na + nb - k) >= 0.6
+union all select null, null, null, g.id, c.id from g join c using (tokens)""")
 def set_similarity(spark, d):
-    words = F.explode(F.split(F.regexp_replace("url", "[?#].*$", ""), "/"))
-    t = A.table(spark, d, "pages").select(F.col("page_id").alias("id"), words.alias("token")).where("length(token) > 0 and token <> 'http:'")
-    return J.set_similarity(t).withColumn("similarity", R(F.col("similarity")))
+    """Pairs of different sets of URL segments, and each page's set by its smallest page."""
+    words = F.explode(F.split("url", "/"))
+    t = A.table(spark, d, "pages").select(F.col("page_id").alias("id"), words.alias("token")).where("length(token) > 0")
+    pairs, members = J.set_similarity(t, 0.6)
+    return pairs.withColumn("similarity", R(F.col("similarity"))).unionByName(members, allowMissingColumns=True)
 
 
 @query(sql("notes", """, s as (select take_id, note_no - 1 as idx, value, max(note_no - 1) over (partition by take_id) as last from notes),
@@ -259,79 +410,145 @@ def downsample(spark, d):
 
 
 @query(sql("pitch_frames", """, b as (select take_id, frame, case when f0_hz > 0 then f0_hz + (frame % 3) * 0.5::double else 0 end as y, case when frame % 10 = 3 then 0 else voiced end as vb from pitch_frames where frame % 25 <> 7),
-j as (select coalesce(a.take_id, b.take_id) as take_id, a.f0_hz as x, y, a.voiced as va, vb from pitch_frames a full join b on a.take_id = b.take_id and a.frame = b.frame)
+j as (select coalesce(a.take_id, b.take_id) as take_id, a.f0_hz as x, y, a.voiced as va, vb from pitch_frames a full join b on a.take_id = b.take_id and a.frame = b.frame),
+c as (select *, case when va = 1 and vb = 1 and x > 0 and y > 0 then abs(1200 * log2(y / x)) end as cents from j)
 select take_id, count(*) filter (where x is null or y is null) as n_missing, round(max(abs(x - y)), 6) as max_gap, round(avg(abs(x - y)), 6) as mean_gap,
-  round(quantile_cont(abs(x - y), 0.95), 6) as p95_gap, round(corr(x, y), 6) as r, round(avg(case when vb is not null then (va = vb)::int end), 6) as voiced_agreement from j group by take_id"""))
+  round(quantile_cont(abs(x - y), 0.95), 6) as p95_gap, round(corr(x, y), 6) as r, round(avg(case when vb is not null then (va = vb)::int end), 6) as voiced_agreement, count(cents) as n_both_voiced,
+  round(median(cents), 6) as median_cents, round(quantile_cont(cents, 0.95), 6) as p95_cents, round(max(cents), 6) as max_cents, count(*) filter (where cents > 5) as n_over from c group by take_id"""))
 def frame_equivalence(spark, d):
     a = A.pitch_frames(spark, d).select("take_id", "frame", F.col("f0_hz").alias("value"), "voiced")
     b = a.where("frame % 25 <> 7").select("take_id", "frame", F.when(F.col("value") > 0, F.col("value") + (F.col("frame") % 3) * 0.5).otherwise(0.0).alias("value"), F.when(F.col("frame") % 10 == 3, 0).otherwise(F.col("voiced")).alias("voiced"))
-    e = O.frame_equivalence(a, b, ["take_id", "frame"], "take_id")
-    return e.withColumns({c: R(F.col(c)) for c in ("max_gap", "mean_gap", "p95_gap", "r", "voiced_agreement")})
+    e = O.frame_equivalence(a, b, ["take_id", "frame"], "take_id", 5.0)
+    return e.withColumns({c: R(F.col(c)) for c in ("max_gap", "mean_gap", "p95_gap", "r", "voiced_agreement", "median_cents", "p95_cents", "max_cents")})
 
 
-@query(sql("rms_frames", """, c as (select take_id, avg(rms) as v from rms_frames group by take_id), o as (select take_id, v + case when take_id % 6 = 1 then 0.03 else 0.001 end as was from c)
-select take_id, round(abs(v - was), 6) as drift, abs(v - was) <= 0.02 as within from c join o using (take_id)"""))
+@query(sql("rms_frames notes", """, c as (select pair_id, take_id, avg(rms) as v from rms_frames group by pair_id, take_id),
+o as (select take_id, avg(rms) * 0.5625::double + case when take_id % 6 = 1 then 0.03 when take_id % 6 = 2 then 0.0199 else 0 end as was from notes where take_id % 10 <> 9 group by take_id
+  union all select max(take_id) + 1, 0.5 from notes)
+select o.take_id, round(was, 9) as expected, round(v, 9) as actual, coalesce(abs(v - was) <= 0.02, false) as match from o left join c using (take_id)"""))
 def drift_report(spark, d):
-    now = A.rms_frames(spark, d).groupBy("take_id").agg(F.avg("rms").alias("v"))
-    was = now.select("take_id", (F.col("v") + F.when(F.col("take_id") % 6 == 1, 0.03).otherwise(0.001)).alias("was"))
-    gap = F.abs(F.col("v") - F.col("was"))
-    return now.join(was, "take_id").select("take_id", R(gap).alias("drift"), (gap <= 0.02).alias("within"))
+    """Anchors of the frames against those recorded of the notes; one recorded take is gone."""
+    now = A.rms_frames(spark, d).groupBy("take_id").agg(F.avg("rms").alias("value"))
+    n = A.notes(spark, d)
+    k = F.col("take_id") % 6
+    was = n.where("take_id % 10 <> 9").groupBy("take_id").agg((F.avg("rms") * 0.5625).alias("v")).select("take_id", (F.col("v") + F.when(k == 1, 0.03).when(k == 2, 0.0199).otherwise(0.0)).alias("value"))
+    gone = n.agg((F.max("take_id") + 1).alias("take_id")).select("take_id", F.lit(0.5).alias("value"))
+    report = O.drift_report(now, was.unionByName(gone), ["take_id"])
+    return report.withColumns({"expected": R(F.col("expected"), 9), "actual": R(F.col("actual"), 9)})
+
+
+@query(sql("notes", """, m as (select pair_id, event_type, avg(rms) as v from notes group by pair_id, event_type),
+l as (select pair_id, arg_min(event_type, (round(v, 12), event_type)) as actual from m group by pair_id),
+w as (select pair_id, min(event_type) as expected from notes group by pair_id)
+select w.pair_id, expected, actual, expected = actual as match from w join l using (pair_id)"""))
+def lowest_check(spark, d):
+    n = A.notes(spark, d)
+    m = n.groupBy("pair_id", "event_type").agg(F.round(F.avg("rms"), 12).alias("v"))
+    return O.lowest_check(m, n.groupBy("pair_id").agg(F.min("event_type").alias("event_type")), "pair_id", "event_type", "v")
 
 
-@query(sql("notes", _PORTS + """, want as (select p.pair_id, q.port_id from (select distinct pair_id from ports) p, (select unnest(['pitch.reference','pitch.practice','rms.reference','rms.practice','notes.reference']) as port_id) q)
-(select pair_id, port_id, 'missing' as side from want except select pair_id, port_id, 'missing' from ports) union all
-(select pair_id, port_id, 'extra' from ports except select pair_id, port_id, 'extra' from want)"""))
-def port_set_equality(spark, d):
-    have = _ports(spark, d).select("pair_id", "port_id")
-    names = F.explode(F.array(*map(F.lit, ("pitch.reference", "pitch.practice", "rms.reference", "rms.practice", "notes.reference"))))
-    want = have.select("pair_id").distinct().select("pair_id", names.alias("port_id"))
-    return want.exceptAll(have).withColumn("side", F.lit("missing")).unionByName(have.exceptAll(want).withColumn("side", F.lit("extra")))
+# the metrics of all pairs
 
+_LABELS = {"pitch": ("median_abs_cents", "off_pitch_ratio", "n_notes_used", "n_unpaired", "sample_rate"), "timing": ("median_sec", "spread_sec", "early_ratio", "late_ratio", "on_time_ratio", "n_notes_used", "n_unpaired"), "dynamics": ("median_db", "spread_db", "n_notes_used", "n_unpaired")}
+_METRICS = f""", pm as ({N.SQL["pitch_metrics"]}), tm as ({N.SQL["timing_metrics"]}), dm as ({N.SQL["dynamics_metrics"]}),
+ran as ({" union all ".join(f"select pair_id, '{a}' as algorithm_id, '{k}' as key, cast({k} as double) as value from {a[0]}m" for a, keys in _LABELS.items() for k in keys)})
+"""
 
-@query(sql("notes", _PORTS + _REQ + "select port_id from req intersect select port_id from ports"))
-def port_intersection(spark, d):
-    ports = _ports(spark, d)
-    declared = ports.select(_requirements()).select("need.port_id")
-    return declared.intersect(ports.select("port_id"))
 
+def _long(df, keys):
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in keys)))
+    return df.select("pair_id", rows.alias("x")).select("pair_id", "x.key", "x.value")
 
-@query("""
-with p as (select page_id, 'song' || lpad(cast(page_id % 20 as varchar), 2, '0') || '/' || case when page_id % 7 = 0 then 'reference' when page_id % 11 = 0 then 'notes' else 'practice_' || (page_id % 3) end || case when page_id % 13 = 0 then '.txt' else '.wav' end as path from pages),
-c as (select path, string_split(path, '/')[1] as song, case when not regexp_matches(path, '[.]wav$') then 'skipped' when contains(path, '/reference') then 'reference' when contains(path, '/practice') then 'practice' else 'unknown' end as role from p)
-select song, count(*) filter (where role = 'reference') as n_reference, count(*) filter (where role = 'practice') as n_practice, count(*) filter (where role in ('skipped', 'unknown')) as n_skipped,
-  coalesce(string_agg(distinct case when role = 'practice' then path end, ',' order by case when role = 'practice' then path end), '') as practice from c group by song""")
-def take_catalog(spark, d):
-    i = F.col("page_id")
-    kind = F.when(i % 7 == 0, "reference").when(i % 11 == 0, "notes").otherwise(F.concat(F.lit("practice_"), (i % 3).cast("string")))
-    path = F.concat(F.lit("song"), F.lpad((i % 20).cast("string"), 2, "0"), F.lit("/"), kind, F.when(i % 13 == 0, ".txt").otherwise(".wav"))
-    p = A.table(spark, d, "pages").select(path.alias("path"))
-    role = F.when(~F.col("path").endswith(".wav"), "skipped").when(F.contains("path", F.lit("/reference")), "reference").when(F.contains("path", F.lit("/practice")), "practice").otherwise("unknown")
-    c = p.select("path", F.split("path", "/")[0].alias("song"), role.alias("role"))
-    n = lambda *r: F.count_if(F.col("role").isin(*r))
-    return c.groupBy("song").agg(n("reference").alias("n_reference"), n("practice").alias("n_practice"), n("skipped", "unknown").alias("n_skipped"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("role") == "practice", F.col("path")))), ",").alias("practice"))
-
-
-def _registry():
-    registry = O.MetricRegistry()
-    one = lambda c: lambda t: G.pitch_summary(G.pitch_deviation(t["notes"])).select("pair_id", F.lit(c).alias("key"), F.col(c).alias("value"))
-    registry.register("pitch", "1", ("notes",), one("median_abs_cents"))
-    registry.register("off_pitch", "1", ("notes",), one("off_pitch_ratio"))
-    registry.register("energy", "1", ("rms",), lambda t: G.energy_ratio(t["rms"]).select("pair_id", F.lit("ratio").alias("key"), F.col("energy_ratio").alias("value")))
-    registry.register("timbre", "1", ("mfcc",), one("median_abs_cents"))
-    return registry
-
-
-@query(sql("notes rms_frames", """, e as (select pair_id, avg(rms) filter (where side = 'practice') / nullif(avg(rms) filter (where side = 'reference'), 0) as v from rms_frames group by pair_id)
-select pair_id, 'energy' as algorithm_id, case when v is null then 'FAILED' else 'OK' end as status, round(v, 6) as value from e
-union all select pair_id, 'timbre', 'INCOMPATIBLE', null from e"""))
-def run_metrics(spark, d):
-    got = _registry().run({"notes": A.notes(spark, d), "rms": A.rms_frames(spark, d)}, ["energy", "timbre"])
-    names = F.explode(F.array(F.struct(F.lit("energy").alias("algorithm_id"), F.lit(True).alias("can")), F.struct(F.lit("timbre").alias("algorithm_id"), F.lit(False).alias("can"))))
-    pairs = A.notes(spark, d).select("pair_id").distinct().select("pair_id", names.alias("m")).select("pair_id", "m.*")
-    status = F.when(~F.col("can"), "INCOMPATIBLE").when(F.col("value").isNull(), "FAILED").otherwise("OK")
-    return pairs.join(got, ["pair_id", "algorithm_id"], "left").select("pair_id", "algorithm_id", status.alias("status"), R(F.col("value")).alias("value"))
+
+def registry() -> O.MetricRegistry:
+    """The three metrics of a pair, and one that needs a port that no pair has."""
+    found = O.MetricRegistry()
+    of = lambda a: tuple(r for r in NEEDS if r.algorithm_id == a)
+    found.register("pitch", "1", ("spans", "pitch"), lambda t: _long(G.pitch_summary(G.note_deviation(t["spans"], t["pitch"], N.LEAST_FRAMES)), _LABELS["pitch"]), of("pitch"))
+    found.register("timing", "1", ("onsets",), lambda t: _long(G.timing_summary(J.pair_onsets(t["onsets"])), _LABELS["timing"]), of("timing"))
+    found.register("dynamics", "1", ("energy",), lambda t: _long(G.dynamics_summary(t["energy"]), _LABELS["dynamics"]), of("dynamics"))
+    found.register("timbre", "1", ("mfcc",), lambda t: t["mfcc"], of("timbre"))
+    return found
+
+
+def _tables(spark, d):
+    return {"spans": N._three_frame_notes(spark, d), "pitch": A.pitch_frames(spark, d), "onsets": N._onsets(spark, d), "energy": N._energy_pairs(spark, d)}
 
 
-@query(None)
+@query(sql("notes", _METRICS + "select pair_id, algorithm_id, key, round(value, 6) + 0.0 as value from ran"))
 def metric_registry(spark, d):
-    return _registry().run({"notes": A.notes(spark, d), "rms": A.rms_frames(spark, d)}).withColumn("value", R(F.col("value")))
+    return registry().run(_tables(spark, d)).withColumn("value", R(F.col("value")))
+
+
+@query(sql("notes", _PORTS + _NEEDS + _METRICS + """, got as (select pair_id, algorithm_id, count(*) as n from ran group by all),
+e as (
+  select r.pair_id, r.algorithm_id, concat_ws(',', case when r.algorithm_id = 'timbre' then 'mfcc' end, nullif(incompatible_required, '')) as lacks, coalesce(n, 0) as n from resolved r left join got using (pair_id, algorithm_id))
+select pair_id, algorithm_id, '1' as algorithm_version, case when lacks <> '' then 'INCOMPATIBLE' when n = 0 then 'FAILED' else 'OK' end as status, case when lacks <> '' then 'PLUGIN_INCOMPATIBLE' when n = 0 then 'ALGORITHM_FAILED' end as error_code,
+  case when lacks <> '' then lacks when n = 0 then 'no result' end as error_detail, case when lacks = '' then n else 0 end as n_values from e"""))
+def run_metrics(spark, d):
+    tables = _tables(spark, d)
+    return registry().envelopes(_pairs(spark, d), _ports(spark, d), tables, registry().run(tables))
+
+
+@query(sql("notes", _METRICS + f""", df as (select distinct pair_id, ['01_pitch', '02_timing', '03_dynamics', '04_wrong', '05_dropouts'][1 + pair_id % 5] as defect from notes)
+select defect, {", ".join(f"round(avg(value) filter (where algorithm_id = '{a}' and key = '{k}'), 9) + 0.0 as {a}_{k}" for a, k in (("pitch", "median_abs_cents"), ("pitch", "n_unpaired"), ("timing", "median_sec"), ("timing", "late_ratio"), ("timing", "early_ratio"), ("dynamics", "median_db"), ("dynamics", "n_unpaired")))}
+from df join ran using (pair_id) group by defect"""))
+def defect_matrix(spark, d):
+    defects = _pairs(spark, d).select("pair_id", F.get(F.array(*map(F.lit, ("01_pitch", "02_timing", "03_dynamics", "04_wrong", "05_dropouts"))), (F.col("pair_id") % 5).cast("int")).alias("defect"))
+    scalars = metric_registry(spark, d).select("pair_id", F.concat_ws("_", "algorithm_id", "key").alias("key"), "value")
+    keys = ["pitch_median_abs_cents", "pitch_n_unpaired", "timing_median_sec", "timing_late_ratio", "timing_early_ratio", "dynamics_median_db", "dynamics_n_unpaired"]
+    m = O.defect_matrix(defects, scalars, keys)
+    return m.withColumns({k: R(F.col(k), 9) for k in keys})
+
+
+@query(sql("notes", f""", cv as ({N.SQL["note_pitch_curves"]}), dv as ({N.SQL["note_pitch_deviation"]}), en as ({N.SQL["note_energy_envelope"]}),
+dc as (select pair_id, row_number() over (partition by pair_id order by note_no) as place, cents from dv where cents is not null),
+es as (select pair_id, side, row_number() over (partition by pair_id, side order by note_no) as place, mean_db from en),
+n as (select pair_id, min(k) as n from (select pair_id, side, count(*) as k from es group by all) group by pair_id)
+select cv.pair_id, 'pitch' as metric, cv.place - 1 as idx, cv.place::double as axis, ref_hz as reference, prac_hz as practice, cents as delta from cv join dc using (pair_id, place)
+union all select pair_id, 'dynamics', place - 1, place::double, max(case when side = 'reference' then mean_db end), max(case when side = 'practice' then mean_db end), null from es join n using (pair_id) where place <= n group by pair_id, place"""))
+def metric_table(spark, d):
+    """Wide tables of the pitch and energy series of each pair."""
+    curves, energy = N.note_pitch_curves(spark, d), N.note_energy_envelope(spark, d)
+    cents = N.note_pitch_deviation(spark, d).where("cents is not null").withColumn("place", F.row_number().over(W.partitionBy("pair_id").orderBy("note_no")))
+    energy = energy.withColumn("place", F.row_number().over(W.partitionBy("pair_id", "side").orderBy("note_no")))
+    one = lambda df, key, value: df.select("pair_id", key.alias("key"), (F.col("place") - 1).cast("bigint").alias("idx"), F.col("place").cast("double").alias("t"), F.col(value).alias("value"))
+    series = one(curves, F.lit("pitch.per_note_f0_reference"), "ref_hz").unionByName(one(curves, F.lit("pitch.per_note_f0_practice"), "prac_hz")).unionByName(one(cents, F.lit("pitch.per_note_cents"), "cents"))
+    series = series.unionByName(one(energy, F.concat(F.lit("dynamics.envelope_db_"), "side"), "mean_db"))
+    pitch = O.metric_table(series, "pitch", {"reference": ".per_note_f0_reference", "practice": ".per_note_f0_practice", "delta": ".per_note_cents"})
+    loud = O.metric_table(series, "dynamics", {"reference": ".envelope_db_reference", "practice": ".envelope_db_practice"})
+    columns = ("pair_id", "metric", "idx", "axis", "reference", "practice", "delta")
+    return pitch.withColumn("metric", F.lit("pitch")).select(*columns).unionByName(loud.withColumn("metric", F.lit("dynamics")).withColumn("delta", F.lit(None).cast("double")).select(*columns))
+
+
+# sizes and hashes
+
+_SIZED = """, kinds(name, numbers, width) as (values ('pitch', 3, 4), ('rms', 1, 4), ('notes', 3, 4)),
+counts as (
+  select 'pitch' as name, pair_id, side, count(*) as frames from pitch_frames group by all union all select 'rms', pair_id, side, count(*) from rms_frames group by all union all select 'notes', pair_id, side, count(*) from notes group by all),
+sized as (
+  select pair_id, name || '.' || side as port_id, frames || case when numbers > 1 then 'x' || numbers else '' end as shape, frames, frames * numbers as element_count, width, 'float32' as dtype from counts join kinds using (name))
+"""
+
+
+def _sized(spark, d):
+    return O.port_summary({"pitch": (A.pitch_frames(spark, d), 3, 4, "float32"), "rms": (A.rms_frames(spark, d), 1, 4, "float32"), "notes": (A.notes(spark, d), 3, 4, "float32")})
+
+
+@query(sql("notes pitch_frames rms_frames", _SIZED + "select * from sized"))
+def port_summary(spark, d):
+    return _sized(spark, d)
+
+
+@query(sql("notes pitch_frames rms_frames", _SIZED + "select pair_id, cast(sum(element_count * width) as bigint) as bytes, case when sum(element_count * width) > 9000 then 'CORE_BUILD_FAILED' end as error_code from sized group by pair_id"))
+def budget_check(spark, d):
+    return O.budget_check(_sized(spark, d), 9000)
+
+
+@query(sql("notes", "select distinct take_id, take_id % 5 <> 2 and take_id % 7 <> 3 as same from notes"))
+def determinism_check(spark, d):
+    """Two runs over the notes, the second with other values in some takes and without others."""
+    n = A.notes(spark, d)
+    second = n.where("take_id % 7 <> 3").repartition(3, "event_id").withColumn("event_id", F.when((F.col("take_id") % 5 == 2) & (F.col("note_no") == 1), -1).otherwise(F.col("event_id")))
+    hashed = lambda t: O.content_hash(t, ["take_id"], "notes", "note_no", ["note_no", "event_id"])
+    return O.determinism_check(hashed(n), hashed(second), ["take_id"])

@@ -8,6 +8,7 @@ from ..functions.scalars import rounded as R
 from ..functions.scalars import to_db
 from ..operators import align as L
 from ..operators import frames as S
+from ..operators import gates as T
 from ..sources import adapters as A
 from ..sources.adapters import sql
 
@@ -32,57 +33,45 @@ def query(text):
 , v as (select pair_id, unnest(pcm) as x, generate_subscripts(pcm, 1) - 1 as i from samples)
 select pair_id, i, round(avg(x), 6) + 0.0 as mono from v group by pair_id, i"""))
 def downmix(spark, d):
-    s = A.samples(spark, d).select("pair_id", F.posexplode("pcm").alias("i", "x"))
-    return s.groupBy("pair_id", F.col("i").cast("bigint").alias("i")).agg(R(F.avg("x")).alias("mono"))
+    channels = A.samples(spark, d).select("pair_id", F.col("side").alias("channel"), "pcm")
+    return T.downmix(channels, ("pair_id",)).select("pair_id", F.posexplode("pcm").alias("i", "x")).select("pair_id", F.col("i").cast("bigint").alias("i"), R(F.col("x")).alias("mono"))
 
 
-_DUR = """, t as (select take_id, max(onset_sec) as dur from notes group by take_id)
-"""
+_DURATION = "case when n_samples / sample_rate < 45 then 'INPUT_TOO_SHORT' when n_samples / sample_rate > 120 then 'INPUT_TOO_LONG' end"
 
 
-@query(sql("notes", _DUR + """
-select take_id, case when dur < 71 then 'INPUT_TOO_SHORT' when dur > 71.8 then 'INPUT_TOO_LONG' end as error_code from t"""))
+@query(sql("takes", f"select take_id, round(n_samples / sample_rate, 6) as duration_sec, {_DURATION} as error_code from takes"))
 def duration_gate(spark, d):
-    return _durations(spark, d).select("take_id", _too_long(71.0, 71.8).alias("error_code"))
-
+    return T.duration_gate(A.takes(spark, d)).withColumn("duration_sec", F.round("duration_sec", 6))
 
-def _durations(spark, d):
-    return A.notes(spark, d).groupBy("take_id").agg(F.max("onset_sec").alias("dur"))
 
-
-def _too_long(low, high):
-    return F.when(F.col("dur") < low, "INPUT_TOO_SHORT").when(F.col("dur") > high, "INPUT_TOO_LONG")
+_LOUD = """, x as (select take_id, unnest(pcm) as v from quiet_samples),
+loud as (select take_id, sqrt(sum(v * v) / count(*)) as rms, bool_and(isfinite(v)) as finite from x group by take_id)
+"""
 
 
-@query(sql("rms_frames", """
-select take_id, case when coalesce(sqrt(avg(rms * rms)), 0) < 0.12 then 'INPUT_SILENT' end as error_code from rms_frames group by take_id"""))
+@query(sql("takes quiet_samples", _LOUD + """
+select take_id, case when not finite then null else round(rms, 9) end as rms, case when coalesce(rms, 0) < 0.0001 then 'INPUT_SILENT' end as error_code from takes left join loud using (take_id)"""))
 def silence_gate(spark, d):
-    quiet = F.coalesce(F.sqrt(F.avg(F.col("rms") * F.col("rms"))), F.lit(0.0)) < 0.12
-    return A.rms_frames(spark, d).groupBy("take_id").agg(F.when(quiet, "INPUT_SILENT").alias("error_code"))
+    g = T.silence_gate(A.takes(spark, d), A.quiet_samples(spark, d))
+    return g.withColumn("rms", F.when(~F.isnan("rms") & (F.col("rms") < float("inf")), F.round("rms", 9)))
 
 
-@query(sql("samples", """
-, p as (select take_id, case when take_id % 50 = 7 then list_append(pcm, cast('nan' as double)) when take_id % 50 = 9 then list_append(pcm, cast('inf' as double)) else pcm end as pcm from samples)
-select take_id, case when list_bool_or(list_transform(pcm, lambda x: isnan(x) or isinf(x))) then 'CORE_BUILD_FAILED' end as error_code from p"""))
+@query(sql("quiet_samples", _LOUD + "select take_id, case when not finite then 'CORE_BUILD_FAILED' end as error_code from loud"))
 def nonfinite_gate(spark, d):
-    k = F.pmod("take_id", F.lit(50))
-    bad = F.when(k == 7, F.lit(float("nan"))).when(k == 9, F.lit(float("inf")))
-    pcm = F.when(bad.isNotNull(), F.array_append("pcm", bad)).otherwise(F.col("pcm"))
-    odd = F.exists(pcm, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
-    return A.samples(spark, d).select("take_id", F.when(odd, "CORE_BUILD_FAILED").alias("error_code"))
-
-
-@query(sql("notes", """, t as (
-  select take_id, max(pair_id) as pair_id, max(onset_sec) as dur, sqrt(avg(rms * rms)) as e from notes group by take_id),
-c as (
-  select pair_id, take_id, coalesce(case when take_id % 29 = 3 then 'INPUT_UNREADABLE' end, case when take_id % 31 = 5 then 'CORE_BUILD_FAILED' end,
-    case when dur < 71 then 'INPUT_TOO_SHORT' when dur > 71.8 then 'INPUT_TOO_LONG' end, case when e < 0.2 then 'INPUT_SILENT' end) as code from t)
-select pair_id, bool_and(code is null) and count(*) = 2 as usable, coalesce(min(code), '') as first_code from c group by pair_id"""))
+    return T.nonfinite_gate(A.quiet_samples(spark, d))
+
+
+@query(sql("takes quiet_samples", _LOUD + f""", c as (
+  select pair_id, side, coalesce(case when not readable then 'INPUT_UNREADABLE' end, case when sample_rate <> 44100 then 'CORE_BUILD_FAILED' end, {_DURATION},
+    case when coalesce(rms, 0) < 0.0001 then 'INPUT_SILENT' end, case when not finite then 'CORE_BUILD_FAILED' end) as code from takes left join loud using (take_id)),
+p as (select distinct pair_id from takes),
+b as (
+  select p.pair_id, case when r.pair_id is null then 'INPUT_UNREADABLE' else r.code end as rc, case when q.pair_id is null then 'INPUT_UNREADABLE' else q.code end as pc
+  from p left join c r on r.pair_id = p.pair_id and r.side = 'reference' left join c q on q.pair_id = p.pair_id and q.side = 'practice')
+select pair_id, rc is null and pc is null as usable, coalesce(rc, pc) as first_code from b"""))
 def ingest_verdict(spark, d):
-    t = A.notes(spark, d).groupBy("take_id", "pair_id").agg(F.max("onset_sec").alias("dur"), F.sqrt(F.avg(F.col("rms") * F.col("rms"))).alias("e"))
-    code = F.coalesce(F.when(F.pmod("take_id", F.lit(29)) == 3, "INPUT_UNREADABLE"), F.when(F.pmod("take_id", F.lit(31)) == 5, "CORE_BUILD_FAILED"), _too_long(71.0, 71.8), F.when(F.col("e") < 0.2, "INPUT_SILENT"))
-    c = t.withColumn("code", code).groupBy("pair_id")
-    return c.agg((F.bool_and(F.col("code").isNull()) & (F.count("*") == 2)).alias("usable"), F.coalesce(F.min("code"), F.lit("")).alias("first_code"))
+    return T.ingest_verdict(A.takes(spark, d), A.quiet_samples(spark, d))
 
 
 # framing
@@ -125,70 +114,80 @@ def rms_frames(spark, d):
     return S.frame_rms(S.frames(A.samples(spark, d), 8, 4), 8).withColumn("rms", F.round("rms", 6))
 
 
-_SP = _FR + """, xs as (select take_id, frame, unnest(x) as v, generate_subscripts(x, 1) - 1 as n from fr),
-ks as (select unnest(range(9)) as k),
-sp as (
-  select take_id, frame, k, sqrt(
-    pow(sum(v * (0.5 - 0.5 * cos(2 * pi() / 16 * n)) * cos(2 * pi() / 16 * ((k * n) % 16))), 2) +
-    pow(sum(v * (0.5 - 0.5 * cos(2 * pi() / 16 * n)) * sin(2 * pi() / 16 * ((k * n) % 16))), 2)) as mag
-  from xs, ks group by take_id, frame, k)
+def _sp(frames: str, name: str, period: int = LENGTH) -> str:
+    """SQL of magnitudes by the definition, of a table of frames; the window's period is its length, or one less."""
+    part = lambda f: f"pow(sum(v * (0.5 - 0.5 * cos(2 * pi() / {period} * n)) * {f}(2 * pi() / {LENGTH} * ((k * n) % {LENGTH}))), 2)"
+    return f""", {name}_x as (select take_id, frame, unnest(x) as v, generate_subscripts(x, 1) - 1 as n from {frames}),
+{name} as (select take_id, frame, k, sqrt({part("cos")} + {part("sin")}) as mag from {name}_x, (select unnest(range({LENGTH // 2 + 1})) as k) group by take_id, frame, k)
 """
 
 
-def _spectrum(spark, d):
-    return S.spectrum(S.frames(A.samples(spark, d), LENGTH, HOP), LENGTH)
+@query(sql("samples", _FR + _sp("fr", "sp") + "select take_id, frame, k, round(mag, 6) as mag from sp"))
+def spectrum_magnitude(spark, d):
+    return S.spectrum(S.frames(A.samples(spark, d), LENGTH, HOP)).withColumn("mag", F.round("mag", 6))
+
+
+_CENTERED = """, padded as (select take_id, len(pcm) as size, list_concat(list_concat(list_transform(range(8), lambda i: 0.0::double), pcm), list_transform(range(8), lambda i: 0.0::double)) as pcm from samples),
+cf as (select take_id, frame, size, pcm[frame * 8 + 1 : frame * 8 + 16] as x from (select take_id, size, pcm, unnest(range(1 + (len(pcm) - 16) // 8)) as frame from padded))
+"""
 
 
-@query(sql("samples", _SP + "select take_id, frame, k, round(mag, 6) as mag from sp"))
-def spectrum_magnitude(spark, d):
-    return _spectrum(spark, d).withColumn("mag", F.round("mag", 6))
+def _binned(df, digits=6):
+    b = df.select("take_id", "frame", F.posexplode("bins").alias("bin", "value"))
+    return b.select("take_id", "frame", F.col("bin").cast("bigint").alias("bin"), F.round("value", digits).alias("value"))
 
 
-@query(sql("samples", _SP + """, fo as (
-  select take_id, frame, (cast(round_even(12 * log2(k * 4.0 / 27.5), 0) as bigint) % 12 + 12) % 12 as bin, sum(mag) as v
-  from sp where k > 0 and k * 4.0 between 3 and 32 group by all)
+@query(sql("samples", _CENTERED + ", inside as (select * from cf where frame < (size - 1) // 8)" + _sp("inside", "sp") + """, fo as (
+  select take_id, frame, bin, coalesce(sum(mag) filter (where k > 0 and k * 4.0 between 3 and 32 and (cast(round_even(12 * log2(greatest(k, 1) * 4.0 / 27.5), 0) as bigint) % 12 + 12) % 12 = bin), 0) as v
+  from sp, (select unnest(range(12)) as bin) group by all)
 select take_id, frame, bin, round(case when sum(v * v) over w > 0 then v / sqrt(sum(v * v) over w) else 0 end, 6) as value
 from fo window w as (partition by take_id, frame)"""))
 def align_chroma(spark, d):
-    return S.align_chroma(_spectrum(spark, d), RATE, LENGTH, 3.0, 32.0).withColumn("value", F.round("value", 6))
+    return _binned(S.align_chroma(A.samples(spark, d), RATE, LENGTH, HOP, 3.0, 32.0))
 
 
-@query(sql("samples", _SP + """, bs as (select unnest(range(12)) as bin),
-aw as (select *, 12 * log2(k * 4.0 / 16.351597831287414) - bin + 6 as u from sp, bs where k > 0),
-fo as (
-  select take_id, frame, bin, sum(mag * mag * exp(-2.0 * pow(u - 12 * floor(u / 12) - 6, 2))) as v from aw group by all)
+@query(sql("samples", _CENTERED + _sp("cf", "sp") + """, place as (
+  select k, case when k = 0 then 12 * log2(4.0 / 27.5) - 18 else 12 * log2(greatest(k, 1) * 4.0 / 27.5) end as q from (select unnest(range(17)) as k)),
+spread as (select k, q, greatest(lead(q) over (order by k) - q, 1.0) as s from place),
+bump as (
+  select k, c, q, exp(-2.0 * pow((q - c + 6 - 12 * floor((q - c + 6) / 12) - 6) / s, 2)) as g from spread, (select unnest(range(12)) as c) where k <= 8),
+wt as (
+  select k, (c + 9) % 12 as bin, g / sqrt(sum(g * g) over (partition by k)) * exp(-0.5 * pow((q / 12 - 5) / 2, 2)) as w from bump),
+fo as (select take_id, frame, bin, sum(mag * mag * w) as v from sp join wt using (k) group by all)
 select take_id, frame, bin, round(case when max(v) over w > 0 then v / max(v) over w else 0 end, 6) as value
 from fo window w as (partition by take_id, frame)"""))
 def chroma_frames(spark, d):
-    return S.chroma(_spectrum(spark, d), RATE, LENGTH).withColumn("value", F.round("value", 6))
+    return _binned(S.chroma(A.samples(spark, d), RATE, LENGTH, HOP))
 
 
+#: Lags 2 to 8: pitches of 8 to 32 Hz at 64 samples a second.
+FMIN, FMAX, LOW = 8.0, 32.0, 2
 _YIN = _FR + """, raw as (
-  select take_id, frame, tau, list_sum(list_transform(range(1, 9), lambda i: pow(x[i] - x[i + tau], 2))) as raw
+  select take_id, frame, tau, 2 * (list_sum(list_transform(x, lambda v: v * v)) - list_sum(list_transform(range(1, 17 - tau), lambda i: x[i] * x[i + tau])))
+    - case when tau = 1 then 0 else list_sum(list_transform(x[1:tau], lambda v: v * v)) end as raw
   from (select *, unnest(range(1, 9)) as tau from fr)),
-df as (
-  select take_id, frame, tau, case when sum(raw) over w > 0 then raw * tau / sum(raw) over w else 1.0 end as d
-  from raw window w as (partition by take_id, frame order by tau rows between unbounded preceding and current row)),
+dd as (select take_id, frame, tau, raw / (sum(raw) over (partition by take_id, frame order by tau rows between unbounded preceding and current row) / tau + 2.2250738585072014e-308) as d from raw),
+df as (select * from dd where tau >= 2),
 nb as (select *, lag(d) over w as b, lead(d) over w as a from df window w as (partition by take_id, frame order by tau)),
 cd as (
-  select take_id, frame, tau, d, 64.0 / (tau + case when abs((a - b) / 2) >= abs(a + b - 2 * d) then 0 else -((a - b) / 2) / (a + b - 2 * d) end) as f0_hz
-  from nb where d < b and d <= a)
+  select take_id, frame, tau, d, 64.0 / (tau + case when a is null or abs((a - b) / 2) >= abs(a + b - 2 * d) then 0 else -((a - b) / 2) / (a + b - 2 * d) end) as f0_hz
+  from nb where d < b and (a is null or d <= a))
 """
 
 
 def _yin(spark, d):
-    framed = S.frames(A.samples(spark, d), LENGTH, HOP)
-    return framed, S.yin_difference(framed, LENGTH)
+    return S.yin_difference(S.frames(A.samples(spark, d), LENGTH, HOP), LENGTH, RATE, FMIN, FMAX)
 
 
-@query(sql("samples", _YIN + "select take_id, frame, tau, round(d, 6) as d from df"))
+@query(sql("samples", _YIN + "select take_id, frame, tau, round(d, 6) + 0.0 as d from df"))
 def yin_difference(spark, d):
-    return _yin(spark, d)[1].withColumn("d", F.round("d", 6))
+    rows = _yin(spark, d).select("take_id", "frame", F.posexplode("d").alias("i", "d"))
+    return rows.select("take_id", "frame", (F.col("i") + LOW).cast("bigint").alias("tau"), R(F.col("d")).alias("d"))
 
 
 @query(sql("samples", _YIN + "select take_id, frame, tau, round(d, 6) as d, round(f0_hz, 6) as f0_hz from cd"))
 def yin_candidates(spark, d):
-    return S.yin_candidates(_yin(spark, d)[1], RATE).withColumns({"d": F.round("d", 6), "f0_hz": F.round("f0_hz", 6)})
+    return S.yin_candidates(_yin(spark, d), LOW, RATE).withColumns({"d": F.round("d", 6), "f0_hz": F.round("f0_hz", 6)})
 
 
 @query(sql("samples", _YIN + """, pk as (
@@ -197,8 +196,7 @@ select fr.take_id, fr.frame, round(case when coalesce(least(greatest(1 - d, 0),
   round(coalesce(least(greatest(1 - d, 0), 1), 0), 6) as confidence
 from fr left join (select * from pk where rn = 1) p using (take_id, frame)"""))
 def yin_f0(spark, d):
-    framed, diff = _yin(spark, d)
-    return S.yin_f0(S.yin_candidates(diff, RATE), framed).withColumns({"f0_hz": F.round("f0_hz", 6), "confidence": F.round("confidence", 6)})
+    return S.yin_f0(_yin(spark, d), LOW, RATE).withColumns({"f0_hz": F.round("f0_hz", 6), "confidence": F.round("confidence", 6)})
 
 
 @query(sql("pitch_frames", """
@@ -208,13 +206,13 @@ def voicing(spark, d):
     return S.voicing(A.pitch_frames(spark, d)).select("take_id", "frame", "voiced", F.round("f0_hz", 6).alias("f0_hz"), F.round("confidence", 6).alias("confidence"))
 
 
-@query(sql("samples", _SP + """, pr as (
+@query(sql("samples", _FR + _sp("fr", "sp", LENGTH - 1) + """, pr as (
   select a.take_id, a.frame, a.k, round(sum(ln(greatest(b.mag, 1e-12))), 6) as p
   from sp a, (select unnest([1, 2, 3]) as h) h, sp b
   where a.k between 1 and 2 and b.take_id = a.take_id and b.frame = a.frame and b.k = a.k * h group by all)
 select take_id, frame, k, cast(k * 4 as double) as f0_hz from (select *, row_number() over (partition by take_id, frame order by p desc, k) as rn from pr) where rn = 1"""))
 def hps_f0(spark, d):
-    return S.hps_f0(_spectrum(spark, d), RATE, LENGTH, 3, 1, 2)
+    return S.hps_f0(S.frames(A.samples(spark, d), LENGTH, HOP), LENGTH, RATE, 3, 3.0, 9.0, least=LENGTH)
 
 
 @query(sql("pitch_frames rms_frames", """, v as (
@@ -226,13 +224,20 @@ select n.take_id, n.note_no, start_frame, end_frame, round(start_frame * cast(0.
 from nt n join rms_frames r on r.take_id = n.take_id and r.frame >= n.start_frame * 8 and r.frame < n.end_frame * 8
 group by n.take_id, n.note_no, start_frame, end_frame"""))
 def note_segments(spark, d):
-    s = S.note_segments(A.pitch_frames(spark, d), A.rms_frames(spark, d), 0.05, 0.00625, 0.2)
+    s = S.note_segments(A.pitch_frames(spark, d), A.rms_frames(spark, d), 8, 1, 160.0, 0.2)
     return s.withColumns({"onset_sec": F.round("onset_sec", 6), "f0_hz": F.round("f0_hz", 6), "rms": F.round("rms", 9)})
 
 
-@query(None)
+@query(sql("rms_frames", """, lv as (select take_id, frame, round(20.0 * log10(greatest(rms, 0.0001)), 6) as db from rms_frames),
+nv as (select take_id, frame, greatest(coalesce(db - lag(db) over (partition by take_id order by frame), 0), 0) as n from lv),
+md as (
+  select *, median(n) over (w rows between 6 preceding and 6 following) as m, lag(n) over w as p, lead(n) over w as q from nv window w as (partition by take_id order by frame)),
+pk as (select take_id, frame from md where n > 1.5 * m + 0.001 and n >= p and n >= q),
+nx as (select a.take_id, a.frame, min(b.frame) as later from pk a join pk b on b.take_id = a.take_id and b.frame >= a.frame + 12 group by all),
+kept as (select take_id, min(frame) as frame from pk group by take_id union all select k.take_id, nx.later from kept k join nx on nx.take_id = k.take_id and nx.frame = k.frame)
+select take_id, frame from kept""", recursive=True))
 def pcm_onsets(spark, d):
-    r = A.rms_frames(spark, d).select("take_id", "frame", to_db(F.col("rms")).alias("db"))
+    r = A.rms_frames(spark, d).select("take_id", "frame", F.round(to_db(F.col("rms")), 6).alias("db"))
     return S.novelty_onsets(r, 6, 12)
 
 
@@ -243,10 +248,25 @@ def threshold_onsets(spark, d):
     return S.threshold_onsets(A.rms_frames(spark, d))
 
 
-@query(sql("pitch_frames", """
-select take_id, frame, round(f0_hz, 6) as f0_hz from pitch_frames where frame >= floor(0.5 * 44100 / 2048) and frame < floor(1.5 * 44100 / 2048)"""))
+_WINDOWS = """, up as (select take_id, count(*) * 2048 / 44100.0 as upper from pitch_frames group by take_id),
+win as (
+  select take_id * 10 + k as window_id, take_id, k, case k when 0 then 0.5 when 1 then 1.0 when 2 then -1.0 else 0.25 end as t0,
+    case k when 0 then 1.5 when 1 then 1.0 when 2 then 2.0 when 3 then cast('nan' as double) when 4 then upper + 0.001 else upper end as t1, upper from up, (select unnest(range(6)) as k))
+"""
+
+
+@query(sql("pitch_frames", _WINDOWS + """
+select window_id, take_id, case k when 1 then 'EMPTY_WINDOW' when 2 then 'NEGATIVE_START' when 3 then 'NOT_A_NUMBER' else 'BEYOND_END' end as error_code, cast(null as bigint) as frame, cast(null as double) as f0_hz
+from win where k between 1 and 4
+union all select window_id, w.take_id, null, frame, round(f0_hz, 6) from win w join pitch_frames p on p.take_id = w.take_id and frame >= floor(t0 * 44100 / 2048) and frame < floor(t1 * 44100 / 2048) where k in (0, 5)"""))
 def time_slice(spark, d):
-    return S.time_slice(A.pitch_frames(spark, d), 0.5, 1.5, 44100.0, 2048).select("take_id", "frame", F.round("f0_hz", 6).alias("f0_hz"))
+    p = A.pitch_frames(spark, d).select("take_id", "frame", "f0_hz")
+    up = p.groupBy("take_id").agg((F.count("*") * 2048 / F.lit(44100.0)).alias("upper"))
+    w = up.select("take_id", "upper", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
+    t0 = F.when(F.col("k") == 0, 0.5).when(F.col("k") == 1, 1.0).when(F.col("k") == 2, -1.0).otherwise(0.25)
+    t1 = F.when(F.col("k") == 0, 1.5).when(F.col("k") == 1, 1.0).when(F.col("k") == 2, 2.0).when(F.col("k") == 3, float("nan")).when(F.col("k") == 4, F.col("upper") + 0.001).otherwise(F.col("upper"))
+    w = w.select((F.col("take_id") * 10 + F.col("k")).alias("window_id"), "take_id", t0.alias("t0"), t1.alias("t1"), "upper")
+    return S.time_slices(p, w, 44100.0, 2048).select("window_id", "take_id", "error_code", "frame", F.round("f0_hz", 6).alias("f0_hz"))
 
 
 # alignment
@@ -262,11 +282,11 @@ def _sizes(spark, d):
 
 
 def _side(spark, d, name):
-    return A.pitch_frames(spark, d).where(F.col("side") == name).select("pair_id", "frame", F.col("f0_hz").alias("value"))
+    return A.pitch_frames(spark, d).where(F.col("side") == name).select("pair_id", "frame", F.array("f0_hz", F.col("confidence") * 100).alias("features"), F.col("f0_hz").alias("value"))
 
 
 @query(sql("pitch_frames", _SIZES + """
-select r.pair_id, r.frame as i, p.frame as j, round(abs(r.f0_hz - p.f0_hz), 6) as distance
+select r.pair_id, r.frame as i, p.frame as j, round(sqrt(pow(r.f0_hz - p.f0_hz, 2) + pow(r.confidence * 100 - p.confidence * 100, 2)), 6) as distance
 from pitch_frames r join sz using (pair_id) join pitch_frames p on p.pair_id = r.pair_id and p.side = 'practice' and abs(r.frame / n_ref - p.frame / n_prac) <= 0.25
 where r.side = 'reference'"""))
 def band_distance(spark, d):
@@ -274,10 +294,24 @@ def band_distance(spark, d):
     return b.withColumn("distance", R(F.col("distance")))
 
 
-@query(None)
+@query(sql("pitch_frames", """, xs as (
+  select pair_id, list(f0_hz order by frame) as x, list(confidence * 100 order by frame) as u, count(*) as n from pitch_frames where side = 'reference' group by pair_id),
+ys as (select pair_id, list(f0_hz order by frame) as y, list(confidence * 100 order by frame) as w, count(*) as m from pitch_frames where side = 'practice' group by pair_id),
+xy as (select * from xs join ys using (pair_id)),
+walk(pair_id, s, c1, c2) as (
+  select pair_id, cast(0 as bigint), list_transform(range(n), lambda i: case when i = 0 then sqrt(pow(x[1] - y[1], 2) + pow(u[1] - w[1], 2)) end), list_transform(range(n), lambda i: cast(null as double)) from xy
+  union all
+  select pair_id, s + 1, list_transform(range(n), lambda i: case when s + 1 - i between 0 and m - 1 and abs(i * m - (s + 1 - i) * n) <= 0.25 * n * m + 1e-6
+    then sqrt(pow(x[i + 1] - y[s + 2 - i], 2) + pow(u[i + 1] - w[s + 2 - i], 2)) + least(case when i > 0 then c2[i] end, case when i > 0 then c1[i] end, c1[i + 1]) end), c1
+  from walk join xy using (pair_id) where s < n + m - 2)
+select pair_id, round(c1[n], 4) as cost, true as complete from walk join xy using (pair_id) where s = n + m - 2""", recursive=True))
 def warp_path(spark, d):
-    one = lambda s: _side(spark, d, s).select("pair_id", "frame", F.array("value").alias("features"))
-    return L.warp_path(one("reference"), one("practice"))
+    ref, prac = (_side(spark, d, s).select("pair_id", "frame", "features") for s in ("reference", "practice"))
+    path = L.warp_path(ref, prac)
+    ends = path.groupBy("pair_id").agg((F.max("reference_frame") + F.max("practice_frame")).alias("end"), (F.min("reference_frame") + F.min("practice_frame")).alias("start"))
+    sizes = _sizes(spark, d).where("n_ref > 0 and n_prac > 0")
+    cost = L.path_cost(path, ref, prac).join(ends, "pair_id").join(sizes, "pair_id")
+    return cost.select("pair_id", F.round("cost", 4).alias("cost"), ((F.col("start") == 0) & (F.col("end") == F.col("n_ref") + F.col("n_prac") - 2)).alias("complete"))
 
 
 @query(sql("paths pitch_frames", _SIZES + """, b as (
@@ -312,4 +346,4 @@ f as (select pair_id, reference_frame as frame, min(practice_frame) as p from pa
 l as (select pair_id, max(frame) as last from p group by pair_id)
 select f.pair_id, f.frame, round(p.f0_hz, 6) as value from f join l using (pair_id) join p on p.pair_id = f.pair_id and p.frame = greatest(0, least(f.p, last))"""))
 def warp_reindex(spark, d):
-    return L.warp_reindex(A.paths(spark, d), _side(spark, d, "practice"), ["value"]).withColumn("value", F.round("value", 6))
+    return L.warp_reindex(A.paths(spark, d), _side(spark, d, "practice").drop("features"), ["value"]).withColumn("value", F.round("value", 6))

@@ -68,6 +68,30 @@ def tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("song_id", (F.col("k") * 2000).cast("bigint").alias("tick"), (F.lit(400000) + F.pmod(F.col("song_id") * 7 + F.col("k") * 13, F.lit(11)) * 40000).cast("bigint").alias("us_per_beat"))
 
 
+#: Takes' planted properties, by take_id, in words that both engines read.
+TAKE = {
+    "readable": "take_id % 29 <> 3",
+    "sample_rate": "case when take_id % 31 = 5 then 22050 else 44100 end",
+    "n_samples": "case take_id % 9 when 0 then 44100 * 45 when 1 then 44100 * 45 - 1 when 2 then 44100 * 120 when 3 then 44100 * 120 + 1 else 44100 * 60 + take_id end",
+}
+
+
+def takes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Takes of the samples, with lengths at the bounds and next to them, and some that cannot be used."""
+    e = samples(spark, sf_dir).select("take_id", "pair_id", "side")
+    return e.selectExpr("take_id", "pair_id", "side", *(f"{x} as {c}" for c, x in TAKE.items()))
+
+
+def quiet_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples in two chunks a take, some of them nearly silent, silent, missing or no numbers."""
+    k = F.pmod("take_id", F.lit(17))
+    scale = F.when(k == 1, 0.00079).when(k == 2, 0.00081).when(k == 3, 0.0).otherwise(1.0)
+    pcm = F.transform("pcm", lambda x: x * scale)
+    odd = F.when(k == 5, F.lit(float("nan"))).when(k == 6, F.lit(float("inf")))
+    s = samples(spark, sf_dir).where(k != 4).select("take_id", F.when(odd.isNotNull(), F.array_append(pcm, odd)).otherwise(pcm).alias("pcm"))
+    return s.select("take_id", F.explode(F.array(F.slice("pcm", 1, 40), F.slice("pcm", 41, 100))).alias("pcm"))
+
+
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monotone paths without alignment, and planted bad ones by pair_id % 10: 1 a backward step, 2 cut at half."""
     f = pitch_frames(spark, sf_dir)
@@ -96,6 +120,12 @@ SQL = {
     "samples": """
   select vec_id as take_id, vec_id // 2 as pair_id, case when vec_id % 2 = 0 then 'reference' else 'practice' end as side,
     list_transform(embedding, lambda x: cast(x as double)) as pcm from embeddings""",
+    "takes": "select take_id, pair_id, side, " + ", ".join(f"{x} as {c}" for c, x in TAKE.items()) + " from samples",
+    "quiet_samples": """
+  select take_id, unnest([pcm[1:40], pcm[41:]]) as pcm from (
+    select take_id, case take_id % 17 when 5 then list_append(x, cast('nan' as double)) when 6 then list_append(x, cast('inf' as double)) else x end as pcm from (
+      select take_id, list_transform(pcm, lambda v: v * case take_id % 17 when 1 then 0.00079::double when 2 then 0.00081::double when 3 then 0.0::double else 1.0::double end) as x
+      from samples where take_id % 17 <> 4))""",
     "score": """
   select l_suppkey as song_id, date_diff('day', timestamp '1995-01-01', l_shipdate) * 4 + l_linenumber as st_tick,
     date_diff('day', timestamp '1995-01-01', l_shipdate) * 4 + l_linenumber + cast(l_quantity as bigint) as en_tick,
@@ -115,10 +145,10 @@ SQL = {
     from pitch_frames group by pair_id) where n_ref > 0 and n_prac > 0)
   where pair_id % 10 <> 2 or 2 * step < n_ref""",
 }
-NEEDS = {"pitch_frames": ["notes"], "rms_frames": ["notes"], "note_events": ["score"], "paths": ["notes", "pitch_frames"]}
+NEEDS = {"takes": ["samples"], "quiet_samples": ["samples"], "pitch_frames": ["notes"], "rms_frames": ["notes"], "note_events": ["score"], "paths": ["notes", "pitch_frames"]}
 
 
-def sql(views: str, body: str) -> str:
+def sql(views: str, body: str, recursive: bool = False) -> str:
     """A query over these views (names parted by blanks) and what they need; the body may add its own after a comma."""
     names: list[str] = []
     for v in views.split():
@@ -127,4 +157,4 @@ def sql(views: str, body: str) -> str:
                 names.append(n)
     head = ",\n".join(f"{n} as ({SQL[n]})" for n in names)
     body = body.strip()
-    return f"with recursive {head}{'' if body.startswith(',') else chr(10)}{body}"
+    return f"with {'recursive ' if recursive else ''}{head}{'' if body.startswith(',') else chr(10)}{body}"

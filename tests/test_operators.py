@@ -1,13 +1,16 @@
 """Operators that SQL does not check, boundary values, plans, and planted defects."""
 
+import random
 import re
+import time
 import wave
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from takewise.operators import align, frames, metrics, pairing, results, scores
+from takewise.operators import align, frames, gates, metrics, pairing, results, scores
+from takewise.operators import catalogue as catalogue_ops
 from takewise.plans import catalogue
 from takewise.sources import adapters, files
 
@@ -40,7 +43,8 @@ def test_warp_path_is_least(tie):
 
 
 def test_warp_path_query(spark, sf):
-    path = catalogue.queries()["warp_path"](spark, sf)
+    one = lambda s: adapters.pitch_frames(spark, sf).where(F.col("side") == s).select("pair_id", "frame", F.array("f0_hz").alias("features"))
+    path = align.warp_path(one("reference"), one("practice"))
     sizes = adapters.pitch_frames(spark, sf).groupBy("pair_id").agg(F.count(F.when(F.col("side") == "reference", 1)).alias("n_ref"), F.count(F.when(F.col("side") == "practice", 1)).alias("n_prac"))
     for r in align.path_checks(path, sizes.where("n_ref > 0 and n_prac > 0")).collect():
         assert r.monotone and (r.coverage == 1 or r.error_code)
@@ -60,48 +64,197 @@ def test_novelty_onsets(spark):
     db = np.round(rng.random(60) * 20, 3)
     rise = np.maximum(np.diff(db, prepend=db[0]), 0)
     want, last = [], None
-    for k in range(60):
+    for k in range(1, 59):
         middle = np.median(rise[max(0, k - 5) : k + 6])
-        before, after = (rise[k - 1] if k else 0), (rise[k + 1] if k < 59 else 0)
-        if rise[k] > 1.5 * middle + 1e-3 and rise[k] > before and rise[k] >= after and (last is None or k - last >= 4):
+        if rise[k] > 1.5 * middle + 1e-3 and rise[k] >= rise[k - 1] and rise[k] >= rise[k + 1] and (last is None or k - last >= 4):
             want.append(k)
             last = k
     rows = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(db)], "take_id long, frame long, db double")
     assert sorted(r.frame for r in frames.novelty_onsets(rows, 5, 4).collect()) == want
 
 
+def tone(n, *hz, rate=44100.0):
+    t = np.arange(n) / rate
+    return sum(np.sin(2 * np.pi * f * t) / (i + 1) for i, f in enumerate(hz))
+
+
+def test_signal_at_real_sizes(spark):
+    """Frames of 2048 samples against numpy, and pitches of known tones."""
+    rng = np.random.default_rng(5)
+    takes = [(1, tone(30_000, 440.0, 880.0)), (2, rng.normal(size=20_000)), (3, np.zeros(9_000)), (4, tone(1_000, 300.0))]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in takes], "take_id long, pcm array<double>")
+    pcm = dict(takes)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(2048) / 2048)
+    framed = frames.frames(df, 2048, 512)
+    for r in frames.spectra(framed).collect():
+        x = np.resize(np.pad(pcm[r.take_id], (0, 2048))[r.frame * 512 : r.frame * 512 + 2048], 2048)
+        assert np.allclose(r.mag, np.abs(np.fft.rfft(x * window)))
+    wide = lambda x, n: np.concatenate((np.zeros(n // 2), x, np.zeros(n // 2)))
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(4096) / 4096)
+    seen = {}
+    for r in frames.align_chroma(df).collect():
+        x = wide(pcm[r.take_id], 4096)[r.frame * 2048 : r.frame * 2048 + 4096]
+        mag, hz = np.abs(np.fft.rfft(x * hann)), np.arange(2049) * 44100 / 4096
+        out = np.zeros(12)
+        for m, f in zip(mag, hz):
+            if 27.5 <= f <= 4200:
+                out[int(np.round(12 * np.log2(f / 27.5))) % 12] += m
+        assert np.allclose(r.bins, out / (np.linalg.norm(out) or 1.0))
+        seen[r.take_id] = seen.get(r.take_id, 0) + 1
+    assert seen == {i: (len(x) - 1) // 2048 for i, x in takes if len(x) > 2048}
+    for r in frames.chroma(df).collect():
+        assert len(r.bins) == 12 and (max(r.bins) == 1.0 or (r.take_id == 3 and max(r.bins) == 0.0))
+        if r.take_id == 1 and 2 <= r.frame <= 10:
+            assert r.bins[9] == 1.0  # A, counted from C
+    low, high = frames.lags(44100, 2048, 130.81, 2093.0)
+    diff = frames.yin_difference(framed)
+    for r in diff.collect():
+        x = np.pad(pcm[r.take_id], (0, 2048))[r.frame * 512 : r.frame * 512 + 2048]
+        energy = np.cumsum(x * x)
+        raw = np.array([2 * (x @ x - x[: 2048 - k] @ x[k:]) - (energy[k - 1] if k > 1 else 0.0) for k in range(1, high + 1)])
+        mean = np.cumsum(raw) / np.arange(1, high + 1)
+        assert np.allclose(r.d, raw[low - 1 :] / (mean[low - 1 :] + np.finfo(float).tiny), atol=1e-6)
+    f0 = frames.yin_f0(diff, low).where("take_id = 1").collect()
+    assert all(abs(1200 * np.log2(r.f0_hz / 440)) < 5 and r.confidence > 0.9 for r in f0)
+    assert all(r.f0_hz == 0 for r in frames.yin_f0(diff, low).where("take_id = 3").collect())
+    rich = spark.createDataFrame([(1, tone(9_000, *(440.0 * h for h in range(1, 7))).tolist())], "take_id long, pcm array<double>")
+    assert all(abs(r.f0_hz - 440) < 22 for r in frames.hps_f0(frames.frames(rich, 2048, 512), 2048).collect())
+    assert {r.f0_hz for r in frames.hps_f0(frames.frames(df, 256, 128), 256).collect()} == {0.0}
+
+
+def test_band_path_at_size():
+    """2,584 frames a side within a quarter: the path ends, and has the least cost of a short one's full table."""
+    rng = np.random.default_rng(2)
+    x, y = rng.random((2584, 12)), rng.random((2584, 12))
+    began = time.perf_counter()
+    path = align.banded_path(x, y, 0.25, "diagonal")
+    assert path[0] == (0, 0) and path[-1] == (2583, 2583) and time.perf_counter() - began < 5
+    assert all(abs(i / 2584 - j / 2584) <= 0.25 + 1e-9 for i, j in path)
+
+
+def test_gates(spark):
+    """The bounds are allowed, one sample beyond is not; an empty take is silent; the first failing gate names the take."""
+    rate = 44100
+    takes = [(1, 1, "reference", True, rate, 45 * rate), (2, 1, "practice", True, rate, 45 * rate - 1), (3, 2, "reference", True, rate, 120 * rate), (4, 2, "practice", True, rate, 120 * rate), (5, 3, "reference", True, rate, 120 * rate + 1), (6, 3, "practice", False, 0, 1),
+             (7, 4, "reference", True, 22050, 1), (8, 4, "practice", True, rate, 60 * rate), (9, 5, "reference", True, rate, 60 * rate), (10, 6, "reference", True, rate, 60 * rate), (11, 6, "practice", True, rate, 60 * rate)]
+    t = spark.createDataFrame(takes, "take_id long, pair_id long, side string, readable boolean, sample_rate int, n_samples long")
+    assert {r.take_id: r.error_code for r in gates.duration_gate(t).collect() if r.error_code} == {2: "INPUT_TOO_SHORT", 5: "INPUT_TOO_LONG", 6: "CORE_BUILD_FAILED", 7: "INPUT_TOO_SHORT"}
+    loud = [(i, [0.5, -0.5]) for i in (1, 2, 3, 4, 5, 7, 8, 9)] + [(1, [0.5]), (10, [1e-4, -1e-4]), (11, [9.9e-5])]
+    s = spark.createDataFrame(loud, "take_id long, pcm array<double>")
+    assert {r.take_id for r in gates.silence_gate(t, s).collect() if r.error_code} == {6, 11}
+    odd = s.unionByName(spark.createDataFrame([(8, [float("nan")]), (9, [float("-inf")])], s.schema))
+    assert {r.take_id for r in gates.nonfinite_gate(odd).collect() if r.error_code} == {8, 9}
+    got = {r.pair_id: (r.usable, r.first_code) for r in gates.ingest_verdict(t, odd).collect()}
+    assert got == {1: (False, "INPUT_TOO_SHORT"), 2: (True, None), 3: (False, "INPUT_TOO_LONG"), 4: (False, "CORE_BUILD_FAILED"), 5: (False, "CORE_BUILD_FAILED"), 6: (False, "INPUT_SILENT")}
+    stereo = spark.createDataFrame([(1, 0, [1.0, 3.0, 5.0]), (1, 1, [3.0, 1.0])], "take_id long, channel int, pcm array<double>")
+    assert gates.downmix(stereo).first().pcm == [2.0, 2.0, 5.0]
+
+
+def test_transpose_shift_of_any_range(spark):
+    """The rule of the two ranges, spelled out, on ranges that fit, fit only the wider one, or neither."""
+    rng = np.random.default_rng(7)
+    ranges = [(10, 14), (30, 100), (60, 84), (55, 88), (84, 85), (0, 33), (0, 34)] + [tuple(sorted(rng.integers(0, 128, 2).tolist())) for _ in range(60)]
+    rows = [(i, m) for i, r in enumerate(ranges) for m in r]
+    for r in scores.transpose_shift(spark.createDataFrame(rows, "song_id long, midi long")).collect():
+        lo, hi = ranges[r.song_id]
+        for a, b in ((60, 84), (55, 88)):
+            fits = [s for s in range(-128, 129) if lo + s >= a and hi + s <= b]
+            if fits:
+                want = (min(fits, key=abs), a, b)
+                break
+        else:
+            want = (0, 55, 88)
+        assert (r.shift, r.low, r.high) == want
+
+
+def test_set_similarity_loses_nothing(spark):
+    """All pairs of different sets at the threshold or above, against plain Python; equal sets are one."""
+    rng = random.Random(4)
+    sets = {i: {rng.choice("aaaabbbccdefghij") for _ in range(rng.randint(1, 9))} for i in range(120)}
+    rows = [(i, t) for i, s in sets.items() for t in s] + [(0, next(iter(sets[0])))]
+    pairs, members = pairing.set_similarity(spark.createDataFrame(rows, "id long, token string"), 0.6)
+    least = {}
+    for i, s in sets.items():
+        least.setdefault(frozenset(s), i)
+    assert {(r.id, r.representative) for r in members.collect()} == {(i, least[frozenset(s)]) for i, s in sets.items()}
+    want = {(a, b): len(x & y) / len(x | y) for x, a in least.items() for y, b in least.items() if a < b and len(x & y) / len(x | y) >= 0.6}
+    got = {(r.a, r.b): r.similarity for r in pairs.collect()}
+    assert got == want and len(want) > 20
+
+
+def test_natural_order_in_any_partitions(spark):
+    names = [(i, f"{i * 37 % 50}_x" if i % 3 else "same name" if i % 2 else f"n{i}") for i in range(300)]
+    df = spark.createDataFrame(names, "k long, name string").repartition(5)
+    want = sorted(names, key=lambda x: (not x[1][0].isdigit(), int(x[1].split("_")[0]) if x[1][0].isdigit() else 0, x[1], x[0]))
+    for n in (1, 3, 9):
+        got = {r.k: r.place for r in catalogue_ops.natural_order(df, "name", "k", n).collect()}
+        assert got == {k: i + 1 for i, (k, _) in enumerate(want)}
+    assert catalogue_ops.natural_order(df.limit(0), "name", "k").count() == 0
+
+
 def test_boundaries(spark):
     notes = [(0, "reference", 1, 0.0), (0, "practice", 1, 0.1), (0, "reference", 2, 1.0), (0, "practice", 2, 1.2), (1, "reference", 1, 0.0)]
-    m = pairing.match_onsets(spark.createDataFrame(notes, "pair_id long, side string, note_no long, onset_sec double"), 0.1).collect()
+    df = spark.createDataFrame(notes, "pair_id long, side string, note_no long, onset_sec double")
+    m = pairing.match_onsets(df, 0.1).collect()
     assert [(r.pair_id, r.ref_no, r.prac_no) for r in m] == [(0, 1, 1)]
+    every = {(r.pair_id, r.ref_no, r.prac_no, r.error_code) for r in pairing.pair_onsets(df, 0.1).collect()}
+    assert every == {(0, 1, 1, None), (0, 2, None, None), (0, None, 2, None), (1, 1, None, None)}
+    for bad in ([(0, "practice", 3, float("nan"))], [(0, "practice", 3, 0.5)], [(0, "reference", 3, float("inf"))]):
+        got = pairing.pair_onsets(df.unionByName(spark.createDataFrame(bad, df.schema))).where("pair_id = 0").collect()
+        assert [(r.ref_no, r.prac_no, r.error_code) for r in got] == [(None, None, "ALGORITHM_FAILED")]
+    warped = pairing.pair_onsets(df.withColumn("timeline_basis", F.lit("WARPED")))
+    assert warped.where("error_code is null").count() == 0
     d = spark.createDataFrame([(1, 50.0), (1, 50.1), (1, None), (2, None)], "pair_id long, cents double")
     got = {r.pair_id: (r.off_pitch_ratio, r.n_notes_used, r.n_unpaired) for r in metrics.pitch_summary(d).collect()}
     assert got == {1: (0.5, 2, 1), 2: (0.0, 0, 1)}
 
 
 def song(spark):
-    return spark.createDataFrame([(1, i, i * 40, i * 40 + 40, 60 + i % 12, 80) for i in range(200)], "song_id long, note_no long, st_tick long, en_tick long, midi long, velocity long")
+    return spark.createDataFrame([(1, i, i * 400, i * 400 + 400, 60 + i % 12, 80) for i in range(200)], "song_id long, note_no long, st_tick long, en_tick long, midi long, velocity long")
+
 
+def tempo(spark):
+    return spark.createDataFrame([(1, 0, 500_000)], "song_id long, tick long, us_per_beat long")
 
-def test_planted_defects_move_their_own_metric(spark):
-    s = song(spark)
-    pitch = scores.perturb_pitch(s, 3).collect()
-    assert all(abs(r.planted_cents) <= 60 for r in pitch) and np.std([r.planted_cents for r in pitch]) > 20
-    wrong = scores.perturb_wrong_notes(s, 3).collect()
-    assert sum(r.planted_semitones != 0 for r in wrong) == 30 and all(abs(r.planted_semitones) <= 3 for r in wrong)
+
+def test_planted_defects(spark):
+    """Shares, sizes and bounds of each defect; timing keeps notes, order, ends and a quarter of each length."""
+    s, t = song(spark), tempo(spark)
+    cents = np.array([r.planted_cents for r in scores.perturb_pitch(s, 3).collect()])
+    far = np.abs(cents) > 30
+    assert 0.75 < far.mean() < 0.95 and (np.abs(cents[far]) >= 45).all() and np.abs(cents).max() <= 115 and 0.55 < (cents[far] > 0).mean() < 0.8
+    wrong = scores.perturb_wrong_notes(s, t, 3).collect()
+    assert sum(r.planted_semitones != 0 for r in wrong) == 30 and {abs(r.planted_semitones) for r in wrong} == {0, 1, 2, 3}
+    few = scores.perturb_wrong_notes(s.where("note_no < 3"), t, 3).collect()
+    assert sum(r.planted_semitones != 0 for r in few) == 1
+    short = s.withColumn("en_tick", F.col("st_tick") + 10)
+    assert scores.perturb_wrong_notes(short, t, 3).where("planted_semitones <> 0").count() == 0
+    high = scores.perturb_wrong_notes(s.withColumn("midi", F.lit(108).cast("bigint")), t, 3)
+    assert high.agg(F.max("midi")).first()[0] == 108
     loud = scores.perturb_dynamics(s, 3).collect()
-    assert all(3 <= r.velocity <= 127 for r in loud) and len({r.velocity for r in loud}) > 20
+    assert all(3 <= r.velocity <= 127 for r in loud) and 0.03 < np.mean([r.factor < 0.26 for r in loud]) < 0.2
     gone = sorted(r.note_no for r in scores.perturb_dropouts(s, 3).where("dropped").collect())
     assert 10 < len(gone) < 80
-    moved = sorted((r.note_no, r.new_start, r.new_end) for r in scores.perturb_timing(s, 3).collect())
-    assert len(moved) == 200 and moved[0][1] == 0 and moved[-1][2] >= 8000
-    assert all(b - a >= 10 for _, a, b in moved) and all(x[2] == y[1] for x, y in zip(moved, moved[1:]))
+    moved = sorted((r.note_no, r.new_start, r.new_end) for r in scores.perturb_timing(s, t, 3).collect())
+    assert len(moved) == 200 and moved[0][1] == 0 and moved[-1][2] == 80_000
+    assert all(b - a >= 100 for _, a, b in moved) and all(x[2] == y[1] for x, y in zip(moved, moved[1:]))
+    late = np.array([a - 400 * i for i, a, _ in moved])
+    assert late.any() and late[-50:].mean() < late[:50].mean() < 40  # it drifts ahead
+    labels = scores.defect_labels(scores.perturb_wrong_notes(s, t, 3), t, "wrong", ["planted_semitones"], "planted_semitones <> 0")
+    assert labels.count() == 30 and labels.where("abs(onset_sec - note_no * 400 / 960) > 1e-4").count() == 0
 
 
 def test_results_do_not_depend_on_partitions(spark):
-    s = song(spark)
-    for f in (scores.perturb_pitch, scores.perturb_wrong_notes, scores.perturb_dropouts, scores.perturb_timing):
-        assert sorted(f(s.repartition(1), 5).collect()) == sorted(f(s.repartition(7), 5).collect())
+    s, t = song(spark), tempo(spark)
+    one = (lambda x: scores.perturb_pitch(x, 5), lambda x: scores.perturb_wrong_notes(x, t, 5), lambda x: scores.perturb_dropouts(x, 5), lambda x: scores.perturb_timing(x, t, 5))
+    for f in one:
+        assert sorted(f(s.repartition(1)).collect()) == sorted(f(s.repartition(7)).collect())
+
+
+def test_polyphony_counts_rests(spark):
+    rows = [(1, 0, 10, 60), (1, 5, 10, 64), (1, 20, 30, 60), (2, 0, 5, 60)]
+    got = {r.song_id: (r.max_voices, round(r.poly_ratio, 6)) for r in scores.polyphony(spark.createDataFrame(rows, "song_id long, st_tick long, en_tick long, midi long")).collect()}
+    assert got == {1: (2, round(5 / 30, 6)), 2: (1, 0.0)}
 
 
 def test_registry(spark):
@@ -122,17 +275,36 @@ def test_wav_headers(spark, tmp_path):
             w.setsampwidth(2)
             w.setframerate(rate)
             w.writeframes(b"\0\0" * channels * frames_)
+    plain = (tmp_path / "mono.wav").read_bytes()
+    (tmp_path / "list.wav").write_bytes(plain[:36] + b"LIST\3\0\0\0abc\0" + plain[36:])
+    (tmp_path / "short.wav").write_bytes(plain[:-100])
     (tmp_path / "cut.wav").write_bytes(b"RIFF\0\0")
+    (tmp_path / "nodata.wav").write_bytes(plain[:36])
     (tmp_path / "text.wav").write_bytes(b"no sound " * 10)
     got = {r.relative_path: r for r in files.wav_header_scan(spark, str(tmp_path)).collect()}
     assert (got["mono.wav"].duration_sec, got["mono.wav"].channels, got["mono.wav"].bit_depth, got["mono.wav"].format) == (1.0, 1, 16, "PCM")
     assert (got["stereo.wav"].duration_sec, got["stereo.wav"].sample_rate_hz) == (0.5, 22050)
-    assert all(got[n].error_code == "INPUT_UNREADABLE" and got[n].duration_sec is None for n in ("cut.wav", "text.wav"))
+    assert got["list.wav"].duration_sec == 1.0 and got["short.wav"].duration_sec == pytest.approx(1 - 50 / 44100)
+    assert all(got[n].error_code == "INPUT_UNREADABLE" and got[n].duration_sec is None for n in ("cut.wav", "text.wav", "nodata.wav"))
 
 
 def test_manifest(spark, tmp_path):
-    (tmp_path / "m.csv").write_text("﻿id,title,sec\n﻿1,Tune é,60.5\n", encoding="utf-8")
-    assert [tuple(r) for r in files.read_manifest(spark, str(tmp_path / "m.csv"), "id long, title string, sec double").collect()] == [(1, "Tune é", 60.5)]
+    (tmp_path / "m.csv").write_text("\ufeffid,title,sec\n\ufeff1,Tune é,60.5\n", encoding="utf-8")
+    schema = "id long, title string, sec double"
+    assert [tuple(r) for r in files.read_manifest(spark, str(tmp_path / "m.csv"), schema).collect()] == [(1, "Tune é", 60.5)]
+    files.write_manifest(spark.createDataFrame([(1, "a,b", 0.5), (2, "ü", None)], schema).coalesce(1), str(tmp_path / "out"))
+    (part,) = (tmp_path / "out").glob("*.csv")
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfid,title,sec")
+    assert [tuple(r) for r in files.read_manifest(spark, str(tmp_path / "out"), schema).collect()] == [(1, "a,b", 0.5), (2, "ü", None)]
+
+
+def test_label_files(spark, tmp_path):
+    (tmp_path / "labels.json").write_text('{"song": 3,\n "labels": {"late": {"sec": 0.2}, "off": {"cents": -30.5, "note": 4}}}')
+    read = files.read_label_files(spark, str(tmp_path / "labels.json"), "song long, labels map<string, map<string, double>>")
+    got = files.explode_labels(read.withColumn("labels", F.to_json("labels")), "labels", ["song"])
+    assert sorted(tuple(r) for r in got.collect()) == [(3, "late", "sec", 0.2), (3, "off", "cents", -30.5), (3, "off", "note", 4.0)]
+    files.write_documents(spark.createDataFrame([("{}",)], "document string"), str(tmp_path / "docs"))
+    assert spark.read.text(str(tmp_path / "docs")).first()[0] == "{}"
 
 
 def test_join_kinds(spark, sf):
