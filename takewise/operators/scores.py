@@ -6,6 +6,7 @@ ticks times microseconds a beat, kept as whole numbers until they become seconds
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -142,8 +143,13 @@ def repeat_notes(score: DataFrame, times: int, segment_ticks: int) -> DataFrame:
 
 
 def top_voice(score: DataFrame, tolerance: int) -> DataFrame:
-    """The highest note of each cluster of onsets; a cluster has the onsets within the tolerance of its first."""
-    rows = score.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("st_tick", "midi", "en_tick", "note_no"))).alias("n"))
+    """The highest note of each cluster of onsets (the first of equals); a cluster has the onsets within the tolerance of
+    its first. Onsets that follow the one before at more than the tolerance begin one in any case, so only what stands
+    between two of these is walked together."""
+    order = W.partitionBy("song_id").orderBy("st_tick", "midi", "en_tick", "note_no")
+    begins = F.coalesce(F.col("st_tick") - F.lag("st_tick").over(order) > tolerance, F.lit(True)).cast("bigint")
+    parted = score.withColumn("__begins", begins).withColumn("__island", F.sum("__begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    rows = parted.groupBy("song_id", "__island").agg(F.array_sort(F.collect_list(F.struct("st_tick", "midi", "en_tick", "note_no"))).alias("n"))
     kept = "array<struct<anchor:bigint,midi:bigint,note_no:bigint>>"
 
     def step(acc: Column, n: Column) -> Column:
@@ -228,7 +234,7 @@ def perturb_timing(mono: DataFrame, tempo: DataFrame, seed: int, drift: float =
     up to most_sec, and most_share of the shorter note, either way, and earlier the nearer the song's end, by drift
     seconds there; ticks are those of the tempo at the song's start. Both notes of a boundary keep a quarter of their
     length, and least_sec, else it stays; the song keeps its notes, their order, and its first and last tick. Each
-    boundary heeds the one before it, so a song's are folded in order."""
+    boundary heeds the one before it, so a song's are walked in order, a song a group."""
     w = W.partitionBy("song_id").orderBy("st_tick", "note_no")
     size = F.col("en_tick") - F.col("st_tick")
     rows = first_tempo(mono, tempo).withColumn("__long", size)
@@ -240,19 +246,18 @@ def perturb_timing(mono: DataFrame, tempo: DataFrame, seed: int, drift: float =
     floor = F.rint(F.lit(least_sec) * F.lit(1e6 * beat) / F.col("__us"))
     least = F.greatest(F.floor(F.lit(0.25) * F.col("__long")), floor)
     rows = rows.select("song_id", "note_no", "st_tick", "en_tick", ticks.cast("bigint").alias("push"), least.cast("bigint").alias("least"))
-    one = rows.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("st_tick", "note_no", "en_tick", "push", "least"))).alias("n"))
-    start = F.array().cast("array<struct<note_no:bigint,new_start:bigint,least:bigint>>")
-
-    def step(acc: Column, n: Column) -> Column:
-        before = F.element_at(acc, -1)
-        low, high = before["new_start"] + before["least"], n["en_tick"] - n["least"]
-        moved = F.when(high < low, n["st_tick"]).otherwise(F.least(F.greatest(n["st_tick"] + n["push"], low), high))
-        begin = F.when(F.size(acc) == 0, n["st_tick"]).otherwise(moved)
-        return F.array_append(acc, F.struct(n["note_no"].alias("note_no"), begin.alias("new_start"), n["least"].alias("least")))
-
-    folded = one.select("song_id", F.element_at("n", -1)["en_tick"].alias("end"), F.posexplode(F.aggregate("n", start, step)).alias("i", "k"))
-    moved = folded.select("song_id", "k.note_no", "k.new_start", F.coalesce(F.lead("k.new_start").over(W.partitionBy("song_id").orderBy("i")), F.col("end")).alias("new_end"))
-    return moved
+    return rows.groupBy("song_id").applyInArrow(_boundaries, f"song_id {rows.schema['song_id'].dataType.simpleString()}, note_no long, new_start long, new_end long")
+
+
+def _boundaries(song: pa.Table) -> pa.Table:
+    """A song's notes with their boundaries moved one after the other."""
+    song = song.sort_by([("st_tick", "ascending"), ("note_no", "ascending")])
+    start, end, push, least = (song.column(c).to_pylist() for c in ("st_tick", "en_tick", "push", "least"))
+    new = start[:1]
+    for i in range(1, len(start)):
+        low, high = new[-1] + least[i - 1], end[i] - least[i]
+        new.append(start[i] if high < low else min(max(start[i] + push[i], low), high))
+    return pa.table([song.column("song_id"), song.column("note_no"), pa.array(new, pa.int64()), pa.array([*new[1:], end[-1]], pa.int64())], ["song_id", "note_no", "new_start", "new_end"])
 
 
 def defect_labels(perturbed: DataFrame, tempo: DataFrame, variant: str, labels: list[str], where: str = "true", beat: int = BEAT_TICKS) -> DataFrame:
