@@ -12,6 +12,12 @@ must be equal, and so on; every level fixes more bits, so this ends, and it drop
 
 Components are found over distinct fingerprints by alternating large-star and small-star steps, with checkpoints.
 
+drop_near_copies looks for texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints
+of five-word shingles tell such texts badly (a tenth of changed shingles flips seven bits), so it links texts by two
+fingerprints of word pairs, with other seeds, at five bits or fewer: three segments, of which one then differs by one bit
+at most. These links only propose. In each of their components every text is compared in full with the one of the
+smallest id; where that fails, the links themselves are compared; and the links that hold make the groups.
+
 Defined results: a null or blank text has fingerprint zero; equal fingerprints link, so repeated rows share a component;
 a component's id is its smallest id, null only if it has no other; an empty table gives an empty one; other columns
 are not read.
@@ -24,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, cut, keep_by_id, slices
+from .common import LOWER_AZ, cut, slices, whole_rows
 
 SHINGLE = 3
 SEED = 42
@@ -38,10 +44,16 @@ BUCKET = 20_000
 FEW_BITS = 12
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
-_LOW32 = 0xFFFFFFFF
+#: Of near copies: words of a compared shingle, their least similarity; words of a fingerprint's shingles, its seeds and
+#: the bits in which proposed texts differ at most.
+NEAR_WORDS = 5
+SIMILARITY = 0.8
+NEAR_SHINGLE = 2
+NEAR_SEEDS = (42, 1042)
+NEAR_DISTANCE = 5
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_AZ).split()
     if not words:
         return 0
@@ -51,7 +63,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     k = min(shingle, len(words))
     n = len(words) - k + 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist())), np.uint64, n)
+    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist())), np.uint64, n)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, n, BLOCK):
         ones += np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -64,14 +76,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints.view(np.int64))], ["id", "print"])
 
 
-def spanning_links(prints: np.ndarray) -> list[tuple[int, int]]:
+def spanning_links(prints: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct fingerprints (uint64)."""
     rest, links = prints, []
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             node = queue.pop()
-            near = np.bitwise_count(rest ^ node) <= DISTANCE
+            near = np.bitwise_count(rest ^ node) <= distance
             if near.any():
                 found = rest[near]
                 links += [(int(node), int(x)) for x in found]
@@ -80,7 +92,7 @@ def spanning_links(prints: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def _search(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], bucket: int, distance: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key in; links out (key null), and members of large buckets as they came."""
     names = ["key", "a", "b"]
 
@@ -92,14 +104,14 @@ def _search(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa.Recor
         at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
         sizes = np.diff(at)
         two = at[:-1][sizes == 2]
-        near = np.bitwise_count(prints[two] ^ prints[two + 1]) <= DISTANCE
+        near = np.bitwise_count(prints[two] ^ prints[two + 1]) <= distance
         links = set(zip(prints[two[near]].tolist(), prints[two[near] + 1].tolist()))
         for i in np.flatnonzero(sizes > 2):
             lo, hi = at[i], at[i + 1]
             if sizes[i] > bucket and np.bitwise_count(masks[lo]) > FEW_BITS:
                 yield out(keys[lo:hi], prints[lo:hi], masks[lo:hi])
             else:
-                links.update(spanning_links(prints[lo:hi]))
+                links.update(spanning_links(prints[lo:hi], distance))
         if links:
             a, b = np.array(sorted(links), dtype=np.uint64).T
             yield out(pa.nulls(len(a), pa.int64()), np.ascontiguousarray(a), np.ascontiguousarray(b).view(np.int64))
@@ -129,36 +141,44 @@ def _search(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa.Recor
         yield from searched(*held)
 
 
-def _quarters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of large buckets under four keys each: a quarter of the bits that are not fixed yet must be equal."""
+def _finer(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Members of large buckets under as many keys as parts, one more than bits may differ: of so many parts of the bits
+    that are not fixed yet, one at least must be equal."""
     for batch in batches:
         rows = []
         for key, a, b in zip(batch.column("key").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist()):
             free = [i for i in range(64) if b >> i & 1]
-            for q in range(4):
-                part = sum(1 << i for i in free[q * len(free) // 4 : (q + 1) * len(free) // 4])
+            for q in range(parts):
+                part = sum(1 << i for i in free[q * len(free) // parts : (q + 1) * len(free) // parts])
                 name = b"%d %d %d" % (key, part, a & part)
                 rest = (b & ~part) & (1 << 64) - 1
                 rows.append((np.uint64(xxhash.xxh64_intdigest(name)).view(np.int64), a, np.uint64(rest).view(np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array([int(r[i]) for r in rows], pa.int64()) for i in range(3)], ["key", "print", "mask"])
 
 
-def _keys(prints: DataFrame) -> DataFrame:
-    """(key, print, mask): 64 keys a fingerprint; mask has the bits that the key does not fix."""
-    v = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")
-    rows = prints.select("print", v)
-    high = F.col("v") < 32
-    segment = F.when(high, F.shiftrightunsigned("print", 32)).otherwise(F.col("print").bitwiseAND(F.lit(_LOW32)))
-    bit = F.expr("shiftleft(1L, v % 32)")
-    key = F.expr("shiftleft(cast(v as bigint), 32)").bitwiseOR(segment.bitwiseAND(F.lit(_LOW32).bitwiseXOR(bit)))
-    mask = F.when(high, F.expr("shiftleft(shiftleft(1L, v % 32), 32)").bitwiseOR(F.lit(_LOW32))).otherwise(F.lit(~_LOW32).bitwiseOR(bit))
-    return rows.select(key.alias("key"), "print", mask.alias("mask"))
-
-
-def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links that connect what pairs within DISTANCE connect, for distinct fingerprints in column print."""
-    rows, found = _keys(prints), None
-    search = lambda batches: _search(batches, bucket)
+def _keys(prints: DataFrame, distance: int) -> DataFrame:
+    """(key, print, mask): 64 keys a fingerprint, a segment with one of its bits left out; mask has the bits that the key
+    does not fix. There are as many segments as make one differ by a bit at most."""
+    count = distance // 2 + 1
+    bounds = [64 * i // count for i in range(count + 1)]
+    starts = [next(lo for lo, hi in zip(bounds, bounds[1:]) if lo <= v < hi) for v in range(64)]
+    ends = [next(hi for hi in bounds if v < hi) for v in range(64)]
+    fixed = [((1 << hi) - (1 << lo)) & ~(1 << v) for v, lo, hi in zip(range(64), starts, ends)]
+    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+    at = lambda values: F.element_at(F.array(*values), F.col("v") + 1)
+    rows = prints.select("print", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v"))
+    rows = rows.select("print", "v", at([signed(x) for x in fixed]).alias("fixed"), at([F.lit(x) for x in starts]).alias("start"))
+    segment = F.expr("shiftrightunsigned(print & fixed, start)")
+    return rows.select(F.expr("shiftleft(cast(v as bigint), 32)").bitwiseOR(segment).alias("key"), "print", F.bitwise_not("fixed").alias("mask"))
+
+
+def links(prints: DataFrame, bucket: int = BUCKET, distance: int = DISTANCE) -> DataFrame:
+    """(a, b): links that connect what pairs within distance connect, for distinct fingerprints in column print."""
+    if not 2 <= distance <= 31:
+        raise ValueError("segments of 2 to 32 bits are needed")
+    rows, found = _keys(prints, distance), None
+    search = lambda batches: _search(batches, bucket, distance)
+    finer = lambda batches: _finer(batches, distance + 1)
     while True:
         sorted_rows = rows.repartition("key").sortWithinPartitions("key", "print")
         step = cut(sorted_rows.mapInArrow(search, "key long, a long, b long"))
@@ -167,7 +187,7 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
         large = step.where("key is not null")
         if large.isEmpty():
             return found.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
-        rows = large.mapInArrow(_quarters, "key long, print long, mask long").distinct()
+        rows = large.mapInArrow(finer, "key long, print long, mask long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -200,7 +220,77 @@ def group_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.join(named, "print").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows with the smallest id of their component, and those of components without an id."""
-    groups = group_near_copies(df, id_col, text_col)
-    return keep_by_id(df, groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))), id_col)
+def shingles(text: str | None, words: int = NEAR_WORDS) -> np.ndarray:
+    """Hashes of a text's different shingles, in order; one of the whole sequence of fewer words, none without words."""
+    parts = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_AZ).split()
+    k = min(words, len(parts))
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(parts[i : i + k])) for i in range(len(parts) - k + 1 if parts else 0)], dtype=np.uint64))
+
+
+def _node(text: Column) -> Column:
+    """Names a text: 16 bytes of its SHA-256."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)), 1, 16)
+
+
+def _first(group: str) -> Column:
+    """Of a group's texts (node, least) the one with the smallest id, those without an id last."""
+    return F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias(group)
+
+
+def _alike(pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs whose sets of shingles, sig_a and sig_b, are similar enough; two without words are."""
+    shared = F.size(F.array_intersect("sig_a", "sig_b"))
+    whole = F.size("sig_a") + F.size("sig_b") - shared
+    return pairs.where((whole == 0) | (shared >= F.lit(least) * whole)).select("a", "b")
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, words: int = NEAR_WORDS, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, seeds: tuple[int, ...] = NEAR_SEEDS, distance: int = NEAR_DISTANCE) -> DataFrame:
+    """(node, least, kept) of each different text of df: its name, its smallest id, and whether it stays, the text of the
+    smallest id of each group of near copies."""
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = batch.column("text").to_pylist()
+            prints = [pa.array(np.array([fingerprint(x, shingle, s) for x in texts], dtype=np.uint64).view(np.int64)) for s in seeds]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), *prints], ["id", "node", *(f"p{s}" for s in seeds)])
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shingles(x, words).view(np.int64) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["root", "node", "sig"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), _node(F.col(text_col)).alias("node"), F.col(text_col).cast("string").alias("text"))
+    told = rows.mapInArrow(printed, ", ".join(["id long", "node binary", *(f"p{s} long" for s in seeds)]))
+    nodes = cut(told.groupBy("node").agg(F.min("id").alias("least"), *(F.max(f"p{s}").alias(f"p{s}") for s in seeds)))
+    proposed = None
+    for s in seeds:  # links of prints become links of the texts that have them, the others of a print being linked to one
+        own = nodes.select(F.col(f"p{s}").alias("print"), "node")
+        one = cut(own.groupBy("print").agg(F.min("node").alias("rep")))
+        found = links(one.select("print"), bucket, distance)
+        far = found.join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        same = own.join(one, "print").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+        proposed = far.unionByName(same) if proposed is None else proposed.unionByName(far).unionByName(same)
+    proposed = cut(proposed.distinct())
+    members = cut(components(proposed).join(nodes.select("node", "least"), "node"))
+    leaders = members.groupBy("root").agg(_first("f")).select("root", F.col("f.node").alias("leader"))
+    texts = rows.join(members, "node").where(F.col("id").eqNullSafe(F.col("least"))).select("root", "node", "text")
+    sigs = cut(texts.mapInArrow(signed, "root binary, node binary, sig array<long>").dropDuplicates(["node"]))
+    leading = sigs.join(leaders.select(F.col("leader").alias("node")), "node").select("root", F.col("node").alias("a"), F.col("sig").alias("sig_a"))
+    star = cut(_alike(leading.join(sigs.select("root", F.col("node").alias("b"), F.col("sig").alias("sig_b")), "root").where("a <> b"), similarity))
+    settled = star.select(F.col("b").alias("node")).unionByName(leaders.select(F.col("leader").alias("node")))
+    held = lambda c: settled.select(F.col("node").alias(c), F.lit(True).alias(f"ok_{c}"))
+    open_ = proposed.join(held("a"), "a", "left").join(held("b"), "b", "left").where("ok_a is null or ok_b is null").select("a", "b")
+    side = lambda c: sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
+    rest = _alike(open_.join(side("a"), "a").join(side("b"), "b"), similarity)
+    grouped = components(star.unionByName(rest)).join(nodes.select("node", "least"), "node")
+    first = grouped.groupBy("root").agg(_first("f")).select("root", F.col("f.node").alias("first"))
+    dropped = grouped.join(first, "root").where("node <> first").select("node", F.lit(False).alias("kept"))
+    return nodes.select("node", "least").join(dropped, "node", "left").select("node", "least", F.coalesce("kept", F.lit(True)).alias("kept"))
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
+    """df's rows with the smallest id of the text that stays of each group of near copies, a group of one included; rule
+    as in near_copies."""
+    kept = near_copies(df, id_col, text_col, **rule).where("kept").select(F.col("node").alias("kept_node"), "least")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), _node(F.col(text_col)).alias("node"), whole_rows(df))
+    return rows.join(kept, (F.col("node") == F.col("kept_node")) & F.col("id").eqNullSafe(F.col("least")), "left_semi").select("row.*")

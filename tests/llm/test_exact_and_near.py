@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from takewise.llm import exact_dedup, simhash
 
-from .common import ODD, clashing, empty, odd, rows
+from .common import ODD, clashing, empty, odd, prose, rows
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -139,5 +139,76 @@ def test_simhash_odd_rows(spark):
     assert rows(got) == sorted([(i, f"{p:016x}", best[p]) for i, p in prints], key=repr)
     assert rows(simhash.group_near_copies(clashing(spark))) == rows(got)
     assert simhash.group_near_copies(empty(spark)).count() == 0
-    assert simhash.drop_near_copies(odd(spark)).columns == odd(spark).columns
+
+
+def brute_similarity(a, b):
+    """Jaccard similarity of five-word shingles."""
+
+    def sets(text):
+        words = (text or "").translate(LOWER).encode().split()
+        k = min(5, len(words))
+        return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+    x, y = sets(a), sets(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def near_texts():
+    """Groups of texts with a word changed here and there, and texts that share a third."""
+    rng, out = random.Random(9), []
+    for g in range(12):
+        base = prose(g, 150).split()
+        for _ in range(6):
+            words = list(base)
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(150)] = f"w{rng.randrange(999)}"
+            out.append(" ".join(words))
+        out.append(" ".join(base[:50] + prose(100 + g, 100).split()))
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("bucket", [6, 20_000])
+def test_near_copies_against_brute_force(spark, bucket):
+    """What goes is joined to what stays of its group by texts of similarity 0.8 or more; most of what is so joined goes."""
+    data = near_texts()
+    got = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(data, "doc_id long, text string").repartition(3), bucket=bucket).collect()}
+    parent = list(range(len(data)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in data:
+        for j, b in data[:i]:
+            if brute_similarity(a, b) >= 0.8:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    least = {root(i) for i, _ in data}
+    assert least <= got  # the first of each true group stays
+    missed = len(got) - len(least)
+    assert missed <= 0.1 * (len(data) - len(least)) and len(data) - len(least) > 40
+
+
+def test_near_copies_odd_rows(spark):
+    for df in (odd(spark), clashing(spark)):
+        kept = simhash.drop_near_copies(df)
+        assert kept.columns == df.columns
+        got = [(r.doc_id, r.text) for r in kept.collect()]
+        # rows 1 to 3 are one group, told by row 1; the texts without words are one, told by row 4, the first of them
+        assert sorted(i for i, _ in got if i is not None) == [1, 4, 4, 7, 8, 9] and sum(i is None for i, _ in got) == 1
     assert simhash.drop_near_copies(empty(spark)).count() == 0
+
+
+def test_segments_cover_the_distance(spark):
+    """Two fingerprints within the distance share a key, and keys fix what their masks leave out."""
+    rng = np.random.default_rng(5)
+    for distance in (3, 5, 7):
+        prints = []
+        for _ in range(30):
+            p = int(rng.integers(0, 2**64, dtype=np.uint64))
+            prints.append((p, p ^ sum(1 << int(b) for b in rng.choice(64, distance, replace=False))))
+        signed = [(int(np.uint64(x).view(np.int64)),) for pair in prints for x in pair]
+        keys = defaultdict(set)
+        for r in simhash._keys(spark.createDataFrame(signed, "print long"), distance).collect():
+            keys[np.int64(r.print).view(np.uint64).item()].add((r.key, r.mask))
+        assert all(len(k) == 64 for k in keys.values()) and all(keys[a] & keys[b] for a, b in prints)
