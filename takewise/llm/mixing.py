@@ -7,7 +7,8 @@ between 0 and max_rate are fitted so that the expected totals, the sum of x * n
 target weights times a budget of tokens: least squares on the totals, with the domains' Gram matrix as the metric; of
 the rates that fit best, those nearest to 1. They are clip(1 + p * v) with one vector v for all documents, which has as
 many entries as there are domains and solves a concave problem. It is found by Newton steps over the documents whose
-rate is between the bounds, while the weight of the distance to 1 falls to NEAR; each trial is one distributed
+rate is between the bounds, or, where those overshoot, by the steps of projected gradient in the Gram metric, which never
+do, while the weight of the distance to 1 falls to NEAR; each trial is one distributed
 aggregation of a few sums, and nothing but those goes through the driver. The fit ends where its equation holds within
 TOLERANCE; should rounding keep it from that, it warns.
 
@@ -52,6 +53,8 @@ TELLING = 0.7
 #: Residual of the fit's equation at its end, as a share of the goals' sum, and the last weight of the distance to 1.
 TOLERANCE = 1e-6
 NEAR = 1e-6
+#: Share of the Gram matrix's largest eigenvalue under which a direction counts as none.
+FLAT = 1e-7
 #: Trials after which the fit warns that it did not converge; tens are usual.
 TRIALS = 500
 
@@ -171,29 +174,37 @@ def fit_rates(narrow: DataFrame, targets: dict[str, float] = TARGETS, budget: fl
         main = int(weights.argmax())
         budget = float(have[main] / weights[main])
     goal = np.where(have > 0, weights * budget, 0.0)  # a domain that no row has cannot be mixed in
-    gram += np.eye(len(have)) * 1e-9 * max(np.trace(gram), 1e-9)
+    # directions in which the posteriors do not differ (a domain no text tells apart) change no total
+    size, axes = np.linalg.eigh(gram)
+    axes = axes[:, size > FLAT * max(size.max(), 1e-300)]
+    inside = lambda m: axes.T @ m @ axes
     vector, near = np.zeros(len(have)), 0.1
     area, fitted, open_ = _totals(narrow, vector, max_rate)
     trials = 1
     while True:
-        slope = fitted - goal + near * gram @ vector
+        slope = axes.T @ (fitted - goal + near * gram @ vector)
         if np.abs(slope).sum() <= (TOLERANCE if near <= NEAR else 1e-3) * goal.sum():
             if near <= NEAR:
                 break
             near = max(near / 10, NEAR)
             continue
-        step = -np.linalg.solve(open_ + near * gram, slope)
+        step = axes @ -np.linalg.solve(inside(open_ + near * gram), slope)
         value = lambda v, a: a - goal @ v + near / 2 * v @ gram @ v  # noqa: E731, B023
         now, part = value(vector, area), 1.0
         while True:  # halved until it lowers the convex value
             tried = vector + part * step
             area, fitted, open_ = _totals(narrow, tried, max_rate)
             trials += 1
-            if part < 1e-9 or value(tried, area) <= now + 1e-4 * part * (slope @ step) + 1e-13 * abs(now):
+            if value(tried, area) <= now + 1e-4 * part * (slope @ axes.T @ step) + 1e-13 * abs(now):
+                break
+            part /= 4
+            if part < 1e-3:  # few rows are between the bounds; the step as if all were never overshoots
+                tried = vector - axes @ np.linalg.solve(inside((1 + near) * gram), slope)
+                area, fitted, open_ = _totals(narrow, tried, max_rate)
+                trials += 1
                 break
-            part /= 2
         vector = tried
-        if part < 1e-9 or trials > TRIALS:
+        if trials > TRIALS:
             warnings.warn(f"mixing rates did not converge: residual {slope.tolist()} of {goal.tolist()} tokens", stacklevel=2)
             break
     log.info("mixing: %d trials, goals %s, fitted %s", trials, goal.tolist(), fitted.tolist())
