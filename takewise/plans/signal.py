@@ -269,6 +269,22 @@ def time_slice(spark, d):
     return S.time_slices(p, w, 44100.0, 2048).select("window_id", "take_id", "error_code", "frame", F.round("f0_hz", 6).alias("f0_hz"))
 
 
+@query(sql("notes paths", """, w as (select pair_id, k, k * 10.0 as t0, k * 10.0 + 15.0 as t1 from (select distinct pair_id from notes), (select unnest(range(3)) as k))
+select w.pair_id * 10 + k as window_id, 'note' as kind, take_id, note_no as place from w join notes n on n.pair_id = w.pair_id and onset_sec >= t0 and onset_sec < t1
+union all select w.pair_id * 10 + k, 'path', null, step from w join paths p on p.pair_id = w.pair_id and reference_frame * (2048 / 44100.0::double) >= t0 / 10 and reference_frame * (2048 / 44100.0::double) < t1 / 10"""))
+def time_slice_seconds(spark, d):
+    """Windows of notes by their onset, and of path points by the time of their reference frame."""
+    n = A.notes(spark, d).select("take_id", "pair_id", "note_no", "onset_sec")
+    each = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")
+    w = n.select("take_id", "pair_id").distinct().select("*", each).select((F.col("pair_id") * 10 + F.col("k")).alias("window_id"), "take_id", (F.col("k") * 10.0).alias("t0"), (F.col("k") * 10.0 + 15).alias("t1"), F.lit(1e6).alias("upper"))
+    notes = S.time_slices(n.drop("pair_id"), w, column="onset_sec", in_seconds=True)
+    p = A.paths(spark, d).select(F.col("pair_id").alias("take_id"), "step", "reference_frame")
+    v = p.select("take_id").distinct().select("*", each).select((F.col("take_id") * 10 + F.col("k")).alias("window_id"), "take_id", F.col("k").cast("double").alias("t0"), (F.col("k") + 1.5).alias("t1"), F.lit(1e6).alias("upper"))
+    points = S.time_slices(p, v, 44100.0, 2048, "reference_frame", in_seconds=True)
+    notes = notes.select("window_id", F.lit("note").alias("kind"), "take_id", F.col("note_no").alias("place"))
+    return notes.unionByName(points.select("window_id", F.lit("path").alias("kind"), F.lit(None).cast("bigint").alias("take_id"), F.col("step").alias("place")))
+
+
 # alignment
 
 
