@@ -20,22 +20,38 @@ from ..config import ALIGN_HOP, FMAX_HZ, FMIN_HZ, FRAME, MIN_NOTE_SEC, PITCH_HOP
 from .pairing import frames_in_spans
 
 
-def frames(samples: DataFrame, length: int, hop: int, most: Column | None = None) -> DataFrame:
-    """(take_id, frame, x): 1 + (n - length) div hop frames, most of them at most; a short take gives one frame filled
-    up with zeros."""
-    n = F.size("pcm")
-    padded = F.when(n < length, F.concat("pcm", F.array_repeat(F.lit(0.0), F.lit(length) - n))).otherwise(F.col("pcm"))
-    count = F.when(n < length, F.lit(1)).otherwise(F.floor((n - length) / hop).cast("int") + 1)
-    count = count if most is None else F.least(count, most)
-    rows = samples.select("take_id", padded.alias("pcm"), count.alias("count")).where("count > 0")
-    rows = rows.select("take_id", "pcm", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("frame"))
-    return rows.select("take_id", F.col("frame").cast("bigint").alias("frame"), F.slice("pcm", F.col("frame") * hop + 1, F.lit(length)).alias("x"))
+#: Bytes of frames in an Arrow batch, about.
+BATCH = 4 << 20
+
+
+def frames(samples: DataFrame, length: int, hop: int, most: Column | None = None, border: int = 0) -> DataFrame:
+    """(take_id, frame, x): 1 + (n - length) div hop frames, most of them at most, of each take with border zeros on both
+    ends; a short take gives one frame filled up with zeros. Frames are cut in Arrow batches: an explode would carry the
+    whole take beside each of its frames."""
+    count = F.lit(2**31 - 1) if most is None else most
+    rows = samples.select("take_id", F.col("pcm").cast("array<double>").alias("pcm"), count.cast("bigint").alias("most"))
+    kind = rows.schema["take_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, BATCH // (8 * length))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pcm = batch.column("pcm")[i].values
+                x = np.pad(np.zeros(0) if pcm is None else pcm.to_numpy(zero_copy_only=False), border)
+                x = np.pad(x, (0, max(0, length - len(x))))
+                windows = np.lib.stride_tricks.sliding_window_view(x, length)[::hop][: max(0, batch.column("most")[i].as_py())]
+                for at in range(0, len(windows), step):
+                    part = np.ascontiguousarray(windows[at : at + step])
+                    ends = pa.array(np.arange(0, part.size + 1, length, dtype=np.int32))
+                    takes = batch.column("take_id").take(pa.array(np.full(len(part), i)))
+                    yield pa.RecordBatch.from_arrays([takes, pa.array(np.arange(at, at + len(part))), pa.ListArray.from_arrays(ends, pa.array(part.ravel()))], ["take_id", "frame", "x"])
+
+    return rows.mapInArrow(run, f"take_id {kind}, frame long, x array<double>")
 
 
 def centered_frames(samples: DataFrame, length: int, hop: int, most: Column | None = None) -> DataFrame:
     """frames() of takes with length / 2 zeros on both ends."""
-    half = F.array_repeat(F.lit(0.0), length // 2)
-    return frames(samples.withColumn("pcm", F.concat(half, "pcm", half)), length, hop, most)
+    return frames(samples, length, hop, most, length // 2)
 
 
 def frames_of_chunks(chunks: DataFrame, chunk: int, length: int, hop: int) -> DataFrame:
@@ -54,14 +70,6 @@ def frames_of_chunks(chunks: DataFrame, chunk: int, length: int, hop: int) -> Da
     return done.where((F.size(x) == length) | (F.col("frame") == 0)).select("take_id", "frame", full.alias("x"))
 
 
-def square_sum(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
-
-
-def frame_rms(framed: DataFrame, length: int) -> DataFrame:
-    return framed.select("take_id", "frame", F.least(F.sqrt(square_sum(F.col("x")) / length), F.lit(1.0)).alias("rms"))
-
-
 def per_frame(framed: DataFrame, measure: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
     """(take_id, frame, name): measure maps a matrix of frames to a matrix of results, one row each; frames have the
     same length throughout."""
@@ -79,6 +87,12 @@ def per_frame(framed: DataFrame, measure: Callable[[np.ndarray], np.ndarray], na
     return framed.select("take_id", "frame", F.col("x").cast("array<double>").alias("x")).mapInArrow(run, f"take_id {kind}, frame long, {name} array<double>")
 
 
+def frame_rms(framed: DataFrame) -> DataFrame:
+    """(take_id, frame, rms), at most 1."""
+    level = lambda x: np.minimum(np.sqrt((x * x).mean(axis=1, keepdims=True)), 1.0)
+    return per_frame(framed, level, "rms").withColumn("rms", F.get("rms", F.lit(0)))
+
+
 def _hann(length: int, periodic: bool = True) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(length) / max(1, length if periodic else length - 1))
 
@@ -110,8 +124,8 @@ def align_chroma(samples: DataFrame, rate: float = SAMPLE_RATE, length: int = 2
         norm = np.sqrt((folded * folded).sum(axis=1, keepdims=True))
         return folded / np.where(norm > 0, norm, 1.0)
 
-    most = F.floor((F.col("n") - 1) / hop).cast("int")
-    return per_frame(centered_frames(samples.withColumn("n", F.size("pcm")), length, hop, most), fold, "bins")
+    most = F.floor((F.size("pcm") - 1) / hop)
+    return per_frame(centered_frames(samples, length, hop, most), fold, "bins")
 
 
 def chroma_filters(rate: float, length: int) -> np.ndarray:

@@ -111,7 +111,7 @@ def centered_frames(spark, d):
   select take_id, pcm, unnest(range(1 + (len(pcm) - 8) // 4)) as frame from samples))
 select take_id, frame, round(least(sqrt(list_sum(list_transform(x, lambda v: v * v)) / 8), 1.0), 6) as rms from fr"""))
 def rms_frames(spark, d):
-    return S.frame_rms(S.frames(A.samples(spark, d), 8, 4), 8).withColumn("rms", F.round("rms", 6))
+    return S.frame_rms(S.frames(A.samples(spark, d), 8, 4)).withColumn("rms", F.round("rms", 6))
 
 
 def _sp(frames: str, name: str, period: int = LENGTH) -> str:
