@@ -9,6 +9,10 @@ from pyspark.sql.window import Window as W
 from ..config import MATCH_TOLERANCE_SEC
 
 
+#: Onsets of a pair within which islands that start are walked together.
+TOGETHER = 64
+
+
 def pair_by_ordinal(notes: DataFrame, columns: list[str]) -> DataFrame:
     """The n-th note of each side of a pair side by side (ref_<column>, prac_<column>); what has no partner stays."""
     one = lambda s, p: notes.where(F.col("side") == s).select("pair_id", "note_no", F.lit(True).alias(f"{p}_there"), *(F.col(c).alias(f"{p}_{c}") for c in columns))
@@ -38,7 +42,8 @@ def pair_onsets(notes: DataFrame, tolerance: float = MATCH_TOLERANCE_SEC) -> Dat
     REFERENCE, has one row with ALGORITHM_FAILED and nothing else.
 
     Onsets of either side that follow one another at more than the tolerance part a pair into islands that no match
-    crosses; each island is walked in step by itself, so what a task holds is bounded by the longest island."""
+    crosses. Islands are walked in step, so many together as start within TOGETHER onsets, so a row holds little more than
+    the longest island."""
     basis = F.col("timeline_basis") != "REFERENCE" if "timeline_basis" in notes.columns else F.lit(False)
     rows = notes.select("pair_id", "side", "note_no", "onset_sec", F.coalesce(basis, F.lit(True)).alias("basis"))
     at = F.col("onset_sec")
@@ -48,7 +53,8 @@ def pair_onsets(notes: DataFrame, tolerance: float = MATCH_TOLERANCE_SEC) -> Dat
     errors = rows.where("bad").groupBy("pair_id").agg(F.lit("ALGORITHM_FAILED").alias("error_code"))
     order = W.partitionBy("pair_id").orderBy("onset_sec", "side", "note_no")
     starts = F.coalesce(at - F.lag("onset_sec").over(order) > tolerance + 1e-9, F.lit(True))
-    good = rows.where("not bad").withColumn("starts", starts.cast("bigint")).withColumn("island", F.sum("starts").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    good = rows.where("not bad").withColumn("starts", F.when(starts, F.row_number().over(order)))
+    good = good.withColumn("island", F.floor(F.max("starts").over(order.rowsBetween(W.unboundedPreceding, 0)) / TOGETHER))
     one = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("onset_sec", "note_no"))))
     islands = good.groupBy("pair_id", "island").agg(one("reference").alias("r"), one("practice").alias("p"))
     start = F.expr("named_struct('i', 0, 'j', 0, 'out', cast(array() as array<struct<a:int,b:int>>))")
