@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: bytes.translate table that lower-cases A-Z and nothing else.
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
+#: The same, with a space for each other byte of ASCII that is neither a letter nor a digit.
+WORD_BYTES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in LOWER_AZ)
+
 
 #: Bytes of an Arrow batch between Spark and a Python worker, at most; Spark's own bound is 64 MB.
 BATCH_BYTES = 4 << 20

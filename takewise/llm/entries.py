@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, license_scan, mixing, pii, quality, sentencepiece_codec, simhash, suffix_dedup, toxicity
+from . import exact_dedup, language_id, lexical_search, license_scan, mixing, pii, quality, resampling, sentencepiece_codec, sharding, simhash, suffix_dedup, toxicity
 from .common import documents
 from .sql import SQL
 
@@ -52,8 +52,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(documents(spark, sf_dir)))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.deal(documents(spark, sf_dir)))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_quality, op4_mixing, op5_license_scan, op6_toxicity, op7_suffix_dedup, op8_language_id, op9_simhash, op10_pii)}
+    found = (
+        op1_exact_dedup, op2_sentencepiece, op3_quality, op4_mixing, op5_license_scan, op6_toxicity, op7_suffix_dedup, op8_language_id, op9_simhash, op10_pii, op11_resampling,
+        op12_sharding, op13_lexical_search,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -119,3 +119,27 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   not base_failed and coalesce(inside, false) as kept
 from b left join ok using (r)
 """
+
+SQL["op13_lexical_search"] = r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws
+  from documents),
+i as (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark),
+n as (select count(*) as n_docs, cast(sum(len(ws)) as bigint) as n_terms from d where len(ws) > 0),
+tf as (
+  select r, term, count(*) as tf from (select r, unnest(ws) as term from d)
+  where term in (select term from i) group by r, term),
+w as (
+  select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) as bigint) as w
+  from (select term, count(*) as df from tf group by term), n),
+s as (
+  select i.item_id, d.doc_id, d.r, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(ws) * n_docs) // n_terms)))) as bigint) as score
+  from tf join w using (term) join i using (term) join d using (r), n group by i.item_id, d.doc_id, d.r)
+select item_id, cast(rank as integer) as rank, doc_id, score from (
+  select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0)
+where rank <= 50
+"""

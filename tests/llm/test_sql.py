@@ -5,7 +5,7 @@ import pytest
 
 from takewise.llm import entries
 
-TABLES = ("documents", "labels")
+TABLES = ("documents", "labels", "benchmark")
 
 
 @pytest.mark.parametrize("name", sorted(entries.oracle_sql()))
