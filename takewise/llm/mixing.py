@@ -4,13 +4,12 @@ A classifier trained on the labelled table gives every document a posterior over
 distinct words of a text that tell the domains apart, and a few of its rates; shares are smoothed towards the whole
 sample's, so rare words say little. With n tokens and posterior p for a document, its expected domain tokens are n * p. Rates x
 between 0 and max_rate are fitted so that the expected totals, the sum of x * n * p over all documents, match
-target weights times a budget of tokens: least squares on the totals, with the domains' Gram matrix as the metric; of
-the rates that fit best, those nearest to 1. They are clip(1 + p * v) with one vector v for all documents, which has as
-many entries as there are domains and solves a concave problem. It is found by Newton steps over the documents whose
-rate is between the bounds, or, where those overshoot, by the steps of projected gradient in the Gram metric, which never
-do, while the weight of the distance to 1 falls to NEAR; each trial is one distributed
-aggregation of a few sums, and nothing but those goes through the driver. The fit ends where its equation holds within
-TOLERANCE; should rounding keep it from that, it warns.
+target weights times a budget of tokens: least squares on the totals, with the domains' Gram matrix as the metric,
+by projected gradient over the documents' rates. A step moves each rate along the misfit's gradient, p times one vector
+for all documents, and clips it to the bounds; in the Gram metric a step of length 1 never overshoots. Steps are
+accelerated (each starts beyond the last one, in its direction, afresh where that turns back), and one is one distributed
+aggregation of a few sums; nothing but those goes through the driver. A rate is a function of p and the steps so far, so
+tasks replay them and no rates are stored. The fit goes on until a step moves fewer than TOLERANCE of the goals' tokens.
 
 A document is then kept floor(x + u) times, where u is a hash of its id in [0, 1): its expected number of copies is x.
 
@@ -28,7 +27,6 @@ from __future__ import annotations
 
 import logging
 import math
-import warnings
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -50,13 +48,12 @@ WORDS = 20_000
 #: Weight of the whole sample's share in a domain's, in texts, and the least evidence of a word that is used.
 SMOOTHING = 10.0
 TELLING = 0.7
-#: Residual of the fit's equation at its end, as a share of the goals' sum, and the last weight of the distance to 1.
-TOLERANCE = 1e-6
-NEAR = 1e-6
+#: Tokens that the fit's last step moves, as a share of the goals' sum.
+TOLERANCE = 1e-5
 #: Share of the Gram matrix's largest eigenvalue under which a direction counts as none.
 FLAT = 1e-7
-#: Trials after which the fit warns that it did not converge; tens are usual.
-TRIALS = 500
+#: Rows of a task that replays the steps.
+ROWS = 200_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -123,50 +120,79 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     return Classifier(domains, texts / texts.sum(), {w: i for i, w in enumerate(weights)}, np.array(list(weights.values())).reshape(-1, len(domains)))
 
 
-def posteriors(df: DataFrame, model: Classifier, kept: list[Column], text_col: str = "text") -> DataFrame:
-    """The kept columns, then __n (tokens) and __p (posterior, an array in the order of the domains)."""
+def posteriors(df: DataFrame, model: Classifier, kept: list[Column], text_col: str = "text", steps: Sequence | None = None, max_rate: float = 1.0) -> DataFrame:
+    """The kept columns, then __n (tokens) and __p (posterior, an array in the order of the domains), or __rate in their
+    place, given the steps of a fit."""
     held = df.sparkSession.sparkContext.broadcast(model)  # WORDS rows at most
     rows = df.select(*kept, F.col(text_col).cast("string").alias("__text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("__n", T.LongType()), T.StructField("__p", T.ArrayType(T.DoubleType()))])
+    added_fields = [T.StructField("__n", T.LongType()), T.StructField("__p", T.ArrayType(T.DoubleType()))] if steps is None else [T.StructField("__rate", T.DoubleType())]
+    schema = T.StructType([*rows.schema.fields[:-1], *added_fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [held.value.posterior(x) for x in batch.column("__text").to_pylist()]
-            names = [n for n in batch.schema.names if n != "__text"]
-            added = [pa.array([n for n, _ in found], pa.int64()), pa.array([p.tolist() for _, p in found], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *added], [*names, "__n", "__p"])
+            if steps is None:
+                added = [pa.array([n for n, _ in found], pa.int64()), pa.array([p.tolist() for _, p in found], pa.list_(pa.float64()))]
+            else:
+                p = np.array([p for _, p in found]).reshape(len(found), -1)
+                added = [pa.array(replay(p, steps, max_rate)[0])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def _tilt(vector: Sequence[float]) -> Column:
-    return sum((F.element_at("__p", i + 1) * F.lit(float(v)) for i, v in enumerate(vector)), F.lit(0.0))
+def with_rates(narrow: DataFrame, steps: Sequence, max_rate: float) -> DataFrame:
+    """narrow with each row's __rate."""
+    schema = T.StructType([*narrow.schema.fields, T.StructField("__rate", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replay(_posterior_matrix(batch), steps, max_rate)[0])], schema.names)
+
+    return narrow.mapInArrow(run, schema)
 
 
-def rate(vector: Sequence[float], max_rate: float) -> Column:
-    """The rate of a row with posterior __p: clip(1 + __p * vector) between 0 and max_rate."""
-    return F.least(F.greatest(F.lit(min(1.0, max_rate)) + _tilt(vector), F.lit(0.0)), F.lit(float(max_rate)))
+def replay(p: np.ndarray, steps: Sequence[tuple[Sequence[float], float]], max_rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rates of rows with posteriors p after steps (vector, momentum), and where the next step starts."""
+    x = start = np.full(len(p), min(1.0, max_rate))
+    for vector, momentum in steps:
+        moved = np.clip(start + p @ np.asarray(vector), 0.0, max_rate)
+        start = np.clip(moved + momentum * (moved - x), 0.0, max_rate)
+        x = moved
+    return x, start
 
 
-def _totals(narrow: DataFrame, vector: np.ndarray, max_rate: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """(integral of the rates along the tilt, domains' totals, Gram matrix of the rows between the bounds) at a vector."""
-    k = range(len(vector))
-    base = min(1.0, max_rate)
-    rows = narrow.select(F.col("__n").alias("n"), *(F.element_at("__p", i + 1).alias(f"p{i}") for i in k), _tilt(vector).alias("z"), rate(vector, max_rate).alias("x"))
-    rows = rows.withColumn("c", F.least(F.greatest(F.col("z"), F.lit(-base)), F.lit(max_rate - base)))
-    area = F.expr("n * (c * c / 2 + x * (z - c))") + F.col("n") * F.col("c") * base
-    inside = F.when((F.col("z") > -base) & (F.col("z") < max_rate - base), F.col("n")).otherwise(0)
-    upper = [(i, j) for i in k for j in k if i <= j]
-    got = rows.agg(F.sum(area).alias("area"), *(F.sum(F.expr(f"n * x * p{i}")).alias(f"t{i}") for i in k), *(F.sum(inside * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i, j in upper)).first()
-    gram = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in k] for i in k])
-    return got["area"] or 0.0, np.array([got[f"t{i}"] or 0.0 for i in k]), gram
+def _posterior_matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("__p").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
-def fit_rates(narrow: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, max_rate: float = 1.0) -> tuple[list[float], dict]:
-    """(vector for rate(), report with each domain's goal and fitted total). narrow has __n and __p."""
+def _step(narrow: DataFrame, steps: list, vector: np.ndarray, momentum: float, max_rate: float) -> np.ndarray:
+    """Sums over all rows for a step from where the steps so far lead: tokens moved, the turn (positive where momentum
+    leads back), the domains' totals at the new rates, and those where the next step starts with the momentum."""
+    k = len(vector)
+    names = [f"s{i}" for i in range(2 + 2 * k)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 + 2 * k)
+        for batch in batches:
+            if batch.num_rows:
+                n, p = batch.column("__n").to_numpy().astype(float), _posterior_matrix(batch)
+                x, start = replay(p, steps, max_rate)
+                moved = np.clip(start + p @ vector, 0.0, max_rate)
+                ahead = np.clip(moved + momentum * (moved - x), 0.0, max_rate)
+                total += np.concatenate(([n @ np.abs(moved - start), n @ ((start - moved) * (moved - x))], (n * moved) @ p, (n * ahead) @ p))
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names)
+
+    got = narrow.select("__n", "__p").mapInArrow(run, ", ".join(f"{n} double" for n in names)).agg(*(F.sum(n).alias(n) for n in names)).first()
+    return np.array([got[n] or 0.0 for n in names])
+
+
+def fit_rates(narrow: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, max_rate: float = 1.0) -> tuple[list[tuple[list[float], float]], dict]:
+    """(steps for replay(), report with each domain's goal and fitted total). narrow has __n and __p."""
     k = range(len(targets))
     p = lambda i: F.element_at("__p", i + 1)
-    sums = narrow.agg(*(F.sum(F.col("__n") * p(i)).alias(f"t{i}") for i in k), *(F.sum(F.col("__n") * p(i) * p(j)).alias(f"g{i}_{j}") for i in k for j in k)).first()
+    sums = narrow.agg(F.count("*").alias("rows"), *(F.sum(F.col("__n") * p(i)).alias(f"t{i}") for i in k), *(F.sum(F.col("__n") * p(i) * p(j)).alias(f"g{i}_{j}") for i in k for j in k)).first()
     have = np.array([sums[f"t{i}"] or 0.0 for i in k])
     gram = np.array([[sums[f"g{i}_{j}"] or 0.0 for j in k] for i in k])
     weights = np.array(list(targets.values())) / sum(targets.values())
@@ -176,39 +202,25 @@ def fit_rates(narrow: DataFrame, targets: dict[str, float] = TARGETS, budget: fl
     goal = np.where(have > 0, weights * budget, 0.0)  # a domain that no row has cannot be mixed in
     # directions in which the posteriors do not differ (a domain no text tells apart) change no total
     size, axes = np.linalg.eigh(gram)
-    axes = axes[:, size > FLAT * max(size.max(), 1e-300)]
-    inside = lambda m: axes.T @ m @ axes
-    vector, near = np.zeros(len(have)), 0.1
-    area, fitted, open_ = _totals(narrow, vector, max_rate)
-    trials = 1
+    known = size > FLAT * max(size.max(), 1e-300)
+    inverse = (axes[:, known] / size[known]) @ axes[:, known].T
+    rows = narrow.coalesce(max(1, -(-sums["rows"] // ROWS)))
+    steps: list[tuple[list[float], float]] = []
+    totals, pace = min(1.0, max_rate) * have, 1.0
     while True:
-        slope = axes.T @ (fitted - goal + near * gram @ vector)
-        if np.abs(slope).sum() <= (TOLERANCE if near <= NEAR else 1e-3) * goal.sum():
-            if near <= NEAR:
-                break
-            near = max(near / 10, NEAR)
-            continue
-        step = axes @ -np.linalg.solve(inside(open_ + near * gram), slope)
-        value = lambda v, a: a - goal @ v + near / 2 * v @ gram @ v  # noqa: E731, B023
-        now, part = value(vector, area), 1.0
-        while True:  # halved until it lowers the convex value
-            tried = vector + part * step
-            area, fitted, open_ = _totals(narrow, tried, max_rate)
-            trials += 1
-            if value(tried, area) <= now + 1e-4 * part * (slope @ axes.T @ step) + 1e-13 * abs(now):
-                break
-            part /= 4
-            if part < 1e-3:  # few rows are between the bounds; the step as if all were never overshoots
-                tried = vector - axes @ np.linalg.solve(inside((1 + near) * gram), slope)
-                area, fitted, open_ = _totals(narrow, tried, max_rate)
-                trials += 1
-                break
-        vector = tried
-        if trials > TRIALS:
-            warnings.warn(f"mixing rates did not converge: residual {slope.tolist()} of {goal.tolist()} tokens", stacklevel=2)
+        vector = inverse @ (goal - totals)
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        momentum = (pace - 1) / faster
+        got = _step(rows, steps, vector, momentum, max_rate)
+        moved, turn, fitted, ahead = got[0], got[1], got[2 : 2 + len(k)], got[2 + len(k) :]
+        if turn > 0:
+            momentum, faster, ahead = 0.0, 1.0, fitted
+        steps.append((vector.tolist(), momentum))
+        totals, pace = ahead, faster
+        if moved <= TOLERANCE * goal.sum():
             break
-    log.info("mixing: %d trials, goals %s, fitted %s", trials, goal.tolist(), fitted.tolist())
-    return vector.tolist(), {d: {"goal": float(goal[i]), "before": float(have[i]), "fitted": float(fitted[i])} for i, d in enumerate(targets)}
+    log.info("mixing: %d steps, goals %s, fitted %s", len(steps), goal.tolist(), fitted.tolist())
+    return steps, {d: {"goal": float(goal[i]), "before": float(have[i]), "fitted": float(fitted[i])} for i, d in enumerate(targets)}
 
 
 def _copies(id_col: str) -> Column:
@@ -224,17 +236,16 @@ def document_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float] =
     """(id, n_tokens, p_<domain>..., rate, copies) for each row of df."""
     model = fit_classifier(df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")), _labels(labels, id_col), targets)
     narrow = cut(posteriors(df, model, [F.col(id_col)], text_col))
-    vector, _ = fit_rates(narrow, targets, max_rate=max_rate)
-    rated = narrow.withColumn("__rate", rate(vector, max_rate))
-    return rated.select(id_col, F.col("__n").alias("n_tokens"), *(F.element_at("__p", i + 1).alias(f"p_{d}") for i, d in enumerate(targets)), F.col("__rate").alias("rate"), _copies(id_col).alias("copies"))
+    steps, _ = fit_rates(narrow, targets, max_rate=max_rate)
+    return with_rates(narrow, steps, max_rate).select(id_col, F.col("__n").alias("n_tokens"), *(F.element_at("__p", i + 1).alias(f"p_{d}") for i, d in enumerate(targets)), F.col("__rate").alias("rate"), _copies(id_col).alias("copies"))
 
 
 def mix(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", max_rate: float = 1.0) -> DataFrame:
     """df's rows, each as often as its copies say. Posteriors are found again for this, which spares shuffling texts."""
     model = fit_classifier(df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")), _labels(labels, id_col), targets)
-    vector, _ = fit_rates(cut(posteriors(df, model, [], text_col)), targets, max_rate=max_rate)
-    rated = posteriors(df, model, [whole_rows(df)], text_col).withColumn("__rate", rate(vector, max_rate))
-    rated = rated.withColumn("__id", F.col("row").getField(id_col)).withColumn("__copies", _copies("__id")).where("__copies > 0")
+    steps, _ = fit_rates(cut(posteriors(df, model, [], text_col)), targets, max_rate=max_rate)
+    rows = posteriors(df, model, [whole_rows(df)], text_col, steps, max_rate)
+    rows = rows.withColumn("__id", F.col("row").getField(id_col)).withColumn("__copies", _copies("__id")).where("__copies > 0")
     if max_rate > 1:
-        rated = rated.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return rated.select("row.*")
+        rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return rows.select("row.*")

@@ -231,14 +231,15 @@ def test_rates_reach_their_goals(spark):
     p /= p.sum(axis=1, keepdims=True)
     data = [(int(n), x) for n, x in zip(rng.integers(20, 800, 4000), p.tolist())]
     narrow = spark.createDataFrame(data, "__n long, __p array<double>").cache()
-    vector, report = mixing.fit_rates(narrow, max_rate=2.0)
+    p = np.array([x for _, x in data])
+    steps, report = mixing.fit_rates(narrow, max_rate=2.0)
     assert all(abs(r["fitted"] / r["goal"] - 1) < 0.01 for r in report.values()), report
-    got = narrow.select(mixing.rate(vector, 2.0).alias("x")).agg(F.min("x"), F.max("x")).first()
-    assert 0 <= got[0] < got[1] <= 2
+    x = mixing.replay(p, steps, 2.0)[0]
+    assert 0 <= x.min() < x.max() <= 2
     # goals out of reach: no feasible direction of the totals lowers the misfit (rates at a vertex or balanced)
-    vector, report = mixing.fit_rates(narrow, max_rate=0.5)
+    steps, report = mixing.fit_rates(narrow, max_rate=0.5)
     n = np.array([d[0] for d in data], dtype=float)
-    x = np.clip(0.5 + p @ np.array(vector), 0, 0.5)
+    x = mixing.replay(p, steps, 0.5)[0]
     gap = np.array([r["goal"] - r["fitted"] for r in report.values()])
     pull = p @ np.linalg.solve((p * n[:, None]).T @ p, gap)
     best = np.where(pull > 0, 0.5, 0.0)
