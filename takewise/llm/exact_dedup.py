@@ -8,7 +8,7 @@ largest down; so the first row of a run of equals is the one that stays.
 The id is part of the range key: a text that a third of the rows share is spread over as many partitions as it fills.
 Runs that a partition's border cuts are put together again from the partitions' first and last runs, two rows a
 partition, matched by SHA-256; that table is bounded by the number of partitions and is the only thing broadcast.
-Spark's sampling takes 100 keys a partition and at most a million, each of under 150 bytes.
+The samples are 100 keys a partition, each of under 150 bytes.
 
 Defined results: a null text counts as empty; of rows with equal text and equal id one stays; a null id is smaller
 than any; an empty table gives an empty one; other columns are not read.
@@ -17,6 +17,7 @@ than any; an empty table gives an empty one; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,9 @@ from .common import LOWER_AZ, cut, slices, text_of, whole_rows, width
 
 #: Bytes of a text in the range key.
 HEAD = 64
+#: Rows sampled for each part of drop_copies, and the sample's seed.
+SAMPLE = 100
+SEED = 1
 
 
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,15 +146,36 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(waiting, True)
 
 
+def _largest_first(digest: bytes, doc_id: int | None) -> tuple:
+    return digest, doc_id is None, -(doc_id or 0)
+
+
+def _splitters(df: DataFrame, id_col: Column, norm: Column, parts: int) -> list[tuple]:
+    """parts - 1 keys that cut a sample of df, SAMPLE rows a part, into equal parts. They are drawn once, so that rows go
+    to the same part whenever their table is derived."""
+    share = min(1.0, SAMPLE * parts / max(1, df.count()))
+    rows = df.sample(False, share, SEED).select(F.substring(norm, 1, HEAD).alias("head"), F.unhex(F.sha2(norm, 256)).alias("digest"), id_col.alias("id"))
+    keys = sorted((bytes(r["head"]), *_largest_first(bytes(r["digest"]), r["id"])) for r in rows.collect())
+    return [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
+
+
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """df's rows that are kept, one of each group; of rows with equal text and id any one. Whole rows are sorted by
     their texts, in one shuffle; runs that a partition's border cuts are known by their SHA-256, two rows a partition."""
+    parts = partitions or width(df)
     norm = lambda text: _lower_az(F.coalesce(text.cast("string"), F.lit(""))).cast("binary")
+    splitters = _splitters(df, F.col(id_col).cast("long"), norm(F.col(text_col)), parts)
+
+    @F.arrow_udf("int")
+    def part_of(head: pa.Array, digest: pa.Array, doc_id: pa.Array) -> pa.Array:
+        keys = zip(head.to_pylist(), digest.to_pylist(), doc_id.to_pylist())
+        return pa.array([bisect_right(splitters, (h, *_largest_first(d, i))) for h, d, i in keys], pa.int32())
+
     rows = df.select(whole_rows(df), F.col(id_col).cast("long").alias("id"), norm(F.col(text_col)).alias("norm"))
     rows = rows.select("row", "id", F.substring("norm", 1, HEAD).alias("head"), F.unhex(F.sha2("norm", 256)).alias("digest"))
-    largest_first = F.col("id").desc_nulls_last()
-    rows = rows.repartitionByRange(partitions or width(df), "head", "digest", largest_first)
-    rows = rows.withColumn("norm", norm(F.col("row").getField(text_col))).sortWithinPartitions("head", "digest", "norm", largest_first)  # made again, not shuffled
+    rows = rows.withColumn("part", part_of("head", "digest", "id")).repartitionById(parts, "part").drop("part")
+    order = ("head", "digest", "norm", F.col("id").desc_nulls_last())
+    rows = rows.withColumn("norm", norm(F.col("row").getField(text_col))).sortWithinPartitions(*order)  # made again, not shuffled
     schema = T.StructType([rows.schema["row"], T.StructField("digest", T.BinaryType()), T.StructField("edge", T.BooleanType()), T.StructField("part", T.IntegerType())])
     firsts = rows.select("row", "digest", "norm").mapInArrow(_firsts, schema)
     edges = firsts.where("edge").groupBy(F.col("digest").alias("edge_digest")).agg(F.min("part").alias("first_part"))

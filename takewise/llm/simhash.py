@@ -14,9 +14,10 @@ Components are found over distinct fingerprints by alternating large-star and sm
 
 drop_near_copies looks for texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints
 of five-word shingles tell such texts badly (a tenth of changed shingles flips seven bits), so it links texts by two
-fingerprints of word pairs, with other seeds, at five bits or fewer: three segments, of which one then differs by one bit
-at most. These links only propose. In each of their components every text is compared in full with the one of the
-smallest id; where that fails, the links themselves are compared; and the links that hold make the groups.
+fingerprints of their different words, with two seeds, at five bits or fewer: three segments, of which one then differs
+by one bit at most. These links only propose. In each of their components every text is compared in full with the one of
+the smallest id; where that fails, the links themselves are compared; and the links that hold make the groups. In exact
+mode a prefix filter over the rarest shingles proposes instead, which misses no pair and costs a row for every shingle.
 
 Defined results: a null or blank text has fingerprint zero; equal fingerprints link, so repeated rows share a component;
 a component's id is its smallest id, null only if it has no other; an empty table gives an empty one; other columns
@@ -33,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.pairing import set_similarity
 from .common import LOWER_AZ, cut, slices, whole_rows
 
 SHINGLE = 3
@@ -48,15 +50,19 @@ BLOCK = 1 << 16
 #: the bits in which proposed texts differ at most.
 NEAR_WORDS = 5
 SIMILARITY = 0.8
-NEAR_SHINGLE = 2
+NEAR_SHINGLE = 1
 NEAR_SEEDS = (42, 1042)
 NEAR_DISTANCE = 5
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED, distinct: bool = False) -> int:
+    """The majority bits of a text's shingles, each as often as it stands there, or once if distinct."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_AZ).split()
     if not words:
         return 0
+    if distinct:
+        k = min(shingle, len(words))
+        words, shingle = list({b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}), 1
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -244,14 +250,33 @@ def _alike(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.where((whole == 0) | (shared >= F.lit(least) * whole)).select("a", "b")
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, words: int = NEAR_WORDS, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, seeds: tuple[int, ...] = NEAR_SEEDS, distance: int = NEAR_DISTANCE) -> DataFrame:
+def _settle(nodes: DataFrame, links_: DataFrame) -> DataFrame:
+    """nodes (node, least) with kept: false for all but the first of each component of the links (a, b)."""
+    grouped = components(links_).join(nodes, "node")
+    first = grouped.groupBy("root").agg(_first("f")).select("root", F.col("f.node").alias("first"))
+    dropped = grouped.join(first, "root").where("node <> first").select("node", F.lit(False).alias("kept"))
+    return nodes.join(dropped, "node", "left").select("node", "least", F.coalesce("kept", F.lit(True)).alias("kept"))
+
+
+def _exact_pairs(sigs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of sigs (node, sig): all pairs of different sets that are similar enough, and a link from each text to the
+    first of those with its set."""
+    pairs, members = set_similarity(sigs.select("node", F.explode("sig").alias("token")), similarity, "node", "token")
+    same = members.where("id <> representative").select(F.col("representative").alias("a"), F.col("id").alias("b"))
+    blank = sigs.where(F.size("sig") == 0).select("node")  # these have no tokens
+    first = blank.agg(F.min("node").alias("a"))
+    none = blank.join(F.broadcast(first), F.col("node") > F.col("a")).select("a", F.col("node").alias("b"))
+    return pairs.select("a", "b").unionByName(same).unionByName(none)
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, words: int = NEAR_WORDS, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, seeds: tuple[int, ...] = NEAR_SEEDS, distance: int = NEAR_DISTANCE, exact: bool = False) -> DataFrame:
     """(node, least, kept) of each different text of df: its name, its smallest id, and whether it stays, the text of the
-    smallest id of each group of near copies."""
+    smallest id of each group of near copies; exact as the module says."""
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            prints = [pa.array(np.array([fingerprint(x, shingle, s) for x in texts], dtype=np.uint64).view(np.int64)) for s in seeds]
+            prints = [pa.array(np.array([fingerprint(x, shingle, s, distinct=True) for x in texts], dtype=np.uint64).view(np.int64)) for s in seeds]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), *prints], ["id", "node", *(f"p{s}" for s in seeds)])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,6 +285,11 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
             yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["root", "node", "sig"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), _node(F.col(text_col)).alias("node"), F.col(text_col).cast("string").alias("text"))
+    if exact:
+        nodes = cut(rows.groupBy("node").agg(F.min("id").alias("least")))
+        texts = rows.dropDuplicates(["node"]).select(F.lit(b"").alias("root"), "node", "text")
+        sigs = cut(texts.mapInArrow(signed, "root binary, node binary, sig array<long>").select("node", "sig"))
+        return _settle(nodes, cut(_exact_pairs(sigs, similarity)))
     told = rows.mapInArrow(printed, ", ".join(["id long", "node binary", *(f"p{s} long" for s in seeds)]))
     nodes = cut(told.groupBy("node").agg(F.min("id").alias("least"), *(F.max(f"p{s}").alias(f"p{s}") for s in seeds)))
     proposed = None
@@ -282,10 +312,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     open_ = proposed.join(held("a"), "a", "left").join(held("b"), "b", "left").where("ok_a is null or ok_b is null").select("a", "b")
     side = lambda c: sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
     rest = _alike(open_.join(side("a"), "a").join(side("b"), "b"), similarity)
-    grouped = components(star.unionByName(rest)).join(nodes.select("node", "least"), "node")
-    first = grouped.groupBy("root").agg(_first("f")).select("root", F.col("f.node").alias("first"))
-    dropped = grouped.join(first, "root").where("node <> first").select("node", F.lit(False).alias("kept"))
-    return nodes.select("node", "least").join(dropped, "node", "left").select("node", "least", F.coalesce("kept", F.lit(True)).alias("kept"))
+    return _settle(nodes.select("node", "least"), star.unionByName(rest))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:

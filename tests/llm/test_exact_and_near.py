@@ -167,11 +167,11 @@ def near_texts():
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("bucket", [6, 20_000])
-def test_near_copies_against_brute_force(spark, bucket):
+@pytest.mark.parametrize("bucket,exact", [(6, False), (20_000, False), (20_000, True)])
+def test_near_copies_against_brute_force(spark, bucket, exact):
     """What goes is joined to what stays of its group by texts of similarity 0.8 or more; most of what is so joined goes."""
     data = near_texts()
-    got = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(data, "doc_id long, text string").repartition(3), bucket=bucket).collect()}
+    got = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(data, "doc_id long, text string").repartition(3), bucket=bucket, exact=exact).collect()}
     parent = list(range(len(data)))
 
     def root(x):
@@ -186,17 +186,17 @@ def test_near_copies_against_brute_force(spark, bucket):
     least = {root(i) for i, _ in data}
     assert least <= got  # the first of each true group stays
     missed = len(got) - len(least)
-    assert missed <= 0.1 * (len(data) - len(least)) and len(data) - len(least) > 40
+    assert missed <= (0 if exact else 0.1) * (len(data) - len(least)) and len(data) - len(least) > 40
 
 
 def test_near_copies_odd_rows(spark):
-    for df in (odd(spark), clashing(spark)):
-        kept = simhash.drop_near_copies(df)
+    for df, exact in ((odd(spark), False), (clashing(spark), False), (odd(spark), True)):
+        kept = simhash.drop_near_copies(df, exact=exact)
         assert kept.columns == df.columns
         got = [(r.doc_id, r.text) for r in kept.collect()]
         # rows 1 to 3 are one group, told by row 1; the texts without words are one, told by row 4, the first of them
         assert sorted(i for i, _ in got if i is not None) == [1, 4, 4, 7, 8, 9] and sum(i is None for i, _ in got) == 1
-    assert simhash.drop_near_copies(empty(spark)).count() == 0
+    assert simhash.drop_near_copies(empty(spark)).count() == simhash.drop_near_copies(empty(spark), exact=True).count() == 0
 
 
 def test_segments_cover_the_distance(spark):
@@ -212,3 +212,17 @@ def test_segments_cover_the_distance(spark):
         for r in simhash._keys(spark.createDataFrame(signed, "print long"), distance).collect():
             keys[np.int64(r.print).view(np.uint64).item()].add((r.key, r.mask))
         assert all(len(k) == 64 for k in keys.values()) and all(keys[a] & keys[b] for a, b in prints)
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_drop_copies_relies_on_no_plan(spark, reuse):
+    """Few long runs that many borders cut, derived once or twice."""
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 59).alias("text"))
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        for partitions in (1, 8, 40):
+            kept = exact_dedup.drop_copies(df, partitions=partitions).collect()
+            assert sorted(r.doc_id for r in kept) == list(range(30_000 - 59, 30_000))
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)

@@ -119,7 +119,7 @@ def test_repeats_odd_rows(spark):
 
 
 def test_entries_have_all_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in entries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in entries.queries()) == list(range(1, 14))
 
 
 def test_pipeline_against_brute_force(spark, sf):
@@ -133,11 +133,11 @@ def test_pipeline_against_brute_force(spark, sf):
             keep = {k for k, _ in brute_exact([(r["doc_id"], r["text"]) for r in before]).values()}
             assert {r.doc_id for r in out.collect()} == keep
         elif name == "SimHash near-dedup":
-            # what goes is like an earlier text that was there; of pairs that are so alike hardly any stays whole
+            # what goes is like an earlier text that was there; of pairs that are so alike none stays whole
             kept, earlier = {r.doc_id for r in out.collect()}, sorted(before, key=lambda r: r["doc_id"])
             like = {r["doc_id"]: [q["doc_id"] for q in earlier[:i] if brute_similarity(q["text"], r["text"]) >= 0.8] for i, r in enumerate(earlier)}
             assert all(like[r["doc_id"]] for r in before if r["doc_id"] not in kept)
-            assert sum(bool(v) and i in kept for i, v in like.items()) <= 1
+            assert not [i for i, v in like.items() if v and i in kept]
         elif name == "SentencePiece encoding":
             library = sentencepiece.SentencePieceProcessor(model_file=default_model())
             want = {r["doc_id"]: len(library.encode(r["text"], add_bos=True, add_eos=True)) for r in before}
