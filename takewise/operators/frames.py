@@ -1,19 +1,22 @@
 """Framing, spectra, pitch candidates and note segments.
 
 Samples are rows (take_id, pcm ARRAY<DOUBLE>) or, for long takes, chunks (take_id, chunk_no, pcm). What needs a
-spectrum or an autocorrelation is computed frame by frame in Arrow batches, many frames at once, and its result stays
-an array in the frame's row, so that no bin or lag is shuffled; the rest is built-in expressions and windows.
+spectrum or an autocorrelation is cut and computed in one pass over Arrow batches, many frames at once, and its result
+stays an array in the frame's row, so that no frame becomes a row by itself and no bin or lag is shuffled; the rest is
+built-in expressions and windows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..config import ALIGN_HOP, FMAX_HZ, FMIN_HZ, FRAME, MIN_NOTE_SEC, PITCH_HOP, RMS_HOP, SAMPLE_RATE, VOICED_FLOOR
@@ -24,29 +27,94 @@ from .pairing import frames_in_spans
 BATCH = 4 << 20
 
 
-def frames(samples: DataFrame, length: int, hop: int, most: Column | None = None, border: int = 0) -> DataFrame:
-    """(take_id, frame, x): 1 + (n - length) div hop frames, most of them at most, of each take with border zeros on both
-    ends; a short take gives one frame filled up with zeros. Frames are cut in Arrow batches: an explode would carry the
-    whole take beside each of its frames."""
-    count = F.lit(2**31 - 1) if most is None else most
-    rows = samples.select("take_id", F.col("pcm").cast("array<double>").alias("pcm"), count.cast("bigint").alias("most"))
+class Cut(NamedTuple):
+    """How takes are cut into frames: 1 + (n - length) div hop of each take with border zeros on both ends, most of them at
+    most; a short take gives one frame filled up with zeros. samples has take_id and pcm, or for takes stored in chunks
+    `at`, the place of a chunk's first sample, and `own`, how many of its samples are its own: those after them are the
+    next samples of the take, length - 1 or what there is."""
+
+    samples: DataFrame
+    length: int
+    hop: int
+    most: Column | None = None
+    border: int = 0
+
+
+def cut_centered(samples: DataFrame, length: int, hop: int, most: Column | None = None) -> Cut:
+    """Takes with length / 2 zeros on both ends."""
+    return Cut(samples, length, hop, most, length // 2)
+
+
+def with_halo(chunks: DataFrame, chunk: int, length: int) -> DataFrame:
+    """(take_id, at, own, pcm) for Cut of takes stored as chunks of chunk samples (the last may be shorter): the first
+    length - 1 samples that follow a chunk come to it by (take, chunk), so no row or task holds a whole take."""
+    rows = chunks.where(F.size("pcm") > 0).select("take_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "pcm")
+    reach = max(1, -(-(length - 1) // chunk))  # chunks that the halo spans
+    head = F.slice("pcm", 1, max(1, min(chunk, length - 1)))
+    sent = rows.select("take_id", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("k"), "chunk_no", head.alias("head")).select("take_id", (F.col("chunk_no") - F.col("k")).alias("chunk_no"), F.struct("k", "head").alias("part"))
+    if reach == 1:
+        sent = sent.select("take_id", "chunk_no", F.col("part.head").alias("halo"))
+    else:
+        sent = sent.where("chunk_no >= 0").groupBy("take_id", "chunk_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["head"])).alias("halo"))
+    halo = F.slice(F.coalesce("halo", F.array().cast(rows.schema["pcm"].dataType)), F.lit(1), F.lit(max(0, length - 1)))
+    return rows.join(sent, ["take_id", "chunk_no"], "left").select("take_id", (F.col("chunk_no") * chunk).alias("at"), F.size("pcm").cast("bigint").alias("own"), F.concat("pcm", halo).alias("pcm"))
+
+
+def _windows(pcm: np.ndarray, at: int, own: int | None, length: int, hop: int, border: int) -> tuple[int, np.ndarray]:
+    """(number of the first frame, frames) that begin in a row's own samples; a row that has no more than them, or fewer
+    than length - 1 after them, ends its take."""
+    ends = own is None or len(pcm) - own < length - 1
+    size = len(pcm) if own is None else own
+    first = 0 if at == 0 else -(-(at + border) // hop)
+    left = border if at == 0 else 0
+    x = np.pad(pcm, (left, border if ends else 0)) if left or (ends and border) else pcm
+    if at == 0 and len(x) < length:
+        x = np.pad(x, (0, length - len(x)))
+    begin = first * hop - border - at + left  # of the first frame, in x
+    last = left + size - 1 if at else max(left + size - 1, 0)  # the last place where a frame may begin
+    if begin + length > len(x) or begin > last:
+        return first, np.zeros((0, length))
+    return first, np.lib.stride_tricks.sliding_window_view(x, length)[begin : last + 1 : hop]
+
+
+def measured(cut: Cut, measures: dict[str, Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+    """(take_id, frame, an array for each measure), cut and measured in one pass over Arrow batches: no frame becomes a
+    row or crosses to the JVM unless a measure returns it. A measure maps a matrix of frames to a matrix of results."""
+    chunked = "own" in cut.samples.columns
+    pcm = F.col("pcm") if cut.samples.schema["pcm"].dataType in (T.ArrayType(T.DoubleType()), T.ArrayType(T.FloatType())) else F.col("pcm").cast("array<double>")
+    most = F.lit(2**31 - 1) if cut.most is None else cut.most
+    place = ("at", "own") if chunked else (F.lit(0).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("own"))
+    rows = cut.samples.select("take_id", *place, most.cast("bigint").alias("most"), pcm.alias("pcm"))
     kind = rows.schema["take_id"].dataType.simpleString()
+    _, length, hop, _, border = cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, BATCH // (8 * length))
         for batch in batches:
             for i in range(batch.num_rows):
-                pcm = batch.column("pcm")[i].values
-                x = np.pad(np.zeros(0) if pcm is None else pcm.to_numpy(zero_copy_only=False), border)
-                x = np.pad(x, (0, max(0, length - len(x))))
-                windows = np.lib.stride_tricks.sliding_window_view(x, length)[::hop][: max(0, batch.column("most")[i].as_py())]
+                values = batch.column("pcm")[i].values
+                x = np.zeros(0) if values is None else values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+                first, windows = _windows(x, batch.column("at")[i].as_py(), batch.column("own")[i].as_py(), length, hop, border)
+                windows = windows[: max(0, batch.column("most")[i].as_py() - first)]
                 for at in range(0, len(windows), step):
                     part = np.ascontiguousarray(windows[at : at + step])
-                    ends = pa.array(np.arange(0, part.size + 1, length, dtype=np.int32))
+                    out = [_lists(measure(part)) for measure in measures.values()]
                     takes = batch.column("take_id").take(pa.array(np.full(len(part), i)))
-                    yield pa.RecordBatch.from_arrays([takes, pa.array(np.arange(at, at + len(part))), pa.ListArray.from_arrays(ends, pa.array(part.ravel()))], ["take_id", "frame", "x"])
+                    yield pa.RecordBatch.from_arrays([takes, pa.array(np.arange(first + at, first + at + len(part))), *out], ["take_id", "frame", *measures])
+
+    return rows.mapInArrow(run, ", ".join([f"take_id {kind}", "frame long", *(f"{n} array<double>" for n in measures)]))
+
 
-    return rows.mapInArrow(run, f"take_id {kind}, frame long, x array<double>")
+def _lists(matrix: np.ndarray) -> pa.Array:
+    """A list a row."""
+    n, k = matrix.shape
+    ends = np.arange(0, n * k + 1, k, dtype=np.int32) if k else np.zeros(n + 1, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(matrix, dtype=np.float64).ravel()))
+
+
+def frames(samples: DataFrame, length: int, hop: int, most: Column | None = None, border: int = 0) -> DataFrame:
+    """(take_id, frame, x): the frames of Cut as rows."""
+    return measured(Cut(samples, length, hop, most, border), {"x": lambda x: x})
 
 
 def centered_frames(samples: DataFrame, length: int, hop: int, most: Column | None = None) -> DataFrame:
@@ -54,40 +122,28 @@ def centered_frames(samples: DataFrame, length: int, hop: int, most: Column | No
     return frames(samples, length, hop, most, length // 2)
 
 
-def frames_of_chunks(chunks: DataFrame, chunk: int, length: int, hop: int) -> DataFrame:
-    """frames() of takes stored as chunks of chunk samples (the last may be shorter): a chunk is cut into the pieces
-    that belong to each frame, and frames gather their pieces, so no row holds a whole take."""
-    at = F.col("chunk_no") * chunk
-    first = F.greatest(F.lit(0), F.ceil((at - length + 1) / hop))
-    last = F.floor((at + F.size("pcm") - 1) / hop)
-    rows = chunks.where(F.size("pcm") > 0).select("take_id", "pcm", at.alias("at"), F.explode(F.sequence(first, last)).alias("frame"))
-    begin = F.greatest(F.col("frame") * hop, F.col("at"))
-    end = F.least(F.col("frame") * hop + length, F.col("at") + F.size("pcm"))
-    rows = rows.where(begin < end).select("take_id", "frame", F.struct((begin - F.col("frame") * hop).alias("off"), F.slice("pcm", (begin - F.col("at") + 1).cast("int"), (end - begin).cast("int")).alias("x")).alias("piece"))
-    done = rows.groupBy("take_id", "frame").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
-    x = F.flatten(F.transform("pieces", lambda p: p["x"]))
-    full = F.concat(x, F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.lit(length) - F.size(x))))
-    return done.where((F.size(x) == length) | (F.col("frame") == 0)).select("take_id", "frame", full.alias("x"))
+def frames_of_chunks(chunks: DataFrame, chunk: int, length: int, hop: int, border: int = 0) -> DataFrame:
+    """frames() of takes stored as chunks of chunk samples."""
+    return frames(with_halo(chunks, chunk, length), length, hop, border=border)
 
 
-def per_frame(framed: DataFrame, measure: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
+def per_frame(framed: DataFrame | Cut, measure: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
     """(take_id, frame, name): measure maps a matrix of frames to a matrix of results, one row each; frames have the
-    same length throughout."""
+    same length throughout. Of a Cut they are measured as they are cut."""
+    if isinstance(framed, Cut):
+        return measured(framed, {name: measure})
     kind = framed.schema["take_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
-            out = np.ascontiguousarray(measure(x), dtype=np.float64)
-            ends = np.arange(0, out.size + 1, out.shape[1], dtype=np.int32) if out.shape[1] else np.zeros(len(out) + 1, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("take_id"), batch.column("frame"), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))], ["take_id", "frame", name])
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([batch.column("take_id"), batch.column("frame"), _lists(measure(x))], ["take_id", "frame", name])
 
     return framed.select("take_id", "frame", F.col("x").cast("array<double>").alias("x")).mapInArrow(run, f"take_id {kind}, frame long, {name} array<double>")
 
 
-def frame_rms(framed: DataFrame) -> DataFrame:
+def frame_rms(framed: DataFrame | Cut) -> DataFrame:
     """(take_id, frame, rms), at most 1."""
     level = lambda x: np.minimum(np.sqrt((x * x).mean(axis=1, keepdims=True)), 1.0)
     return per_frame(framed, level, "rms").withColumn("rms", F.get("rms", F.lit(0)))
@@ -99,15 +155,16 @@ def _hann(length: int, periodic: bool = True) -> np.ndarray:
 
 def magnitudes(x: np.ndarray, periodic: bool = True) -> np.ndarray:
     """Hann-windowed magnitudes of each row, bins 0 to length / 2."""
-    return np.abs(np.fft.rfft(x * _hann(x.shape[1], periodic), axis=1))
+    found = np.fft.rfft(x * _hann(x.shape[1], periodic), axis=1)
+    return np.sqrt(found.real**2 + found.imag**2)
 
 
-def spectra(framed: DataFrame) -> DataFrame:
+def spectra(framed: DataFrame | Cut) -> DataFrame:
     """(take_id, frame, mag ARRAY<DOUBLE>)"""
     return per_frame(framed, magnitudes, "mag")
 
 
-def spectrum(framed: DataFrame) -> DataFrame:
+def spectrum(framed: DataFrame | Cut) -> DataFrame:
     """(take_id, frame, k, mag), a row for each bin."""
     return spectra(framed).select("take_id", "frame", F.posexplode("mag").alias("k", "mag")).withColumn("k", F.col("k").cast("bigint"))
 
@@ -125,7 +182,7 @@ def align_chroma(samples: DataFrame, rate: float = SAMPLE_RATE, length: int = 2
         return folded / np.where(norm > 0, norm, 1.0)
 
     most = F.floor((F.size("pcm") - 1) / hop)
-    return per_frame(centered_frames(samples, length, hop, most), fold, "bins")
+    return per_frame(cut_centered(samples, length, hop, most), fold, "bins")
 
 
 def chroma_filters(rate: float, length: int) -> np.ndarray:
@@ -148,7 +205,7 @@ def chroma(samples: DataFrame, rate: float = SAMPLE_RATE, length: int = FRAME, h
         top = power.max(axis=1, keepdims=True)
         return np.clip(power / np.where(top > 0, top, 1.0), 0.0, 1.0)
 
-    return per_frame(centered_frames(samples, length, hop), filtered, "bins")
+    return per_frame(cut_centered(samples, length, hop), filtered, "bins")
 
 
 def lags(rate: float, length: int, fmin: float, fmax: float) -> tuple[int, int]:
@@ -156,7 +213,7 @@ def lags(rate: float, length: int, fmin: float, fmax: float) -> tuple[int, int]:
     return int(math.floor(rate / fmax)), min(int(math.ceil(rate / fmin)), length - 1)
 
 
-def yin_difference(framed: DataFrame, length: int = FRAME, rate: float = SAMPLE_RATE, fmin: float = FMIN_HZ, fmax: float = FMAX_HZ) -> DataFrame:
+def yin_difference(framed: DataFrame | Cut, length: int = FRAME, rate: float = SAMPLE_RATE, fmin: float = FMIN_HZ, fmax: float = FMAX_HZ) -> DataFrame:
     """(take_id, frame, d): cumulative-mean-normalised difference at lags floor(rate / fmax) to ceil(rate / fmin). The
     difference at lag k is 2 (acf(0) - acf(k)) less the energy of the first k samples, none at lag 1."""
     low, high = lags(rate, length, fmin, fmax)
@@ -211,7 +268,7 @@ def voicing(pitch: DataFrame, floor: float = VOICED_FLOOR) -> DataFrame:
     return pitch.withColumn("confidence", sure).withColumn("voiced", on.cast("int")).withColumn("f0_hz", F.when(on, F.coalesce(F.nanvl("f0_hz", F.lit(0.0)), F.lit(0.0))).otherwise(0.0))
 
 
-def hps_f0(framed: DataFrame, length: int, rate: float = SAMPLE_RATE, harmonics: int = 5, fmin: float = 40.0, fmax: float = 4000.0, least: int = 512) -> DataFrame:
+def hps_f0(framed: DataFrame | Cut, length: int, rate: float = SAMPLE_RATE, harmonics: int = 5, fmin: float = 40.0, fmax: float = 4000.0, least: int = 512) -> DataFrame:
     """(take_id, frame, k, f0_hz): of the bins from fmin to below fmax, the one whose magnitude, times those at its
     multiples up to harmonics that the spectrum has, is largest (logarithms to six digits; the lowest of equals). Frames
     of under least samples, and bands of under eight bins in such a case, have f0 0 and no k."""
@@ -226,7 +283,8 @@ def hps_f0(framed: DataFrame, length: int, rate: float = SAMPLE_RATE, harmonics:
         return low + np.round(total[:, low:high], 6).argmax(axis=1)[:, None].astype(float)
 
     if length < least or high <= low:
-        return framed.select("take_id", "frame", F.lit(None).cast("bigint").alias("k"), F.lit(0.0).alias("f0_hz"))
+        numbered = measured(framed, {}) if isinstance(framed, Cut) else framed
+        return numbered.select("take_id", "frame", F.lit(None).cast("bigint").alias("k"), F.lit(0.0).alias("f0_hz"))
     found = per_frame(framed, best, "k").withColumn("k", F.get("k", F.lit(0)).cast("bigint"))
     return found.withColumn("f0_hz", F.col("k") * (rate / length))
 

@@ -111,7 +111,7 @@ def centered_frames(spark, d):
   select take_id, pcm, unnest(range(1 + (len(pcm) - 8) // 4)) as frame from samples))
 select take_id, frame, round(least(sqrt(list_sum(list_transform(x, lambda v: v * v)) / 8), 1.0), 6) as rms from fr"""))
 def rms_frames(spark, d):
-    return S.frame_rms(S.frames(A.samples(spark, d), 8, 4)).withColumn("rms", F.round("rms", 6))
+    return S.frame_rms(S.Cut(A.samples(spark, d), 8, 4)).withColumn("rms", F.round("rms", 6))
 
 
 def _sp(frames: str, name: str, period: int = LENGTH) -> str:
@@ -124,7 +124,7 @@ def _sp(frames: str, name: str, period: int = LENGTH) -> str:
 
 @query(sql("samples", _FR + _sp("fr", "sp") + "select take_id, frame, k, round(mag, 6) as mag from sp"))
 def spectrum_magnitude(spark, d):
-    return S.spectrum(S.frames(A.samples(spark, d), LENGTH, HOP)).withColumn("mag", F.round("mag", 6))
+    return S.spectrum(S.Cut(A.samples(spark, d), LENGTH, HOP)).withColumn("mag", F.round("mag", 6))
 
 
 _CENTERED = """, padded as (select take_id, len(pcm) as size, list_concat(list_concat(list_transform(range(8), lambda i: 0.0::double), pcm), list_transform(range(8), lambda i: 0.0::double)) as pcm from samples),
@@ -176,7 +176,7 @@ cd as (
 
 
 def _yin(spark, d):
-    return S.yin_difference(S.frames(A.samples(spark, d), LENGTH, HOP), LENGTH, RATE, FMIN, FMAX)
+    return S.yin_difference(S.Cut(A.samples(spark, d), LENGTH, HOP), LENGTH, RATE, FMIN, FMAX)
 
 
 @query(sql("samples", _YIN + "select take_id, frame, tau, round(d, 6) + 0.0 as d from df"))
@@ -212,7 +212,7 @@ def voicing(spark, d):
   where a.k between 1 and 2 and b.take_id = a.take_id and b.frame = a.frame and b.k = a.k * h group by all)
 select take_id, frame, k, cast(k * 4 as double) as f0_hz from (select *, row_number() over (partition by take_id, frame order by p desc, k) as rn from pr) where rn = 1"""))
 def hps_f0(spark, d):
-    return S.hps_f0(S.frames(A.samples(spark, d), LENGTH, HOP), LENGTH, RATE, 3, 3.0, 9.0, least=LENGTH)
+    return S.hps_f0(S.Cut(A.samples(spark, d), LENGTH, HOP), LENGTH, RATE, 3, 3.0, 9.0, least=LENGTH)
 
 
 @query(sql("pitch_frames rms_frames", """, v as (

@@ -59,6 +59,31 @@ def test_frames_of_any_chunking(spark):
         assert {(r.take_id, r.frame): r.x for r in got.collect()} == whole
 
 
+@pytest.mark.parametrize("length,hop,border", [(16, 6, 0), (16, 6, 8), (16, 16, 8), (5, 7, 0), (7, 3, 3), (16, 40, 8)])
+def test_measures_of_chunks_and_of_takes(spark, length, hop, border):
+    """Cut and measured in one pass, takes in chunks of any size give what whole takes give, in doubles and in floats."""
+    rng = np.random.default_rng(length * hop)
+    takes = [(i, rng.normal(size=n).round(3)) for i, n in enumerate((37, 2, 16, 15, 17, 64, 100))]
+    want = {}
+    for i, x in takes:
+        padded = np.pad(x, border)
+        padded = np.pad(padded, (0, max(0, length - len(padded))))
+        for k in range(1 + (len(padded) - length) // hop):
+            want[i, k] = padded[k * hop : k * hop + length]
+    level = {"x": lambda x: x, "peak": lambda x: x.max(axis=1, keepdims=True)}
+    whole = spark.createDataFrame([(i, x.tolist()) for i, x in takes], "take_id long, pcm array<double>")
+    tables = [frames.Cut(whole, length, hop, border=border)]
+    for size in (1, 7, 64):
+        chunks = [(i, k, x[k * size : (k + 1) * size].tolist()) for i, x in takes for k in range(-(-len(x) // size))]
+        kind = "double" if size > 1 else "float"
+        table = spark.createDataFrame(chunks, f"take_id long, chunk_no long, pcm array<{kind}>")
+        tables.append(frames.Cut(frames.with_halo(table, size, length), length, hop, border=border))
+    for cut in tables:
+        got = {(r.take_id, r.frame): r for r in frames.measured(cut, level).collect()}
+        assert set(got) == set(want)
+        assert all(np.allclose(r.x, want[k], atol=1e-6) and np.isclose(r.peak[0], want[k].max(), atol=1e-6) for k, r in got.items())
+
+
 def test_novelty_onsets(spark):
     rng = np.random.default_rng(3)
     db = np.round(rng.random(60) * 20, 3)
@@ -85,7 +110,8 @@ def test_signal_at_real_sizes(spark):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in takes], "take_id long, pcm array<double>")
     pcm = dict(takes)
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(2048) / 2048)
-    framed = frames.frames(df, 2048, 512)
+    framed = frames.Cut(df, 2048, 512)
+    assert sorted(map(tuple, frames.spectra(framed).collect())) == sorted(map(tuple, frames.spectra(frames.frames(df, 2048, 512)).collect()))
     for r in frames.spectra(framed).collect():
         x = np.resize(np.pad(pcm[r.take_id], (0, 2048))[r.frame * 512 : r.frame * 512 + 2048], 2048)
         assert np.allclose(r.mag, np.abs(np.fft.rfft(x * window)))
