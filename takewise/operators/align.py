@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +13,11 @@ from pyspark.sql.window import Window as W
 from ..config import ALIGN_BAND, MIN_COVERAGE
 
 
+#: Diagonals whose distances are found at once, and cells of a band of which the way back is held in whole (a byte each).
+TILE = 32
+HELD_CELLS = 16 << 20
+
+
 def band_distance(ref: DataFrame, prac: DataFrame, sizes: DataFrame, band: float = ALIGN_BAND) -> DataFrame:
     """(pair_id, i, j, distance): Euclidean distance of frames whose relative places differ by band at most. Places are
     cut into buckets of the band's width; a frame meets its own and the two next to it by an equality join. ref and prac
@@ -23,36 +30,98 @@ def band_distance(ref: DataFrame, prac: DataFrame, sizes: DataFrame, band: float
     return r.join(p, ["pair_id", "bucket"]).where(near).select("pair_id", "i", "j", F.sqrt(squares).alias("distance"))
 
 
-def banded_path(x: np.ndarray, y: np.ndarray, band: float, tie_break: str) -> list[tuple[int, int]]:
-    """Least-cost monotone path through frames (rows) within the band, by anti-diagonals: all cells of one depend on the
-    two before it alone, so of the costs three diagonals are kept and of the way back a byte a cell of the band. Of
+class Band:
+    """The cells of a pair's band by anti-diagonals: s has the cells (i, s - i) for i from low[s] to high[s]."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, band: float):
+        (n, m), tile = (len(x), len(y)), min(TILE, len(x) + len(y) - 1)
+        s = np.arange(n + m - 1, dtype=np.float64)
+        room = band * n * m * (1 + 1e-12) + 1e-9
+        self.low = np.maximum(np.maximum(0, s - m + 1), np.ceil((s * n - room) / (n + m))).astype(np.int64)
+        self.high = np.minimum(np.minimum(n - 1, s), np.floor((s * n + room) / (n + m))).astype(np.int64)
+        self.x, self.edge = np.ascontiguousarray(x.T), n + tile
+        self.y = np.pad(y.T[:, ::-1], ((0, 0), (self.edge, self.edge)))  # back to front, so that a diagonal is a slice
+
+    def cells(self) -> int:
+        return int(np.maximum(self.high - self.low + 1, 0).sum())
+
+    def distances(self, first: int, last: int) -> tuple[int, np.ndarray]:
+        """(i of the first column, a row for each diagonal from first to before last), infinite outside the band."""
+        low, high = self.low[first:last], self.high[first:last]
+        begin, end = int(low.min()), int(high.max()) + 1
+        if end <= begin:
+            return begin, np.zeros((last - first, 0))
+        i = np.arange(begin, end)
+        squares, gap = np.zeros((last - first, len(i))), np.empty((last - first, len(i)))
+        at = self.edge + self.y.shape[1] - 2 * self.edge - last + begin  # where the last diagonal's slice begins
+        for a, b in zip(self.x, self.y):
+            other = np.lib.stride_tricks.sliding_window_view(b[at : at + last - first + len(i) - 1], len(i))[::-1]
+            np.subtract(a[begin:end], other, out=gap)
+            np.multiply(gap, gap, out=gap)
+            squares += gap
+        np.sqrt(squares, out=squares)
+        squares[(i < low[:, None]) | (i > high[:, None])] = np.inf
+        return begin, squares
+
+
+def banded_path(x: np.ndarray, y: np.ndarray, band: float, tie_break: str, held: int = HELD_CELLS) -> list[tuple[int, int]]:
+    """Least-cost monotone path through frames (rows) within the band. All cells of an anti-diagonal depend on the two
+    before it alone, so costs are kept of those only; of the way back a byte a cell. A band of more than held cells is
+    walked in blocks of about sqrt(n + m) diagonals: the costs at each block's start are kept, and the way back is found
+    block by block from the last, each block being walked again. Memory is then the band's width times sqrt(n + m). Of
     equal costs `diagonal` takes the diagonal, then up, then left; `as_written` up, then left, then the diagonal."""
     n, m = len(x), len(y)
+    cells = Band(x, y, band)
     steps = ((-1, -1), (-1, 0), (0, -1)) if tie_break == "diagonal" else ((-1, 0), (0, -1), (-1, -1))
-    room = band * n * m * (1 + 1e-12) + 1e-9
-    one, two = np.full(n + 1, np.inf), np.full(n + 1, np.inf)  # costs of the last diagonals, frame i at i + 1
-    come: list[tuple[int, np.ndarray]] = []
-    for s in range(n + m - 1):
-        lo = max(0, s - m + 1, int(np.ceil((s * n - room) / (n + m))))
-        hi = min(n - 1, s, int(np.floor((s * n + room) / (n + m))))
-        now = np.full(n + 1, np.inf)
-        if lo <= hi:
-            d = np.sqrt(((x[lo : hi + 1] - y[s - hi : s - lo + 1][::-1]) ** 2).sum(axis=1))
-            from_ = np.stack([two[lo : hi + 1] if di and dj else one[lo : hi + 1] if di else one[lo + 1 : hi + 2] for di, dj in steps])
-            best = from_.argmin(axis=0)
-            now[lo + 1 : hi + 2] = d + (from_[best, np.arange(hi - lo + 1)] if s else 0.0)
-            come.append((lo, best.astype(np.int8)))
-        else:
-            come.append((0, np.zeros(0, dtype=np.int8)))
-        one, two = now, one
+    ends = n + m - 1
+    size = ends if cells.cells() <= held else min(ends, max(TILE, math.isqrt(ends) * 4))
+
+    def walk(first: int, one: np.ndarray, two: np.ndarray, come: list | None) -> tuple[np.ndarray, np.ndarray]:
+        """Costs of a block's last two diagonals from those before it (frame i at i + 1); come gets (first i, where the
+        cells came from) of each of its diagonals."""
+        stop = min(first + size, ends)
+        for at in range(first, stop, TILE):
+            begin, rows = cells.distances(at, min(at + TILE, stop))
+            here, after = slice(begin + 1, begin + 1 + rows.shape[1]), slice(begin, begin + rows.shape[1])
+            for s, row in enumerate(rows, at):
+                now = np.full(n + 1, np.inf)
+                diagonal, up, left = two[after], one[after], one[here]
+                a, b, c = (diagonal, up, left) if tie_break == "diagonal" else (up, left, diagonal)
+                rest = np.minimum(b, c)
+                if come is not None:
+                    from_ = (c < b).view(np.int8) + np.int8(1)
+                    from_[a <= rest] = 0
+                    come.append((begin, from_))
+                np.add(np.minimum(a, rest) if s else 0.0, row, out=now[here])
+                one, two = now, one
+        return one, two
+
+    def packed(costs: np.ndarray) -> tuple[int, np.ndarray]:
+        known = np.flatnonzero(np.isfinite(costs))
+        return (int(known[0]), costs[known[0] : known[-1] + 1].copy()) if len(known) else (0, costs[:0])
+
+    def unpacked(at: int, costs: np.ndarray) -> np.ndarray:
+        full = np.full(n + 1, np.inf)
+        full[at : at + len(costs)] = costs
+        return full
+
+    one = two = np.full(n + 1, np.inf)
+    starts, come = [], [] if size == ends else None
+    for first in range(0, ends, size):
+        starts.append((packed(one), packed(two)))
+        one, two = walk(first, one, two, come)
     if not np.isfinite(one[n]):
         return []
     i, j, path = n - 1, m - 1, [(n - 1, m - 1)]
-    while i or j:
-        lo, best = come[i + j]
-        di, dj = steps[best[i - lo]]
-        i, j = i + di, j + dj
-        path.append((i, j))
+    for first in reversed(range(0, ends, size)):
+        costs = starts.pop()
+        if size < ends and i + j >= first:
+            walk(first, *(unpacked(*c) for c in costs), come := [])
+        while i + j >= max(first, 1):
+            begin, from_ = come[i + j - first]
+            di, dj = steps[from_[i - begin]]
+            i, j = i + di, j + dj
+            path.append((i, j))
     return path[::-1]
 
 
@@ -67,7 +136,8 @@ def path_cost(path: DataFrame, ref: DataFrame, prac: DataFrame) -> DataFrame:
 
 def warp_path(ref: DataFrame, prac: DataFrame, band: float = ALIGN_BAND, tie_break: str = "diagonal") -> DataFrame:
     """(pair_id, step, reference_frame, practice_frame). ref and prac have pair_id, frame and features ARRAY<DOUBLE>;
-    a group is one pair, in memory O(frames * band). A pair whose band holds no path has no rows."""
+    a group is one pair; its frames are held, and of its band a few blocks of diagonals. A pair whose band holds no path
+    has no rows."""
 
     def align(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["pair_id", "step", "reference_frame", "practice_frame"]

@@ -3,6 +3,7 @@
 import random
 import re
 import time
+import tracemalloc
 import wave
 
 import numpy as np
@@ -42,6 +43,22 @@ def test_warp_path_is_least(tie):
     assert (same == [(i, i) for i in range(4)]) == (tie == "diagonal")
 
 
+def test_warp_path_in_blocks():
+    """Walked block by block, with the way back found again, ties included; little is held of a long pair."""
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 40), (33, 32), (90, 70), (300, 211)):
+        for x, y in ((rng.random((n, 2)), rng.random((m, 2))), (rng.integers(0, 2, (n, 1)) * 1.0, rng.integers(0, 2, (m, 1)) * 1.0)):
+            for tie in ("diagonal", "as_written"):
+                for band in (0.05, 0.3, 1.0):
+                    assert align.banded_path(x, y, band, tie, held=100) == align.banded_path(x, y, band, tie)
+    x, y = rng.random((4000, 1)), rng.random((4000, 1))
+    tracemalloc.start()
+    align.banded_path(x, y, 0.5, "diagonal", held=0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000 < align.Band(x, y, 0.5).cells()  # a byte a cell would be 12 MB
+
+
 def test_warp_path_query(spark, sf):
     one = lambda s: adapters.pitch_frames(spark, sf).where(F.col("side") == s).select("pair_id", "frame", F.array("f0_hz").alias("features"))
     path = align.warp_path(one("reference"), one("practice"))
