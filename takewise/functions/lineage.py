@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,17 @@ def cut(df: DataFrame) -> DataFrame:
     executor, and Spark's cleaner removes them with the DataFrame."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def bucketed(df: DataFrame, key: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """df written once to the shared folder, in as many buckets by key as there are shuffle partitions, and sorted in them:
+    what groups, windows or joins such tables by columns of which key is one reads them without an exchange. The table's
+    name goes again; its folder stays until the shared folder is cleared."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key, *order)
+    writer.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"drop table {name}")  # of an external table only the name
+    return table

@@ -4,22 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..config import DB_FLOOR, DEAD_BAND_SEC, MIN_NOTE_SEC, OFF_PITCH_CENTS, PITCH_HOP, SAMPLE_RATE
-from ..functions.scalars import hz_to_cents, to_db
-from .pairing import frames_in_spans, pair_by_ordinal
+from ..functions.scalars import to_db
+from .pairing import notes_with_frames, pair_by_ordinal
 
 
 def mad(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, median, mad) of a value in each group."""
-    middle = df.groupBy(*by).agg(F.median(value).alias("median"))
-    return df.join(middle, by).groupBy(*by).agg(F.first("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
-
-
-def median_cents(frames: DataFrame, notes: DataFrame) -> DataFrame:
-    """(take_id, note_no, median_cents, median_hz) of each note's voiced frames, against the note's base_hz."""
-    voiced = frames.where("voiced = 1 and f0_hz > 0").join(notes.select("take_id", "note_no", "base_hz"), ["take_id", "note_no"])
-    return voiced.groupBy("take_id", "note_no").agg(F.median(hz_to_cents(F.col("f0_hz"), F.col("base_hz"))).alias("median_cents"), F.median("f0_hz").alias("median_hz"))
+    middle = df.select(*by, F.col(value).alias("value"), F.median(value).over(W.partitionBy(*by)).alias("median"))
+    return middle.groupBy(*by).agg(F.first("median").alias("median"), F.median(F.abs(F.col("value") - F.col("median"))).alias("mad"))
 
 
 def note_deviation(notes: DataFrame, frames: DataFrame, least_frames: float = MIN_NOTE_SEC * SAMPLE_RATE / PITCH_HOP) -> DataFrame:
@@ -27,16 +22,23 @@ def note_deviation(notes: DataFrame, frames: DataFrame, least_frames: float = MI
     voiced frames less that of the reference note's, both against the reference note's f0_hz, and each side's median
     pitch. All three are null, and the note counts as unpaired, where a side is missing, has less than least_frames or no
     voiced frame. notes has pair_id, side, take_id, note_no, f0_hz, start_frame and span_end (exclusive); frames
-    take_id, frame, voiced and f0_hz."""
-    base = notes.where("side = 'reference'").select("pair_id", "note_no", F.col("f0_hz").alias("base_hz"))
-    long_ = notes.where(F.greatest(F.lit(1), F.col("span_end") - F.col("start_frame")) >= least_frames)
-    inside = frames_in_spans(frames.select("take_id", "frame", "voiced", "f0_hz"), long_)
-    medians = median_cents(inside, long_.join(base, ["pair_id", "note_no"]))
-    named = notes.select("take_id", "note_no", "pair_id", "side").join(medians, ["take_id", "note_no"], "left")
-    both = pair_by_ordinal(named, ["median_cents", "median_hz"])
-    cents = F.col("prac_median_cents") - F.col("ref_median_cents")
+    take_id, frame, voiced and f0_hz.
+
+    Cents against a base are octaves less the base's, so the base cancels out and medians of octaves do. Both tables are
+    read once; with pair_id in frames too, all is grouped by the pair, and tables bucketed by it need no exchange."""
+    key = [c for c in ("pair_id", "take_id") if c in frames.columns]
+    carried = tuple(c for c in ("pair_id", "side") if c not in key)
+    spans = notes.withColumn("base_hz", F.col("f0_hz"))
+    rows = notes_with_frames(frames.select(*key, "frame", "voiced", "f0_hz"), spans, key, (*carried, "base_hz"))
+    long_ = F.greatest(F.lit(1), F.col("span_end") - F.col("start_frame")) >= least_frames
+    sung = F.col("framed") & (F.col("voiced") == 1) & (F.col("f0_hz") > 0) & long_
+    found = rows.groupBy("pair_id", "take_id", "side", "note_no").agg(
+        F.median(F.when(sung, F.log2("f0_hz"))).alias("octaves"), F.median(F.when(sung, F.col("f0_hz"))).alias("hz"), F.max("base_hz").alias("base_hz")
+    )
+    both = pair_by_ordinal(found, ["octaves", "hz", "base_hz"])
+    cents = F.when(F.col("ref_base_hz") > 0, 1200.0 * (F.col("prac_octaves") - F.col("ref_octaves")))
     hz = lambda c: F.when(cents.isNotNull(), F.col(c))
-    return both.select("pair_id", "note_no", cents.alias("cents"), hz("ref_median_hz").alias("ref_hz"), hz("prac_median_hz").alias("prac_hz"))
+    return both.select("pair_id", "note_no", cents.alias("cents"), hz("ref_hz").alias("ref_hz"), hz("prac_hz").alias("prac_hz"))
 
 
 def pitch_summary(deviation: DataFrame, off: float = OFF_PITCH_CENTS, rate: int = SAMPLE_RATE) -> DataFrame:
@@ -54,16 +56,14 @@ def timing_summary(found: DataFrame, dead: float = DEAD_BAND_SEC) -> DataFrame:
     """(pair_id, median_sec, spread_sec, early_ratio, late_ratio, on_time_ratio, n_notes_used, n_unpaired) of pair_onsets'
     rows; zeros where no note is matched, no row for a pair with an error."""
     found = found.where("error_code is null").select("pair_id", (F.col("prac_sec") - F.col("ref_sec")).alias("dev"))
-    d = found.where("dev is not null")
-    middle = mad(d, ["pair_id"], "dev")
-    share = lambda cond: F.coalesce(F.avg(F.when(F.col("dev").isNotNull(), cond.cast("double"))), F.lit(0.0))
-    counted = found.groupBy("pair_id").agg(
+    found = found.withColumn("middle", F.median("dev").over(W.partitionBy("pair_id")))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    share = lambda cond: zero(F.avg(F.when(F.col("dev").isNotNull(), cond.cast("double"))))
+    return found.groupBy("pair_id").agg(
+        zero(F.first("middle")).alias("median_sec"), zero(F.median(F.abs(F.col("dev") - F.col("middle")))).alias("spread_sec"),
         share(F.col("dev") < -dead).alias("early_ratio"), share(F.col("dev") > dead).alias("late_ratio"), share(F.abs("dev") <= dead).alias("on_time_ratio"),
         F.count("dev").alias("n_notes_used"), F.count_if(F.col("dev").isNull()).alias("n_unpaired"),
     )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    joined = counted.join(middle, "pair_id", "left")
-    return joined.select("pair_id", zero("median").alias("median_sec"), zero("mad").alias("spread_sec"), "early_ratio", "late_ratio", "on_time_ratio", "n_notes_used", "n_unpaired")
 
 
 def note_energy(frames: DataFrame, by: tuple[str, ...] = (), floor: float = DB_FLOOR) -> DataFrame:
@@ -75,12 +75,13 @@ def note_energy(frames: DataFrame, by: tuple[str, ...] = (), floor: float = DB_F
 
 def dynamics_summary(pairs: DataFrame) -> DataFrame:
     """pairs has pair_id, ref_db and prac_db; a missing side is null and counts one unpaired note a side there is."""
-    d = pairs.withColumn("dev", F.col("prac_db") - F.col("ref_db"))
-    spread = mad(d.where("dev is not null"), ["pair_id"], "dev")
+    d = pairs.withColumn("dev", F.col("prac_db") - F.col("ref_db")).withColumn("middle", F.median("dev").over(W.partitionBy("pair_id")))
     there = lambda c: F.col(c).isNotNull().cast("bigint")
-    counts = d.groupBy("pair_id").agg(F.count("dev").alias("n_notes_used"), F.sum(F.when(F.col("dev").isNull(), there("ref_db") + there("prac_db")).otherwise(0)).alias("n_unpaired"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return counts.join(spread, "pair_id", "left").select("pair_id", zero("median").alias("median_db"), zero("mad").alias("spread_db"), "n_notes_used", "n_unpaired")
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    return d.groupBy("pair_id").agg(
+        zero(F.first("middle")).alias("median_db"), zero(F.median(F.abs(F.col("dev") - F.col("middle")))).alias("spread_db"),
+        F.count("dev").alias("n_notes_used"), F.sum(F.when(F.col("dev").isNull(), there("ref_db") + there("prac_db")).otherwise(0)).alias("n_unpaired"),
+    )
 
 
 def energy_ratio(frames: DataFrame) -> DataFrame:

@@ -14,25 +14,37 @@ TOGETHER = 64
 
 
 def pair_by_ordinal(notes: DataFrame, columns: list[str]) -> DataFrame:
-    """The n-th note of each side of a pair side by side (ref_<column>, prac_<column>); what has no partner stays."""
-    one = lambda s, p: notes.where(F.col("side") == s).select("pair_id", "note_no", F.lit(True).alias(f"{p}_there"), *(F.col(c).alias(f"{p}_{c}") for c in columns))
-    return one("reference", "ref").join(one("practice", "prac"), ["pair_id", "note_no"], "full")
+    """The n-th note of each side of a pair side by side (ref_<column>, prac_<column>); what has no partner stays. One
+    grouping, so notes are read once; a side has a number once."""
+    of = lambda s, c: F.max(F.when(F.col("side") == s, c))
+    sides = (("ref", "reference"), ("prac", "practice"))
+    both = notes.groupBy("pair_id", "note_no").agg(*(x for p, s in sides for x in (of(s, F.lit(True)).alias(f"{p}_there"), *(of(s, F.col(c)).alias(f"{p}_{c}") for c in columns))))
+    return both.where("ref_there or prac_there")
 
 
-def note_spans(notes: DataFrame, start: str, end_of_last: Column, key: str = "take_id") -> DataFrame:
-    """notes with span_end: the next note's start, for the last note end_of_last."""
-    return notes.withColumn("span_end", F.coalesce(F.lead(start).over(W.partitionBy(key).orderBy("note_no")), end_of_last))
+def note_spans(notes: DataFrame, start: str, end_of_last: Column, *key: str) -> DataFrame:
+    """notes with span_end: the next note's start, for the last note end_of_last; key names a take (take_id)."""
+    return notes.withColumn("span_end", F.coalesce(F.lead(start).over(W.partitionBy(*(key or ("take_id",))).orderBy("note_no")), end_of_last))
 
 
-def frames_in_spans(frames: DataFrame, spans: DataFrame, key: str = "take_id") -> DataFrame:
-    """(key, note_no, frames' columns) of frames in [start_frame, span_end) of a note of the same take. Spans do not
-    overlap, so a frame's note is the last one that starts at or before it: a running last over the union of both."""
-    own = [c for c in frames.columns if c not in (key, "frame")]
-    a = frames.select(key, "frame", F.lit(1).alias("__kind"), *own, F.lit(None).cast("bigint").alias("__note"), F.lit(None).cast("bigint").alias("__end"))
-    b = spans.select(key, F.col("start_frame").alias("frame"), F.lit(0).alias("__kind"), *(F.lit(None).cast(frames.schema[c].dataType).alias(c) for c in own), F.col("note_no").alias("__note"), F.col("span_end").alias("__end"))
-    order = W.partitionBy(key).orderBy("frame", "__kind", "__note").rowsBetween(W.unboundedPreceding, 0)
-    seen = a.unionByName(b).withColumn("note_no", F.last("__note", True).over(order)).withColumn("__stop", F.last("__end", True).over(order))
-    return seen.where("__kind = 1 and note_no is not null and frame < __stop").select(key, "note_no", "frame", *own)
+def notes_with_frames(frames: DataFrame, spans: DataFrame, key: list[str], carried: tuple[str, ...] = ()) -> DataFrame:
+    """(key, frames' columns, note_no, start_frame, span_end, carried, framed): of each note one row for itself, with no
+    frame, and one (framed) for each frame in [start_frame, span_end) of the same take. Spans do not overlap, so a
+    frame's note is the last one that starts at or before it: a running last over the union of both."""
+    own = [c for c in frames.columns if c not in key]
+    told = F.struct("note_no", "start_frame", "span_end", *carried)
+    a = frames.select(*key, F.col("frame").alias("__at"), F.lit(True).alias("framed"), *own)
+    b = spans.select(*key, F.col("start_frame").alias("__at"), F.lit(False).alias("framed"), told.alias("__note"))
+    order = W.partitionBy(*key).orderBy("__at", "framed", "__note.note_no").rowsBetween(W.unboundedPreceding, 0)
+    seen = a.unionByName(b, allowMissingColumns=True).withColumn("__note", F.last("__note", True).over(order))
+    return seen.where("__note is not null and (not framed or __at < __note.span_end)").select(*key, *own, "__note.*", "framed")
+
+
+def frames_in_spans(frames: DataFrame, spans: DataFrame, key: str | list[str] = "take_id") -> DataFrame:
+    """(key, note_no, frames' columns) of frames in [start_frame, span_end) of a note of the same take."""
+    key = [key] if isinstance(key, str) else key
+    rows = notes_with_frames(frames, spans, key)
+    return rows.where("framed").select(*key, "note_no", "frame", *(c for c in frames.columns if c not in (*key, "frame")))
 
 
 def pair_onsets(notes: DataFrame, tolerance: float = MATCH_TOLERANCE_SEC) -> DataFrame:
@@ -50,13 +62,13 @@ def pair_onsets(notes: DataFrame, tolerance: float = MATCH_TOLERANCE_SEC) -> Dat
     odd = at.isNull() | F.isnan(at) | (F.abs(at) == float("inf")) | F.col("basis")
     falls = F.coalesce(at < F.lag("onset_sec").over(W.partitionBy("pair_id", "side").orderBy("note_no")), F.lit(False))
     rows = rows.withColumn("bad", odd | falls).withColumn("bad", F.bool_or("bad").over(W.partitionBy("pair_id")))
-    errors = rows.where("bad").groupBy("pair_id").agg(F.lit("ALGORITHM_FAILED").alias("error_code"))
     order = W.partitionBy("pair_id").orderBy("onset_sec", "side", "note_no")
     starts = F.coalesce(at - F.lag("onset_sec").over(order) > tolerance + 1e-9, F.lit(True))
-    good = rows.where("not bad").withColumn("starts", F.when(starts, F.row_number().over(order)))
-    good = good.withColumn("island", F.floor(F.max("starts").over(order.rowsBetween(W.unboundedPreceding, 0)) / TOGETHER))
-    one = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("onset_sec", "note_no"))))
-    islands = good.groupBy("pair_id", "island").agg(one("reference").alias("r"), one("practice").alias("p"))
+    rows = rows.withColumn("starts", F.when(starts, F.row_number().over(order)))
+    rows = rows.withColumn("island", F.floor(F.max("starts").over(order.rowsBetween(W.unboundedPreceding, 0)) / TOGETHER))
+    rows = rows.withColumn("island", F.when(F.col("bad"), F.lit(0)).otherwise(F.col("island")))
+    one = lambda s: F.array_sort(F.collect_list(F.when(~F.col("bad") & (F.col("side") == s), F.struct("onset_sec", "note_no"))))
+    islands = rows.groupBy("pair_id", "island").agg(one("reference").alias("r"), one("practice").alias("p"), F.bool_or("bad").alias("bad"))
     start = F.expr("named_struct('i', 0, 'j', 0, 'out', cast(array() as array<struct<a:int,b:int>>))")
 
     def step(acc: Column, _: Column) -> Column:
@@ -70,10 +82,11 @@ def pair_onsets(notes: DataFrame, tolerance: float = MATCH_TOLERANCE_SEC) -> Dat
         return F.when(left | right, moved).otherwise(acc)
 
     steps = F.sequence(F.lit(1), F.size("r") + F.size("p"))
-    found = islands.select("pair_id", "r", "p", F.explode(F.aggregate(steps, start, step, lambda acc: acc["out"])).alias("m"))
+    matches = F.aggregate(steps, start, step, lambda acc: acc["out"])
+    nothing = F.expr("array(cast(null as struct<a:int,b:int>))")
+    found = islands.select("pair_id", "r", "p", "bad", F.explode(F.when(F.col("bad"), nothing).otherwise(matches)).alias("m"))
     r, p = F.get("r", F.col("m.a")), F.get("p", F.col("m.b"))
-    matched = found.select("pair_id", r["note_no"].alias("ref_no"), p["note_no"].alias("prac_no"), r["onset_sec"].alias("ref_sec"), p["onset_sec"].alias("prac_sec"), F.lit(None).cast("string").alias("error_code"))
-    return matched.unionByName(errors, allowMissingColumns=True)
+    return found.select("pair_id", r["note_no"].alias("ref_no"), p["note_no"].alias("prac_no"), r["onset_sec"].alias("ref_sec"), p["onset_sec"].alias("prac_sec"), F.when(F.col("bad"), "ALGORITHM_FAILED").alias("error_code"))
 
 
 def match_onsets(notes: DataFrame, tolerance: float = MATCH_TOLERANCE_SEC) -> DataFrame:

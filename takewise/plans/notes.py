@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from ..config import ENERGY_SPAN_FRAMES
 from ..functions import scalars as X
+from ..functions.lineage import bucketed
 from ..operators import align as L
 from ..operators import metrics as G
 from ..operators import pairing as J
@@ -88,12 +89,18 @@ def pair_by_ordinal(spark, d):
     return J.pair_by_ordinal(A.notes(spark, d), ["event_id"]).select("pair_id", "note_no", "ref_event_id", "prac_event_id")
 
 
-def _three_frame_notes(spark, d):
+def shared_tables(spark, d):
+    """The notes and frames of all pairs, each written once in buckets by pair, for what runs several metrics on them."""
+    notes = bucketed(A.notes(spark, d), "pair_id", ("take_id", "note_no"))
+    return {"notes": notes, "pitch": bucketed(A.pitch_frames_of(notes), "pair_id", ("take_id", "frame")), "rms": bucketed(A.rms_frames_of(notes), "pair_id", ("take_id", "frame"))}
+
+
+def _three_frame_notes(notes):
     """Notes of three frames each over the frame tables, with their spans."""
-    n = A.notes(spark, d).where("note_no % 3 = 1").withColumn("start_frame", F.col("note_no") - 1)
-    counts = A.notes(spark, d).groupBy("take_id").agg(F.max("note_no").alias("n_frames"))
-    n = n.join(counts, "take_id").withColumn("note_no", F.floor((F.col("note_no") + 2) / 3))
-    return J.note_spans(n, "start_frame", F.col("n_frames"))
+    last = F.max("note_no").over(W.partitionBy("pair_id", "take_id"))
+    n = notes.withColumn("n_frames", last).where("note_no % 3 = 1").withColumn("start_frame", F.col("note_no") - 1)
+    n = n.withColumn("note_no", F.floor((F.col("note_no") + 2) / 3))
+    return J.note_spans(n, "start_frame", F.col("n_frames"), "pair_id", "take_id")
 
 
 _SPANS = """, nf as (select take_id, max(note_no) as n_frames from notes group by take_id),
@@ -110,12 +117,12 @@ inside as (
 
 @query(sql("notes pitch_frames", _SPANS + "select take_id, note_no, start_frame, span_end from spans"))
 def note_spans(spark, d):
-    return _three_frame_notes(spark, d).select("take_id", "note_no", "start_frame", "span_end")
+    return _three_frame_notes(A.notes(spark, d)).select("take_id", "note_no", "start_frame", "span_end")
 
 
 @query(sql("notes pitch_frames", _SPANS + "select take_id, note_no, frame, voiced from inside"))
 def frames_in_spans(spark, d):
-    return J.frames_in_spans(A.pitch_frames(spark, d).select("take_id", "frame", "voiced"), _three_frame_notes(spark, d))
+    return J.frames_in_spans(A.pitch_frames(spark, d).select("take_id", "frame", "voiced"), _three_frame_notes(A.notes(spark, d)))
 
 
 #: Spans of under 2.5 frames count as too short.
@@ -134,8 +141,10 @@ nd as (
 """
 
 
-def note_deviation(spark, d):
-    return G.note_deviation(_three_frame_notes(spark, d), A.pitch_frames(spark, d), LEAST_FRAMES)
+def note_deviation(spark, d, tables=None):
+    if tables:
+        return G.note_deviation(_three_frame_notes(tables["notes"]), tables["pitch"], LEAST_FRAMES)
+    return G.note_deviation(_three_frame_notes(A.notes(spark, d)), A.pitch_frames(spark, d), LEAST_FRAMES)
 
 
 @query(sql("notes pitch_frames", _DEVIATION + "select pair_id, note_no, round(cents, 6) + 0.0 as cents from nd"))
@@ -152,12 +161,16 @@ def pitch_metrics(spark, d):
     return m.withColumns({c: R(F.col(c)) for c in ("median_abs_cents", "off_pitch_ratio")})
 
 
+def _pitch_curves(deviation):
+    n = deviation.where("cents is not null")
+    place = F.row_number().over(W.partitionBy("pair_id").orderBy("note_no")).cast("bigint")
+    return n.select("pair_id", place.alias("place"), F.round("ref_hz", 6).alias("ref_hz"), F.round("prac_hz", 6).alias("prac_hz"), R(F.col("cents")).alias("cents"))
+
+
 @query(sql("notes pitch_frames", _DEVIATION + """
 select pair_id, row_number() over (partition by pair_id order by note_no) as place, round(ref_hz, 6) as ref_hz, round(prac_hz, 6) as prac_hz from nd where cents is not null"""))
 def note_pitch_curves(spark, d):
-    n = note_deviation(spark, d).where("cents is not null")
-    place = F.row_number().over(W.partitionBy("pair_id").orderBy("note_no")).cast("bigint")
-    return n.select("pair_id", place.alias("place"), F.round("ref_hz", 6).alias("ref_hz"), F.round("prac_hz", 6).alias("prac_hz"))
+    return _pitch_curves(note_deviation(spark, d)).drop("cents")
 
 
 _ENERGY = f""", spans as (
@@ -174,20 +187,20 @@ pe as (
 """
 
 
-def _energy(spark, d):
-    notes = A.notes(spark, d).withColumn("start_frame", (F.col("note_no") - 1) * 8)
-    notes = J.note_spans(notes, "start_frame", F.col("start_frame") + ENERGY_SPAN_FRAMES)
-    # a take's pair and side are carried by its frames, so the notes are derived once
-    return G.note_energy(J.frames_in_spans(A.rms_frames(spark, d).select("take_id", "frame", "rms", "pair_id", "side"), notes), ("pair_id", "side"))
+def _energy(notes, frames):
+    notes = notes.withColumn("start_frame", (F.col("note_no") - 1) * 8)
+    notes = J.note_spans(notes, "start_frame", F.col("start_frame") + ENERGY_SPAN_FRAMES, "pair_id", "take_id")
+    inside = J.frames_in_spans(frames.select("take_id", "frame", "rms", "pair_id", "side"), notes, ["pair_id", "take_id"])
+    return G.note_energy(inside, ("pair_id", "side"))
 
 
-def _energy_pairs(spark, d):
-    return J.pair_by_ordinal(_energy(spark, d), ["median_db"]).select("pair_id", "note_no", F.col("ref_median_db").alias("ref_db"), F.col("prac_median_db").alias("prac_db"))
+def _energy_pairs(notes, frames):
+    return J.pair_by_ordinal(_energy(notes, frames), ["median_db"]).select("pair_id", "note_no", F.col("ref_median_db").alias("ref_db"), F.col("prac_median_db").alias("prac_db"))
 
 
 @query(sql("notes rms_frames", _ENERGY + "select pair_id, note_no, round(ref_db, 6) + 0.0 as ref_db, round(prac_db, 6) + 0.0 as prac_db from pe"))
 def note_energy_pairs(spark, d):
-    return _energy_pairs(spark, d).withColumns({c: R(F.col(c)) for c in ("ref_db", "prac_db")})
+    return _energy_pairs(A.notes(spark, d), A.rms_frames(spark, d)).withColumns({c: R(F.col(c)) for c in ("ref_db", "prac_db")})
 
 
 @query(sql("notes rms_frames", _ENERGY + """, dv as (select pair_id, prac_db - ref_db as dev, ref_db, prac_db from pe),
@@ -197,13 +210,13 @@ select pair_id, coalesce(round(max(sp.m), 6) + 0.0, 0.0) as median_db, coalesce(
   cast(sum(case when dev is null then (ref_db is not null)::int + (prac_db is not null)::int else 0 end) as bigint) as n_unpaired
 from dv left join sp using (pair_id) group by pair_id"""))
 def dynamics_metrics(spark, d):
-    m = G.dynamics_summary(_energy_pairs(spark, d))
+    m = G.dynamics_summary(_energy_pairs(A.notes(spark, d), A.rms_frames(spark, d)))
     return m.withColumns({c: R(F.col(c)) for c in ("median_db", "spread_db")})
 
 
 @query(sql("notes rms_frames", _ENERGY + "select pair_id, side, note_no, round(a, 6) + 0.0 as mean_db from e"))
 def note_energy_envelope(spark, d):
-    return _energy(spark, d).select("pair_id", "side", "note_no", R(F.col("mean_db")).alias("mean_db"))
+    return _energy(A.notes(spark, d), A.rms_frames(spark, d)).select("pair_id", "side", "note_no", R(F.col("mean_db")).alias("mean_db"))
 
 
 @query(sql("notes", """, m as (select take_id, median(value) as m from notes group by take_id)
@@ -236,8 +249,8 @@ hits as (select * from walk where hit)
 """
 
 
-def _onsets(spark, d):
-    return A.notes(spark, d).withColumn("onset_sec", F.when(F.expr(_BAD), float("nan")).otherwise(F.col("onset_sec")))
+def _onsets(notes):
+    return notes.withColumn("onset_sec", F.when(F.expr(_BAD), float("nan")).otherwise(F.col("onset_sec")))
 
 
 @query(sql("notes", _MATCH + """
@@ -246,12 +259,12 @@ union all select pair_id, note_no, null, null from r where (pair_id, note_no) no
 union all select pair_id, null, note_no, null from p where (pair_id, note_no) not in (select (pair_id, prac_no) from hits)
 union all select pair_id, null, null, 'ALGORITHM_FAILED' from bad""", recursive=True))
 def match_onsets(spark, d):
-    return J.pair_onsets(_onsets(spark, d)).select("pair_id", "ref_no", "prac_no", "error_code")
+    return J.pair_onsets(_onsets(A.notes(spark, d))).select("pair_id", "ref_no", "prac_no", "error_code")
 
 
 @query(sql("notes", _MATCH + "select pair_id, ref_no, round(prac_sec - ref_sec, 6) + 0.0 as deviation_sec from hits", recursive=True))
 def timing_deviation(spark, d):
-    return J.match_onsets(_onsets(spark, d)).select("pair_id", "ref_no", R(F.col("prac_sec") - F.col("ref_sec")).alias("deviation_sec"))
+    return J.match_onsets(_onsets(A.notes(spark, d))).select("pair_id", "ref_no", R(F.col("prac_sec") - F.col("ref_sec")).alias("deviation_sec"))
 
 
 @query(sql("notes", _MATCH + """, dv as (select pair_id, prac_sec - ref_sec as dev from hits),
@@ -264,7 +277,7 @@ select pair_id, round(coalesce(m, 0), 6) + 0.0 as median_sec, round(coalesce(s,
   round(coalesce(l, 0), 6) as late_ratio, round(coalesce(o, 0), 6) as on_time_ratio, coalesce(n, 0) as n_notes_used, n_all - 2 * coalesce(n, 0) as n_unpaired
 from a left join t using (pair_id) where pair_id not in (select pair_id from bad)""", recursive=True))
 def timing_metrics(spark, d):
-    found = J.pair_onsets(_onsets(spark, d))
+    found = J.pair_onsets(_onsets(A.notes(spark, d)))
     m = G.timing_summary(found)
     return m.withColumns({c: R(F.col(c)) for c in m.columns if c.endswith(("sec", "ratio"))})
 

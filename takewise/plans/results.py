@@ -472,7 +472,8 @@ def registry() -> O.MetricRegistry:
 
 
 def _tables(spark, d):
-    return {"spans": N._three_frame_notes(spark, d), "pitch": A.pitch_frames(spark, d), "onsets": N._onsets(spark, d), "energy": N._energy_pairs(spark, d)}
+    t = N.shared_tables(spark, d)
+    return {"spans": N._three_frame_notes(t["notes"]), "pitch": t["pitch"], "onsets": N._onsets(t["notes"]), "energy": N._energy_pairs(t["notes"], t["rms"])}
 
 
 @query(sql("notes", _METRICS + "select pair_id, algorithm_id, key, round(value, 6) + 0.0 as value from ran"))
@@ -509,12 +510,17 @@ select cv.pair_id, 'pitch' as metric, cv.place - 1 as idx, cv.place::double as a
 union all select pair_id, 'dynamics', place - 1, place::double, max(case when side = 'reference' then mean_db end), max(case when side = 'practice' then mean_db end), null from es join n using (pair_id) where place <= n group by pair_id, place"""))
 def metric_table(spark, d):
     """Wide tables of the pitch and energy series of each pair."""
-    curves, energy = N.note_pitch_curves(spark, d), N.note_energy_envelope(spark, d)
-    cents = N.note_pitch_deviation(spark, d).where("cents is not null").withColumn("place", F.row_number().over(W.partitionBy("pair_id").orderBy("note_no")))
-    energy = energy.withColumn("place", F.row_number().over(W.partitionBy("pair_id", "side").orderBy("note_no")))
-    one = lambda df, key, value: df.select("pair_id", key.alias("key"), (F.col("place") - 1).cast("bigint").alias("idx"), F.col("place").cast("double").alias("t"), F.col(value).alias("value"))
-    series = one(curves, F.lit("pitch.per_note_f0_reference"), "ref_hz").unionByName(one(curves, F.lit("pitch.per_note_f0_practice"), "prac_hz")).unionByName(one(cents, F.lit("pitch.per_note_cents"), "cents"))
-    series = series.unionByName(one(energy, F.concat(F.lit("dynamics.envelope_db_"), "side"), "mean_db"))
+    t = N.shared_tables(spark, d)
+    curves = N._pitch_curves(N.note_deviation(spark, d, t))
+    energy = N._energy(t["notes"], t["rms"]).withColumn("place", F.row_number().over(W.partitionBy("pair_id", "side").orderBy("note_no")))
+
+    def series_of(df, values):
+        """A row for each value of a row, by the names of their series."""
+        each = F.explode(F.array(*(F.struct(k.alias("key"), F.col(c).alias("value")) for k, c in values))).alias("x")
+        return df.select("pair_id", (F.col("place") - 1).cast("bigint").alias("idx"), F.col("place").cast("double").alias("t"), each).select("pair_id", "idx", "t", "x.*")
+
+    series = series_of(curves, [(F.lit(f"pitch.per_note_{k}"), c) for k, c in (("f0_reference", "ref_hz"), ("f0_practice", "prac_hz"), ("cents", "cents"))])
+    series = series.unionByName(series_of(energy.withColumn("mean_db", R(F.col("mean_db"))), [(F.concat(F.lit("dynamics.envelope_db_"), "side"), "mean_db")]))
     pitch = O.metric_table(series, "pitch", {"reference": ".per_note_f0_reference", "practice": ".per_note_f0_practice", "delta": ".per_note_cents"})
     loud = O.metric_table(series, "dynamics", {"reference": ".envelope_db_reference", "practice": ".envelope_db_practice"})
     columns = ("pair_id", "metric", "idx", "axis", "reference", "practice", "delta")

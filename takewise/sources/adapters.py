@@ -29,13 +29,22 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pitch_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = notes(spark, sf_dir)
+    return pitch_frames_of(notes(spark, sf_dir))
+
+
+def pitch_frames_of(n: DataFrame) -> DataFrame:
+    """A frame a note."""
     voiced = F.col("event_type") != "error"
     return n.select("take_id", "pair_id", "side", (F.col("note_no") - 1).alias("frame"), voiced.cast("int").alias("voiced"), F.when(voiced, F.col("f0_hz")).otherwise(0.0).alias("f0_hz"), (F.pmod("event_id", F.lit(101)) / F.lit(100.0)).alias("confidence"))
 
 
 def rms_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = notes(spark, sf_dir).select("take_id", "pair_id", "side", "note_no", "rms", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    return rms_frames_of(notes(spark, sf_dir))
+
+
+def rms_frames_of(n: DataFrame) -> DataFrame:
+    """Eight frames a note, each softer than the one before."""
+    n = n.select("take_id", "pair_id", "side", "note_no", "rms", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
     return n.select("take_id", "pair_id", "side", ((F.col("note_no") - 1) * 8 + F.col("k")).alias("frame"), (F.col("rms") * (8 - F.col("k")) / F.lit(8.0)).alias("rms"))
 
 
