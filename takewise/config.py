@@ -8,6 +8,8 @@ ALIGN_BAND = 0.25
 FRAME = 2048
 PITCH_HOP = 2048
 RMS_HOP = 256
+ONSET_FRAME = 1024
+ONSET_FLOOR = 1e-12
 FMIN_HZ = 130.81
 FMAX_HZ = 2093.0
 SILENCE_RMS = 1e-4

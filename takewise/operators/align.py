@@ -16,18 +16,32 @@ from ..config import ALIGN_BAND, MIN_COVERAGE
 #: Diagonals whose distances are found at once, and cells of a band of which the way back is held in whole (a byte each).
 TILE = 32
 HELD_CELLS = 16 << 20
+#: Parts of a stretch of the band's width: cells are joined beyond the band by one part in twice as many.
+FINE = 16
+
+
+def band_cells(ref: DataFrame, prac: DataFrame, sizes: DataFrame, band: float) -> DataFrame:
+    """(pair_id, i, j, x, y, n_ref, n_prac): the band's cells and few others. Relative places are cut into stretches of the
+    band's width, by which frames are dealt out, a practice frame to its own and the two next to it; a stretch is cut
+    into FINE parts, and within it a practice frame meets the parts that its band reaches, by an equality join."""
+    place = lambda n: F.col("frame") / F.col(n) / band
+    part = lambda x: F.floor(x * FINE).cast("int")
+    r = ref.join(sizes, "pair_id").select("pair_id", F.col("frame").alias("i"), F.col("features").alias("x"), "n_ref", "n_prac", F.floor(place("n_ref")).cast("int").alias("stretch"), part(place("n_ref")).alias("part"))
+    p = prac.join(sizes, "pair_id").withColumn("at", place("n_prac"))
+    p = p.select("pair_id", F.col("frame").alias("j"), F.col("features").alias("y"), "at", F.explode(F.sequence(F.floor(F.col("at")).cast("int") - 1, F.floor(F.col("at")).cast("int") + 1)).alias("stretch"))
+    p = p.where("stretch >= 0").repartition("pair_id", "stretch")
+    first = F.greatest(F.col("stretch") * FINE, part(F.col("at") - 1 - 1e-9))
+    last = F.least(F.col("stretch") * FINE + FINE - 1, part(F.col("at") + 1 + 1e-9))
+    p = p.where(first <= last).select("pair_id", "j", "y", "stretch", F.explode(F.sequence(first, last)).alias("part"))
+    return r.repartition("pair_id", "stretch").join(p, ["pair_id", "stretch", "part"]).drop("stretch", "part")
 
 
 def band_distance(ref: DataFrame, prac: DataFrame, sizes: DataFrame, band: float = ALIGN_BAND) -> DataFrame:
-    """(pair_id, i, j, distance): Euclidean distance of frames whose relative places differ by band at most. Places are
-    cut into buckets of the band's width; a frame meets its own and the two next to it by an equality join. ref and prac
+    """(pair_id, i, j, distance): Euclidean distance of frames whose relative places differ by band at most. ref and prac
     have pair_id, frame and features ARRAY<DOUBLE>; sizes has pair_id, n_ref and n_prac."""
-    place = lambda n: F.floor(F.col("frame") / F.col(n) / band).cast("int")
-    r = ref.join(sizes, "pair_id").select("pair_id", F.col("frame").alias("i"), F.col("features").alias("x"), "n_ref", "n_prac", place("n_ref").alias("bucket"))
-    p = prac.join(sizes, "pair_id").select("pair_id", F.col("frame").alias("j"), F.col("features").alias("y"), F.explode(F.sequence(place("n_prac") - 1, place("n_prac") + 1)).alias("bucket"))
     near = F.abs(F.col("i") / F.col("n_ref") - F.col("j") / F.col("n_prac")) <= band
     squares = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
-    return r.join(p, ["pair_id", "bucket"]).where(near).select("pair_id", "i", "j", F.sqrt(squares).alias("distance"))
+    return band_cells(ref, prac, sizes, band).where(near).select("pair_id", "i", "j", F.sqrt(squares).alias("distance"))
 
 
 class Band:

@@ -9,9 +9,9 @@ from ..functions.lineage import cut
 
 
 def number_of(name: Column) -> Column:
-    """The whole number before a name's first underscore, or null."""
+    """The whole number before a name's first underscore, of 38 digits at most besides leading zeros, or null."""
     head = F.substring_index(name, "_", 1)
-    return F.when(head.rlike("^[0-9]{1,18}$"), head.cast("bigint"))
+    return F.when(head.rlike("^0*[0-9]{1,38}$"), F.regexp_replace(head, "^0+(?=[0-9])", "").cast("decimal(38,0)"))
 
 
 def take_catalog(paths: DataFrame, original: str = "original.wav", melody: str = "melody.wav", practice: str = "practice") -> DataFrame:

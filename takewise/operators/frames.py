@@ -9,6 +9,7 @@ built-in expressions and windows.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from ..config import ALIGN_HOP, FMAX_HZ, FMIN_HZ, FRAME, MIN_NOTE_SEC, PITCH_HOP, RMS_HOP, SAMPLE_RATE, VOICED_FLOOR
+from ..config import ALIGN_HOP, FMAX_HZ, FMIN_HZ, FRAME, MIN_NOTE_SEC, ONSET_FLOOR, ONSET_FRAME, PITCH_HOP, RMS_HOP, SAMPLE_RATE, VOICED_FLOOR
 from .pairing import frames_in_spans
 
 
@@ -318,19 +319,55 @@ def threshold_onsets(rms: DataFrame, level: float = 0.15) -> DataFrame:
     return e.withColumn("before", before).where((F.col("e") >= level) & (F.col("before") < level)).select("take_id", "frame")
 
 
+def sliding_median(x: np.ndarray, reach: int) -> np.ndarray:
+    """The median of the values within reach places of each, by one sorted list that gains a value and loses one a step."""
+    held = sorted(x[:reach].tolist())
+    out = np.empty(len(x))
+    for k in range(len(x)):
+        if k + reach < len(x):
+            insort(held, float(x[k + reach]))
+        if k > reach:
+            del held[bisect_left(held, float(x[k - reach - 1]))]
+        n = len(held)
+        out[k] = held[n // 2] if n % 2 else (held[n // 2 - 1] + held[n // 2]) / 2
+    return out
+
+
+def peaks(db: np.ndarray, reach: int, gap: int) -> list[int]:
+    """Places of the peaks of the rise in dB above 1.5 times the median within reach places, the first and the last left
+    out, at least gap apart, the earlier of two staying."""
+    rise = np.maximum(np.diff(db, prepend=db[:1]), 0.0)
+    high = rise > 1.5 * sliding_median(rise, reach) + 1e-3
+    high[1:] &= rise[1:] >= rise[:-1]
+    high[:-1] &= rise[:-1] >= rise[1:]
+    kept: list[int] = []
+    for k in np.flatnonzero(high[1:-1]) + 1:
+        if not kept or k - kept[-1] >= gap:
+            kept.append(int(k))
+    return kept
+
+
 def novelty_onsets(db: DataFrame, reach: int, gap: int) -> DataFrame:
-    """(take_id, frame): peaks of the rise in dB above 1.5 times the median within reach frames, the first and the last
-    frame left out, at least gap apart, the earlier of two staying."""
-    w = W.partitionBy("take_id").orderBy("frame")
-    rise = db.withColumn("n", F.coalesce(F.greatest(F.col("db") - F.lag("db").over(w), F.lit(0.0)), F.lit(0.0)))
-    around = F.array_sort(F.collect_list("n").over(w.rowsBetween(-reach, reach)))
-    size = F.size(around)
-    middle = (F.get(around, F.floor((size - 1) / 2).cast("int")) + F.get(around, F.floor(size / 2).cast("int"))) / 2
-    rows = rise.withColumn("m", middle).withColumn("p", F.lag("n").over(w)).withColumn("q", F.lead("n").over(w))
-    peaks = rows.where("n > 1.5D * m + 1e-3D and n >= p and n >= q").groupBy("take_id").agg(F.array_sort(F.collect_list("frame")).alias("f"))
-    none = F.array().cast("array<bigint>")
-    kept = F.aggregate("f", none, lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= gap), F.array_append(acc, x)).otherwise(acc))
-    return peaks.select("take_id", F.explode(kept).alias("frame"))
+    """(take_id, frame): peaks() of each take's levels; db has take_id, frame and db. A group is a take's levels, a number
+    a frame."""
+    kind = db.schema["take_id"].dataType.simpleString()
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("frame")
+        kept = pa.array(peaks(group.column("db").to_numpy(), reach, gap), pa.int64())
+        return pa.table([group.column("take_id").take(kept), group.column("frame").take(kept)], ["take_id", "frame"])
+
+    rows = db.select("take_id", F.col("frame").cast("bigint").alias("frame"), F.col("db").cast("double").alias("db"))
+    return rows.groupBy("take_id").applyInArrow(run, f"take_id {kind}, frame long")
+
+
+def onsets(samples: DataFrame, rate: float = SAMPLE_RATE, length: int = ONSET_FRAME, hop: int = RMS_HOP, reach_sec: float = 1.0, gap_sec: float = 0.05) -> DataFrame:
+    """(take_id, frame, onset_sec) of takes, or of with_halo's chunks: peaks() of the level of whole frames, with the median
+    of a second to either side. A take of fewer than two frames has none."""
+    level = lambda x: 20.0 * np.log10(np.sqrt((x * x).mean(axis=1, keepdims=True)) + ONSET_FLOOR)
+    db = measured(Cut(samples, length, hop), {"db": level}).withColumn("db", F.get("db", F.lit(0)))
+    found = novelty_onsets(db, max(1, round(reach_sec * rate / hop)), max(1, math.ceil(round(gap_sec * rate / hop, 9))))
+    return found.withColumn("onset_sec", F.col("frame") * (hop / rate))
 
 
 def window_error(t0: Column, t1: Column, upper: Column | None = None) -> Column:
@@ -352,14 +389,21 @@ def time_slice(table: DataFrame, t0: float, t1: float, rate: float = SAMPLE_RATE
     return table.where((F.col(column) >= math.floor(t0 * rate / hop)) & (F.col(column) < math.floor(t1 * rate / hop)))
 
 
-def time_slices(table: DataFrame, windows: DataFrame, rate: float = SAMPLE_RATE, hop: int = 1, column: str = "frame", in_seconds: bool = False) -> DataFrame:
+def time_slices(table: DataFrame, windows: DataFrame, rate: float = SAMPLE_RATE, hop: int = 1, column: str = "frame", in_seconds: bool = False, bucket_sec: float = 1.0) -> DataFrame:
     """(window_id, error_code, table's columns) of each window's rows; windows has window_id, take_id, t0, t1 and the
-    take's upper bound in seconds. A window that cannot be read has one row with its error, an empty one none."""
+    take's upper bound in seconds. A window that cannot be read has one row with its error, an empty one none.
+
+    An interval join: rows meet the windows that reach their bucket of time, so what is joined is the windows' own rows
+    and those of the two buckets at their ends; windows are first cut to the buckets that the take has rows in."""
+    at = F.col(column) * (hop / rate) if hop > 1 and in_seconds else F.col(column)
+    size = bucket_sec if in_seconds else max(1, int(bucket_sec * rate / hop))
     checked = windows.withColumn("error_code", window_error(F.col("t0"), F.col("t1"), F.col("upper")))
     bad = checked.where("error_code is not null").select("window_id", "error_code", "take_id")
-    good = checked.where("error_code is null").select("window_id", "take_id", "t0", "t1", F.floor(F.col("t0") * rate / hop).alias("lo"), F.floor(F.col("t1") * rate / hop).alias("hi"))
-    joined = table.join(good, "take_id")
-    at = F.col(column) * (hop / rate) if hop > 1 else F.col(column)
-    inside = (at >= F.col("t0")) & (at < F.col("t1")) if in_seconds else (F.col(column) >= F.col("lo")) & (F.col(column) < F.col("hi"))
-    rows = joined.where(inside).select("window_id", F.lit(None).cast("string").alias("error_code"), *table.columns)
-    return rows.unionByName(bad, allowMissingColumns=True)
+    good = checked.where("error_code is null").select("window_id", "take_id", *((F.col(t) if in_seconds else F.floor(F.col(t) * rate / hop)).alias(f"__{t}") for t in ("t0", "t1")))
+    rows = table.withColumn("__bucket", F.floor(at / size)).withColumn("__place", at)
+    ends = rows.groupBy("take_id").agg(F.min("__bucket").alias("__low"), F.max("__bucket").alias("__high"))
+    low, high = F.greatest(F.floor(F.col("__t0") / size), F.col("__low")), F.least(F.floor(F.col("__t1") / size), F.col("__high"))
+    reach = good.join(ends, "take_id").where(low <= high).select("window_id", "take_id", "__t0", "__t1", F.explode(F.sequence(low, high)).alias("__bucket"))
+    inside = (F.col("__place") >= F.col("__t0")) & (F.col("__place") < F.col("__t1"))
+    found = rows.join(reach, ["take_id", "__bucket"]).where(inside).select("window_id", F.lit(None).cast("string").alias("error_code"), *table.columns)
+    return found.unionByName(bad, allowMissingColumns=True)

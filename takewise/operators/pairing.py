@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -10,7 +13,7 @@ from ..config import MATCH_TOLERANCE_SEC
 
 
 #: Onsets of a pair within which islands that start are walked together.
-TOGETHER = 64
+TOGETHER = 4096
 
 
 def pair_by_ordinal(notes: DataFrame, columns: list[str]) -> DataFrame:
@@ -54,8 +57,8 @@ def pair_onsets(notes: DataFrame, tolerance: float = MATCH_TOLERANCE_SEC) -> Dat
     REFERENCE, has one row with ALGORITHM_FAILED and nothing else.
 
     Onsets of either side that follow one another at more than the tolerance part a pair into islands that no match
-    crosses. Islands are walked in step, so many together as start within TOGETHER onsets, so a row holds little more than
-    the longest island."""
+    crosses. Islands are walked in step, a step an onset, so many together as start within TOGETHER onsets; a group is
+    little more than the longest island."""
     basis = F.col("timeline_basis") != "REFERENCE" if "timeline_basis" in notes.columns else F.lit(False)
     rows = notes.select("pair_id", "side", "note_no", "onset_sec", F.coalesce(basis, F.lit(True)).alias("basis"))
     at = F.col("onset_sec")
@@ -67,26 +70,41 @@ def pair_onsets(notes: DataFrame, tolerance: float = MATCH_TOLERANCE_SEC) -> Dat
     rows = rows.withColumn("starts", F.when(starts, F.row_number().over(order)))
     rows = rows.withColumn("island", F.floor(F.max("starts").over(order.rowsBetween(W.unboundedPreceding, 0)) / TOGETHER))
     rows = rows.withColumn("island", F.when(F.col("bad"), F.lit(0)).otherwise(F.col("island")))
-    one = lambda s: F.array_sort(F.collect_list(F.when(~F.col("bad") & (F.col("side") == s), F.struct("onset_sec", "note_no"))))
-    islands = rows.groupBy("pair_id", "island").agg(one("reference").alias("r"), one("practice").alias("p"), F.bool_or("bad").alias("bad"))
-    start = F.expr("named_struct('i', 0, 'j', 0, 'out', cast(array() as array<struct<a:int,b:int>>))")
-
-    def step(acc: Column, _: Column) -> Column:
-        """Puts out a match, or what is passed over: a place of one side, the other's null."""
-        left, right = acc["i"] < F.size("r"), acc["j"] < F.size("p")
-        gap = F.get(F.col("p"), acc["j"])["onset_sec"] - F.get(F.col("r"), acc["i"])["onset_sec"]
-        hit = left & right & F.coalesce(F.abs(gap) <= tolerance, F.lit(False))
-        skips_ref = left & (~right | F.coalesce(gap > 0, F.lit(False))) & ~hit
-        put = F.struct(F.when(hit | skips_ref, acc["i"]).alias("a"), F.when(hit | ~skips_ref, acc["j"]).alias("b"))
-        moved = F.struct((acc["i"] + (hit | skips_ref).cast("int")).alias("i"), (acc["j"] + (hit | ~skips_ref).cast("int")).alias("j"), F.array_append(acc["out"], put).alias("out"))
-        return F.when(left | right, moved).otherwise(acc)
-
-    steps = F.sequence(F.lit(1), F.size("r") + F.size("p"))
-    matches = F.aggregate(steps, start, step, lambda acc: acc["out"])
-    nothing = F.expr("array(cast(null as struct<a:int,b:int>))")
-    found = islands.select("pair_id", "r", "p", "bad", F.explode(F.when(F.col("bad"), nothing).otherwise(matches)).alias("m"))
-    r, p = F.get("r", F.col("m.a")), F.get("p", F.col("m.b"))
-    return found.select("pair_id", r["note_no"].alias("ref_no"), p["note_no"].alias("prac_no"), r["onset_sec"].alias("ref_sec"), p["onset_sec"].alias("prac_sec"), F.when(F.col("bad"), "ALGORITHM_FAILED").alias("error_code"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("pair_id", "note_no")}
+    names = ["pair_id", "ref_no", "prac_no", "ref_sec", "prac_sec", "error_code"]
+
+    def run(group: pa.Table) -> pa.Table:
+        pair = group.column("pair_id")[:1]
+        if group.column("bad")[0].as_py():
+            none = pa.nulls(1)
+            return pa.table([pair, none.cast(group.schema.field("note_no").type), none.cast(group.schema.field("note_no").type), none.cast(pa.float64()), none.cast(pa.float64()), pa.array(["ALGORITHM_FAILED"])], names)
+        group = group.sort_by([("onset_sec", "ascending"), ("note_no", "ascending")])
+        ref, prac = (group.filter(pc.equal(group.column("side"), s)) for s in ("reference", "practice"))
+        at = [pa.array(x, pa.int64()) for x in walk_in_step(ref.column("onset_sec").to_pylist(), prac.column("onset_sec").to_pylist(), tolerance)]
+        of = lambda table, c, i: table.column(c).combine_chunks().take(i)
+        n = len(at[0])
+        return pa.table([pa.chunked_array([pair.combine_chunks().take(pa.array(np.zeros(n, dtype=np.int64)))]), of(ref, "note_no", at[0]), of(prac, "note_no", at[1]), of(ref, "onset_sec", at[0]), of(prac, "onset_sec", at[1]), pa.nulls(n, pa.string())], names)
+
+    rows = rows.select("pair_id", "island", "side", "note_no", F.col("onset_sec").cast("double").alias("onset_sec"), "bad")
+    return rows.groupBy("pair_id", "island").applyInArrow(run, f"pair_id {kinds['pair_id']}, ref_no {kinds['note_no']}, prac_no {kinds['note_no']}, ref_sec double, prac_sec double, error_code string")
+
+
+def walk_in_step(ref: list[float], prac: list[float], tolerance: float) -> tuple[list[int | None], list[int | None]]:
+    """Places of both sides' sorted onsets: of a match, or of one side that is passed over, the other's being null."""
+    i = j = 0
+    found: list[tuple[int | None, int | None]] = []
+    while i < len(ref) or j < len(prac):
+        gap = prac[j] - ref[i] if i < len(ref) and j < len(prac) else None
+        if gap is not None and abs(gap) <= tolerance:
+            found.append((i, j))
+            i, j = i + 1, j + 1
+        elif j == len(prac) or gap is not None and gap > 0:
+            found.append((i, None))
+            i += 1
+        else:
+            found.append((None, j))
+            j += 1
+    return [a for a, _ in found], [b for _, b in found]
 
 
 def match_onsets(notes: DataFrame, tolerance: float = MATCH_TOLERANCE_SEC) -> DataFrame:

@@ -19,6 +19,10 @@ from ..functions.scalars import hz_to_cents, port_prefix
 from .checks import Requirement, input_resolution
 
 
+#: Rows of a port that one leaf of its hash tree holds, leaves of a node.
+HASH_CHUNK = 4096
+
+
 class Metric(NamedTuple):
     version: str
     needs: tuple[str, ...]
@@ -160,12 +164,23 @@ def budget_check(ports: DataFrame, budget: int = BUDGET_BYTES) -> DataFrame:
     return ports.groupBy("pair_id").agg(size.alias("bytes"), F.when(size > budget, "CORE_BUILD_FAILED").alias("error_code"))
 
 
-def content_hash(table: DataFrame, by: list[str], port: str, order: str, columns: list[str]) -> DataFrame:
-    """(by, content_hash): SHA-256 over a domain, the port, the number of rows and the columns' text in order."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.concat_ws(":", *(F.col(c).cast("string") for c in columns)).alias("s"))))
-    listed = F.array_join(F.transform(items, lambda x: x["s"]), ",")
-    whole = F.concat_ws("|", F.lit("takewise"), F.lit(port), F.count("*").cast("string"), listed)
-    return table.groupBy(*by).agg(F.sha2(whole.cast("binary"), 256).alias("content_hash"))
+def content_hash(table: DataFrame, by: list[str], port: str, order: str, columns: list[str], chunk: int = HASH_CHUNK) -> DataFrame:
+    """(by, content_hash): the root of a hash tree. Rows whose order (a whole number) has the same quotient by chunk are a
+    leaf, the SHA-256 of their columns' text in order; so many leaves make a node, the SHA-256 of theirs; the root is that
+    of a domain, the port, the number of rows and the nodes'. No row holds more than chunk items of a port, and a hot port
+    is spread over its leaves; a port of chunk cubed rows has chunk nodes."""
+
+    def folded(rows: DataFrame, text: str, head: tuple = (), of: tuple[str, ...] = ()) -> DataFrame:
+        items = F.transform(F.array_sort(F.collect_list(F.struct("__at", text))), lambda x: x[text])
+        whole = F.concat_ws("|", *head, F.sum("__n").cast("string"), F.array_join(items, ",")) if head else F.array_join(items, ",")
+        return rows.groupBy(*by, *of).agg(F.sum("__n").alias("__n"), F.sha2(whole.cast("binary"), 256).alias("__digest"))
+
+    up = F.floor(F.col("__at") / chunk)
+    rows = table.select(*by, F.col(order).alias("__at"), F.concat_ws(":", *(F.col(c).cast("string") for c in columns)).alias("__text"), F.lit(1).cast("bigint").alias("__n"))
+    leaves = folded(rows.withColumn("__up", up), "__text", of=("__up",)).withColumnRenamed("__up", "__at")
+    nodes = folded(leaves.withColumn("__up", up), "__digest", of=("__up",)).withColumnRenamed("__up", "__at")
+    root = folded(nodes, "__digest", (F.lit("takewise"), F.lit(port)))
+    return root.select(*by, F.col("__digest").alias("content_hash"))
 
 
 def determinism_check(first: DataFrame, second: DataFrame, by: list[str]) -> DataFrame:

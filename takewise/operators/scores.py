@@ -16,6 +16,10 @@ from ..functions.scalars import hz_to_midi, midi_to_hz, note_name
 from .pairing import frames_in_spans
 
 
+#: Islands of onsets that are walked together.
+ISLANDS = 1024
+
+
 def notes_of_events(events: DataFrame) -> DataFrame:
     """(song_id, midi, st_tick, en_tick, velocity): note-ons and note-offs of a pitch meet first in, first out; an off
     without an open note is ignored, and so is an empty note. At a tick, offs come first."""
@@ -149,18 +153,24 @@ def top_voice(score: DataFrame, tolerance: int) -> DataFrame:
     order = W.partitionBy("song_id").orderBy("st_tick", "midi", "en_tick", "note_no")
     begins = F.coalesce(F.col("st_tick") - F.lag("st_tick").over(order) > tolerance, F.lit(True)).cast("bigint")
     parted = score.withColumn("__begins", begins).withColumn("__island", F.sum("__begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    rows = parted.groupBy("song_id", "__island").agg(F.array_sort(F.collect_list(F.struct("st_tick", "midi", "en_tick", "note_no"))).alias("n"))
-    kept = "array<struct<anchor:bigint,midi:bigint,note_no:bigint>>"
-
-    def step(acc: Column, n: Column) -> Column:
-        last = F.element_at(acc, -1)
-        new = F.array_append(acc, F.struct(n["st_tick"].alias("anchor"), n["midi"].alias("midi"), n["note_no"].alias("note_no")))
-        higher = F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.struct(last["anchor"].alias("anchor"), n["midi"].alias("midi"), n["note_no"].alias("note_no")))
-        inside = n["st_tick"] - last["anchor"] <= tolerance
-        return F.when((F.size(acc) == 0) | ~inside, new).when(n["midi"] > last["midi"], higher).otherwise(acc)
-
-    found = rows.select("song_id", F.explode(F.aggregate("n", F.array().cast(kept), step)).alias("k"))
-    return found.select("song_id", F.col("k.anchor").alias("anchor"), F.col("k.midi").alias("midi"), F.col("k.note_no").alias("note_no"))
+    rows = parted.select("song_id", F.floor(F.col("__island") / ISLANDS).alias("__some"), "st_tick", "midi", "en_tick", "note_no")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("song_id", "note_no")}
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in ("st_tick", "midi", "en_tick", "note_no")])
+        starts, pitches = group.column("st_tick").to_pylist(), group.column("midi").to_pylist()
+        anchors: list[int] = []
+        best: list[int] = []
+        for k, (at, midi) in enumerate(zip(starts, pitches)):
+            if not anchors or at - anchors[-1] > tolerance:
+                anchors.append(at)
+                best.append(k)
+            elif midi > pitches[best[-1]]:
+                best[-1] = k
+        chosen = group.take(pa.array(best, pa.int64()))
+        return pa.table([chosen.column("song_id"), pa.array(anchors, pa.int64()), chosen.column("midi").cast(pa.int64()), chosen.column("note_no")], ["song_id", "anchor", "midi", "note_no"])
+
+    return rows.groupBy("song_id", "__some").applyInArrow(run, f"song_id {kinds['song_id']}, anchor long, midi long, note_no {kinds['note_no']}")
 
 
 def enforce_mono(score: DataFrame) -> DataFrame:
@@ -319,8 +329,16 @@ def wrong_note_hits(labels: DataFrame, notes: DataFrame, frames: DataFrame, fram
 
 
 def nearest_row(queries: DataFrame, table: DataFrame, by: str, value: str, name: str) -> DataFrame:
-    """queries with nearest: the name of the row of table (by, value, name) with the same by whose value is nearest, the
-    first name of equals. A group's table is one small array."""
-    packed = table.groupBy(by).agg(F.collect_list(F.struct(F.col(value).alias("v"), F.col(name).alias("n"))).alias("__t"))
-    near = F.array_min(F.transform("__t", lambda x: F.struct(F.round(F.abs(x["v"] - F.col(value)), 6).alias("a"), x["n"].alias("n"))))
-    return queries.join(packed, by, "left").withColumn("nearest", near["n"]).drop("__t")
+    """queries with nearest: the name of the row of table (by, value, name) with the same by whose value, to six digits, is
+    nearest, the first name of equals. A two-sided as-of join: over both in order of their values, the last row of the
+    table up to a query's place and, in falling order, the first from there on."""
+    rows = table.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("__by"), F.round(value, 6).alias("__v")).agg(F.min(name).alias("__n"))
+    rows = rows.select("__by", "__v", F.struct("__v", "__n").alias("__t"))
+    asked = queries.select(F.col(by).alias("__by"), F.col(value).alias("__v"), F.struct("*").alias("__q"))
+    both = rows.unionByName(asked, allowMissingColumns=True)
+    group = W.partitionBy("__by")
+    seen = lambda order: F.last("__t", True).over(group.orderBy(order, F.col("__q").isNotNull()).rowsBetween(W.unboundedPreceding, 0))
+    both = both.withColumn("__before", seen(F.asc("__v"))).withColumn("__after", seen(F.desc("__v"))).where("__q is not null")
+    far = lambda t: F.when(F.col(t).isNotNull(), F.struct(F.round(F.abs(F.col(t)["__v"] - F.col("__v")), 6).alias("a"), F.col(t)["__n"].alias("n")))
+    near = F.array_min(F.filter(F.array(far("__before"), far("__after")), lambda x: x.isNotNull()))
+    return both.select("__q.*", near["n"].alias("nearest"))

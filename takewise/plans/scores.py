@@ -24,14 +24,9 @@ def query(text):
     return add
 
 
-@query(sql("note_events", """, o as (
-  select *, sum(case when is_on = 1 then 1 else -1 end) over w as balance, sum(1 - is_on) over w as off_rank, sum(is_on) over w as on_rank
-  from note_events window w as (partition by song_id, midi order by tick, is_on, note_no rows between unbounded preceding and current row)),
-s as (
-  select *, greatest(0, -min(balance) over (partition by song_id, midi order by tick, is_on, note_no rows between unbounded preceding and current row)) as stray from o),
-t as (select *, stray > coalesce(lag(stray) over (partition by song_id, midi order by tick, is_on, note_no), 0) as newly from s),
-n as (select song_id, midi, on_rank as k, tick as st_tick, velocity from t where is_on = 1),
-f as (select song_id, midi, off_rank - stray as k, tick as en_tick from t where is_on = 0 and not newly)
+@query(sql("note_events", """,
+n as (select song_id, midi, tick as st_tick, velocity, row_number() over (partition by song_id, midi order by tick, note_no) as k from note_events where is_on = 1),
+f as (select song_id, midi, tick as en_tick, row_number() over (partition by song_id, midi order by tick, note_no) as k from note_events where is_on = 0)
 select song_id, midi, st_tick, en_tick, velocity from n join f using (song_id, midi, k) where en_tick > st_tick"""))
 def note_events_to_notes(spark, d):
     return M.notes_of_events(A.note_events(spark, d))

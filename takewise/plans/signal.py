@@ -241,6 +241,20 @@ def pcm_onsets(spark, d):
     return S.novelty_onsets(r, 6, 12)
 
 
+@query(sql("samples", """, fr as (select take_id, frame, pcm[frame * 4 + 1 : frame * 4 + 8] as x from (select take_id, pcm, unnest(range(1 + (len(pcm) - 8) // 4)) as frame from samples)),
+lv as (select take_id, frame, 20.0 * log10(sqrt(list_sum(list_transform(x, lambda v: v * v)) / 8) + 1e-12) as db from fr),
+nv as (select take_id, frame, greatest(coalesce(db - lag(db) over (partition by take_id order by frame), 0), 0) as n from lv),
+md as (
+  select *, median(n) over (w rows between 4 preceding and 4 following) as m, lag(n) over w as p, lead(n) over w as q from nv window w as (partition by take_id order by frame)),
+pk as (select take_id, frame from md where n > 1.5 * m + 0.001 and n >= p and n >= q),
+nx as (select a.take_id, a.frame, min(b.frame) as later from pk a join pk b on b.take_id = a.take_id and b.frame >= a.frame + 2 group by all),
+kept as (select take_id, min(frame) as frame from pk group by take_id union all select k.take_id, nx.later from kept k join nx on nx.take_id = k.take_id and nx.frame = k.frame)
+select take_id, frame, frame * 4 / 64.0::double as onset_sec from kept""", recursive=True))
+def sample_onsets(spark, d):
+    """Onsets from samples, with a median of a quarter of a second and peaks an eighth apart."""
+    return S.onsets(A.samples(spark, d), RATE, 8, 4, 0.25, 0.125)
+
+
 @query(sql("rms_frames", """, e as (select take_id, frame, rms / nullif(max(rms) over (partition by take_id), 0) as e from rms_frames),
 w as (select *, lag(e, 1, 0.0) over (partition by take_id order by frame) as b from e)
 select take_id, frame from w where e >= 0.15 and b < 0.15"""))

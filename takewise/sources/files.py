@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Chunks of a file that are walked over in search of its format and data, at most.
-CHUNKS = 64
 _WAV = "path string, bytes long, sample_rate_hz int, channels int, bit_depth int, format string, data_bytes long"
 
 
@@ -23,7 +21,7 @@ def wav_format(read, size: int) -> tuple[int, int, int, str | None, int] | None:
     if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         return None
     at, told = 12, None
-    for _ in range(CHUNKS):
+    while at < size:
         head = read(at, 8)
         if len(head) < 8:
             return None

@@ -1,5 +1,7 @@
 """Operators that SQL does not check, boundary values, plans, and planted defects."""
 
+import hashlib
+import math
 import random
 import re
 import time
@@ -354,3 +356,108 @@ def test_join_kinds(spark, sf):
     for name in ("band_distance", "frames_in_spans", "note_pitch_deviation", "tick_to_sec", "set_similarity"):
         plan = catalogue.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("BroadcastNestedLoopJoin|CartesianProduct", plan), name
+
+
+def test_onsets_of_samples(spark):
+    """Against a plain median of a second to either side, for whole takes and for chunks, with takes of under two frames."""
+    rng = np.random.default_rng(6)
+    takes = {1: rng.normal(size=60_000) * np.repeat(rng.random(60) ** 4, 1000), 2: np.zeros(30_000), 3: rng.normal(size=1200), 4: tone(44_100, 440.0) * np.tile(np.linspace(1, 0, 4410), 10)}
+    want = set()
+    for i, x in takes.items():
+        n = 1 + max(0, (len(x) - 1024) // 256)
+        level = np.array([20 * np.log10(np.sqrt(np.mean(x[k * 256 : k * 256 + 1024] ** 2)) + 1e-12) for k in range(n)])
+        rise = np.maximum(np.diff(level, prepend=level[:1]), 0)
+        half, gap, last = round(44100 / 256), int(np.ceil(0.05 * 44100 / 256)), None
+        for k in range(1, n - 1):
+            if rise[k] > 1.5 * np.median(rise[max(0, k - half) : k + half + 1]) + 1e-3 and rise[k] >= rise[k - 1] and rise[k] >= rise[k + 1] and (last is None or k - last >= gap):
+                want.add((i, k))
+                last = k
+    assert len(want) > 20
+    whole = spark.createDataFrame([(i, x.tolist()) for i, x in takes.items()], "take_id long, pcm array<double>")
+    got = frames.onsets(whole).collect()
+    assert {(r.take_id, r.frame) for r in got} == want and all(r.onset_sec == r.frame * (256 / 44100) for r in got)
+    chunks = spark.createDataFrame([(i, k, x[k * 5000 : (k + 1) * 5000].tolist()) for i, x in takes.items() for k in range(-(-len(x) // 5000))], "take_id long, chunk_no long, pcm array<double>")
+    assert {(r.take_id, r.frame) for r in frames.onsets(frames.with_halo(chunks, 5000, 1024)).collect()} == want
+
+
+def test_sliding_median():
+    rng = np.random.default_rng(1)
+    for n, reach in ((1, 3), (7, 1), (50, 5), (40, 60)):
+        x = rng.integers(0, 5, n) / 2
+        assert frames.sliding_median(x, reach).tolist() == [np.median(x[max(0, k - reach) : k + reach + 1]) for k in range(n)]
+
+
+def test_content_hash_of_a_large_port(spark):
+    """8 million rows of one port: a leaf holds HASH_CHUNK items, whatever the partitioning; one item or place more differs."""
+    n = 8_000_000
+    port = lambda parts, last=n: spark.range(0, last, 1, parts).select(F.lit(1).alias("take_id"), "id", (F.col("id") % 1009).alias("v"))
+    root = lambda df: results.content_hash(df, ["take_id"], "pcm", "id", ["v"]).first().content_hash
+    same = root(port(3))
+    assert same == root(port(16).repartition(7, "v")) != root(port(3, n - 1))
+    small = [(1, i, i * i) for i in range(70)]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    leaves = [sha(",".join(str(v) for _, i, v in small if i // 4 == k)) for k in range(18)]
+    nodes = [sha(",".join(leaves[k : k + 4])) for k in range(0, 18, 4)]
+    df = spark.createDataFrame(small, "take_id long, id long, v long").repartition(5)
+    assert results.content_hash(df, ["take_id"], "x", "id", ["v"], 4).first().content_hash == sha(f"takewise|x|70|{','.join(nodes)}")
+
+
+def test_many_windows_join_their_own_rows(spark):
+    """1,000 overlapping windows of a take of 20,000 frames join little more than their rows."""
+    rng = np.random.default_rng(8)
+    table = spark.range(20_000).select(F.lit(1).alias("take_id"), F.col("id").alias("frame"), (F.col("id") * 3).alias("v"))
+    data = [(i, 1, float(a), float(a + b), 1e6) for i, (a, b) in enumerate(zip(rng.random(1000) * 900, rng.random(1000) * 8))]
+    windows = spark.createDataFrame([*data, (1000, 1, -5.0, 0.5, 1e6), (1001, 1, 0.0, 1e6, 1e6), (1002, 1, 3.0, 2.0, 1e6), (1003, 2, 0.0, 1.0, 1e6)], "window_id long, take_id long, t0 double, t1 double, upper double")
+    got = frames.time_slices(table, windows, 44100.0, 2048)
+    found = {(r.window_id, r.error_code): (r.n, r.low, r.high) for r in got.groupBy("window_id", "error_code").agg(F.count("frame").alias("n"), F.min("frame").alias("low"), F.max("frame").alias("high")).collect()}
+    for i, _, t0, t1, _ in data:
+        low, high = math.floor(t0 * 44100 / 2048), min(20_000, math.floor(t1 * 44100 / 2048))
+        assert found.get((i, None), (0, None, None)) == ((high - low, low, high - 1) if high > low else (0, None, None))
+    assert found[1001, None] == (20_000, 0, 19_999) and (1000, "NEGATIVE_START") in found and (1002, "EMPTY_WINDOW") in found
+    assert re.search(r"Join.*__bucket", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_band_cells_are_few(spark):
+    """Cells joined beyond the band are at most a tenth of it."""
+    frames_of = lambda n: spark.range(n).select(F.lit(1).alias("pair_id"), F.col("id").alias("frame"), F.array(F.col("id").cast("double")).alias("features"))
+    for n, m in ((700, 900), (5, 7), (1, 1)):
+        sizes = spark.createDataFrame([(1, n, m)], "pair_id long, n_ref long, n_prac long")
+        joined = align.band_cells(frames_of(n), frames_of(m), sizes, 0.25).count()
+        got = {(r.i, r.j): r.distance for r in align.band_distance(frames_of(n), frames_of(m), sizes, 0.25).collect()}
+        want = {(i, j): abs(float(i - j)) for i in range(n) for j in range(m) if abs(i / n - j / m) <= 0.25}
+        assert got == want and (n < 100 or joined <= 1.1 * len(want))
+
+
+def test_long_islands_are_walked(spark):
+    """An island of 100,000 onsets a side, against a plain walk; a chord of many notes at the same time."""
+    n = 100_000
+    rng = np.random.default_rng(12)
+    ref, prac = np.sort(rng.random(n) * 900).round(6), np.sort(rng.random(n) * 900).round(6)
+    rows = [(1, s, k + 1, float(x)) for s, side in (("reference", ref), ("practice", prac)) for k, x in enumerate(side)]
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["pair_id", "side", "note_no", "onset_sec"]))
+    got = {(r.ref_no, r.prac_no) for r in pairing.pair_onsets(df).collect()}
+    i = j = 0
+    want = set()
+    while i < n or j < n:
+        gap = prac[j] - ref[i] if i < n and j < n else None
+        hit = gap is not None and abs(gap) <= 0.1
+        a, b = hit or j == n or (gap is not None and gap > 0), hit or i == n or (gap is not None and gap <= 0)
+        want.add((i + 1 if a else None, j + 1 if b else None))
+        i, j = i + a, j + b
+    assert got == want
+    score = spark.range(50_000).select(F.lit(1).alias("song_id"), F.col("id").alias("note_no"), F.col("id").alias("st_tick"), (F.col("id") + 9).alias("en_tick"), (F.col("id") * 7 % 61).alias("midi"), F.lit(64).cast("long").alias("velocity"))
+    top = scores.top_voice(score, 10).collect()
+    assert sorted(r.anchor for r in top) == list(range(0, 50_000, 11))
+    assert all(r.midi == max(k * 7 % 61 for k in range(r.anchor, min(50_000, r.anchor + 11))) for r in top)
+
+
+def test_nearest_of_a_large_table(spark):
+    """A group's table of 100,000 rows; equal distances go to the first name, what has no table gets null."""
+    n = 100_000
+    table = spark.range(n).select(F.lit("a").alias("g"), (F.col("id") / 10).alias("v"), F.format_string("n%06d", "id").alias("name"))
+    table = table.unionByName(spark.createDataFrame([("b", 1.0, "z"), ("b", 1.0, "y"), ("b", 3.0, "x"), ("b", None, "w")], "g string, v double, name string"))
+    asked = spark.createDataFrame([("a", 5.04), ("a", 5.05), ("a", -3.0), ("a", 1e9), ("b", 2.0), ("b", 1.2), ("c", 1.0), ("b", 2.0)], "g string, v double")
+    got = sorted((r.g, r.v, r.nearest) for r in scores.nearest_row(asked, table, "g", "v", "name").collect())
+    assert got == [("a", -3.0, "n000000"), ("a", 5.04, "n000050"), ("a", 5.05, "n000050"), ("a", 1e9, f"n{n - 1:06d}"), ("b", 1.2, "y"), ("b", 2.0, "x"), ("b", 2.0, "x"), ("c", 1.0, None)]
