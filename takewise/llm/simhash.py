@@ -203,7 +203,7 @@ def components(edges: DataFrame) -> DataFrame:
     told = None
     while True:
         both = edges.unionByName(edges.select(F.col("high").alias("low"), F.col("low").alias("high"))).toDF("node", "other")
-        least = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root"))
+        least = cut(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))  # cut, so that the join can split a star's centre
         large = both.where("other > node").join(least, "node").select(F.col("root").alias("low"), F.col("other").alias("high")).where("low < high").distinct()
         least = large.groupBy("high").agg(F.min("low").alias("root"))
         small = large.join(least, "high").select(F.col("root").alias("low"), F.explode(F.array("low", "high")).alias("high"))
