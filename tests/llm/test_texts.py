@@ -118,6 +118,60 @@ def test_license_scan(spark):
     assert got[6].labels == "proprietary" and got[3].labels == "gpl,lgpl" and got[10].score == 1.0
 
 
+def brute_matches(words, idf, common):
+    """{(template, start): weight} of all matches, by looking at every start."""
+    index = license_scan.Index(idf, common)
+    known = sorted(({w for t in index.templates for w in t.words} - common) & set(words), key=lambda w: (-idf[w], w))[: license_scan.LOOKUPS]
+    out = {}
+    for n, t in enumerate(index.templates):
+        for s in range(-len(t.words), len(words)):
+            hits = [p for p, w in enumerate(t.words) if 0 <= s + p < len(words) and words[s + p] == w]
+            phrase = sum(t.at <= p < t.at + t.length for p in hits)
+            weight = sum(idf[t.words[p]] for p in hits)
+            votes = sum(t.words[p] in known for p in hits)
+            if phrase == t.length or votes >= license_scan.VOTES and t.length >= license_scan.ALTERABLE and phrase == t.length - 1 and weight >= license_scan.WHOLE * t.weight:
+                out[n, s] = weight
+    return out, index.templates
+
+
+def test_license_templates_give_their_own_labels(spark):
+    """Each template's text, plain and with one word of its phrase altered, among texts of other words; labels and scores
+    against every start looked at, and the best of those that overlap."""
+    from takewise.llm.license_texts import TEMPLATES
+
+    texts = [prose(i, 30) for i in range(400)]
+    plain = len(texts)
+    texts += [f"{prose(i, 5)} {t} {prose(i, 7)}" for i, (_, t, _, _) in enumerate(TEMPLATES)]
+    altered = len(texts)
+    parted = [[w.decode() for w in license_scan.words_of(t)] for _, t, _, _ in TEMPLATES]
+    for (_, _, phrase, _), words in zip(TEMPLATES, parted):
+        key = phrase.split()
+        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+        texts.append(" ".join([*words[: at + 1], "otherwise", *words[at + 2 :]]))
+    texts += ["Copyright X. All rights reserved. " + TEMPLATES[16][1], TEMPLATES[14][1] + " " + TEMPLATES[16][1], "mit license " * 300, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    idf, common = license_scan.word_weights(df)
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    for k, (name, _, phrase, label) in enumerate(TEMPLATES):
+        assert set(got[plain + k].labels.split(",")) == {label} | set(filter(None, got[plain + k].base_labels.split(","))), name
+        assert got[plain + k].score == 1.0, name
+        if len(phrase.split()) >= license_scan.ALTERABLE and len(parted[k]) > 40:
+            assert label in got[altered + k].labels.split(",") and got[altered + k].score > 0.9, name
+    for i, text in enumerate(texts):
+        words = license_scan.words_of(text)
+        matches, templates = brute_matches(words, idf, common)
+        kept, labels, score = [], set(filter(None, brute_license(text)[4].split(","))), 0.0
+        for (n, s), weight in sorted(matches.items(), key=lambda x: (-x[1], x[0])):
+            if not any(s < b and a < s + len(templates[n].words) for a, b in kept):
+                kept.append((s, s + len(templates[n].words)))
+                labels.add(templates[n].label)
+                score = max(score, weight / templates[n].weight)
+        labels = labels - {"proprietary"} or labels
+        assert (got[i].labels, got[i].score) == (",".join(sorted(labels)), pytest.approx(min(1.0, score))), text
+    n = altered + len(TEMPLATES)
+    assert got[n].labels == "bsd" and got[n + 1].labels == "bsd,mit" and got[n + 2].n_base == 300
+
+
 def test_license_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
