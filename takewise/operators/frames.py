@@ -170,9 +170,10 @@ def spectrum(framed: DataFrame | Cut) -> DataFrame:
     return spectra(framed).select("take_id", "frame", F.posexplode("mag").alias("k", "mag")).withColumn("k", F.col("k").cast("bigint"))
 
 
-def align_chroma(samples: DataFrame, rate: float = SAMPLE_RATE, length: int = 2 * ALIGN_HOP, hop: int = ALIGN_HOP, fmin: float = 27.5, fmax: float = 4200.0, base: float = 27.5) -> DataFrame:
+def align_chroma(samples: DataFrame, rate: float = SAMPLE_RATE, length: int = 2 * ALIGN_HOP, hop: int = ALIGN_HOP, fmin: float = 27.5, fmax: float = 4200.0, base: float = 27.5, sizes: DataFrame | None = None) -> DataFrame:
     """(take_id, frame, bins): magnitudes of centered frames that start within the take, (n - 1) div hop of them, folded
-    into twelve classes (bin 0 is A), each frame's length 1, silent ones all 0."""
+    into twelve classes (bin 0 is A), each frame's length 1, silent ones all 0. Of with_halo's chunks sizes (take_id, n)
+    must tell how long the takes are."""
 
     def fold(x: np.ndarray) -> np.ndarray:
         hz = np.arange(length // 2 + 1) * (rate / length)
@@ -182,6 +183,9 @@ def align_chroma(samples: DataFrame, rate: float = SAMPLE_RATE, length: int = 2
         norm = np.sqrt((folded * folded).sum(axis=1, keepdims=True))
         return folded / np.where(norm > 0, norm, 1.0)
 
+    if sizes is not None:
+        found = per_frame(cut_centered(samples, length, hop), fold, "bins")
+        return found.join(sizes.select("take_id", "n"), "take_id").where(F.col("frame") < F.floor((F.col("n") - 1) / hop)).drop("n")
     most = F.floor((F.size("pcm") - 1) / hop)
     return per_frame(cut_centered(samples, length, hop, most), fold, "bins")
 

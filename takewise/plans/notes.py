@@ -68,9 +68,9 @@ def port_prefix(spark, d):
 
 
 @query(sql("notes", """,
-leaves as (select take_id, note_no // 8 as at, count(*) as n, sha256(string_agg(note_no || ':' || event_id, ',' order by note_no)) as digest from notes group by all),
-nodes as (select take_id, at // 8 as at, sum(n) as n, sha256(string_agg(digest, ',' order by at)) as digest from leaves group by take_id, at // 8)
-select take_id, sha256('takewise' || '|' || 'notes' || '|' || sum(n) || '|' || string_agg(digest, ',' order by at)) as content_hash
+leaves as (select take_id, note_no // 8 as place, count(*) as n, sha256(string_agg(note_no || ':' || event_id, ',' order by note_no)) as digest from notes group by all),
+nodes as (select take_id, place // 8 as place, sum(n) as n, sha256(string_agg(digest, ',' order by place)) as digest from leaves group by take_id, place // 8)
+select take_id, sha256('takewise' || '|' || 'notes' || '|' || sum(n) || '|' || string_agg(digest, ',' order by place)) as content_hash
 from nodes group by take_id"""))
 def content_hash(spark, d):
     """Leaves of eight notes, so that takes have several."""

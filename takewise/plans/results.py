@@ -342,7 +342,11 @@ union all select pair_id, null, null, null, null, null, null, row_number() over
 union all select pair_id, null, null, null, null, null, null, dense_rank() over (partition by pair_id order by rank, ord), key, label, unit, timeline_basis, idx, t, value from se"""))
 def metrics_sink(spark, d):
     """The documents, read again: a row for each with its head, and one for each scalar and each point."""
-    doc = O.nested_document(*_document_tables(spark, d)).select("pair_id", F.from_json("document", _DOCUMENT).alias("x"))
+    return read_documents(O.nested_document(*_document_tables(spark, d)))
+
+
+def read_documents(documents):
+    doc = documents.select("pair_id", F.from_json("document", _DOCUMENT).alias("x"))
     head = doc.select("pair_id", "x.schema_version", F.col("x.inputs.reference").alias("reference_uri"), F.col("x.inputs.practice").alias("practice_uri"), "x.state", "x.error_code", "x.error_detail")
     place = (F.col("i") + 1).cast("bigint").alias("place")
     scalars = doc.select("pair_id", F.posexplode("x.scalars").alias("i", "s")).select("pair_id", place, "s.key", "s.label", "s.unit", "s.value")

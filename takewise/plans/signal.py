@@ -62,14 +62,18 @@ def nonfinite_gate(spark, d):
     return T.nonfinite_gate(A.quiet_samples(spark, d))
 
 
-@query(sql("takes quiet_samples", _LOUD + f""", c as (
+#: Why either side of a pair cannot be used (rc, pc), in table b.
+VERDICT = _LOUD + f""", c as (
   select pair_id, side, coalesce(case when not readable then 'INPUT_UNREADABLE' end, case when sample_rate <> 44100 then 'CORE_BUILD_FAILED' end, {_DURATION},
     case when coalesce(rms, 0) < 0.0001 then 'INPUT_SILENT' end, case when not finite then 'CORE_BUILD_FAILED' end) as code from takes left join loud using (take_id)),
 p as (select distinct pair_id from takes),
 b as (
   select p.pair_id, case when r.pair_id is null then 'INPUT_UNREADABLE' else r.code end as rc, case when q.pair_id is null then 'INPUT_UNREADABLE' else q.code end as pc
   from p left join c r on r.pair_id = p.pair_id and r.side = 'reference' left join c q on q.pair_id = p.pair_id and q.side = 'practice')
-select pair_id, rc is null and pc is null as usable, coalesce(rc, pc) as first_code from b"""))
+"""
+
+
+@query(sql("takes quiet_samples", VERDICT + "select pair_id, rc is null and pc is null as usable, coalesce(rc, pc) as first_code from b"))
 def ingest_verdict(spark, d):
     return T.ingest_verdict(A.takes(spark, d), A.quiet_samples(spark, d))
 
@@ -162,7 +166,8 @@ def chroma_frames(spark, d):
 
 #: Lags 2 to 8: pitches of 8 to 32 Hz at 64 samples a second.
 FMIN, FMAX, LOW = 8.0, 32.0, 2
-_YIN = _FR + """, raw as (
+#: Candidates of a pitch (table cd) of the frames in table fr.
+YIN = """, raw as (
   select take_id, frame, tau, 2 * (list_sum(list_transform(x, lambda v: v * v)) - list_sum(list_transform(range(1, 17 - tau), lambda i: x[i] * x[i + tau])))
     - case when tau = 1 then 0 else list_sum(list_transform(x[1:tau], lambda v: v * v)) end as raw
   from (select *, unnest(range(1, 9)) as tau from fr)),
@@ -179,18 +184,18 @@ def _yin(spark, d):
     return S.yin_difference(S.Cut(A.samples(spark, d), LENGTH, HOP), LENGTH, RATE, FMIN, FMAX)
 
 
-@query(sql("samples", _YIN + "select take_id, frame, tau, round(d, 6) + 0.0 as d from df"))
+@query(sql("samples", _FR + YIN + "select take_id, frame, tau, round(d, 6) + 0.0 as d from df"))
 def yin_difference(spark, d):
     rows = _yin(spark, d).select("take_id", "frame", F.posexplode("d").alias("i", "d"))
     return rows.select("take_id", "frame", (F.col("i") + LOW).cast("bigint").alias("tau"), R(F.col("d")).alias("d"))
 
 
-@query(sql("samples", _YIN + "select take_id, frame, tau, round(d, 6) as d, round(f0_hz, 6) as f0_hz from cd"))
+@query(sql("samples", _FR + YIN + "select take_id, frame, tau, round(d, 6) as d, round(f0_hz, 6) as f0_hz from cd"))
 def yin_candidates(spark, d):
     return S.yin_candidates(_yin(spark, d), LOW, RATE).withColumns({"d": F.round("d", 6), "f0_hz": F.round("f0_hz", 6)})
 
 
-@query(sql("samples", _YIN + """, pk as (
+@query(sql("samples", _FR + YIN + """, pk as (
   select *, row_number() over (partition by take_id, frame order by case when d < 0.3 then 0 else 1 end, case when d < 0.3 then tau else d end, tau) as rn from cd)
 select fr.take_id, fr.frame, round(case when coalesce(least(greatest(1 - d, 0), 1), 0) >= 0.5 then f0_hz else 0 end, 6) as f0_hz,
   round(coalesce(least(greatest(1 - d, 0), 1), 0), 6) as confidence

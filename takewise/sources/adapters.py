@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -98,7 +100,20 @@ def quiet_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     pcm = F.transform("pcm", lambda x: x * scale)
     odd = F.when(k == 5, F.lit(float("nan"))).when(k == 6, F.lit(float("inf")))
     s = samples(spark, sf_dir).where(k != 4).select("take_id", F.when(odd.isNotNull(), F.array_append(pcm, odd)).otherwise(pcm).alias("pcm"))
-    return s.select("take_id", F.explode(F.array(F.slice("pcm", 1, 40), F.slice("pcm", 41, 100))).alias("pcm"))
+    return s.select("take_id", F.posexplode(F.array(F.slice("pcm", 1, 40), F.slice("pcm", 41, 100))).alias("chunk_no", "pcm"))
+
+
+def played_samples(spark: SparkSession, sf_dir: str, chunk: int = 40) -> DataFrame:
+    """Takes of three tones of 64 samples, a pair's sides slightly apart, over their own samples as noise, in chunks; some
+    of them silent, missing or no numbers."""
+    k, i = F.pmod("take_id", F.lit(17)), lambda i: F.floor(i / 64)
+    hz = lambda n: (8 + F.pmod(F.col("pair_id") * 5 + i(n) * 7, F.lit(14))) * F.when(F.col("side") == "practice", 1.02).otherwise(1.0)
+    loud = lambda n: 0.3 + 0.1 * F.pmod(F.col("take_id") + i(n), F.lit(4))
+    tone = lambda n: 0.05 * F.get("pcm", F.pmod(n, F.lit(64)).cast("int")) + loud(n) * F.sin(2 * math.pi * hz(n) * n / 64.0)
+    pcm = F.transform(F.sequence(F.lit(0), F.lit(191)), lambda n: F.when(k == 3, 0.0).otherwise(tone(n)))
+    s = samples(spark, sf_dir).where(k != 4).select("take_id", F.when(k == 5, F.array_append(pcm, F.lit(float("nan")))).otherwise(pcm).alias("pcm"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("pcm") - 1) / chunk).cast("int")), lambda c: F.slice("pcm", c * chunk + 1, F.lit(chunk)))
+    return s.select("take_id", F.posexplode(parts).alias("chunk_no", "pcm"))
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +150,11 @@ SQL = {
     select take_id, case take_id % 17 when 5 then list_append(x, cast('nan' as double)) when 6 then list_append(x, cast('inf' as double)) else x end as pcm from (
       select take_id, list_transform(pcm, lambda v: v * case take_id % 17 when 1 then 0.00079::double when 2 then 0.00081::double when 3 then 0.0::double else 1.0::double end) as x
       from samples where take_id % 17 <> 4))""",
+    "played": """
+  select take_id, pair_id, side, case take_id % 17 when 5 then list_append(x, cast('nan' as double)) else x end as pcm from (
+    select take_id, pair_id, side, list_transform(range(192), lambda i: case when take_id % 17 = 3 then 0.0::double else 0.05::double * pcm[i % 64 + 1]
+      + (0.3::double + 0.1::double * ((take_id + i // 64) % 4)) * sin(2 * pi() * ((8 + (pair_id * 5 + (i // 64) * 7) % 14) * case when side = 'practice' then 1.02::double else 1.0::double end) * i / 64.0::double) end) as x
+    from samples where take_id % 17 <> 4)""",
     "score": """
   select l_suppkey as song_id, date_diff('day', timestamp '1995-01-01', l_shipdate) * 4 + l_linenumber as st_tick,
     date_diff('day', timestamp '1995-01-01', l_shipdate) * 4 + l_linenumber + cast(l_quantity as bigint) as en_tick,
@@ -154,7 +174,7 @@ SQL = {
     from pitch_frames group by pair_id) where n_ref > 0 and n_prac > 0)
   where pair_id % 10 <> 2 or 2 * step < n_ref""",
 }
-NEEDS = {"takes": ["samples"], "quiet_samples": ["samples"], "pitch_frames": ["notes"], "rms_frames": ["notes"], "note_events": ["score"], "paths": ["notes", "pitch_frames"]}
+NEEDS = {"takes": ["samples"], "played": ["samples"], "quiet_samples": ["samples"], "pitch_frames": ["notes"], "rms_frames": ["notes"], "note_events": ["score"], "paths": ["notes", "pitch_frames"]}
 
 
 def sql(views: str, body: str, recursive: bool = False) -> str:
