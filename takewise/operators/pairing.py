@@ -120,15 +120,37 @@ def comparison_line(series: DataFrame, key: list[str]) -> DataFrame:
     return both.withColumn("ref_cents", F.when(F.col("ref_value") > 0, F.lit(0.0))).withColumn("prac_cents", cents)
 
 
+def overlap_candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, of sets that may have a Jaccard similarity of the threshold or more: those with a token in both
+    prefixes where sizes allow it and enough tokens stand after that place in both. prefixes has id, n (the set's size),
+    pos (the token's place in the set's order, from 0) and token.
+
+    A token's sets are parted by (size, place). Which parts may meet is found among the parts alone, and only those are
+    joined, part with part; so a token that many sets have at places where no pair can reach the threshold joins none,
+    and one that they have at others is spread over the parts' pairs. Of a pair's common tokens the first satisfies the
+    bound if the pair is similar at all."""
+    parts = prefixes.groupBy("token", "n", "pos").agg(F.count("*").alias("many"))
+    x, y = (parts.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "pos", "many"))) for s in "ab")
+    need = F.ceil(F.round((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)), 9))
+    room = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("pos_a") <= F.col("pos_b")))
+    single = (F.col("n_a") == F.col("n_b")) & (F.col("pos_a") == F.col("pos_b")) & (F.col("many_a") == 1)
+    meet = x.join(y, "token").where(smaller & ~single & (F.col("n_a") >= F.round(F.col("n_b") * threshold, 9)) & (room >= need)).drop("many_a", "many_b")
+    side = lambda s: prefixes.select("token", F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"pos_{s}"))
+    joined = side("a").join(meet, ["token", "n_a", "pos_a"]).join(side("b"), ["token", "n_b", "pos_b"])
+    alike = (F.col("n_a") == F.col("n_b")) & (F.col("pos_a") == F.col("pos_b"))
+    joined = joined.where(F.when(alike, F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
+    return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def set_similarity(tokens: DataFrame, threshold: float, id_col: str = "id", token_col: str = "token") -> tuple[DataFrame, DataFrame]:
     """((a, b, similarity), (id, representative)): all pairs of different token sets, a < b, whose Jaccard similarity is
     the threshold or more; equal sets are one, told by its smallest id.
 
     Tokens are ordered by the number of sets that have them, the rarest first. Two sets of n tokens and similarity t
-    share one among the first n - ceil(t n) + 1 of each, so only these are joined, where sizes allow t at all, and a
+    share one among the first n - ceil(t n) + 1 of each, so only these prefixes are joined (overlap_candidates), and a
     pair of sets is verified in full. Nothing is lost by this, and common tokens are joined only where a set has no
     others."""
-    kind = tokens.schema[token_col].dataType
     sets = tokens.select(F.col(id_col).alias("id"), F.col(token_col).alias("token")).where("token is not null").groupBy("id").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
     classes = sets.groupBy("tokens").agg(F.min("id").alias("representative"), F.collect_list("id").alias("ids"))
     members = classes.select(F.explode("ids").alias("id"), "representative")
@@ -137,10 +159,8 @@ def set_similarity(tokens: DataFrame, threshold: float, id_col: str = "id", toke
     ranked = own.select("id", "n", F.explode("tokens").alias("token")).join(often, "token")
     rare_first = ranked.groupBy("id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("sets", "token"))), lambda x: x["token"]).alias("ordered"))
     prefix = F.slice("ordered", F.lit(1), (F.col("n") - F.ceil(F.round(F.col("n") * threshold, 9)) + 1).cast("int"))
-    keys = rare_first.select("id", "n", F.explode(prefix.cast(f"array<{kind.simpleString()}>")).alias("token"))
-    a, b = (keys.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), "token") for x in "ab")
-    near = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.round(F.greatest("n_a", "n_b") * threshold, 9))
-    pairs = a.join(b, "token").where(near).select("a", "b").distinct()
+    prefixes = rare_first.select("id", "n", F.posexplode(prefix).alias("pos", "token"))
+    pairs = overlap_candidates(prefixes, threshold).distinct()
     side = lambda x: own.select(F.col("id").alias(x), F.col("tokens").alias(f"t_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("t_a", "t_b"))

@@ -461,3 +461,27 @@ def test_nearest_of_a_large_table(spark):
     asked = spark.createDataFrame([("a", 5.04), ("a", 5.05), ("a", -3.0), ("a", 1e9), ("b", 2.0), ("b", 1.2), ("c", 1.0), ("b", 2.0)], "g string, v double")
     got = sorted((r.g, r.v, r.nearest) for r in scores.nearest_row(asked, table, "g", "v", "name").collect())
     assert got == [("a", -3.0, "n000000"), ("a", 5.04, "n000050"), ("a", 5.05, "n000050"), ("a", 1e9, f"n{n - 1:06d}"), ("b", 1.2, "y"), ("b", 2.0, "x"), ("b", 2.0, "x"), ("c", 1.0, None)]
+
+
+def test_hot_tokens_join_few_pairs(spark):
+    """A token that a tenth of 100,000 sets have: what is joined is near the output, and no similar pair is lost."""
+    n = 100_000
+    ids = spark.range(n)
+    hot = ids.where(F.col("id") % 10 == 0).select("id", F.lit(-1).cast("long").alias("token"))
+    own = ids.select("id", (F.col("id") * 2).alias("token")).unionByName(ids.where(F.col("id") % 10 > 0).select("id", (F.col("id") * 2 + 1).alias("token")))
+    twins = ids.where(F.col("id") < 500).select((F.col("id") + n).alias("id"), F.explode(F.array(F.col("id") * 2, F.lit(-1).cast("long"), F.lit(-2).cast("long"))).alias("token"))  # of id 10 k: one token more
+    tokens = hot.unionByName(own).unionByName(twins).cache()
+    pairs, _ = pairing.set_similarity(tokens, 0.5)
+    got = {(r.a, r.b) for r in pairs.collect()}
+    sets = {}
+    for r in tokens.where(f"id < 2000 or id >= {n}").collect():
+        sets.setdefault(r.id, set()).add(r.token)
+    known = sorted(sets)
+    want = {(a, b) for i, a in enumerate(known) for b in known[i + 1 :] if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    assert {(a, b) for a, b in got if a in sets and b in sets} == want and len(want) > 100_000
+    often = tokens.groupBy("token").agg(F.count("*").alias("k"))
+    order = tokens.join(often, "token").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "token"))), lambda x: x["token"]).alias("t"))
+    size = F.size("t")
+    prefixes = order.select("id", size.alias("n"), F.posexplode(F.slice("t", F.lit(1), (size - F.ceil(size * 0.5) + 1).cast("int"))).alias("pos", "token"))
+    assert pairing.overlap_candidates(prefixes, 0.5).count() <= 3 * len(got)  # of 5 * 10 ** 7 pairs of the token's sets
+    tokens.unpersist()
