@@ -16,9 +16,10 @@ Comparing all suffixes of a corpus would shuffle every position, so they are fir
 4. Intervals that go are joined with the texts, merged, and cut out.
 
 A string that a hash sample of the texts has often (a common line, say) is an anchor only where a window has no other:
-else the many windows that hold it beside text of their own would all meet there, to no end. The sample grows with the
-corpus, so a string that is not noted as frequent stands, in expectation, in fewer than FREQUENT / SHARE texts (40,000),
-whatever their number; that, some MB of stretches, is the largest group of different ones that a task has to sort.
+else the many windows that hold it beside text of their own would all meet there, to no end. What the sample misses, or
+has no room to note, makes a large group: past SORTED bytes a group is not held, and its windows are dealt out again, each
+by a hash of all its bytes, so that only equal ones meet; the first of these stays, the others go as they stream by. So no
+task holds more than SORTED bytes of a group, whatever the corpus.
 
 Texts are shuffled once (both joins read the same exchange). A passage that a third of all texts share sends one row
 a task at each step, so no group outgrows the number of tasks. Hashes here decide order, never equality; over 100
@@ -44,11 +45,12 @@ from .common import cut, text_of, width
 
 LENGTH = 100
 GRAM = 24
-#: Bytes that are anchored at once, anchors and stretches that a task holds to send equal ones once, and bytes of
-#: stretches that are sorted at once (whole groups; a larger group is sorted by itself).
+#: Bytes that are anchored at once; anchors and stretches that a task holds to send equal ones once; windows of a large
+#: group in a batch; and bytes of stretches that are sorted at once, whole groups, a larger group going on by windows.
 BLOCK = 1 << 20
 HELD_ANCHORS = 4_000_000
 HELD_STRETCHES = 300_000
+HELD_WINDOWS = 20_000
 SORTED = 4 << 20
 
 #: Texts, in expectation, in which frequent strings are looked for, or SHARE of all if that is more; sampled texts that
@@ -338,9 +340,7 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 texts.append(stretch)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(routes, dtype=np.uint64).view(np.int64)), pa.array([k for k, _ in rows], pa.int64()), pa.array([a for _, a in rows], pa.int64()), pa.array(texts, pa.binary()), pa.nulls(len(rows), pa.int64())], _STRETCH)
         if gone:
-            key, first, end = (np.array(x, dtype=np.int64) for x in zip(*gone))
-            spread = (key * 0x2545F4914F6CDD1D) ^ (first * 0x4F6CDD1D)
-            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(key), pa.array(first), pa.nulls(len(key), pa.binary()), pa.array(end)], _STRETCH)
+            yield _ready(*(np.array(x, dtype=np.int64) for x in zip(*gone)))
         seen.clear()
         gone.clear()
 
@@ -400,11 +400,38 @@ def settle(route: np.ndarray, key: np.ndarray, at: np.ndarray, stretches: list[b
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _stretch_rows sorted by route, key and place in; (key, first, last) of what goes out."""
-    names = ["key", "first", "last"]
+def _ready(key: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    """Intervals that go as rows without stretch, dealt out by text and place."""
+    spread = (key * 0x2545F4914F6CDD1D) ^ (first * 0x4F6CDD1D)
+    return pa.RecordBatch.from_arrays([pa.array(spread), pa.array(key), pa.array(first), pa.nulls(len(key), pa.binary()), pa.array(last)], _STRETCH)
+
+
+def _windows_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Each window of the batch's stretches as a row of its own: route is a hash of all its bytes and of its distance from
+    the anchor, at its first byte."""
+    rows: list[tuple[int, int, int, bytes]] = []
+    for key, at, stretch in zip(batch.column("key").to_pylist(), batch.column("at").to_pylist(), batch.column("stretch").to_pylist()):
+        first, place, span = at >> 14, at >> 7 & 127, at & 127
+        for w in range(span + 1):
+            window = stretch[w : w + LENGTH]
+            rows.append((xxhash.xxh3_64_intdigest(window, place - w), key, first + w, window))
+        if len(rows) > HELD_WINDOWS:
+            yield _window_rows(rows)
+            rows = []
+    if rows:
+        yield _window_rows(rows)
+
+
+def _window_rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    route, key, first, window = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(np.array(route, dtype=np.uint64).view(np.int64)), pa.array(key, pa.int64()), pa.array(first, pa.int64()), pa.array(window, pa.binary()), pa.nulls(len(rows), pa.int64())], _STRETCH)
+
+
+def _settled(batches: Iterator[pa.RecordBatch], most: int = SORTED) -> Iterator[pa.RecordBatch]:
+    """Rows of _stretch_rows sorted by route, key and place in; rows without stretch of what goes out, and, of a group of
+    more than most bytes, which is not held, the windows."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size, passing = 0, None  # the route of a large group whose first part is out already
 
     def out(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         route, key, at = (batch.column(i).to_numpy() for i in range(3))
@@ -412,29 +439,65 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(edge, len(route)))
         many = np.flatnonzero(np.repeat(sizes > 1, sizes))
         if len(many):
-            found = settle(route[many], key[many], at[many], batch.column("stretch").take(pa.array(many)).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names)
+            yield _ready(*(x.astype(np.int64) for x in settle(route[many], key[many], at[many], batch.column("stretch").take(pa.array(many)).to_pylist())))
 
     for batch in batches:
         ready = batch.column("stretch").is_null()
         if ready.true_count:
-            rows = batch.filter(ready)
-            yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("at"), rows.column("last")], names)
+            yield batch.filter(ready)
             batch = batch.filter(pa.compute.invert(ready))
+        if passing is not None and batch.num_rows:
+            n = int(np.searchsorted(batch.column("route").to_numpy(), passing, "right"))
+            yield from _windows_of(batch.slice(0, n))
+            batch = batch.slice(n)
+            if batch.num_rows:
+                passing = None
         if batch.num_rows:
             held.append(batch)
             size += batch.column("stretch").nbytes
-        if size > SORTED:
+        if size > most:
             whole = pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in held]) for i in range(5)], _STRETCH)
             route = whole.column("route").to_numpy()
             n = int(np.searchsorted(route, route[-1], "left"))
             if n:
                 yield from out(whole.slice(0, n))
-                held, size = [whole.slice(n)], 0
+            rest = whole.slice(n)
+            held, size = [rest], rest.column("stretch").nbytes
+            if size > most:
+                passing = route[-1]
+                yield from _windows_of(rest)
+                held, size = [], 0
     if held:
         yield from out(pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in held]) for i in range(5)], _STRETCH))
 
 
+def _windows_settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _settled sorted by route, key and place in; (key, first, last) of what goes out. Of equal windows the first
+    stays; only the different windows of one route, so of one hash, are held."""
+    names = ["key", "first", "last"]
+    seen: set[bytes] = set()
+    current = None
+    for batch in batches:
+        ready = batch.column("stretch").is_null()
+        if ready.true_count:
+            rows = batch.filter(ready)
+            yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("at"), rows.column("last")], names)
+            batch = batch.filter(pa.compute.invert(ready))
+        if not batch.num_rows:
+            continue
+        keys, firsts, gone = batch.column("key").to_numpy(), batch.column("at").to_numpy(), []
+        for i, (route, window) in enumerate(zip(batch.column("route").to_pylist(), batch.column("stretch").to_pylist())):
+            if route != current:
+                seen.clear()
+                current = route
+            if window in seen:
+                gone.append(i)
+            else:
+                seen.add(window)
+        if gone:
+            yield pa.RecordBatch.from_arrays([pa.array(keys[gone]), pa.array(firsts[gone]), pa.array(firsts[gone] + LENGTH)], names)
+
+
 def merged(first: list[int], last: list[int]) -> list[tuple[int, int]]:
     """Intervals joined where they overlap or touch."""
     out: list[tuple[int, int]] = []
@@ -474,8 +537,9 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return cut(placed.withColumn("key", F.monotonically_increasing_id())).select("id", "key", "text")
 
 
-def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, spans, kept_sha256) for each row; spans are the byte intervals [first, last) that go."""
+def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SORTED) -> DataFrame:
+    """(id, n_bytes, n_removed, spans, kept_sha256) for each row; spans are the byte intervals [first, last) that go. A
+    group of stretches of more than most bytes goes on window by window."""
     docs = _keyed(df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")))
     frequent = df.sparkSession.sparkContext.broadcast(frequent_grams(docs))  # 2^TABLE_BITS bytes
     anchored = lambda batches: _anchor_rows(batches, frequent.value)
@@ -484,7 +548,10 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     places = found.groupBy(F.col("key").alias("__key")).agg(F.collect_list("at").alias("places"))
     # merge joins, and the same columns of the texts in both, let the second one read the first one's exchange
     stretches = docs.join(places.hint("merge"), F.col("key") == F.col("__key")).select("id", "key", "text", "places").mapInArrow(_stretch_rows, "route long, key long, at long, stretch binary, last long")
-    settled = stretches.repartition("route").sortWithinPartitions("route", "key", "at").mapInArrow(_settled, "key long, first long, last long")
+    large = lambda batches: _settled(batches, most)
+    by_route = lambda rows: rows.repartition("route").sortWithinPartitions("route", "key", "at")
+    sorted_out = by_route(stretches).mapInArrow(large, "route long, key long, at long, stretch binary, last long")
+    settled = by_route(sorted_out).mapInArrow(_windows_settled, "key long, first long, last long")
     gone = settled.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("first", "last")).alias("gone"))
     joined = docs.join(gone.hint("merge"), F.col("key") == F.col("__key"), "left").select("id", "key", "text", "gone")
     done = joined.mapInArrow(_cut_out, "id long, n_bytes long, n_removed long, spans array<struct<first:long,last:long>>, kept_sha256 string")

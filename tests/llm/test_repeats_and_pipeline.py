@@ -3,6 +3,8 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import sentencepiece
 
 import corpus_pipeline
@@ -72,6 +74,34 @@ def test_frequent_string_beside_own_text(spark):
     assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == dict(zip([i for i, _ in data], brute([t for _, t in data])))
 
 
+@pytest.mark.parametrize("most", [1, 2000, 4 << 20])
+def test_large_groups_go_on_by_windows(spark, most):
+    """Groups past any size give what sorted ones give: copies, passages, and a string in texts of their own."""
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    line, passage, copy = noise(24), noise(180), noise(400)
+    texts = [noise(rng.randint(0, 150)) + rng.choice([line, passage, passage[:120], passage[30:], copy, ""]) + noise(rng.randint(0, 90)) for _ in range(150)]
+    texts += [copy, copy, passage, line * 20, line * 20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digest(suffix_dedup.find_repeats(docs, most=most)).collect()}
+    assert got == dict(enumerate(brute(texts)))
+
+
+def test_a_large_group_is_never_held(spark, monkeypatch):
+    """A string that the sample has not, in 40,000 texts with surroundings of their own: a task holds SORTED bytes of it."""
+    rng = random.Random(3)
+    line = min(("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=24)) for _ in range(4000)), key=lambda x: suffix_dedup.grams(np.frombuffer(x.encode(), np.uint8))[0] >> np.uint64(1))
+    near = [bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz ", k=76)) for _ in range(400)]
+    texts = [near[i % 400] + line.encode() + near[i * 7 % 397] for i in range(40_000)]
+    batch = lambda i, n: pa.RecordBatch.from_arrays([pa.array(np.full(n, 5)), pa.array(np.arange(i, i + n)), pa.array(np.full(n, 76 << 7 | 76)), pa.array(texts[i : i + n], pa.binary()), pa.nulls(n, pa.int64())], suffix_dedup._STRETCH)
+    sizes = []
+    monkeypatch.setattr(suffix_dedup, "settle", lambda *a: pytest.fail("a large group was sorted in one task"))
+    for out in suffix_dedup._settled(iter([batch(i, 1000) for i in range(0, 40_000, 1000)]), 1 << 18):
+        assert set(map(len, out.column("stretch").to_pylist())) == {suffix_dedup.LENGTH}
+        sizes.append(out.num_rows)
+    assert sum(sizes) == 40_000 * 77 and max(sizes) <= suffix_dedup.HELD_WINDOWS + 77
+
+
 def test_anchors_do_not_depend_on_the_block():
     rng = np.random.default_rng(4)
     text = rng.integers(97, 123, 400).astype(np.uint8)
