@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compare, files, notes, results, scores, signal
+from . import compare, files, notes, results, scores, signal, songs
 
 
-MODULES = (notes, signal, scores, results, files, compare)
+MODULES = (notes, signal, scores, results, files, compare, songs)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

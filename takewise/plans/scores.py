@@ -33,22 +33,22 @@ def note_events_to_notes(spark, d):
 
 
 #: Seconds are ticks times microseconds a beat, whole numbers, over 480 million.
-_TEMPO = """, sg as (
+TEMPO = """, sg as (
   select *, lead(tick) over w as next_tick, coalesce((tick - lag(tick) over w) * lag(us_per_beat) over w, 0) as took
   from tempo window w as (partition by song_id order by tick)),
 seg as (select *, cast(sum(took) over (partition by song_id order by tick rows between unbounded preceding and current row) as bigint) as passed from sg)
 """
-_AT = lambda tick, g: f"({g}.passed + ({tick} - {g}.tick) * {g}.us_per_beat) / 480000000.0::double"
+AT = lambda tick, g: f"({g}.passed + ({tick} - {g}.tick) * {g}.us_per_beat) / 480000000.0::double"
 
 
-@query(sql("score tempo", _TEMPO + """
-select s.song_id, s.note_no, round(""" + _AT("s.st_tick", "g") + """, 6) + 0.0 as onset_sec
+@query(sql("score tempo", TEMPO + """
+select s.song_id, s.note_no, round(""" + AT("s.st_tick", "g") + """, 6) + 0.0 as onset_sec
 from score s join seg g on g.song_id = s.song_id and (s.st_tick >= g.tick or g.tick = 0) and (s.st_tick < g.next_tick or g.next_tick is null)"""))
 def tick_to_sec(spark, d):
     return M.tick_to_sec(A.score(spark, d), A.tempo(spark, d), "st_tick", "sec").select("song_id", "note_no", R(F.col("sec")).alias("onset_sec"))
 
 
-@query(sql("score tempo", _TEMPO + """, q as (select song_id, note_no, note_no * 0.037::double as at from score)
+@query(sql("score tempo", TEMPO + """, q as (select song_id, note_no, note_no * 0.037::double as at from score)
 select q.song_id, q.note_no, g.tick + cast(ceil(round((q.at * 480000000.0::double - g.passed) / g.us_per_beat, 6)) as bigint) as tick
 from q join (select *, lead(passed) over (partition by song_id order by passed) as next_passed from seg) g
   on g.song_id = q.song_id and q.at * 480000000.0::double >= g.passed and (q.at * 480000000.0::double < g.next_passed or g.next_passed is null)"""))
@@ -116,13 +116,14 @@ def repeat_notes(spark, d):
     return M.repeat_notes(A.score(spark, d), 3, 12000).select("song_id", "note_no", "copy", "st_tick", "en_tick")
 
 
-_JOINED = lambda tick, g: f"join seg {g} on {g}.song_id = s.song_id and (s.{tick} >= {g}.tick or {g}.tick = 0) and (s.{tick} < {g}.next_tick or {g}.next_tick is null)"
-_UP4 = lambda x: f"floor({x} * 10000.0::double + 0.5::double) / 10000.0::double"
+JOINED = lambda tick, g: f"join seg {g} on {g}.song_id = s.song_id and (s.{tick} >= {g}.tick or {g}.tick = 0) and (s.{tick} < {g}.next_tick or {g}.next_tick is null)"
+NOTE_NAME = "['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][midi % 12 + 1] || (midi // 12 - 1)"
+UP4 = lambda x: f"floor({x} * 10000.0::double + 0.5::double) / 10000.0::double"
 
 
-@query(sql("score tempo", _TEMPO + f""", p as (
-  select s.*, {_AT("s.st_tick", "a")} as on_sec, {_AT("s.en_tick", "b")} as off_sec from score s {_JOINED("st_tick", "a")} {_JOINED("en_tick", "b")})
-select song_id, row_number() over (partition by song_id order by st_tick, note_no) - 1 as ordinal, {_UP4("on_sec")} as onset_sec, {_UP4("off_sec")} as end_sec, {_UP4("(off_sec - on_sec)")} as duration_sec, midi,
+@query(sql("score tempo", TEMPO + f""", p as (
+  select s.*, {AT("s.st_tick", "a")} as on_sec, {AT("s.en_tick", "b")} as off_sec from score s {JOINED("st_tick", "a")} {JOINED("en_tick", "b")})
+select song_id, row_number() over (partition by song_id order by st_tick, note_no) - 1 as ordinal, {UP4("on_sec")} as onset_sec, {UP4("off_sec")} as end_sec, {UP4("(off_sec - on_sec)")} as duration_sec, midi,
   ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][midi % 12 + 1] || (midi // 12 - 1) as name, round(440.0 * pow(2.0, (midi - 69) / 12.0), 6) as hz, velocity from p"""))
 def expected_notes(spark, d):
     return M.expected_notes(A.score(spark, d), A.tempo(spark, d))
@@ -183,34 +184,34 @@ def merge_tracks(spark, d):
 
 # planted defects: hashes and folds as SQL
 
-_U = lambda tag: f"(cast('0x' || substr(md5('7:{tag}:' || song_id || ':' || note_no), 1, 13) as bigint) / 4503599627370496.0::double)"
-_BETWEEN = lambda tag, low, high: f"({low}::double + {_U(tag)} * ({high}::double - {low}::double))"
+U = lambda tag: f"(cast('0x' || substr(md5('7:{tag}:' || song_id || ':' || note_no), 1, 13) as bigint) / 4503599627370496.0::double)"
+BETWEEN = lambda tag, low, high: f"({low}::double + {U(tag)} * ({high}::double - {low}::double))"
 _FIRST = ", ft as (select song_id, arg_min(us_per_beat, tick) as us from tempo group by song_id)\n"
 
 
 @query(sql("score", f"""
-select song_id, note_no, midi, floor(case when {_U("far")} < 0.85 then {_BETWEEN("size", 45.0, 115.0)} * case when {_U("sign")} < 0.68 then 1 else -1 end else {_BETWEEN("near", -25.0, 25.0)} end * 10.0::double + 0.5::double) / 10.0::double as planted_cents
+select song_id, note_no, midi, floor(case when {U("far")} < 0.85 then {BETWEEN("size", 45.0, 115.0)} * case when {U("sign")} < 0.68 then 1 else -1 end else {BETWEEN("near", -25.0, 25.0)} end * 10.0::double + 0.5::double) / 10.0::double as planted_cents
 from score"""))
 def perturb_pitch(spark, d):
     return M.perturb_pitch(A.score(spark, d), 7).select("song_id", "note_no", "midi", "planted_cents")
 
 
-@query(sql("score tempo", _TEMPO + f""", pp as (
-  select song_id, note_no, midi, st_tick, floor(case when {_U("far")} < 0.85 then {_BETWEEN("size", 45.0, 115.0)} * case when {_U("sign")} < 0.68 then 1 else -1 end else {_BETWEEN("near", -25.0, 25.0)} end * 10.0::double + 0.5::double) / 10.0::double as v from score)
-select s.song_id, 'off_pitch' as variant, s.note_no, {_UP4(_AT("s.st_tick", "a"))} as onset_sec, s.midi, 'planted_cents' as label, v as value from pp s {_JOINED("st_tick", "a")}"""))
+@query(sql("score tempo", TEMPO + f""", pp as (
+  select song_id, note_no, midi, st_tick, floor(case when {U("far")} < 0.85 then {BETWEEN("size", 45.0, 115.0)} * case when {U("sign")} < 0.68 then 1 else -1 end else {BETWEEN("near", -25.0, 25.0)} end * 10.0::double + 0.5::double) / 10.0::double as v from score)
+select s.song_id, 'off_pitch' as variant, s.note_no, {UP4(AT("s.st_tick", "a"))} as onset_sec, s.midi, 'planted_cents' as label, v as value from pp s {JOINED("st_tick", "a")}"""))
 def defect_labels(spark, d):
     return M.defect_labels(M.perturb_pitch(A.score(spark, d), 7), A.tempo(spark, d), "off_pitch", ["planted_cents"])
 
 
 @query(sql("score", f""", f as (
-  select song_id, note_no, velocity, case when {_U("faint")} < 0.1 then {_BETWEEN("faint size", 0.12, 0.25)} else {_BETWEEN("size", 0.3, 1.35)} end as f from score)
+  select song_id, note_no, velocity, case when {U("faint")} < 0.1 then {BETWEEN("faint size", 0.12, 0.25)} else {BETWEEN("size", 0.3, 1.35)} end as f from score)
 select song_id, note_no, floor(f * 1000.0::double + 0.5::double) / 1000.0::double as factor, cast(least(greatest(round_even(velocity * f, 0), 3), 127) as bigint) as velocity from f"""))
 def perturb_dynamics(spark, d):
     return M.perturb_dynamics(A.score(spark, d), 7).select("song_id", "note_no", "factor", "velocity")
 
 
 @query(sql("score tempo", _FIRST + f""", e as (
-  select s.song_id, note_no, midi, (en_tick - st_tick) * us / 480000000.0::double >= 0.05 as fit, {_U("wrong").replace("song_id", "s.song_id")} as u, cast(floor({_U("step").replace("song_id", "s.song_id")} * 6) as bigint) - 3 as st from score s join ft using (song_id)),
+  select s.song_id, note_no, midi, (en_tick - st_tick) * us / 480000000.0::double >= 0.05 as fit, {U("wrong").replace("song_id", "s.song_id")} as u, cast(floor({U("step").replace("song_id", "s.song_id")} * 6) as bigint) - 3 as st from score s join ft using (song_id)),
 k as (select *, row_number() over (partition by song_id, fit order by u, note_no) as rn, count(*) over (partition by song_id, fit) as n from e),
 w as (select *, case when fit and rn <= greatest(1, round_even(n * 0.15::double, 0)) then case when st >= 0 then st + 1 else st end else 0 end as planted_semitones from k)
 select song_id, note_no, planted_semitones, case when planted_semitones <> 0 then least(greatest(midi + planted_semitones, 21), 108) else midi end as midi from w"""))
@@ -219,7 +220,7 @@ def perturb_wrong_notes(spark, d):
 
 
 @query(sql("score", f""", r as (
-  select song_id, note_no, greatest(1, cast(floor({_U("long")} * 4) as bigint)) as run from score where {_U("drop")} < 0.12),
+  select song_id, note_no, greatest(1, cast(floor({U("long")} * 4) as bigint)) as run from score where {U("drop")} < 0.12),
 nx as (select a.song_id, a.note_no, min(b.note_no) as later from r a join r b on b.song_id = a.song_id and b.note_no >= a.note_no + a.run group by all),
 kept as (select song_id, min(note_no) as note_no from r group by song_id union all select k.song_id, nx.later from kept k join nx on nx.song_id = k.song_id and nx.note_no = k.note_no),
 gone as (select song_id, note_no + unnest(range(run)) as note_no from kept join r using (song_id, note_no))
@@ -240,7 +241,7 @@ q as (
   select *, en_tick - st_tick as long, row_number() over w as i, min(st_tick) over (partition by song_id) as first, max(en_tick) over (partition by song_id) as last, lag(en_tick - st_tick) over w as before
   from lg join ft using (song_id) window w as (partition by song_id order by st_tick, note_no)),
 h as (
-  select *, ({_U("timing")} * 2 - 1) * least(0.09::double, 0.3::double * (least(before, long) * us / 480000000.0::double)) - 0.055::double * (st_tick - first) / greatest(1, last - first) as wish,
+  select *, ({U("timing")} * 2 - 1) * least(0.09::double, 0.3::double * (least(before, long) * us / 480000000.0::double)) - 0.055::double * (st_tick - first) / greatest(1, last - first) as wish,
     cast(greatest(floor(0.25::double * long), round_even(0.02::double * 480000000.0::double / us, 0)) as bigint) as keep from q),
 m as (select *, cast(ceil(round(abs(wish) * 480000000.0::double / us, 6)) * sign(wish) as bigint) as push from h),
 f as (

@@ -485,3 +485,29 @@ def test_hot_tokens_join_few_pairs(spark):
     prefixes = order.select("id", size.alias("n"), F.posexplode(F.slice("t", F.lit(1), (size - F.ceil(size * 0.5) + 1).cast("int"))).alias("pos", "token"))
     assert pairing.overlap_candidates(prefixes, 0.5).count() <= 3 * len(got)  # of 5 * 10 ** 7 pairs of the token's sets
     tokens.unpersist()
+
+
+def test_song_corpus(spark, sf):
+    """Melodies have one note at a time from the lead on, repeats are the first pass again, and labels agree with what was planted."""
+    from takewise.operators import songs
+    from takewise.plans import songs as plans
+
+    done = plans._build(spark, sf)
+    summary = {r.song_id: r for r in done.summary.collect()}
+    melody = {}
+    for r in done.melody.orderBy("song_id", "st_tick").collect():
+        melody.setdefault(r.song_id, []).append(r)
+    assert {r.error_code for r in summary.values()} == {None, "NO_NOTES", "SONG_LENGTH"} and set(melody) == {k for k, r in summary.items() if not r.error_code}
+    for k, notes in melody.items():
+        assert all(a.en_tick <= b.st_tick or a.st_tick == b.st_tick for a, b in zip(notes, notes[1:]))
+        one = len(notes) // summary[k].repeats
+        assert len(notes) == one * summary[k].repeats == summary[k].n_notes
+        gap = {b.st_tick - a.st_tick for a, b in zip(notes, notes[one:])}
+        assert len(gap) == (summary[k].repeats > 1) and all(a.midi == b.midi for a, b in zip(notes, notes[one:]))
+        assert 45 <= summary[k].duration_sec + 2 * summary[k].seg_sec and summary[k].duration_sec <= 120
+    n = {(r.song_id, r.variant): r.n for r in done.labels.groupBy("song_id", "variant").agg(F.countDistinct("note_no").alias("n")).collect()}
+    for k in melody:
+        assert all(n.get((k, v), 0) == summary[k][f"n_{v}"] for v in songs.VARIANTS)
+    assert done.labels.where("variant = 'timing' and abs(value) > 0.16").count() == 0
+    nothing = songs.build(adapters.note_events(spark, sf).limit(0), adapters.tempo(spark, sf), spark.createDataFrame([(1, "asis")], "song_id long, mode string"))
+    assert [r.error_code for r in nothing.summary.collect()] == ["NO_NOTES"] and nothing.expected.count() == nothing.labels.count() == 0
