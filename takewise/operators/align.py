@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..config import ALIGN_BAND, MIN_COVERAGE
+from ..config import ALIGN_BAND, ALIGN_HOP, MIN_COVERAGE
 
 
 #: Diagonals whose distances are found at once, and cells of a band of which the way back is held in whole (a byte each).
@@ -206,6 +206,26 @@ def warp_reindex(path: DataFrame, frames: DataFrame, values: list[str]) -> DataF
     return at.join(frames.select("pair_id", F.col("frame").alias("p"), *values), ["pair_id", "p"]).select("pair_id", "frame", *values)
 
 
+def warped_samples(path: DataFrame, practice: DataFrame, sizes: DataFrame, chunk: int, hop: int = ALIGN_HOP) -> DataFrame:
+    """(pair_id, frame, pcm, error_code): practice samples on the reference axis, a row for each hop samples of the
+    reference, the last one shorter: the sample at which the first practice frame of that reference frame starts, held
+    throughout (frames after the path's last take its last). practice has pair_id, chunk_no and pcm, chunks of chunk
+    samples; sizes pair_id, n_ref and n_prac in samples. A pair without path or practice samples, or whose path goes
+    beyond the practice's last frame, has one row with CORE_BUILD_FAILED."""
+    first = path.groupBy("pair_id", F.col("reference_frame").alias("known")).agg(F.min("practice_frame").alias("p"))
+    ends = path.groupBy("pair_id").agg(F.max("reference_frame").alias("last"), F.max("practice_frame").alias("most"))
+    all_ = sizes.where("n_ref > 0").join(ends, "pair_id", "left")
+    bad = F.col("last").isNull() | (F.col("n_prac") <= 0) | (F.col("most") > F.floor((F.col("n_prac") - 1) / hop))
+    failed = all_.where(bad).select("pair_id", F.lit("CORE_BUILD_FAILED").alias("error_code"))
+    rows = all_.where(~bad).select("pair_id", "n_ref", "last", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_ref") - 1) / hop))).alias("frame"))
+    rows = rows.withColumn("known", F.least("frame", "last")).join(first, ["pair_id", "known"])
+    at = F.col("p") * hop
+    rows = rows.select("pair_id", "frame", "n_ref", F.floor(at / chunk).alias("chunk_no"), (at % chunk).cast("int").alias("at"))
+    held = F.least(F.lit(hop), F.col("n_ref") - F.col("frame") * hop).cast("int")
+    found = rows.join(practice.select("pair_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "pcm"), ["pair_id", "chunk_no"])
+    return found.select("pair_id", "frame", F.array_repeat(F.get("pcm", F.col("at")), held).alias("pcm"), F.lit(None).cast("string").alias("error_code")).unionByName(failed, allowMissingColumns=True)
+
+
 def linear_rescale(notes: DataFrame) -> DataFrame:
     """(pair_id, note_no, scaled_sec): practice onsets stretched to the reference's first and last; null where all
     practice onsets are one. Such times hide how a pair differs in timing."""

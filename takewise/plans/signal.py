@@ -382,3 +382,23 @@ l as (select pair_id, max(frame) as last from p group by pair_id)
 select f.pair_id, f.frame, round(p.f0_hz, 6) as value from f join l using (pair_id) join p on p.pair_id = f.pair_id and p.frame = greatest(0, least(f.p, last))"""))
 def warp_reindex(spark, d):
     return L.warp_reindex(A.paths(spark, d), _side(spark, d, "practice").drop("features"), ["value"]).withColumn("value", F.round("value", 6))
+
+
+@query(sql("samples", """, pa as (
+  select pair_id, i as reference_frame, case when pair_id % 7 = 3 and i = 5 then 8 else least(7, i * (1 + pair_id % 3) // 2) end as practice_frame from (select distinct pair_id, unnest(range(6)) as i from samples)),
+n as (select pair_id, max(case when side = 'reference' then 60 end) as n_ref, max(case when side = 'practice' then len(pcm) end) as n_prac from samples group by pair_id),
+f as (select pair_id, n_ref, unnest(range((n_ref - 1) // 8 + 1)) as frame from n where pair_id % 7 <> 3 and n_prac > 0)
+select f.pair_id, f.frame, cast(least(8, n_ref - frame * 8) as bigint) as n, round(s.pcm[pa.practice_frame * 8 + 1], 6) + 0.0 as value, cast(null as varchar) as error_code
+from f join pa on pa.pair_id = f.pair_id and pa.reference_frame = least(f.frame, 5) join samples s on s.pair_id = f.pair_id and s.side = 'practice'
+union all select pair_id, null, null, null, 'CORE_BUILD_FAILED' from n where n_ref > 0 and (pair_id % 7 = 3 or n_prac is null)"""))
+def warped_port(spark, d):
+    """Practice samples on the reference's axis, by paths of their own, some beyond the practice's end."""
+    s = A.samples(spark, d)
+    n = s.groupBy("pair_id").agg(F.max(F.when(F.col("side") == "reference", 60)).alias("n_ref"), F.coalesce(F.max(F.when(F.col("side") == "practice", F.size("pcm"))), F.lit(0)).alias("n_prac"))
+    p = s.select("pair_id").distinct().select("pair_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))).alias("reference_frame"))
+    frame = F.expr("case when pair_id % 7 = 3 and reference_frame = 5 then 8 else least(7, reference_frame * (1 + pair_id % 3) div 2) end")
+    parts = F.array(F.slice("pcm", 1, 40), F.slice("pcm", 41, 40))
+    chunks = s.where("side = 'practice'").select("pair_id", F.posexplode(parts).alias("chunk_no", "pcm"))
+    w = L.warped_samples(p.withColumn("practice_frame", frame), chunks, n, 40, 8)
+    size = F.when(F.col("pcm").isNotNull(), F.size("pcm")).cast("bigint")
+    return w.select("pair_id", "frame", size.alias("n"), R(F.get("pcm", F.lit(0))).alias("value"), "error_code")

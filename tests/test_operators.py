@@ -511,3 +511,19 @@ def test_song_corpus(spark, sf):
     assert done.labels.where("variant = 'timing' and abs(value) > 0.16").count() == 0
     nothing = songs.build(adapters.note_events(spark, sf).limit(0), adapters.tempo(spark, sf), spark.createDataFrame([(1, "asis")], "song_id long, mode string"))
     assert [r.error_code for r in nothing.summary.collect()] == ["NO_NOTES"] and nothing.expected.count() == nothing.labels.count() == 0
+
+
+def test_warped_samples(spark):
+    """Sample by sample against the rule, for chunks of any size; what cannot be warped is one row."""
+    rng = np.random.default_rng(2)
+    n_ref, prac = 45, rng.normal(size=37)
+    path = [(1, k, i, j) for k, (i, j) in enumerate([(0, 0), (0, 1), (1, 1), (2, 3), (3, 3), (4, 4)])] + [(2, 0, 0, 9), (4, 0, 0, 0)]
+    table = spark.createDataFrame(path, "pair_id long, step long, reference_frame long, practice_frame long")
+    sizes = spark.createDataFrame([(1, n_ref, 37), (2, 16, 37), (3, 16, 37), (4, 16, 0)], "pair_id long, n_ref long, n_prac long")
+    first = {0: 0, 1: 1, 2: 3, 3: 3, 4: 4}
+    for chunk in (1, 7, 64):
+        chunks = spark.createDataFrame([(p, k, prac[k * chunk : (k + 1) * chunk].tolist()) for p in (1, 2, 3) for k in range(-(-37 // chunk))], "pair_id long, chunk_no int, pcm array<double>")
+        got = align.warped_samples(table, chunks, sizes, chunk, 8).collect()
+        assert sorted((r.pair_id, r.error_code) for r in got if r.error_code) == [(k, "CORE_BUILD_FAILED") for k in (2, 3, 4)]
+        flat = [x for r in sorted((r for r in got if not r.error_code), key=lambda r: r.frame) for x in r.pcm]
+        assert flat == [prac[min(first[min(i // 8, 4)] * 8, 36)] for i in range(n_ref)]
