@@ -44,15 +44,15 @@ def tempo_segments(tempo: DataFrame) -> DataFrame:
     return t.withColumn("passed", F.sum("took").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("took")
 
 
-def _segments(tempo: DataFrame, order: str) -> DataFrame:
-    """A song's segments as one array in order, so that rows are never multiplied."""
-    first = F.col(order).alias("__at")
-    return tempo_segments(tempo).groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct(first, F.col("tick").alias("t"), F.col("passed").alias("p"), F.col("us_per_beat").alias("u")))).alias("__seg"))
-
-
-def _last(at: Column) -> Column:
-    """The last segment that starts at or before a place; what is before the first takes the first."""
-    return F.element_at(F.filter("__seg", lambda s: s["__at"] <= F.greatest(at, F.get("__seg", F.lit(0))["__at"])), -1)
+def _as_of(rows: DataFrame, tempo: DataFrame, order: str, at: Column) -> DataFrame:
+    """(__row, __last) of rows: the last segment (t, p, u) of the song whose order column is at most a row's place, the
+    first one for rows before it. A running last over both in order, so a song may have as many segments as rows."""
+    first = F.row_number().over(W.partitionBy("song_id").orderBy(order)) == 1
+    segments = tempo_segments(tempo).select("song_id", F.when(~first, F.col(order).cast("double")).alias("__at"), F.struct(F.col("tick").alias("t"), F.col("passed").alias("p"), F.col("us_per_beat").alias("u")).alias("__seg"))
+    placed = rows.select("song_id", F.coalesce(at.cast("double"), F.lit(float("-inf"))).alias("__at"), F.struct("*").alias("__row"))
+    seen = W.partitionBy("song_id").orderBy(F.asc_nulls_first("__at"), F.col("__row").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    both = segments.unionByName(placed, allowMissingColumns=True).withColumn("__last", F.last("__seg", True).over(seen))
+    return both.where("__row is not null and __last is not null").select("__row", "__last")
 
 
 def seconds(tick_us: Column, beat: int = BEAT_TICKS) -> Column:
@@ -62,17 +62,15 @@ def seconds(tick_us: Column, beat: int = BEAT_TICKS) -> Column:
 def tick_to_sec(rows: DataFrame, tempo: DataFrame, tick: str, out: str, beat: int = BEAT_TICKS) -> DataFrame:
     """rows with the seconds of a tick column, by the last tempo segment that starts at or before it; ticks before the
     first segment take its tempo."""
-    joined = rows.join(_segments(tempo, "tick"), "song_id").withColumn("__last", _last(F.col(tick)))
-    passed = F.col("__last.p") + (F.col(tick) - F.col("__last.t")) * F.col("__last.u")
-    return joined.withColumn(out, seconds(passed, beat)).drop("__seg", "__last")
+    passed = F.col("__last.p") + (F.col("__row").getField(tick) - F.col("__last.t")) * F.col("__last.u")
+    return _as_of(rows, tempo, "tick", F.col(tick)).withColumn("__out", seconds(passed, beat)).select("__row.*", F.col("__out").alias(out))
 
 
 def sec_to_tick(rows: DataFrame, tempo: DataFrame, sec: str, out: str, beat: int = BEAT_TICKS) -> DataFrame:
     """rows with the smallest tick that reaches a time."""
-    want = F.col(sec) * F.lit(1e6 * beat)
-    joined = rows.join(_segments(tempo, "passed"), "song_id").withColumn("__last", _last(want))
-    ticks = F.ceil(F.round((want - F.col("__last.p")) / F.col("__last.u"), 6))
-    return joined.withColumn(out, F.col("__last.t") + ticks).drop("__seg", "__last")
+    want = lambda column: column * F.lit(1e6 * beat)
+    ticks = F.ceil(F.round((want(F.col("__row").getField(sec)) - F.col("__last.p")) / F.col("__last.u"), 6))
+    return _as_of(rows, tempo, "passed", want(F.col(sec))).withColumn("__out", F.col("__last.t") + ticks).select("__row.*", F.col("__out").alias(out))
 
 
 def rounded_half_up(x: Column, digits: int) -> Column:

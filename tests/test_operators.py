@@ -527,3 +527,19 @@ def test_warped_samples(spark):
         assert sorted((r.pair_id, r.error_code) for r in got if r.error_code) == [(k, "CORE_BUILD_FAILED") for k in (2, 3, 4)]
         flat = [x for r in sorted((r for r in got if not r.error_code), key=lambda r: r.frame) for x in r.pcm]
         assert flat == [prac[min(first[min(i // 8, 4)] * 8, 36)] for i in range(n_ref)]
+
+
+def test_tempo_maps_of_many_segments(spark):
+    """100,000 segments of a song: ticks to seconds and back, before the first segment and beyond the last."""
+    n = 100_000
+    tempo = spark.range(n).select(F.lit(1).alias("song_id"), (F.col("id") * 10 + 5).alias("tick"), (400_000 + F.col("id") % 7 * 1000).alias("us_per_beat"))
+    ticks = spark.range(0, 10 * n + 100, 7).select(F.lit(1).alias("song_id"), (F.col("id") - 20).alias("tick"), F.lit("x").alias("sec"))
+    us = [400_000 + k % 7 * 1000 for k in range(n)]
+    passed = np.concatenate(([0], np.cumsum(np.array(us) * 10)))
+    rows = scores.tick_to_sec(ticks, tempo, "tick", "at").collect()
+    assert len(rows) == ticks.count()
+    for r in rows[:: len(rows) // 500]:
+        k = min(max((r.tick - 5) // 10, 0), n - 1)
+        assert r.at == pytest.approx((passed[k] + (r.tick - 5 - 10 * k) * us[k]) / 480e6) and r.sec == "x"
+    back = scores.sec_to_tick(spark.createDataFrame([(1, r.at) for r in rows[:: len(rows) // 500]] + [(2, 1.0)], "song_id long, at double"), tempo, "at", "t").collect()
+    assert sorted(r.t for r in back) == sorted(r.tick for r in rows[:: len(rows) // 500])
