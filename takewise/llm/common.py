@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut, shared_folder
+
 #: bytes.translate table that lower-cases A-Z and nothing else.
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -32,26 +33,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir, or the folder that the session has set; a local master without either gets
-    a temporary folder, a cluster an error, as a folder of the driver's machine is no use to executors."""
-    sc = spark.sparkContext
-    if folder := sc.getConf().get("spark.checkpoint.dir"):
-        return folder
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes a narrow table to the shared folder and returns it without its lineage. The files survive a lost
-    executor, and Spark's cleaner removes them with the DataFrame."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def rewritten(df: DataFrame, folder: str) -> DataFrame:
     """Writes a table to a folder as Parquet and reads it again."""
     df.write.parquet(folder)

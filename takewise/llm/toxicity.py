@@ -42,7 +42,7 @@ PRIOR = 1.5
 TIMES_MORE = 8.0
 FEATURES = 4000
 WORD = re.compile(r"[^\W\d_]+")
-#: Words of a training sentence; longer ones are cut.
+#: Words of a training sentence; longer ones are split into several.
 LONGEST = 64
 STEPS = 150
 #: Distinct rows that a task holds back to send each once.

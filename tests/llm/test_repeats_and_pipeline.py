@@ -204,3 +204,15 @@ def test_pipeline_stages_on_odd_rows(spark, sf):
         out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
         assert out.count() == n and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert n == 0
+
+
+def test_pipeline_run_on_odd_rows(spark, tmp_path):
+    """run() over a folder of odd rows gives what the stages give one by one."""
+    docs = odd(spark).unionByName(spark.createDataFrame([(100 + i, prose(i, 120), "en", "s", 9) for i in range(60)], odd(spark).schema))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(100 + i, int(i % 5 > 0), int(i % 7 == 0)) for i in range(40)] + [(None, 1, 1), (101, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    step = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = spark.createDataFrame(stage(spark, step, str(tmp_path)).collect(), step.schema)
+    assert 0 < step.count() < docs.count() and rows(got) == rows(corpus_pipeline.STAGES[-1][1](spark, step, str(tmp_path)))

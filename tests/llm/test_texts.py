@@ -97,6 +97,32 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert kept == set(range(200))
 
 
+def test_quality_ties_at_the_fences(spark):
+    """All rates equal: a text just at a fence stays, the next one goes, in a group of its own size or by all texts'."""
+    plain = [(i, prose(i, 100), "en", "s") for i in range(80)]
+    marked = lambda i, n: " ".join(w + "#" * (k < n) for k, w in enumerate(prose(i, 100).split()))
+    edge = [(1000, marked(1000, 24), "en", "s"), (1001, marked(1001, 25), "en", "s"), (1002, marked(1002, 24), "fr", "t"), (1003, marked(1003, 25), "fr", "t"), (1004, marked(1004, 24), None, None)]
+    kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(plain + edge, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(kept[i] for i in range(80)) and {i: kept[i] for i in range(1000, 1005)} == {1000: True, 1001: False, 1002: True, 1003: False, 1004: True}
+
+
+def test_labels_that_repeat_an_id(spark):
+    """The highest toxic and the lowest quality of an id's labels count, for mixing and for toxicity."""
+    rng = random.Random(4)
+    docs = [(i, prose(i, 30) + rng.choice(["", "", " scum idiot", " ### $$$ %%%"])) for i in range(240)]
+    marks = [(i, int("###" not in t), int("scum" in t)) for i, t in docs]
+    more = [(i, 1, 0) for i in range(0, 240, 3)] + [(i, 0, 0) for i in range(0, 240, 40)] + [(None, 0, 1), (5, None, None), *marks[:50]]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    both = {i: [q, t] for i, q, t in marks}
+    for i, q, _ in more:
+        if i is not None and q == 0:
+            both[i][0] = 0
+    table = lambda data: spark.createDataFrame(data, "doc_id long, quality int, toxic int")
+    once, often = table([(i, *v) for i, v in both.items()]), table(marks + more).repartition(3)
+    assert rows(mixing.document_rates(df, once)) == rows(mixing.document_rates(df, often))
+    assert rows(toxicity.learn_and_score(df, once.select("doc_id", "toxic"))) == rows(toxicity.learn_and_score(df, often.select("doc_id", "toxic")))
+
+
 PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
 
 
