@@ -40,3 +40,9 @@ def bucketed(df: DataFrame, key: str, order: tuple[str, ...] = ()) -> DataFrame:
     table = spark.table(name)
     spark.sql(f"drop table {name}")  # of an external table only the name
     return table
+
+
+def forget(spark: SparkSession, folder: str) -> None:
+    """Removes a folder below the shared one, by the file system that it is on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

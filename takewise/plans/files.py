@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import functions as F
 
-from ..functions.lineage import shared_folder
+from ..functions.lineage import cut, forget, shared_folder
 from ..functions.scalars import rounded as R
 from ..operators import catalogue as C
 from ..sources import adapters as A
@@ -65,7 +65,9 @@ def wav_header_scan(spark, d):
             yield batch
 
     A.samples(spark, d).select("take_id").mapInArrow(write, "take_id long").write.format("noop").mode("overwrite").save()
-    return S.wav_header_scan(spark, folder).withColumn("duration_sec", F.round("duration_sec", 9))
+    found = cut(S.wav_header_scan(spark, folder).withColumn("duration_sec", F.round("duration_sec", 9)))
+    forget(spark, folder)
+    return found
 
 
 @query(sql("takes", "select take_id, side, round(n_samples / sample_rate, 4) as duration_sec, 'Läufe, ' || side as title from takes"))
@@ -74,7 +76,9 @@ def manifest_csv(spark, d):
     folder = _folder(spark)
     t = A.takes(spark, d).select("take_id", "side", F.round(F.col("n_samples") / F.col("sample_rate"), 4).alias("duration_sec"), F.concat(F.lit("Läufe, "), "side").alias("title"))
     S.write_manifest(t, folder)
-    return S.read_manifest(spark, folder, "take_id long, side string, duration_sec double, title string")
+    found = cut(S.read_manifest(spark, folder, "take_id long, side string, duration_sec double, title string"))
+    forget(spark, folder)
+    return found
 
 
 @query(sql("notes", """

@@ -543,3 +543,26 @@ def test_tempo_maps_of_many_segments(spark):
         assert r.at == pytest.approx((passed[k] + (r.tick - 5 - 10 * k) * us[k]) / 480e6) and r.sec == "x"
     back = scores.sec_to_tick(spark.createDataFrame([(1, r.at) for r in rows[:: len(rows) // 500]] + [(2, 1.0)], "song_id long, at double"), tempo, "at", "t").collect()
     assert sorted(r.t for r in back) == sorted(r.tick for r in rows[:: len(rows) // 500])
+
+
+def test_file_queries_leave_no_folder(spark, sf):
+    from pathlib import Path
+
+    from takewise.functions.lineage import shared_folder
+    from takewise.plans import files as plans
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()}
+    for name in ("wav_header_scan", "manifest_csv"):
+        assert plans.QUERIES[name](spark, sf).count() > 0
+    assert not [p for p in folder.iterdir() if p.name not in before and len(p.name) == 32]
+
+
+def test_wav_files_of_many_chunks(spark, tmp_path):
+    """Any number of chunks may stand before the data."""
+    chunk = lambda name, body: name + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) % 2)
+    head = chunk(b"fmt ", (1).to_bytes(2, "little") + (1).to_bytes(2, "little") + (8000).to_bytes(4, "little") + (16000).to_bytes(4, "little") + (2).to_bytes(2, "little") + (16).to_bytes(2, "little"))
+    body = b"WAVE" + head + b"".join(chunk(b"LIST", b"x" * (i % 5)) for i in range(300)) + chunk(b"data", b"\0" * 16_000)
+    (tmp_path / "a.wav").write_bytes(b"RIFF" + len(body).to_bytes(4, "little") + body)
+    r = files.wav_header_scan(spark, str(tmp_path)).first()
+    assert (r.duration_sec, r.sample_rate_hz, r.error_code) == (1.0, 8000, None)
