@@ -75,10 +75,16 @@ def variants(melody: DataFrame, tempo: DataFrame, seed: int, beat: int = BEAT_TI
     return out
 
 
-def build(events: DataFrame, tempo: DataFrame, songs: DataFrame, settings: Settings = Settings()) -> Songs:
-    """events has song_id, midi, tick, is_on, note_no and velocity; tempo song_id, tick and us_per_beat; songs song_id and
-    mode (`topvoice` or `asis`). Errors are NO_NOTES, NO_TEMPO, and SONG_LENGTH where no number of repeats brings a song
-    into the allowed length."""
+class Standards(NamedTuple):
+    """score as it was heard, plan (a row a song that has a melody and a tempo), and the final melody of those it suits."""
+
+    score: DataFrame
+    plan: DataFrame
+    melody: DataFrame
+
+
+def standards(events: DataFrame, tempo: DataFrame, songs: DataFrame, settings: Settings = Settings()) -> Standards:
+    """The melodies that all else is measured by; tables as in build."""
     s = settings
     score = bucketed(numbered(scores.notes_of_events(events)), "song_id", ("st_tick",))
     melody, sizes = cropped(melodies(score, songs, s.chord), s.bar_ticks)
@@ -91,7 +97,15 @@ def build(events: DataFrame, tempo: DataFrame, songs: DataFrame, settings: Setti
     rows = melody.join(good, "song_id").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("repeats") - 1)))
     at = F.col("copy") * F.col("seg_ticks") + F.col("lead")
     rows = rows.select("song_id", (F.col("st_tick") + at).alias("st_tick"), (F.col("en_tick") + at).alias("en_tick"), (F.col("midi") + F.col("shift")).alias("midi"), "velocity")
-    final = bucketed(numbered(rows), "song_id", ("st_tick",))
+    return Standards(score, plan, bucketed(numbered(rows), "song_id", ("st_tick",)))
+
+
+def build(events: DataFrame, tempo: DataFrame, songs: DataFrame, settings: Settings = Settings()) -> Songs:
+    """events has song_id, midi, tick, is_on, note_no and velocity; tempo song_id, tick and us_per_beat; songs song_id and
+    mode (`topvoice` or `asis`). Errors are NO_NOTES, NO_TEMPO, and SONG_LENGTH where no number of repeats brings a song
+    into the allowed length."""
+    s = settings
+    score, plan, final = standards(events, tempo, songs, s)
     expected = scores.expected_notes(final, tempo, s.beat)
     labels = cut(variants(final, tempo, s.seed, s.beat))
     counts = labels.groupBy("song_id").agg(*(F.count_if(F.col("variant") == v).alias(v) for v in VARIANTS))

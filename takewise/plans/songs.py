@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import LEAD_SEC, TAIL_SEC
 from ..functions.scalars import rounded as R
+from ..operators import scores as M
 from ..operators import songs as C
 from ..sources import adapters as A
 from ..sources.adapters import sql
@@ -27,10 +28,14 @@ def query(text):
 _NONE, _SLOW, _MODE = "song_id % 10 = 7", "case when song_id % 10 = 3 then 16 else 1 end", "case when song_id % 2 = 0 then 'topvoice' else 'asis' end"
 
 
-def _build(spark, d):
+def _tables(spark, d):
     events = A.note_events(spark, d).where(f"not ({_NONE})").withColumn("tick", F.expr(f"tick * {_SLOW}"))
     songs = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("song_id")).withColumn("mode", F.expr(_MODE))
-    return C.build(events, A.tempo(spark, d), songs)
+    return events, A.tempo(spark, d), songs
+
+
+def _build(spark, d):
+    return C.build(*_tables(spark, d))
 
 
 _MELODY = TEMPO + f""", ev as (select song_id, midi, tick * {_SLOW} as tick, is_on, note_no, velocity from note_events where not ({_NONE})),
@@ -79,7 +84,8 @@ select song_id, row_number() over (partition by song_id order by st_tick, note_n
   {NOTE_NAME} as name, round(440.0 * pow(2.0, (midi - 69) / 12.0), 6) as hz, velocity from ex""", recursive=True))
 def song_notes(spark, d):
     """The expected notes of all songs that can be used."""
-    return _build(spark, d).expected
+    tables = _tables(spark, d)
+    return M.expected_notes(C.standards(*tables).melody, tables[1])
 
 
 @query(sql("note_events tempo", _MELODY + f""", ft as (select song_id, arg_min(us_per_beat, tick) as us from tempo group by song_id),
