@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..config import DB_FLOOR, DEAD_BAND_SEC, MIN_NOTE_SEC, OFF_PITCH_CENTS, PITCH_HOP, SAMPLE_RATE
-from ..functions.scalars import to_db
+from ..functions.scalars import log2, to_db
 from .pairing import notes_with_frames, pair_by_ordinal
 
 
@@ -24,21 +24,26 @@ def note_deviation(notes: DataFrame, frames: DataFrame, least_frames: float = MI
     voiced frame. notes has pair_id, side, take_id, note_no, f0_hz, start_frame and span_end (exclusive); frames
     take_id, frame, voiced and f0_hz.
 
-    Cents against a base are octaves less the base's, so the base cancels out and medians of octaves do. Both tables are
-    read once; with pair_id in frames too, all is grouped by the pair, and tables bucketed by it need no exchange."""
+    A median of cents lies between those of the two middle pitches, so these alone are kept of a note, and measured once
+    the reference note is beside them. Cents of just 50 are common and are told from more by the last bit, so they are
+    computed in the order told here. Both tables are read once; with pair_id in frames too, all is grouped by the pair,
+    and tables bucketed by it need no exchange."""
     key = [c for c in ("pair_id", "take_id") if c in frames.columns]
     carried = tuple(c for c in ("pair_id", "side") if c not in key)
     spans = notes.withColumn("base_hz", F.col("f0_hz"))
     rows = notes_with_frames(frames.select(*key, "frame", "voiced", "f0_hz"), spans, key, (*carried, "base_hz"))
     long_ = F.greatest(F.lit(1), F.col("span_end") - F.col("start_frame")) >= least_frames
     sung = F.col("framed") & (F.col("voiced") == 1) & (F.col("f0_hz") > 0) & long_
-    found = rows.groupBy("pair_id", "take_id", "side", "note_no").agg(
-        F.median(F.when(sung, F.log2("f0_hz"))).alias("octaves"), F.median(F.when(sung, F.col("f0_hz"))).alias("hz"), F.max("base_hz").alias("base_hz")
+    middle = lambda way: F.expr(f"percentile_disc(0.5) within group (order by sung {way})")
+    found = rows.withColumn("sung", F.when(sung, F.col("f0_hz"))).groupBy("pair_id", "take_id", "side", "note_no").agg(
+        middle("asc").alias("low"), middle("desc").alias("high"), F.max("base_hz").alias("base_hz")
     )
-    both = pair_by_ordinal(found, ["octaves", "hz", "base_hz"])
-    cents = F.when(F.col("ref_base_hz") > 0, 1200.0 * (F.col("prac_octaves") - F.col("ref_octaves")))
-    hz = lambda c: F.when(cents.isNotNull(), F.col(c))
-    return both.select("pair_id", "note_no", cents.alias("cents"), hz("ref_hz").alias("ref_hz"), hz("prac_hz").alias("prac_hz"))
+    both = pair_by_ordinal(found, ["low", "high", "base_hz"])
+    half = lambda c: 0.5 * (1200.0 * log2(F.col(c) / F.col("ref_base_hz")))
+    of = lambda side: half(f"{side}_low") + half(f"{side}_high")
+    both = both.withColumn("cents", F.when(F.col("ref_base_hz") > 0, of("prac") - of("ref")))
+    hz = lambda side: F.when(F.col("cents").isNotNull(), 0.5 * F.col(f"{side}_low") + 0.5 * F.col(f"{side}_high")).alias(f"{side}_hz")
+    return both.select("pair_id", "note_no", "cents", hz("ref"), hz("prac"))
 
 
 def pitch_summary(deviation: DataFrame, off: float = OFF_PITCH_CENTS, rate: int = SAMPLE_RATE) -> DataFrame:

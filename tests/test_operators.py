@@ -566,3 +566,25 @@ def test_wav_files_of_many_chunks(spark, tmp_path):
     (tmp_path / "a.wav").write_bytes(b"RIFF" + len(body).to_bytes(4, "little") + body)
     r = files.wav_header_scan(spark, str(tmp_path)).first()
     assert (r.duration_sec, r.sample_rate_hz, r.error_code) == (1.0, 8000, None)
+
+
+def test_cents_at_the_bound(spark, sf):
+    """Pitches and cents to the last bit, as cents of just 50 are off or not by it; medians of two frames among them."""
+    import duckdb
+
+    hz = lambda v: 130.81 * math.pow(2.0, v / 12)
+    notes, frames_, want = [], [], {}
+    for i in range(400):
+        ref, prac = [hz(i / 25)] * 2, [hz(i / 25 + 0.4), hz(i / 25 + 0.6)]
+        for take, side, own in ((2 * i, "reference", ref), (2 * i + 1, "practice", prac)):
+            notes.append((i, side, take, 1, own[0], 0, 2))
+            frames_ += [(take, k, 1, x) for k, x in enumerate(own)]
+        middle = lambda xs: 0.5 * (1200 * math.log2(xs[0] / ref[0])) + 0.5 * (1200 * math.log2(xs[1] / ref[0]))  # noqa: B023, E731
+        want[i] = middle(prac) - middle(ref)
+    n = spark.createDataFrame(notes, "pair_id long, side string, take_id long, note_no long, f0_hz double, start_frame long, span_end long")
+    f = spark.createDataFrame(frames_, "take_id long, frame long, voiced int, f0_hz double")
+    deviation = metrics.note_deviation(n, f, 1).collect()
+    assert {r.pair_id: r.cents for r in deviation} == want and len({c > 50 for c in want.values()}) == 2
+    assert all(r.prac_hz == 0.5 * hz(r.pair_id / 25 + 0.4) + 0.5 * hz(r.pair_id / 25 + 0.6) for r in deviation)
+    rows = duckdb.execute(f"with events as (select * from '{sf}/events.parquet'), notes as ({adapters.SQL['notes']}) select event_id, f0_hz from notes").fetchall()
+    assert dict(rows) == {r.event_id: r.f0_hz for r in adapters.notes(spark, sf).collect()}
