@@ -588,3 +588,21 @@ def test_cents_at_the_bound(spark, sf):
     assert all(r.prac_hz == 0.5 * hz(r.pair_id / 25 + 0.4) + 0.5 * hz(r.pair_id / 25 + 0.6) for r in deviation)
     rows = duckdb.execute(f"with events as (select * from '{sf}/events.parquet'), notes as ({adapters.SQL['notes']}) select event_id, f0_hz from notes").fetchall()
     assert dict(rows) == {r.event_id: r.f0_hz for r in adapters.notes(spark, sf).collect()}
+
+
+@pytest.mark.parametrize("carried", [0, 4, 16])
+def test_set_similarity_in_blocks(spark, monkeypatch, carried):
+    """The same pairs, once each, with sets that go along with their tokens and without, in blocks of a few sets."""
+    monkeypatch.setattr(pairing, "BLOCK", 8)
+    monkeypatch.setattr(pairing, "CARRIED", carried)
+    rng = random.Random(5)
+    sets = {i: {"http:", f"host{rng.randrange(4)}", rng.choice(("en", "de")), *(f"t{rng.randrange(60)}" for _ in range(rng.randrange(5)))} for i in range(150)}
+    pairs, members = pairing.set_similarity(spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "id long, token string"), 0.6)
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(frozenset(s), i)
+    assert {r.id: r.representative for r in members.collect()} == {i: first[frozenset(s)] for i, s in sets.items()}
+    own = sorted(first.values())
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for i, a in enumerate(own) for b in own[i + 1 :]}
+    got = [((r.a, r.b), r.similarity) for r in pairs.collect()]
+    assert len(got) == len(dict(got)) and dict(got) == {p: s for p, s in want.items() if s >= 0.6} and len(got) > 100
