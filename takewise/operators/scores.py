@@ -45,14 +45,20 @@ def tempo_segments(tempo: DataFrame) -> DataFrame:
 
 
 def _as_of(rows: DataFrame, tempo: DataFrame, order: str, at: Column) -> DataFrame:
-    """(__row, __last) of rows: the last segment (t, p, u) of the song whose order column is at most a row's place, the
-    first one for rows before it. A running last over both in order, so a song may have as many segments as rows."""
+    """(song_id, __row, __last) of rows: the last segment (t, p, u) of the song whose order column is at most a row's place,
+    the first one for rows before it. A running last over both in order, so a song may have as many segments as rows.
+    song_id stays outside of __row, so that what follows by song needs no exchange."""
     first = F.row_number().over(W.partitionBy("song_id").orderBy(order)) == 1
     segments = tempo_segments(tempo).select("song_id", F.when(~first, F.col(order).cast("double")).alias("__at"), F.struct(F.col("tick").alias("t"), F.col("passed").alias("p"), F.col("us_per_beat").alias("u")).alias("__seg"))
-    placed = rows.select("song_id", F.coalesce(at.cast("double"), F.lit(float("-inf"))).alias("__at"), F.struct("*").alias("__row"))
+    placed = rows.select("song_id", F.coalesce(at.cast("double"), F.lit(float("-inf"))).alias("__at"), F.struct(*(c for c in rows.columns if c != "song_id")).alias("__row"))
     seen = W.partitionBy("song_id").orderBy(F.asc_nulls_first("__at"), F.col("__row").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
     both = segments.unionByName(placed, allowMissingColumns=True).withColumn("__last", F.last("__seg", True).over(seen))
-    return both.where("__row is not null and __last is not null").select("__row", "__last")
+    return both.where("__row is not null and __last is not null").select("song_id", "__row", "__last")
+
+
+def _again(found: DataFrame, rows: DataFrame, out: str) -> DataFrame:
+    """rows, with out, of _as_of's result."""
+    return found.select(*(F.col("song_id" if c == "song_id" else f"__row.{c}") for c in rows.columns), F.col("__out").alias(out))
 
 
 def seconds(tick_us: Column, beat: int = BEAT_TICKS) -> Column:
@@ -63,14 +69,14 @@ def tick_to_sec(rows: DataFrame, tempo: DataFrame, tick: str, out: str, beat: in
     """rows with the seconds of a tick column, by the last tempo segment that starts at or before it; ticks before the
     first segment take its tempo."""
     passed = F.col("__last.p") + (F.col("__row").getField(tick) - F.col("__last.t")) * F.col("__last.u")
-    return _as_of(rows, tempo, "tick", F.col(tick)).withColumn("__out", seconds(passed, beat)).select("__row.*", F.col("__out").alias(out))
+    return _again(_as_of(rows, tempo, "tick", F.col(tick)).withColumn("__out", seconds(passed, beat)), rows, out)
 
 
 def sec_to_tick(rows: DataFrame, tempo: DataFrame, sec: str, out: str, beat: int = BEAT_TICKS) -> DataFrame:
     """rows with the smallest tick that reaches a time."""
     want = lambda column: column * F.lit(1e6 * beat)
     ticks = F.ceil(F.round((want(F.col("__row").getField(sec)) - F.col("__last.p")) / F.col("__last.u"), 6))
-    return _as_of(rows, tempo, "passed", want(F.col(sec))).withColumn("__out", F.col("__last.t") + ticks).select("__row.*", F.col("__out").alias(out))
+    return _again(_as_of(rows, tempo, "passed", want(F.col(sec))).withColumn("__out", F.col("__last.t") + ticks), rows, out)
 
 
 def rounded_half_up(x: Column, digits: int) -> Column:
