@@ -4,6 +4,7 @@ expected notes, labels and a summary, for all songs at once. A song that cannot
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -60,19 +61,21 @@ def cropped(melody: DataFrame, bar_ticks: int) -> tuple[DataFrame, DataFrame]:
     return rows, bounds.select("song_id", (F.col("t1") - F.col("t0")).alias("seg_ticks"))
 
 
-def variants(melody: DataFrame, tempo: DataFrame, seed: int, beat: int = BEAT_TICKS) -> DataFrame:
-    """(song_id, variant, note_no, onset_sec, midi, label, value): the labels of the five planted defects."""
-    told = lambda rows, name, labels, where="true": scores.defect_labels(rows, tempo, name, labels, where, beat)
+def planted(melody: DataFrame, tempo: DataFrame, seed: int, beat: int = BEAT_TICKS) -> list[tuple[str, DataFrame, list[str], str]]:
+    """Of each of the five planted defects its name, the melody with it, the columns that are its labels, and which notes
+    have it."""
     moved = scores.perturb_timing(melody, tempo, seed, beat=beat).join(melody, ["song_id", "note_no"])
     moved = scores.first_tempo(moved, tempo).withColumn("shift_sec", scores.rounded_half_up(scores.seconds((F.col("new_start") - F.col("st_tick")) * F.col("__us"), beat), 4))
-    found = (
-        told(scores.perturb_pitch(melody, seed), "pitch", ["planted_cents"]), told(moved, "timing", ["shift_sec"], "new_start <> st_tick"), told(scores.perturb_dynamics(melody, seed), "dynamics", ["factor"]),
-        told(scores.perturb_wrong_notes(melody, tempo, seed, beat=beat), "wrong_notes", ["planted_semitones"], "planted_semitones <> 0"), told(scores.perturb_dropouts(melody, seed).withColumn("gone", F.lit(1.0)), "dropouts", ["gone"], "dropped"),
-    )
-    out = found[0]
-    for rows in found[1:]:
-        out = out.unionByName(rows)
-    return out
+    return [
+        ("pitch", scores.perturb_pitch(melody, seed), ["planted_cents"], "true"), ("timing", moved, ["shift_sec"], "new_start <> st_tick"), ("dynamics", scores.perturb_dynamics(melody, seed), ["factor"], "true"),
+        ("wrong_notes", scores.perturb_wrong_notes(melody, tempo, seed, beat=beat), ["planted_semitones"], "planted_semitones <> 0"), ("dropouts", scores.perturb_dropouts(melody, seed).withColumn("gone", F.lit(1.0)), ["gone"], "dropped"),
+    ]
+
+
+def variants(melody: DataFrame, tempo: DataFrame, seed: int, beat: int = BEAT_TICKS) -> DataFrame:
+    """(song_id, variant, note_no, onset_sec, midi, label, value): the labels of the five planted defects."""
+    found = [scores.defect_labels(rows, tempo, name, labels, where, beat) for name, rows, labels, where in planted(melody, tempo, seed, beat)]
+    return reduce(DataFrame.unionByName, found)
 
 
 class Standards(NamedTuple):
@@ -97,22 +100,25 @@ def standards(events: DataFrame, tempo: DataFrame, songs: DataFrame, settings: S
     rows = melody.join(good, "song_id").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("repeats") - 1)))
     at = F.col("copy") * F.col("seg_ticks") + F.col("lead")
     rows = rows.select("song_id", (F.col("st_tick") + at).alias("st_tick"), (F.col("en_tick") + at).alias("en_tick"), (F.col("midi") + F.col("shift")).alias("midi"), "velocity")
-    return Standards(score, plan, bucketed(numbered(rows), "song_id", ("st_tick",)))
+    return Standards(score, plan, numbered(rows))
 
 
 def build(events: DataFrame, tempo: DataFrame, songs: DataFrame, settings: Settings = Settings()) -> Songs:
     """events has song_id, midi, tick, is_on, note_no and velocity; tempo song_id, tick and us_per_beat; songs song_id and
     mode (`topvoice` or `asis`). Errors are NO_NOTES, NO_TEMPO, and SONG_LENGTH where no number of repeats brings a song
-    into the allowed length."""
+    into the allowed length. The summary counts the notes with each defect; labels are derived when they are read."""
     s = settings
     score, plan, final = standards(events, tempo, songs, s)
+    final = bucketed(final, "song_id", ("st_tick",))
     expected = scores.expected_notes(final, tempo, s.beat)
-    labels = cut(variants(final, tempo, s.seed, s.beat))
-    counts = labels.groupBy("song_id").agg(*(F.count_if(F.col("variant") == v).alias(v) for v in VARIANTS))
+    labels = variants(final, tempo, s.seed, s.beat)
+    counts = {v: rows.where(where).groupBy("song_id").agg(F.count("*").alias(v)) for v, rows, _, where in planted(final, tempo, s.seed, s.beat)}
     ends = scores.tick_to_sec(final.groupBy("song_id").agg(F.max("en_tick").alias("last"), F.count("*").alias("n_notes"), F.min("midi").alias("low"), F.max("midi").alias("high")), tempo, "last", "end_sec", s.beat)
     first = tempo.groupBy("song_id").agg(F.min_by("us_per_beat", "tick").alias("us"))
     found = songs.select("song_id", "mode").join(score.groupBy("song_id").agg(F.lit(True).alias("heard")), "song_id", "left").join(first, "song_id", "left")
-    found = found.join(plan, "song_id", "left").join(ends, "song_id", "left").join(counts, "song_id", "left")
+    found = found.join(plan, "song_id", "left").join(ends, "song_id", "left")
+    for v in VARIANTS:
+        found = found.join(counts[v], "song_id", "left")
     error = F.when(F.col("heard").isNull(), "NO_NOTES").when(F.col("us").isNull(), "NO_TEMPO").when(F.col("repeats").isNull(), "SONG_LENGTH")
     n = lambda c: F.coalesce(c, F.lit(0)).alias(f"n_{c}")
     summary = found.select(
