@@ -606,3 +606,22 @@ def test_set_similarity_in_blocks(spark, monkeypatch, carried):
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for i, a in enumerate(own) for b in own[i + 1 :]}
     got = [((r.a, r.b), r.similarity) for r in pairs.collect()]
     assert len(got) == len(dict(got)) and dict(got) == {p: s for p, s in want.items() if s >= 0.6} and len(got) > 100
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_songs_shuffle_once(spark, sf, monkeypatch):
+    """Expected notes need the exchange of the score and one of the tempo for each as-of join; the corpus job writes no
+    labels to count them."""
+    from takewise.operators import songs
+    from takewise.plans import songs as plans
+
+    plan = plan_of(scores.expected_notes(adapters.score(spark, sf), adapters.tempo(spark, sf)))
+    assert plan.count("Exchange hashpartitioning") <= 3
+    written = []
+    keep = songs.cut
+    monkeypatch.setattr(songs, "cut", lambda df: written.append(df.columns) or keep(df))
+    plans._build(spark, sf)
+    assert written and not [c for c in written if "label" in c]
