@@ -316,11 +316,20 @@ def note_segments(pitch: DataFrame, rms: DataFrame, pitch_hop: int = PITCH_HOP,
 
 
 def threshold_onsets(rms: DataFrame, level: float = 0.15) -> DataFrame:
-    """(take_id, frame) where energy, relative to the take's maximum, goes up through the level."""
-    top = rms.groupBy("take_id").agg(F.max("rms").alias("top"))
-    e = rms.join(top, "take_id").withColumn("e", F.when(F.col("top") > 0, F.col("rms") / F.col("top")).otherwise(0.0))
-    before = F.lag("e", 1, 0.0).over(W.partitionBy("take_id").orderBy("frame"))
-    return e.withColumn("before", before).where((F.col("e") >= level) & (F.col("before") < level)).select("take_id", "frame")
+    """(take_id, frame) where energy, relative to the take's maximum, goes up through the level. rms has take_id, frame and
+    rms, or chunks: the frame of the first and an array of the energies from there on. Frames of a chunk stay in its row,
+    so rows are sorted by chunk; the sort for the frame before comes first and serves the join as well."""
+    if not isinstance(rms.schema["rms"].dataType, T.ArrayType):
+        rms = rms.withColumn("rms", F.array("rms"))
+    chunks = rms.where(F.size("rms") > 0).select("take_id", "frame", "rms")
+    top = chunks.groupBy("take_id").agg(F.max(F.array_max("rms")).alias("top"))
+    last = F.struct(F.element_at("rms", -1).alias("rms"))  # null only where there is no chunk before
+    c = chunks.withColumn("before", F.lag(last).over(W.partitionBy("take_id").orderBy("frame"))).join(top, "take_id")
+    e = lambda x: F.when(F.col("top") > 0, x / F.col("top")).otherwise(0.0)
+    at = lambda i: e(F.get("rms", i))
+    first = F.when(F.col("before").isNull(), 0.0).otherwise(e(F.col("before.rms")))
+    up = F.filter(F.sequence(F.lit(0), F.size("rms") - 1), lambda i: (at(i) >= level) & (F.when(i > 0, at(i - 1)).otherwise(first) < level))
+    return c.select("take_id", "frame", F.explode(up).alias("i")).select("take_id", (F.col("frame") + F.col("i")).alias("frame"))
 
 
 def sliding_median(x: np.ndarray, reach: int) -> np.ndarray:

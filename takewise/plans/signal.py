@@ -264,7 +264,7 @@ def sample_onsets(spark, d):
 w as (select *, lag(e, 1, 0.0) over (partition by take_id order by frame) as b from e)
 select take_id, frame from w where e >= 0.15 and b < 0.15"""))
 def threshold_onsets(spark, d):
-    return S.threshold_onsets(A.rms_frames(spark, d))
+    return S.threshold_onsets(A.rms_chunks(spark, d))
 
 
 _WINDOWS = """, up as (select take_id, count(*) * 2048 / 44100.0 as upper from pitch_frames group by take_id),

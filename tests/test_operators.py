@@ -625,3 +625,30 @@ def test_songs_shuffle_once(spark, sf, monkeypatch):
     monkeypatch.setattr(songs, "cut", lambda df: written.append(df.columns) or keep(df))
     plans._build(spark, sf)
     assert written and not [c for c in written if "label" in c]
+
+
+def test_threshold_onsets_of_chunks(spark, sf):
+    """Rows and chunks of any length give what a walk gives; in the query no frame is a row before the sort."""
+    from takewise.plans import signal
+
+    rng = random.Random(3)
+    takes = {t: [(f, rng.choice([0.0, 0.1, 0.149, 0.15, 0.2, 1.0, None])) for f in range(60) if f % 13 != 5] for t in range(6)}
+    takes |= {7: [(0, 0.0), (1, 0.0)], 8: [(4, 2.0)], 9: [(0, None), (1, 1.0)], 10: [(0, math.nan), (1, math.nan)]}
+    want = []
+    for t, rows in takes.items():
+        known = [r for _, r in rows if r is not None]
+        top = math.nan if any(map(math.isnan, known)) else max(known)
+        e = [None if r is None else r / top if top else 0.0 for _, r in rows]
+        want += [(t, f) for (f, _), x, b in zip(rows, e, [0.0, *e]) if x is not None and b is not None and not x < 0.15 and b < 0.15]
+    rows = [(t, f, r) for t, kept in takes.items() for f, r in kept]
+    chunks = []
+    for t, f, r in rows:
+        if chunks and chunks[-1][0] == t and chunks[-1][1] + len(chunks[-1][2]) == f and rng.random() < 0.8:
+            chunks[-1][2].append(r)
+        else:
+            chunks.append((t, f, [r]))
+    chunks.append((0, 99, []))
+    got = lambda data, kind: sorted(map(tuple, frames.threshold_onsets(spark.createDataFrame(rng.sample(data, len(data)), f"take_id long, frame long, rms {kind}")).collect()))
+    assert got(rows, "double") == got(chunks, "array<double>") == sorted(want) and {8, 10} <= {t for t, _ in want}
+    plan = plan_of(signal.threshold_onsets(spark, sf))
+    assert plan.count("Generate explode") == 1 and plan.index("Generate explode") < plan.index("Sort [")
