@@ -16,24 +16,21 @@ from ..config import ALIGN_BAND, ALIGN_HOP, MIN_COVERAGE
 #: Diagonals whose distances are found at once, and cells of a band of which the way back is held in whole (a byte each).
 TILE = 32
 HELD_CELLS = 16 << 20
-#: Parts of a stretch of the band's width: cells are joined beyond the band by one part in twice as many.
+#: Parts of the band's width: cells are joined beyond the band by one part in twice as many.
 FINE = 16
 
 
 def band_cells(ref: DataFrame, prac: DataFrame, sizes: DataFrame, band: float) -> DataFrame:
-    """(pair_id, i, j, x, y, n_ref, n_prac): the band's cells and few others. Relative places are cut into stretches of the
-    band's width, by which frames are dealt out, a practice frame to its own and the two next to it; a stretch is cut
-    into FINE parts, and within it a practice frame meets the parts that its band reaches, by an equality join."""
-    place = lambda n: F.col("frame") / F.col(n) / band
+    """(pair_id, i, j, x, y, n_ref, n_prac): the band's cells and few others. Relative places are cut into parts, FINE to the
+    band's width; a practice frame goes along with each part that its band reaches, and meets the reference frames there by
+    an equality join. The joins are by shuffle whatever Spark takes the sides' sizes for: it does not see that a frame goes
+    with many parts, and would send them through the driver."""
     part = lambda x: F.floor(x * FINE).cast("int")
-    r = ref.join(sizes, "pair_id").select("pair_id", F.col("frame").alias("i"), F.col("features").alias("x"), "n_ref", "n_prac", F.floor(place("n_ref")).cast("int").alias("stretch"), part(place("n_ref")).alias("part"))
-    p = prac.join(sizes, "pair_id").withColumn("at", place("n_prac"))
-    p = p.select("pair_id", F.col("frame").alias("j"), F.col("features").alias("y"), "at", F.explode(F.sequence(F.floor(F.col("at")).cast("int") - 1, F.floor(F.col("at")).cast("int") + 1)).alias("stretch"))
-    p = p.where("stretch >= 0").repartition("pair_id", "stretch")
-    first = F.greatest(F.col("stretch") * FINE, part(F.col("at") - 1 - 1e-9))
-    last = F.least(F.col("stretch") * FINE + FINE - 1, part(F.col("at") + 1 + 1e-9))
-    p = p.where(first <= last).select("pair_id", "j", "y", "stretch", F.explode(F.sequence(first, last)).alias("part"))
-    return r.repartition("pair_id", "stretch").join(p, ["pair_id", "stretch", "part"]).drop("stretch", "part")
+    placed = lambda side, n: side.join(sizes.hint("merge"), "pair_id").withColumn("at", F.col("frame") / F.col(n) / band)
+    r = placed(ref, "n_ref").select("pair_id", F.col("frame").alias("i"), F.col("features").alias("x"), "n_ref", "n_prac", part(F.col("at")).alias("part"))
+    reached = F.sequence(F.greatest(F.lit(0), part(F.col("at") - 1 - 1e-9)), part(F.col("at") + 1 + 1e-9))
+    p = placed(prac, "n_prac").select("pair_id", F.col("frame").alias("j"), F.col("features").alias("y"), F.explode(reached).alias("part"))
+    return r.join(p.hint("merge"), ["pair_id", "part"]).drop("part")
 
 
 def band_distance(ref: DataFrame, prac: DataFrame, sizes: DataFrame, band: float = ALIGN_BAND) -> DataFrame:

@@ -612,6 +612,15 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_band_is_not_sent_through_the_driver(spark, sf):
+    """Frames that go with many parts of the band are shuffled, not broadcast, however small Spark takes them to be."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    try:
+        assert "Broadcast" not in plan_of(catalogue.queries()["band_distance"](spark, sf))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_songs_shuffle_once(spark, sf, monkeypatch):
     """Expected notes need the exchange of the score and one of the tempo for each as-of join; the corpus job writes no
     labels to count them."""
