@@ -608,6 +608,32 @@ def test_set_similarity_in_blocks(spark, monkeypatch, carried):
     assert len(got) == len(dict(got)) and dict(got) == {p: s for p, s in want.items() if s >= 0.6} and len(got) > 100
 
 
+@pytest.mark.parametrize("carried", [0, 3, 16])
+def test_set_similarity_of_copies(spark, monkeypatch, carried):
+    """All pairs of ids once each, those of equal sets too, with more copies of a set than a block has."""
+    monkeypatch.setattr(pairing, "BLOCK", 8)
+    monkeypatch.setattr(pairing, "CARRIED", carried)
+    rng = random.Random(6)
+    kinds = [{"http:", f"host{rng.randrange(3)}", rng.choice(("en", "de")), *(f"t{rng.randrange(30)}" for _ in range(rng.randrange(4)))} for _ in range(40)]
+    sets = {i: kinds[0] if i % 4 == 0 else rng.choice(kinds) for i in range(120)}
+    pairs, members = pairing.set_similarity(spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "id long, token string"), 0.6, copies=True)
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    got = [((r.a, r.b), r.similarity) for r in pairs.collect()]
+    assert len(got) == len(dict(got)) and dict(got) == {p: s for p, s in want.items() if s >= 0.6}
+    assert {r.id: r.representative for r in members.collect()} == {i: min(k for k, x in sets.items() if x == s) for i, s in sets.items()}
+
+
+def test_pages_of_equal_urls_are_pairs(spark, tmp_path):
+    """Every two pages at the threshold are a pair, and those whose URLs have the same segments too."""
+    urls = ["http://a.org/en/1", "http://a.org/en/1", "http://a.org/en/1/", "http://a.org/en/2", "https://b.org/de/1/x/y", "https://b.org/de/1/y/x", "http://c.org", "", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    sets = {i: set(u.split("/")) - {""} for i, u in enumerate(urls) if u}
+    want = {(a, b): round(len(x & y) / len(x | y), 6) for a, x in sets.items() for b, y in sets.items() if a < b and 5 * len(x & y) >= 3 * len(x | y)}
+    rows = catalogue.queries()["set_similarity"](spark, str(tmp_path)).collect()
+    assert {(r.a, r.b): r.similarity for r in rows if r.id is None} == want and len(want) == 7
+    assert {r.id: r.representative for r in rows if r.id is not None} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4, 6: 6}
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
